@@ -18,10 +18,116 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of nearly equal bytes by histogram sort."""
+    from tidewright.llm.sharding import shard
+
+    return shard(_read(spark, sf_dir, "documents"), shards=40)
+
+
+#: Target weights of op5: domains, languages within a domain, sources within a language; others weigh 1.
+MIX_WEIGHTS = {"d0": 3.0, "d1": 2.0, "d0/en": 2.0, "d1/de": 0.5, "d2/en": 4.0, "d0/en/src0": 0.25}
+
+
+def op5_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, dealt over domains, languages and sources, in up to three epochs."""
+    from pyspark.sql import functions as F
+
+    from tidewright.llm.mixing import mix
+
+    # the tables name no domain: sources are dealt to four by their last character
+    domain = F.concat(F.lit("d"), F.expr("coalesce(ascii(right(source, 1)), 0) % 4").cast("string"))
+    return mix(_read(spark, sf_dir, "documents"), domain, MIX_WEIGHTS, fraction=0.5, max_epochs=3, seed=11)
+
+
+def op9_cross_document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules with cross-document line frequency, one row for each document."""
+    from tidewright.llm.quality import judged
+
+    return judged(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+g AS (
+  SELECT doc_id, i, md5(words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS gram
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 2)) AS i FROM d WHERE len(words) > 2)),
+again AS (SELECT doc_id, gram FROM g GROUP BY doc_id, gram HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN again USING (doc_id, gram)) GROUP BY doc_id),
+l AS (SELECT doc_id, host, text, unnest(lines) AS line FROM d),
+n AS (
+  SELECT doc_id, host, text, trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+         len({WORDS.format("line")}) AS words FROM l),
+texts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
+frequent AS (
+  SELECT host, line FROM n JOIN texts USING (host) GROUP BY host, line, texts
+  HAVING count(DISTINCT text) > 20 AND 100 * count(DISTINCT text) > 10 * texts),
+gone AS (SELECT doc_id, sum(words) AS n FROM n JOIN frequent USING (host, line) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * removed_words <= 70 * n_words AS kept
+FROM m
+"""
+
+_WEIGHT = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
+
+
+def _share(children: str, parent: str, order: str) -> str:
+    """SQL that divides budget among the rows of a parent by w, none above cap."""
+    w = f"PARTITION BY {parent} ORDER BY cap / w, {order}"
+    return f"""(
+      SELECT * EXCLUDE (ahead, behind, level, open), least(cap, coalesce(w * first_value(CASE WHEN open THEN level END IGNORE NULLS)
+          OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), cap)) AS got
+      FROM (SELECT *, cap / w > level AS open FROM (SELECT *, (budget - ahead) / behind AS level FROM (
+        SELECT *, coalesce(sum(cap) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS ahead,
+               sum(w) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS behind FROM {children}))))"""
+
+
+OP5_SQL = f"""
+WITH t AS (
+  SELECT doc_id, 'd' || (CASE WHEN coalesce(source, '') = '' THEN 0 ELSE ascii(right(source, 1)) END % 4) AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS source, coalesce(text, '') AS text,
+         CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS tokens FROM documents),
+leaf AS (SELECT domain, language, source, sum(tokens) AS tokens, CAST(3 * sum(tokens) AS DOUBLE) AS cap FROM t GROUP BY ALL),
+whole AS (SELECT least(floor(sum(tokens) * CAST(0.5 AS DOUBLE)), sum(cap)) AS budget FROM leaf),
+d1 AS (SELECT domain, sum(cap) AS cap, CAST({_WEIGHT.format("domain")} AS DOUBLE) AS w, any_value(budget) AS budget FROM leaf, whole GROUP BY domain),
+s1 AS (SELECT domain, got AS budget FROM {_share("d1", "1", "domain")}),
+d2 AS (SELECT domain, language, sum(cap) AS cap, CAST({_WEIGHT.format("(domain || '/' || language)")} AS DOUBLE) AS w, any_value(budget) AS budget
+       FROM leaf JOIN s1 USING (domain) GROUP BY domain, language),
+s2 AS (SELECT domain, language, got AS budget FROM {_share("d2", "domain", "domain, language")}),
+d3 AS (SELECT domain, language, source, tokens, cap, CAST({_WEIGHT.format("(domain || '/' || language || '/' || source)")} AS DOUBLE) AS w, budget
+       FROM leaf JOIN s2 USING (domain, language)),
+s3 AS (SELECT domain, language, source, CAST(tokens AS BIGINT) AS leaf_tokens, CAST(floor(got + 1e-6) AS BIGINT) AS budget
+       FROM {_share("d3", "domain, language", "domain, language, source")}),
+e AS (SELECT *, unnest([0, 1, 2]) AS epoch FROM s3),
+p AS (
+  SELECT doc_id, domain, language, source, tokens, epoch, budget, epoch * leaf_tokens AS start, CAST(epoch * leaf_tokens + coalesce(sum(tokens) OVER (
+      PARTITION BY domain, language, source, epoch ORDER BY md5('11-' || epoch || '-' || doc_id), doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position
+  FROM t JOIN e USING (domain, language, source))
+SELECT doc_id, domain, language, source, tokens, CAST(epoch AS INT) AS epoch, position FROM p WHERE position + tokens <= budget AND start <= budget
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_hierarchical_mixing": OP5_SQL, "op9_cross_document_quality": OP9_SQL}
