@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,18 +122,19 @@ class Forest:
         return x != y
 
 
-def likely_pairs(maps: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Pairs of rows whose bitmaps differ in `most` bits at most, most similar first."""
-    words = np.ascontiguousarray(maps).view(np.uint64)
+def likely_pairs(words: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs of rows (bitmaps as 64-bit words) that differ in `most` bits at most, most similar first."""
+    if len(words) == 2:
+        return [(0, 1)] if np.bitwise_count(words[0] ^ words[1]).sum() <= most else []
     found = []
     for i in range(len(words) - 1):
         differing = np.bitwise_count(words[i] ^ words[i + 1 :]).sum(1)
         hit = np.flatnonzero(differing <= most)
-        found.append(np.stack([differing[hit], np.full(len(hit), i), hit + i + 1]))
-    if found:
-        pairs = np.concatenate(found, axis=1)
-        for k in np.argsort(pairs[0], kind="stable").tolist():
-            yield int(pairs[1, k]), int(pairs[2, k])
+        found.append(np.stack([differing[hit].astype(np.int64), np.full(len(hit), i), hit + i + 1]))
+    if not found:
+        return []
+    pairs = np.concatenate(found, axis=1)
+    return list(zip(*pairs[1:, np.argsort(pairs[0], kind="stable")].tolist()))
 
 
 def in_blocks(members: DataFrame, group: str, ids: str) -> DataFrame:
@@ -164,15 +164,23 @@ def likely_links(reps: DataFrame, threshold: float) -> DataFrame:
     members = keys.join(shared, "key")
     members = in_blocks(scratch.table(members, "bands"), "key", "id").join(reps.select("id", "sketch"), "id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        maps = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(ids), -1)
-        forest = Forest(len(ids))
-        links = [(ids[i], ids[j]) for i, j in likely_pairs(maps, most) if forest.join(i, j)]
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in textprep.sorted_groups(batches, ["key", "x", "y"]):
+            ids = table.column("id").to_numpy()
+            maps = textprep.fixed_bytes(table.column("sketch"), BITS // 8).view(np.uint64)
+            links = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                forest = Forest(b - a)
+                links += [(a + i, a + j) for i, j in likely_pairs(maps[a:b], most) if forest.join(i, j)]
+            yield link_batch(ids, links)
+
+    placed = members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+    return placed.mapInArrow(run, "a long, b long").distinct()
 
-    return members.groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
+
+def link_batch(ids: np.ndarray, links: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
 
 
 def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, sketches: DataFrame) -> DataFrame:
@@ -192,20 +200,23 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: i
     sets = sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
     placed = in_blocks(members, "cluster", "id").join(sets, "id").join(sketches, "id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        maps = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(ids), -1)
-        own = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
-        forest = Forest(len(ids))
-        links = []
-        for i, j in likely_pairs(maps, most):
-            if forest.root(i) != forest.root(j) and alike(own[i], own[j], percent):
-                forest.join(i, j)
-                links.append((ids[i], ids[j]))
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
-
-    return placed.groupBy("cluster", "x", "y").applyInPandas(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in textprep.sorted_groups(batches, ["cluster", "x", "y"]):
+            ids = table.column("id").to_numpy()
+            maps = textprep.fixed_bytes(table.column("sketch"), BITS // 8).view(np.uint64)
+            shingles = table.column("shingles")
+            links = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = [np.frombuffer(s.as_buffer(), np.uint64) for s in shingles.slice(a, b - a)]
+                forest = Forest(b - a)
+                for i, j in likely_pairs(maps[a:b], most):
+                    if forest.root(i) != forest.root(j) and alike(own[i], own[j], percent):
+                        forest.join(i, j)
+                        links.append((a + i, a + j))
+            yield link_batch(ids, links)
+
+    dealt = placed.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:

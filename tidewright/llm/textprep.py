@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -41,7 +42,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about `most` bytes of text; a longer text is a part of its own."""
-    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > most:
@@ -106,3 +107,29 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield mix(np.array([np.sum(words[a:b] * keys[: b - a]) ^ U(b - a)], U))
         else:
             yield np.zeros(0, U)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Tables of whole groups, from batches sorted by integer keys, with the bounds of the groups in each.
+
+    A group that a batch cuts is held until its end; so memory is that of a
+    batch and one group, and no call of Python is made for each small group.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        columns = [table.column(k).to_numpy() for k in keys]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        cut = int(new[-1]) if len(new) else 0
+        if cut:
+            yield table.slice(0, cut).combine_chunks(), np.concatenate(([0], new))
+        held = table.slice(cut)
+    if held is not None:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
+
+
+def fixed_bytes(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A matrix of the binary values of a column, all of one width."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
