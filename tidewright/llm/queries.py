@@ -25,6 +25,13 @@ def op3_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), shards=40)
 
 
+def op4_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by fixed patterns and character Markov models."""
+    from tidewright.llm.secrets import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
 #: Target weights of op5: domains, languages within a domain, sources within a language; others weigh 1.
 MIX_WEIGHTS = {"d0": 3.0, "d1": 2.0, "d0/en": 2.0, "d1/de": 0.5, "d2/en": 4.0, "d0/en/src0": 0.25}
 
@@ -40,6 +47,13 @@ def op5_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"), domain, MIX_WEIGHTS, fraction=0.5, max_epochs=3, seed=11)
 
 
+def op7_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back through the index."""
+    from tidewright.llm.warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages"), least=0)
+
+
 def op9_cross_document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules with cross-document line frequency, one row for each document."""
     from tidewright.llm.quality import judged
@@ -49,6 +63,15 @@ def op9_cross_document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written in fixed-width bit packing and read back."""
+    import public_tokenizers
+
+    from tidewright.llm.tokenfile import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
