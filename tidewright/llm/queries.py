@@ -4,13 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; null for a null doc_id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op1_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a factorization machine, learnt from the labels that are not held out."""
+    from tidewright.llm import toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, _read(spark, sf_dir, "labels"), _remainder(3) != 1)
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op2_recurrent_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a bidirectional gated recurrent network over bytes."""
+    from tidewright.llm import langid
+
+    docs = _read(spark, sf_dir, "documents")
+    net = langid.train(docs, _remainder(4) != 2)
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over 3-word shingles at a similarity of 0.85."""
     from tidewright.llm.neardup import near_duplicates
@@ -38,8 +65,6 @@ MIX_WEIGHTS = {"d0": 3.0, "d1": 2.0, "d0/en": 2.0, "d1/de": 0.5, "d2/en": 4.0, "
 
 def op5_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, dealt over domains, languages and sources, in up to three epochs."""
-    from pyspark.sql import functions as F
-
     from tidewright.llm.mixing import mix
 
     # the tables name no domain: sources are dealt to four by their last character

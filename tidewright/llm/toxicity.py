@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its distinct words and their prefixes of four and five
-letters, hashed into 2**20 buckets. A text scores w0 + sum of w_i + sum over
+A text's terms are its distinct words, their prefixes of four to six letters,
+and the prefixes that two words or more share, hashed into 2**20 buckets. A text scores w0 + sum of w_i + sum over
 pairs of <v_i, v_j>; the pairs catch what no single weight shows, such as an
 insult beside the mention of a group.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,12 +26,33 @@ BUCKETS = 1 << 20
 SAMPLE, TERMS, FACTORS = 6000, 1500, 8
 #: Standard errors by which a kept term's rate must differ between the labels.
 SIGNAL = 4.0
+PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def buckets_of(word: str) -> list[int]:
-    own = [word] + [f"{n}:{word[:n]}" for n in (4, 5) if len(word) > n]
-    return [zlib.crc32(t.encode()) % BUCKETS for t in own]
+def bucket(term: str) -> int:
+    return zlib.crc32(term.encode()) % BUCKETS
+
+
+def buckets_of(word: str) -> tuple[list[int], list[int]]:
+    """Buckets of a word and its prefixes, and those that hold from the second word with a prefix on."""
+    prefixes = [f"{n}:{word[:n]}" for n in PREFIXES if len(word) > n]
+    return [bucket(t) for t in (word, *prefixes)], [bucket(f"2{t}") for t in prefixes]
+
+
+def terms_of(text: str, known: Callable[[str], tuple] = buckets_of) -> set[int]:
+    """All terms of a text, as numbers that `known` gives for its words."""
+    own: set[int] = set()
+    seen: set[int] = set()
+    for w in set(WORD.findall(text.lower())):
+        once, twice = known(w)
+        own.update(once)
+        for t in twice:
+            if t in seen:
+                own.add(t)
+            else:
+                seen.add(t)
+    return own
 
 
 @dataclass
@@ -112,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in textprep.slices(batch, "text"):
-                own = [sorted({b for w in set(WORD.findall(t.lower())) for b in buckets_of(w)}) for t in p.column("text").fill_null("").to_pylist()]
+                own = [sorted(terms_of(t)) for t in p.column("text").fill_null("").to_pylist()]
                 yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("label"), pa.array(own, pa.list_(pa.int32()))], ["doc_id", "label", "terms"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
@@ -131,23 +152,23 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+
+        def places(w: str) -> tuple:
+            own = known.get(w)
+            if own is None:
+                own = tuple(tuple(machine.kept[b] for b in part if b in machine.kept) for part in buckets_of(w))
+                if len(w) < 40:
+                    known[w] = own
+            return own
+
         for batch in batches:
             for p in textprep.slices(batch, "text"):
                 if len(known) > 500_000:
                     known.clear()
                 x = np.zeros((p.num_rows, len(machine.kept)), np.float32)
                 for i, text in enumerate(p.column("text").fill_null("").to_pylist()):
-                    own: set[int] = set()
-                    for w in set(WORD.findall(text.lower())):
-                        at = known.get(w)
-                        if at is None:
-                            at = tuple(machine.kept[b] for b in buckets_of(w) if b in machine.kept)
-                            if len(w) < 40:
-                                known[w] = at
-                        if at:
-                            own.update(at)
-                    x[i, list(own)] = 1
+                    x[i, list(terms_of(text, places))] = 1
                 yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(machine.score(x).astype(np.float64))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
