@@ -79,6 +79,13 @@ def op7_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages"), least=0)
 
 
+def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark in the documents: one row for each document and passage."""
+    from tidewright.llm.decontaminate import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_cross_document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules with cross-document line frequency, one row for each document."""
     from tidewright.llm.quality import judged
