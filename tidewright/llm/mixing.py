@@ -120,3 +120,9 @@ def mix(
         .where(F.col("position") + F.col("tokens") <= F.col("left"))
         .select("doc_id", *LEVELS, "tokens", "epoch", (F.col("position") + F.col("epoch") * F.col("leaf_tokens")).alias("position"))
     )
+
+
+def selected(docs: DataFrame, domain: Column, weights: dict[str, float] | None = None, fraction: float = 0.5, seed: int = 0, **names: str) -> DataFrame:
+    """The rows of docs that one epoch of mix() selects, with all columns as they are; rows that share a doc_id stay together."""
+    chosen = mix(docs, domain, weights, fraction, 1, seed, **names).select(F.col("doc_id").alias("__chosen")).distinct()
+    return docs.join(chosen, F.expr("doc_id <=> __chosen"), "left_semi").select([F.col(f"`{c}`") for c in docs.columns])

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewright.llm import graph, scratch, textprep
 from tidewright.session import ship_package
@@ -258,3 +259,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     out = feats.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay: one document of each group of near duplicates, with all columns as they are.
+
+    The document with the smallest doc_id of a group stays; of rows that
+    repeat its doc_id, that with the smallest hash of its text. Rows without
+    a doc_id stay unless a document with one has the same set of shingles.
+    """
+    kept = near_duplicates(docs, width, percent).where("component_id <=> doc_id").select(F.col("doc_id").alias("__kept")).distinct()
+    alone = F.row_number().over(W.partitionBy("doc_id").orderBy("__order"))
+    held = docs.withColumn("__order", F.xxhash64("text")).join(kept, F.expr("doc_id <=> __kept"), "left_semi").withColumn("__rank", alone)
+    return held.where("__rank = 1 OR doc_id IS NULL").select([F.col(f"`{c}`") for c in docs.columns])

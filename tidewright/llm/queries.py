@@ -47,9 +47,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 shards of nearly equal bytes by histogram sort."""
-    from tidewright.llm.sharding import shard
+    from tidewright.llm.sharding import shard, size_of
 
-    return shard(_read(spark, sf_dir, "documents"), shards=40)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    sharded = shard(_read(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+    return sharded.select("doc_id", size_of().alias("size"), crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,8 +105,12 @@ def spans(text: str, model: np.ndarray, threshold: float = RATIO) -> list[tuple[
         if t.end() - t.start() >= 32:
             found += [("hex", m.start(), m.end()) for m in HEX.finditer(text, t.start(), t.end())]
     base = sorted((a, b) for _, a, b in found)
+    k, reach = 0, 0  # the furthest end of the base spans that start before a token's end
     for t in tokens:
-        if not any(a < t.end() and t.start() < b for a, b in base) and ratio(t[0], model) >= threshold:
+        while k < len(base) and base[k][0] < t.end():
+            reach = max(reach, base[k][1])
+            k += 1
+        if reach <= t.start() and ratio(t[0], model) >= threshold:
             found.append(("markov", t.start(), t.end()))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tidewright.llm import scratch
@@ -32,16 +33,17 @@ def _bytes16(keys: list[int]) -> np.ndarray:
     return np.array([k.to_bytes(16, "big") for k in keys], dtype="V16").view("S16")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the key (high: text, low: id) of every row."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + 16).alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(text).alias("high"),
-        F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("low"),
-    )
+def size_of(text: str = "text") -> Column:
+    """What a row counts: the UTF-8 bytes of its text (null: none) plus 16."""
+    return F.octet_length(F.coalesce(text, F.lit(""))).cast("long") + 16
+
+
+def key_columns() -> dict[str, Column]:
+    """The key of a row: a hash of its text (high), then one of its id (low)."""
+    return {
+        "__high": F.xxhash64(F.coalesce("text", F.lit(""))),
+        "__low": F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)),
+    }
 
 
 def _keys(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -59,7 +61,7 @@ def histogram(rows: DataFrame, probes: list[int]) -> dict[int, tuple[int, int, i
         size, number = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
         low, high = {}, {}
         for batch in batches:
-            keys = _keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("high", "low")))
+            keys = _keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("__high", "__low")))
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             at = np.searchsorted(edges, keys, side="right")
@@ -75,7 +77,7 @@ def histogram(rows: DataFrame, probes: list[int]) -> dict[int, tuple[int, int, i
             ["k", "size", "number", "low", "high"],
         )
 
-    parts = rows.select("size", "high", "low").mapInArrow(count, "k int, size long, number long, low binary, high binary")
+    parts = rows.select("size", "__high", "__low").mapInArrow(count, "k int, size long, number long, low binary, high binary")
     total = parts.groupBy("k").agg(F.sum("size"), F.sum("number"), F.min("low"), F.max("high"))
     # at most one row for each probe
     return {r[0]: (r[1], r[2], int.from_bytes(r[3], "big"), int.from_bytes(r[4], "big")) for r in total.collect()}
@@ -126,18 +128,20 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, parts:
 
 
 def shard(docs: DataFrame, shards: int = 40, tolerance: float = TOLERANCE, parts: int = PARTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs.
-
-    Size is the UTF-8 bytes of the text (null: none) plus 16; shards are nearly
-    equal in bytes (law `bytes`), off by twice the tolerance and one row at
-    most. Equal texts are neighbours in (shard, slot) order and share a shard
-    unless a boundary must cut their group to meet the tolerance. slot numbers
-    the rows of a shard without gaps. Rows with equal text and doc_id have
-    equal keys; they stay in one shard, in any order. An empty table gives an
-    empty one; other columns are ignored.
+    """The rows of docs (doc_id, text, ...) with law, shard and slot.
+
+    Shards are nearly equal in bytes (law `bytes`, see size_of), off by twice
+    the tolerance and one row at most. Equal texts are neighbours in
+    (shard, slot) order and share a shard unless a boundary must cut their
+    group to meet the tolerance. slot numbers the rows of a shard without
+    gaps. Rows with equal text and doc_id have equal keys; they stay in one
+    shard, in any order. Columns named law, shard or slot are replaced, all
+    others stay. An empty table gives an empty one.
     """
-    ship_package(docs.sparkSession)
-    rows = scratch.table(keyed(docs), "keyed")
+    spark = docs.sparkSession
+    ship_package(spark)
+    docs = docs.drop("law", "shard", "slot")
+    rows = scratch.table(docs.select(size_of().alias("size"), *[c.alias(k) for k, c in key_columns().items()]), "keys")
     chosen, bounds = splitters(rows, shards, tolerance, parts)
     cuts = {0, *chosen}
     total = max(bounds[-1][1], 1)
@@ -154,17 +158,15 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = TOLERANCE, parts
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = _keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("high", "low")))
+            keys = _keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("__high", "__low")))
             at = np.searchsorted(edges, keys, side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(at.astype(np.int32)), pa.array(shard_of[at].astype(np.int32)), pa.array(base[at]), pa.array([k.ljust(16, b"\0") for k in keys.tolist()], pa.binary())],
-                [*batch.schema.names, "piece", "shard", "base", "key"],
+                [*batch.schema.names, "__piece", "shard", "__base", "__key"],
             )
 
-    schema = "doc_id long, size long, text_crc32 long, high long, low long, piece int, shard int, base long, key binary"
-    rank = F.row_number().over(W.partitionBy("piece").orderBy("key"))
-    return (
-        rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "text_crc32", "high", "low")
-        .mapInArrow(place, schema)
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + rank - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    )
+    keyed = docs.withColumns(key_columns())
+    schema = T.StructType([*keyed.schema.fields, *T.StructType.fromDDL("__piece int, shard int, __base long, __key binary").fields])
+    rank = F.row_number().over(W.partitionBy("__piece").orderBy("__key"))
+    slot = (F.col("__base") + rank - 1).cast("long")
+    return keyed.mapInArrow(place, schema).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit("bytes").alias("law"), "shard", slot.alias("slot"))
