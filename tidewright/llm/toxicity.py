@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from tidewright.session import ship_package
 
 BUCKETS = 1 << 20
 #: Labelled texts that the model is fitted on, about; terms that it keeps; factors of a term.
-SAMPLE, TERMS, FACTORS = 6000, 1500, 8
+SAMPLE, TERMS, FACTORS = 12_000, 1500, 8
 #: Standard errors by which a kept term's rate must differ between the labels.
 SIGNAL = 4.0
 PREFIXES = (4, 5, 6)
@@ -138,8 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     got = found.mapInArrow(run, "doc_id long, label int, terms array<int>").toArrow().sort_by("doc_id")
-    terms = [np.array(t, np.int64) for t in got.column("terms").to_pylist()]
-    return fit(terms, got.column("label").to_numpy()) if terms else Machine()
+    if not got.num_rows:
+        return Machine()
+    flat = got.column("terms").combine_chunks()
+    ends = np.cumsum(np.asarray(pc.list_value_length(flat)))
+    return fit(np.split(np.asarray(flat.flatten()), ends[:-1]), got.column("label").to_numpy())
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
