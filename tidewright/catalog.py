@@ -415,12 +415,12 @@ def unpivot_channels(s):
 
 @query(
     """ SELECT event_type, seq, round(sign(value - 60) * ln(1 + abs(value - 60)), 6) AS slog, round(greatest(least(value, 90), 20), 6) AS clipped, round(0.5 + 2 * greatest(value - 60, 0), 6) AS weight,
-  greatest(round_even(value / 4, 0) * 4, 8) AS quantum, round(sin(2 * pi() * (seq - 1) / 25), 6) AS phase_sin FROM s"""
+  greatest(round_even(value / 4, 0) * 4, 8) AS quantum, round(sin(2 * pi() * (seq - 1) / 26.3::DOUBLE), 6) AS phase_sin FROM s"""
 )
 def scalar_functions(s):
     d = F.col("value") - 60
     return s.select(
-        *KEY, "seq", r6(C.signed_log1p(d), "slog"), r6(C.clip("value", 20, 90), "clipped"), r6(C.weight(d, 0.5, 2.0), "weight"), C.round_to("value", 4, 8).alias("quantum"), r6(C.cycle_phase("seq", 25.0)[0], "phase_sin")
+        *KEY, "seq", r6(C.signed_log1p(d), "slog"), r6(C.clip("value", 20, 90), "clipped"), r6(C.weight(d, 0.5, 2.0), "weight"), C.round_to("value", 4, 8).alias("quantum"), r6(C.cycle_phase("seq", 26.3)[0], "phase_sin")
     )
 
 

@@ -38,26 +38,30 @@ def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Col
     return joined.withColumn(name, (F.col("__start") + F.row_number().over(own)).cast("long")).drop("__bucket", "__start")
 
 
-def chunk_of(seq: str, chunk: int = CHUNK) -> Column:
-    return F.floor((F.col(seq) - 1) / F.lit(chunk)).cast("long")
+def chunk_of(seq: str, chunk: int | None = None) -> Column:
+    return F.floor((F.col(seq) - 1) / F.lit(chunk or CHUNK)).cast("long")
 
 
 def framed(
-    df: DataFrame, keys: Sequence[str], before: int, after: int, build: Callable[[WindowSpec], dict[str, Column]], seq: str = "seq", chunk: int = CHUNK
+    df: DataFrame, keys: Sequence[str], before: int, after: int, build: Callable[[WindowSpec], dict[str, Column]], seq: str = "seq", chunk: int | None = None
 ) -> DataFrame:
     """Add build(w): columns over windows that reach at most `before` rows back and `after` rows ahead.
 
     w is partitioned by segment and chunk and ordered by seq; a row that is
     near a chunk's edge also goes to the neighbouring chunks.
     """
-    at = F.col(seq) - 1
-    low = F.greatest(F.floor((at - after) / F.lit(chunk)), F.lit(0))
-    spread = df.withColumn("__chunk", F.explode(F.sequence(low.cast("long"), F.floor((at + before) / F.lit(chunk)).cast("long"))))
     w = W.partitionBy(*keys, "__chunk").orderBy(seq)
-    return spread.withColumns(build(w)).where(chunk_of(seq, chunk) == F.col("__chunk")).drop("__chunk")
+    return spread(df, before, after, seq, chunk).withColumns(build(w)).where(chunk_of(seq, chunk) == F.col("__chunk")).drop("__chunk")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], value: Column, name: str, seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
+def spread(df: DataFrame, before: int, after: int, seq: str = "seq", chunk: int | None = None) -> DataFrame:
+    """Rows with every chunk (`__chunk`) whose own rows have them within `before` rows back or `after` rows ahead."""
+    at, size = F.col(seq) - 1, F.lit(chunk or CHUNK)
+    low = F.greatest(F.floor((at - after) / size), F.lit(0))
+    return df.withColumn("__chunk", F.explode(F.sequence(low.cast("long"), F.floor((at + before) / size).cast("long"))))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], value: Column, name: str, seq: str = "seq", chunk: int | None = None) -> DataFrame:
     """Add the sum of value over all rows of the segment up to this one (nulls count as nothing)."""
     df = df.withColumn("__value", value).withColumn("__chunk", chunk_of(seq, chunk))
     totals = df.groupBy(*keys, "__chunk").agg(F.sum("__value").alias("__total"))
@@ -68,7 +72,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], value: Column, name: str, se
     return joined.withColumn(name, F.col("__carried") + F.coalesce(F.sum("__value").over(own), F.lit(0))).drop("__value", "__chunk", "__carried")
 
 
-def carried(df: DataFrame, keys: Sequence[str], value: Column, name: str, ahead: bool = False, seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
+def carried(df: DataFrame, keys: Sequence[str], value: Column, name: str, ahead: bool = False, seq: str = "seq", chunk: int | None = None) -> DataFrame:
     """Add the last non-null value at or before each row, or the first one at or after it if `ahead`."""
     df = df.withColumn("__value", value).withColumn("__chunk", chunk_of(seq, chunk))
     known = F.when(F.col("__value").isNotNull(), F.col(seq))
@@ -94,7 +98,7 @@ def bounded(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     return guarded.drop("__size")
 
 
-def runs(df: DataFrame, keys: Sequence[str], label: str, name: str = "run", seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
+def runs(df: DataFrame, keys: Sequence[str], label: str, name: str = "run", seq: str = "seq", chunk: int | None = None) -> DataFrame:
     """Add the number, from 1, of the run of equal labels that each row is in (null equals null)."""
     change = lambda w: {"__new": F.when((F.col(seq) == 1) | ~F.col(label).eqNullSafe(F.lag(label).over(w)), 1).otherwise(0)}
     marked = framed(df, keys, 1, 0, change, seq, chunk)

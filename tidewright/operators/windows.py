@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewright.operators.ordered import carried, finite, framed, renumber, running_sum, runs
+from tidewright.operators.ordered import carried, chunk_of, finite, framed, renumber, running_sum, runs, spread
 
 #: From this width on, frames are differences of prefix sums in a chunk.
 PREFIX_WIDTH = 64
@@ -56,13 +56,9 @@ def frame_mean(df: DataFrame, keys: Sequence[str], value: Column, width: int, ki
 
 
 def _two_steps(df, keys, before, after, build, seq):
-    from tidewright.operators.ordered import CHUNK, chunk_of
-
-    at = F.col(seq) - 1
-    low = F.greatest(F.floor((at - after) / F.lit(CHUNK)), F.lit(0))
-    spread = df.withColumn("__chunk", F.explode(F.sequence(low.cast("long"), F.floor((at + before) / F.lit(CHUNK)).cast("long"))))
     first, second = build(W.partitionBy(*keys, "__chunk").orderBy(seq))
-    return spread.withColumns(first).withColumns(second).where(chunk_of(seq) == F.col("__chunk")).drop("__chunk")
+    held = spread(df, before, after, seq).withColumns(first).withColumns(second)
+    return held.where(chunk_of(seq) == F.col("__chunk")).drop("__chunk")
 
 
 def moving_rms(df: DataFrame, keys: Sequence[str], value: Column, width: int, kind: str, name: str, seq: str = "seq") -> DataFrame:
