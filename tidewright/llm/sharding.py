@@ -25,8 +25,10 @@ SPACE = 1 << 128
 FAN = 32
 #: The most bytes that a splitter may be off its target, as a part of a shard.
 TOLERANCE = 0.002
-#: Parts of a shard that tasks sort separately; none holds more than that part of a shard (or one key).
+#: Parts of a shard that tasks sort separately, at least; none holds more than that part of a shard (or one key).
 PARTS = 8
+#: Bytes of a part, about, and parts in all, at most: a large corpus has more parts instead of larger ones.
+PART_BYTES, MAX_PARTS = 1 << 28, 1 << 16
 
 
 def _bytes16(keys: list[int]) -> np.ndarray:
@@ -127,7 +129,12 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, parts:
     return chosen, bounds
 
 
-def shard(docs: DataFrame, shards: int = 40, tolerance: float = TOLERANCE, parts: int = PARTS) -> DataFrame:
+def parts_for(total: int, shards: int) -> int:
+    """Parts of a shard for a corpus of `total` bytes."""
+    return max(PARTS, min(-(-total // (shards * PART_BYTES)), MAX_PARTS // shards))
+
+
+def shard(docs: DataFrame, shards: int = 40, tolerance: float = TOLERANCE, parts: int = 0) -> DataFrame:
     """The rows of docs (doc_id, text, ...) with law, shard and slot.
 
     Shards are nearly equal in bytes (law `bytes`, see size_of), off by twice
@@ -142,6 +149,7 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = TOLERANCE, parts
     ship_package(spark)
     docs = docs.drop("law", "shard", "slot")
     rows = scratch.table(docs.select(size_of().alias("size"), *[c.alias(k) for k, c in key_columns().items()]), "keys")
+    parts = parts or parts_for(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], shards)
     chosen, bounds = splitters(rows, shards, tolerance, parts)
     cuts = {0, *chosen}
     total = max(bounds[-1][1], 1)
