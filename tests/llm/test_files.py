@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import cases
@@ -48,7 +49,8 @@ def test_encoder_equals_the_tokenizer():
     texts = [t or "" for t in cases.texts(4)] + ["a  b", " a", "a ", "\n a\n\n b \t c", "<|endoftext|> x", "it's we'll", "é x", "1 2  3", "x  y", "　 z z"]
     texts += ["".join(rng.choice(" \n\tab'1é.<|") for _ in range(rng.randint(0, 40))) for _ in range(500)]
     encoder = tokenfile.Encoder(PATH)
-    for t, own in zip(texts, encoder.encode(texts)):
+    texts += ["don't we'll it's x't 12ab34", "Ünï ñandú. «a» ¿b? ſ × ÷ ª º", "tab\tand\nline\n\nend.\n", "a\x1cb \x85c", "語 中文 end"]
+    for t, own in zip(texts, encoder.encode(pa.array(texts)), strict=True):
         assert own.tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 

@@ -15,7 +15,9 @@ import pyarrow.compute as pc
 U = np.uint64
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+_EXACT = _BYTE.copy()  # of bytes as they are
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_LETTER, _STOP, _PRINTED, _LATIN = (np.isin(np.arange(256), list(c)) for c in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b".,;:!?", range(33, 127), range(0xC3, 0xE0)))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -85,6 +87,28 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, offsets)
 
 
+def sure_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts cut where byte-level BPE surely cuts: piece starts, the first piece of each text (one more at the end), and hashes (never 0).
+
+    Cuts are before each space, before common punctuation after a letter, and
+    on both sides of a single line feed between characters that are no blanks.
+    """
+    n = len(data)
+    cut = data == 0x20
+    cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    cut[1:] |= _LETTER[data[:-1]] & _STOP[data[1:]]
+    feed = np.flatnonzero((data[1:-1] == 0x0A) & _PRINTED[data[:-2]] & (_PRINTED | _LATIN)[data[2:]]) + 1
+    cut[feed] = True
+    cut[feed + 1] = True
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], n)
+    power, inverse = _powers(n)
+    total = np.zeros(n + 1, U)
+    np.cumsum(_EXACT[data] * power[:n], out=total[1:])
+    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U)) | U(1)
+    return starts, np.searchsorted(starts, offsets), hashes
+
+
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its word shingles.
 

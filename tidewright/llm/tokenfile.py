@@ -8,6 +8,7 @@ document table (ids, a null mask, first id of each) and a trailer.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -119,51 +120,101 @@ class Reader:
         return np.concatenate(parts)[start - first * self.block : stop - first * self.block]
 
 
+# How byte-level BPE cuts a text (here over the common letters only), and the characters that stand for bytes.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+COMMON = re.compile(rf"[\t\n -~{LETTERS}]*")
+TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves
+_HIDDEN = sorted(set(range(256)) - _SHOWN)
+BYTE_CHARS = {b: b if b in _SHOWN else 256 + _HIDDEN.index(b) for b in range(256)}
+#: By the byte after a space: whether a blank may begin there, so that the text has to be looked at.
+_MAY_BE_BLANK = np.zeros(256, bool)
+_MAY_BE_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
 class Encoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, with a cache of what stands between spaces.
+    """Ids of whole texts by a byte-level BPE tokenizer, with a cache of the pieces that it encodes alone.
 
-    Such a tokenizer splits a text before a space that stands between two
-    other characters of which the second is no blank, and encodes the pieces
-    alone. Texts with another space, or with a special token's "<|", are
-    encoded in one call.
+    Such a tokenizer cuts a text before a space that stands between two other
+    characters of which the second is no blank, and at some other places
+    (textprep.sure_pieces). All pieces of many texts are hashed at once (64
+    bits, over its bytes), and each different one is encoded once. Texts with
+    another space, or with a special token's "<|", are encoded in one call.
     """
 
-    KEEP = 400_000
+    #: Pieces of each of two generations of the cache; what is used again moves to the younger.
+    KEEP = 300_000
     ODD = re.compile(r" (?=\s|\Z)|<\|")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            if self.ODD.search(text):
-                out.append(np.frombuffer(self._encode([text])[0], self.kind))
-                continue
-            pieces = text.split(" ")
-            head = pieces[0]
-            if len(self.known) > self.KEEP:
-                self.known.clear()
-            own = self.known
-            if new := [p for p in set(pieces[1:]) if p not in own]:
-                ids = self._encode([" " + p for p in new])
-                if max(map(len, new)) > 256:  # long pieces aren't kept
-                    own = own | dict(zip(new, ids))
-                else:
-                    own.update(zip(new, ids))
-            first = self._encode([head]) if head else []
-            out.append(np.frombuffer(b"".join(first + [own[p] for p in pieces[1:]]), self.kind))
+        self.kind = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _token(self, token: str) -> bytes:
+        shown = token.encode().decode("latin-1").translate(BYTE_CHARS)
+        return b"".join([t.id.to_bytes(self.kind.itemsize, "little") for t in self.model.tokenize(shown)])
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece: of its tokens by the model where the cut is certain, else by the whole tokenizer."""
+        if len(piece) <= 4096 and COMMON.fullmatch(piece):
+            return b"".join([self._token(t) for t in TOKEN.findall(piece)])
+        return self._whole(piece)
+
+    def _odd(self, texts: list[str], data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Texts that can't be cut at spaces."""
+        after = np.append(data[1:], np.uint8(32))
+        after[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = 32  # the end of a text counts as a blank
+        at = np.flatnonzero(((data == 32) & _MAY_BE_BLANK[after]) | ((data == 60) & (after == 124)))
+        return [i for i in np.unique(np.searchsorted(offsets, at, side="right") - 1).tolist() if self.ODD.search(texts[i])]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        strings = texts.fill_null("").to_pylist()
+        data, offsets = textprep.raw(texts)
+        if not len(data):
+            return [np.zeros(0, self.kind) for _ in strings]
+        starts, first, hashes = textprep.sure_pieces(data, offsets)
+        odd = self._odd(strings, data, offsets)
+        used = np.ones(len(starts), bool)
+        for i in odd:
+            used[first[i] : first[i + 1]] = False
+        different, where, inverse = np.unique(np.where(used, hashes, np.uint64(0)), return_index=True, return_inverse=True)
+        if len(self.young) > self.KEEP:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        raw, ends, own = data.tobytes(), np.append(starts[1:], len(data)), []
+        for key, k in zip(different.tolist(), where.tolist()):
+            ids = young.get(key)
+            if ids is None and key:
+                ids = old.get(key) or self._piece(raw[starts[k] : ends[k]].decode())
+                if len(ids) <= 256:
+                    young[key] = ids
+            own.append(ids or b"")
+        count = np.array([len(b) for b in own], np.int64) // self.kind.itemsize
+        each = np.where(used, count[inverse], 0)
+        begin = (np.cumsum(count) - count)[inverse]
+        bounds = np.concatenate(([0], np.cumsum(each)))
+        flat = np.frombuffer(b"".join(own), self.kind)[np.repeat(begin - bounds[:-1], each) + np.arange(bounds[-1])]
+        out = [flat[a:b] for a, b in zip(bounds[first[:-1]].tolist(), bounds[first[1:]].tolist())]
+        for i in odd:
+            out[i] = np.frombuffer(self._whole(strings[i]), self.kind)
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker process: its caches serve all tasks of the worker."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFrame:
     """Write the packed files of docs (doc_id, text) and return their index: file, first, ids, docs.
 
@@ -172,7 +223,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         bits = bits_for(max(encoder.size, end_id + 1))
         store, path = files.place(folder)
         store.create_dir(path)
@@ -184,8 +235,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFram
 
         for batch in batches:
             for part in textprep.slices(batch, "text"):
-                texts = part.column("text").fill_null("").to_pylist()
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"))):
                     if writer is None or writer.ids >= FILE_IDS:
                         if writer:
                             close()
