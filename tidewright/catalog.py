@@ -722,6 +722,145 @@ def augment_main(s):
     return out(main_residual(s, KEY, "value", 9), **{n: n for n in names})
 
 
+# More reshaping, scaling and reports -------------------------------------------------------------------------------
+
+
+@query(" SELECT event_type, seq FROM s WHERE seq - 1 >= 5 AND seq - 1 < 27")
+def seconds_crop(s):
+    # at 10 Hz 0.51 s is row 5, and 2.25 s are 22 rows (halves to even)
+    return s.where(C.seconds_range("seq", 10.0, 0.51, None, 2.25)).select(*KEY, "seq")
+
+
+@query(
+    """, n AS (SELECT event_type, count(*) AS n FROM s GROUP BY event_type), k AS (SELECT event_type, n, unnest(generate_series(0, 24)) AS k FROM n),
+p AS (SELECT DISTINCT event_type, CASE WHEN k = 24 THEN n - 1 ELSE CAST(floor(k * ((n - 1) / 24.0::DOUBLE)) AS BIGINT) END AS i FROM k WHERE n > 25)
+SELECT p.event_type, i + 1 AS seq FROM p"""
+)
+def evenly_spaced(s):
+    n = s.join(sizes(s, KEY), KEY)
+    return n.where(J.subsample(F.col("n"), F.col("seq") - 1, 25)).select(*KEY, "seq")
+
+
+@query(
+    f"""{_WIN}, u AS (SELECT event_type, start, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS k, x FROM v), f AS (SELECT event_type, start + 32 + k AS target, x[24 + k] AS p FROM u)
+SELECT event_type, target - 1 AS target, round(avg(p), 6) AS mean, count(*) AS n FROM f GROUP BY event_type, target"""
+)
+def overlap_average(s):
+    w = _windows(s).withColumn("p", F.slice("x", 25, 8)).withColumn("first", F.col("start") + 32)
+    return J.overlap_average(w, KEY, "first", "p").select(*KEY, "target", r6("mean", "mean"), "n")
+
+
+@query(
+    f"""{_WIDE}, p AS (SELECT avg(c0) AS m, stddev_pop(c0) AS sd FROM v WHERE seq <= 800), q AS (SELECT quantile_cont(abs(c0 - m), 0.95) AS q95, quantile_cont(abs(c0), 0.9) AS act FROM v, p WHERE seq <= 800)
+SELECT seq, round((c0 - m) / sd, 6) AS z, round(sqrt(greatest(least(abs(c0 - m) / q95, 1), 0)), 6) AS weight, abs(c0) >= act AS active FROM v, p, q"""
+)
+def target_weights(s):
+    from tidewright.operators.ordered import quantiles
+
+    w = _wide(s).withColumn("split", F.when(F.col("seq") <= 800, "train").otherwise("test"))
+    train = w.where("split = 'train'")
+    mean = train.agg(F.avg("c0").alias("m"))
+    spread = train.crossJoin(F.broadcast(mean)).withColumn("d", F.abs(F.col("c0") - F.col("m"))).withColumn("a", F.abs("c0"))
+    limits = quantiles(spread, [], "d", {"q95": 0.95}).crossJoin(F.broadcast(quantiles(spread, [], "a", {"act": 0.9})))
+    z = X.standardised_target(w.withColumn("raw", F.col("c0")), ["c0"]).crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(limits))
+    weight = F.sqrt(C.clip(F.abs(F.col("raw") - F.col("m")) / F.col("q95"), 0.0, 1.0))
+    return z.select("seq", r6("c0", "z"), r6(weight, "weight"), (F.abs("raw") >= F.col("act")).alias("active"))
+
+
+@query(
+    """, k AS (SELECT DISTINCT event_type FROM s), c AS (SELECT * FROM (VALUES ('/data/click.csv', 1.0, 2.0), ('view.csv', 3.0, 4.0), ('error', 5.0, 6.0), ('click', 9.0, 9.0)) AS t(name, a, b))
+SELECT event_type, CAST(coalesce(x.a, y.a, z.a) AS DOUBLE) AS time_start, CAST(coalesce(x.b, y.b, z.b) AS DOUBLE) AS time_end FROM k LEFT JOIN c x ON x.name = '/data/' || event_type || '.csv'
+LEFT JOIN c y ON y.name = event_type || '.csv' LEFT JOIN c z ON z.name = event_type"""
+)
+def resolve_windows(s):
+    from tidewright.sources import readers
+
+    text = '{"windows": {"/data/click.csv": {"time_start": 1, "time_end": 2}, "view.csv": [3, 4], "error": [5, 6], "click": [9, 9]}}'
+    files = s.select(*KEY, F.concat(F.lit("/data/"), "event_type", F.lit(".csv")).alias("path")).distinct()
+    return readers.resolve_windows(files, readers.window_configs(s.sparkSession, text)).drop("path")
+
+
+@query(
+    """, d AS (SELECT event_type, seq, lead(t) OVER w - t AS dt FROM s WINDOW w AS (PARTITION BY event_type ORDER BY seq))
+SELECT event_type, seq, round(sum(dt) OVER (PARTITION BY event_type ORDER BY seq), 2) AS elapsed FROM d WHERE dt IS NOT NULL"""
+)
+def cumulative_time(s):
+    from tidewright.operators.ordered import framed, running_sum
+
+    d = framed(s, KEY, 0, 1, lambda w: {"dt": F.lead("t").over(w) - F.col("t")}).where("dt IS NOT NULL")
+    return running_sum(d, KEY, F.col("dt"), "e").select(*KEY, "seq", F.round("e", 2).alias("elapsed"))
+
+
+@query(
+    f"""{_WIN} SELECT event_type, start, k, round((x[4 * k - 3] + x[4 * k - 2] + x[4 * k - 1] + x[4 * k]) / 4, 6) AS pool FROM v, (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS k)"""
+)
+def multiscale_pools(s):
+    w = _windows(s).withColumns(FC.multiscale("x", 32, [4]))
+    return w.select(*KEY, "start", F.posexplode("pool_4").alias("k", "pool")).select(*KEY, "start", (F.col("k") + 1).alias("k"), r6("pool", "pool"))
+
+
+@query(f"{_WIN} SELECT event_type, start, k, x[8 * k - 7] AS first, CASE WHEN k = 4 THEN x[32] ELSE x[8 * k + 8] END AS last FROM v, (SELECT unnest([1, 2, 3, 4]) AS k)")
+def patch_unfold(s):
+    w = _windows(s).withColumn("p", FC.patches("x", 32, 16, 8))
+    p = w.select(*KEY, "start", F.posexplode("p").alias("k", "p"))
+    return p.select(*KEY, "start", (F.col("k") + 1).alias("k"), F.col("p")[0].alias("first"), F.col("p")[15].alias("last"))
+
+
+@query(
+    """, b AS (SELECT event_type, seq, value, min(value) OVER (PARTITION BY event_type ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM s)
+SELECT event_type, seq, best, value = best AND (seq = 1 OR value < coalesce(lag(best) OVER (PARTITION BY event_type ORDER BY seq), 1e308)) AS improved FROM b"""
+)
+def running_best(s):
+    return FC.running_best(s, KEY, "value").select(*KEY, "seq", "best", "improved")
+
+
+@query(
+    """, w AS (SELECT event_type, seq, user_id, value, unnest(CASE WHEN (seq - 1) // 50 = 0 THEN [0] ELSE [(seq - 1) // 50 - 1, (seq - 1) // 50] END) AS win FROM s)
+SELECT event_type, CAST(win AS BIGINT) AS win, round(corr(sqrt(value), user_id), 6) AS pq_corr, round(covar_pop(sqrt(value), user_id), 4) AS rayleigh_proxy FROM w GROUP BY event_type, win"""
+)
+def joint_features(s):
+    from tidewright.operators.clusters import joint_features as joint
+
+    rows = WN.windowed_rows(s, 100, 50).withColumn("u", F.col("user_id").cast("double")).withColumn("r", F.sqrt("value"))
+    return joint(rows, [*KEY, "win"], "r", "u").select(*KEY, "win", r6("pq_corr", "pq_corr"), F.round("rayleigh_proxy", 4).alias("rayleigh_proxy"))
+
+
+@query(" SELECT event_type, CAST(least(floor(value / 2.5), 199) AS INT) AS bin, count(*) AS n FROM s WHERE value BETWEEN 0 AND 500 GROUP BY event_type, CAST(least(floor(value / 2.5), 199) AS INT)")
+def value_histogram(s):
+    from tidewright.sources.sinks import histogram
+
+    parts = [histogram(s.where(F.col("event_type") == k), "value", 0.0, 500.0).withColumn("event_type", F.lit(k)) for k in ("click", "error", "purchase", "signup", "view")]
+    out_ = parts[0]
+    for p in parts[1:]:
+        out_ = out_.unionByName(p)
+    return out_
+
+
+@query(
+    """, x AS (SELECT seq, value, row_number() OVER (ORDER BY seq) - 1 AS i FROM s WHERE event_type = 'click' AND gappy IS NOT NULL)
+SELECT CAST((i - 10) // 3 + 1 AS BIGINT) AS seq, value FROM x WHERE i >= 10 AND (i - 10) % 3 = 0 AND (i - 10) // 3 < 50"""
+)
+def scalar_series(s):
+    from tidewright.sources.readers import scalar_series as series
+
+    return series(s.where("event_type = 'click'").withColumn("v", F.col("gappy").cast("string")), "v", start=10, every=3, most=50, least=20)
+
+
+@query(" SELECT event_type, user_id % 4 AS signal, count(*) AS n FROM s GROUP BY event_type, user_id % 4")
+def list_signals(s):
+    from tidewright.sources.readers import list_signals as signals
+
+    return signals(s.withColumn("signal", F.col("user_id") % 4), [*KEY, "signal"])
+
+
+@query(
+    """ SELECT 'lo' AS role, event_id, value FROM s WHERE value < 5 UNION ALL SELECT 'hi', event_id, value FROM s WHERE value > 300"""
+)
+def tagged_union(s):
+    t = s.select("event_id", "value")
+    return J.tagged_union({"lo": t.where("value < 5"), "hi": t.where("value > 300")})
+
+
 # Queries that SQL does not express; tests hold them against definitions or known answers ---------------------------
 
 
@@ -807,6 +946,34 @@ def window_features(s):
     return features(rows, [*KEY, "win"], "channel", "value", "seq")
 
 
+@query()
+def spectral_window_features(s):
+    from tidewright.operators.clusters import spectral_window_features as features
+
+    return features(WN.windowed_rows(s, 128, 64), [*KEY, "win"], "value", "seq", 100.0, [(1.0, 10.0), (10.0, 50.0)])
+
+
+@query()
+def prepare_records(s):
+    from tidewright.plans.prepare import Settings, prepare
+
+    settings = Settings(rate=10.0, min_duration=5.0, min_finite=0.5, min_std=0.01, clip=(0.01, 0.99), target_rate=5.0, smooth=5)
+    return prepare(s.select(*KEY, "seq", "gappy"), KEY, "gappy", settings)[0]
+
+
+@query()
+def dominant_period(s):
+    from tidewright.plans.profile import periodogram
+
+    return periodogram(s, KEY, "value", 100.0)
+
+
+@query()
+def false_neighbour_dimension(s):
+    d, curve = D.false_neighbours(s.where("event_type = 'click'"), "value", 1, 4, 0.05, 5, 200, 500)
+    return s.sparkSession.createDataFrame([(k, float(r), k == d) for k, r in curve], "dim int, ratio double, selected boolean")
+
+
 @query(source=None)
 def kmeans_windows(spark, sf_dir):
     from tidewright.operators.clusters import kmeans, standardised_features

@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewright.functions import kernels
-from tidewright.operators.ordered import bounded
+from tidewright.operators.ordered import bounded, chunk_of
 from tidewright.session import ship_package
 
 
@@ -47,11 +48,12 @@ def patches(array: str, seq_len: int, patch: int, stride: int) -> Column:
 
 def multiscale(array: str, seq_len: int, scales: Sequence[int]) -> dict[str, Column]:
     """Average pools of an array over `scale` values, whole pools only."""
-    out = {}
-    for s in scales:
-        mean = lambda k, s=s: F.aggregate(F.slice(array, k * s + 1, s), F.lit(0.0), lambda a, v: a + v) / s
-        out[f"pool_{s}"] = F.transform(F.sequence(F.lit(0), F.lit(seq_len // s - 1)), mean)
-    return out
+
+    def pooled(s: int) -> Column:
+        mean = lambda k: F.aggregate(F.slice(array, k * s + 1, s), F.lit(0.0), lambda a, v: a + v) / s
+        return F.transform(F.sequence(F.lit(0), F.lit(seq_len // s - 1)), mean)
+
+    return {f"pool_{s}": pooled(s) for s in scales}
 
 
 def decomposed(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +216,19 @@ def window_mse(windows: DataFrame, keys: Sequence[str], pred: str = "pred") -> D
     return windows.groupBy(*keys).agg(F.avg(error).alias("mse"), F.count("*").alias("windows"))
 
 
+def running_best(df: DataFrame, keys: Sequence[str], loss: str, seq: str = "seq") -> DataFrame:
+    """Add `best`, the smallest loss so far, and `improved`, whether this row is the first to reach it (epochs in order)."""
+    within = lambda w: F.min(loss).over(w.rowsBetween(W.unboundedPreceding, 0))
+    held = df.withColumn("__chunk", chunk_of(seq))
+    lows = held.groupBy(*keys, "__chunk").agg(F.min(loss).alias("__low"))
+    others = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    far = lows.select(*keys, "__chunk", F.min("__low").over(others).alias("__far"))
+    own = W.partitionBy(*keys, "__chunk").orderBy(seq)
+    before = F.min(loss).over(own.rowsBetween(W.unboundedPreceding, -1))
+    out = held.join(far, [*keys, "__chunk"]).withColumn("best", F.least(within(own), "__far")).withColumn("__before", F.least(before, "__far"))
+    return out.withColumn("improved", F.col("__before").isNull() | (F.col(loss) < F.col("__before"))).drop("__chunk", "__far", "__before")
+
+
 def best_run(metrics: DataFrame, args: DataFrame, on: str, min_pearson: float | None = None, max_mse: float | None = None) -> DataFrame:
     """Metrics with their run's arguments (never dropped for a lack of them), within the limits, in order, the best marked.
 

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.columns import seconds_range, transform
-from tidewright.operators.aggregates import finite_stats, quantile_clip
+from tidewright.operators.aggregates import quantile_clip
 from tidewright.operators.joins import resample
 from tidewright.operators.ordered import finite
 from tidewright.operators.splits import split_records, split_segments
 from tidewright.operators.windows import frame_mean, interpolate, smooth_by_run
+from tidewright.session import cut
 
 
 @dataclass
@@ -64,7 +65,9 @@ def prepare(records: DataFrame, keys: Sequence[str], value: str, s: Settings, se
     filled = interpolate(cropped, keys, value, "__x", seq).drop(value).withColumnRenamed("__x", value)
     if s.clip:
         filled = quantile_clip(filled, keys, value, *s.clip, s.sigmas, "__x").drop(value, "clipped").withColumnRenamed("__x", value)
-    before = finite_stats(cropped, keys, value).select(*keys, "n_rows", "finite_rows", "finite_ratio", "nan_rows")
+    filled = cut(filled)
+    ok = F.when(finite(F.col(value)), 1)
+    before = cropped.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count(ok).alias("finite_rows"), (F.count(ok) / F.count("*")).alias("finite_ratio"))
     after = filled.groupBy(*keys).agg(F.stddev_pop(value).alias("std"))
     quality = gate_status(before.join(after, keys, "left"), s).withColumn("repaired_rows", F.col("n_rows") - F.col("finite_rows"))
     good = filled.where(finite(F.col(value))).join(quality.where("status = 'ok'").select(*keys), keys, "left_semi")
@@ -77,8 +80,10 @@ def prepare(records: DataFrame, keys: Sequence[str], value: str, s: Settings, se
         split = good.join(labels, keys)
     else:
         split = split_segments(good, keys, s.train, s.val, seq=seq)
+    split = cut(split)
     causal = smooth_by_run(split, keys, "split", F.col("raw"), s.smooth, "causal", "input_smooth").drop("seq_in_run")
     # runs of a split are known by now; the centred mean shares them
+    causal = cut(causal)
     first = causal.groupBy(*keys, "run").agg(F.min(seq).alias("__first"))
     both = causal.join(first, [*keys, "run"]).withColumn("__in", F.col(seq) - F.col("__first") + 1)
     smooth = frame_mean(both, [*keys, "run"], F.col("raw"), s.smooth, "A", "target_smooth", "__in")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import kernels
 from tidewright.functions.columns import predictability_score, round_to
 from tidewright.operators.ordered import _join, finite, medians, quantiles, sizes
-from tidewright.session import ship_package
+from tidewright.session import cut, ship_package
 
 #: Samples of a segment that are analysed; longer ones are thinned before they are grouped.
 MAX_SAMPLES = 200_000
@@ -149,6 +149,23 @@ def profile(df: DataFrame, keys: Sequence[str], value: str, rate: float | Column
     return recommended(out.withColumn("signal_type", classified()).withColumn("predictability_score", score)).drop("period_analyzed")
 
 
+def periodogram(df: DataFrame, keys: Sequence[str], value: str, rate: float, most: int = MAX_SAMPLES, seq: str = "seq") -> DataFrame:
+    """(keys, dominant_frequency_hz, dominant_period_steps, dominant_period_seconds, amplitude_share) of the raw spectrum of each thinned segment."""
+    ship_package(df.sparkSession)
+    keys = list(keys)
+    names = ["dominant_frequency_hz", "dominant_period_steps", "dominant_period_seconds", "amplitude_share"]
+    thin = thinned(df, keys, value, most, seq)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        step = int(key[-1])
+        k, period, share = kernels.dominant_bin(pdf.sort_values(seq)[value].to_numpy(float))
+        steps = period * step if k and len(pdf) >= 8 else float("nan")
+        return pd.DataFrame([[*key[:-1], rate / steps, steps, steps / rate, share]], columns=[*keys, *names])
+
+    fields = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"{n} double" for n in names])
+    return thin.select(*keys, "analysis_sample_step", seq, value).groupBy(*keys, "analysis_sample_step").applyInPandas(run, fields)
+
+
 def global_profile(profiles: DataFrame, numbers: Sequence[str], texts: Sequence[str], order: str) -> DataFrame:
     """One row: medians of the finite numbers, the most frequent texts (ties by the first)."""
     from tidewright.operators.aggregates import mode
@@ -164,6 +181,7 @@ def configuration(profiles: DataFrame, keys: Sequence[str], quantum: int = 1, st
     from tidewright.operators.aggregates import mode
 
     keys = list(keys)
+    profiles = cut(profiles)  # a small table that several aggregates read
     defaults = {"dominant_period_samples": 128.0, "sample_rate_hz": 1.0, "recommended_smooth_window": None, "input_cycles": 10.0, "output_cycles": 3.0, "predictability_score": 0.0}
     middle = medians(profiles, keys, list(defaults), positive=True)
     middle = middle.select(*keys, *[F.col(c).alias(f"__{c}") for c in defaults])

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "tidewright") -> SparkSession:
@@ -25,6 +25,18 @@ def local_session(cores: str = "8", app: str = "tidewright") -> SparkSession:
     )
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut by checkpoint() in the folder of spark.checkpoint.dir.
+
+    A folder is made only where that setting is empty, as in local tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(own or "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return df.checkpoint()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application.
 

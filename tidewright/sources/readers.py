@@ -58,28 +58,32 @@ def numbered(df: DataFrame, keys: Sequence[str], time: str, width: float = 3600.
 
 
 def read_records(spark: SparkSession, path: str, signal: str | None = None, pattern: str = "*_Signals.csv", rate: float | None = None) -> DataFrame:
-    """(record_id, seq, time, value, fs) of CSV records under a folder; bad cells are NaN.
-
-    The time column is the first whose name holds "time"; the signal is found
-    by match_column, else it is RESP or the first other column. The rate is
-    the argument, else one over the median time step, else 125. Files may
-    differ in their order of columns, so each is read under its own header
-    (by Spark's readers; the driver sees only names).
+    """(record_id, seq, time, value, fs) of the CSV records under a folder; bad cells are NaN.
+
+    Files may differ in their columns: each file's first line says which is
+    the time (the first name with "time" in it) and which the signal (the name
+    as it is, in any case, or as a part; RESP if none is given, else the first
+    other column). Without a time the order of lines counts. The rate is the
+    argument, else one over the median time step, else 125. All files are one
+    table of lines, however many there are.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path")
-    out = None
-    for (file,) in sorted(listing.collect()):
-        raw = spark.read.csv(file, header=True)
-        time = next((c for c in raw.columns if "time" in c.lower()), None)
-        rest = [c for c in raw.columns if c != time]
-        own = match_column(rest, signal or "RESP") or rest[0]
-        cell = lambda c: F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(float("nan")))
-        stem = re.sub(r"\.csv$", "", file.rsplit("/", 1)[-1])
-        part = raw.select(F.lit(stem).alias("record_id"), (cell(time) if time else F.monotonically_increasing_id().cast("double")).alias("time"), cell(own).alias("value"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise FileNotFoundError(f"no {pattern} under {path}")
-    rows = number(out, ["record_id"], ["time"], F.floor(F.col("time") / 3600))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("at"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.min("at").alias("first"))
+    names = F.transform(F.split("head", ","), lambda n: F.trim(F.regexp_replace(n, '"', "")))
+    want = F.lit(signal or "RESP")
+    at = lambda test: F.nullif(F.array_position(F.transform("names", test), True), F.lit(0))
+    timed = lambda n: F.contains(F.lower(n), F.lit("time"))
+    own = F.coalesce(
+        at(lambda n: (n == want) & ~timed(n)), at(lambda n: (F.lower(n) == F.lower(want)) & ~timed(n)), at(lambda n: F.contains(F.lower(n), F.lower(want)) & ~timed(n)), at(lambda n: ~timed(n))
+    )
+    heads = heads.withColumn("names", names).select("file", "first", at(timed).alias("time_at"), own.alias("own_at"))
+    cell = lambda k: F.coalesce(F.get(F.split("value", ","), (F.col(k) - 1).cast("int")).try_cast("double"), F.lit(float("nan")))
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.csv$", "")
+    rows = lines.join(heads, "file").where("at <> first AND trim(value) <> ''")
+    rows = rows.select(stem.alias("record_id"), F.when(F.col("time_at").isNotNull(), cell("time_at")).alias("time"), cell("own_at").alias("value"), "at")
+    rows = number(rows, ["record_id"], ["time", "at"], F.coalesce(F.floor(F.col("time") / 3600), F.lit(0))).drop("at")
     if rate:
         return rows.withColumn("fs", F.lit(float(rate)))
     from tidewright.operators.aggregates import sample_rate
