@@ -7,7 +7,8 @@ the neighbouring rows that a frame reaches; running values are computed in
 chunks and carried over by a small table with a row for each chunk.
 
 Each function takes `keys` (the segment) and, unless it makes it, a 1-based
-gapless row number `seq` in each segment.
+gapless row number `seq` in each segment. Rows with a null key belong to no
+segment and are left out.
 """
 
 from __future__ import annotations
