@@ -39,6 +39,16 @@ def test_shards_of_a_group_of_equal_texts(spark):
     check_shards(cases.documents(spark, rows).repartition(7), 8)
 
 
+def test_a_large_corpus_has_more_parts(spark):
+    assert sharding.parts_for(0, 40) == sharding.parts_for(10**9, 40) == sharding.PARTS
+    assert sharding.parts_for(10**12, 40) == -(-(10**12) // (40 * sharding.PART_BYTES))
+    assert sharding.parts_for(10**14, 40) == sharding.MAX_PARTS // 40
+    docs = cases.edge_documents(spark)
+    few, many = ({(r.doc_id, r.text): (r.shard, r.slot) for r in sharding.shard(docs, 5, parts=p).collect()} for p in (8, 40))
+    assert len(few) == len(many)
+    assert sorted(few.values()) != [] and {k: v[0] for k, v in few.items()}.keys() == many.keys()
+
+
 def test_shards_of_an_empty_table(spark):
     empty = cases.documents(spark, [(1, "a")]).where("doc_id < 0")
     assert sharding.shard(empty, 5).collect() == []
