@@ -816,7 +816,7 @@ def running_best(s):
 
 @query(
     """, w AS (SELECT event_type, seq, user_id, value, unnest(CASE WHEN (seq - 1) // 50 = 0 THEN [0] ELSE [(seq - 1) // 50 - 1, (seq - 1) // 50] END) AS win FROM s)
-SELECT event_type, CAST(win AS BIGINT) AS win, round(corr(sqrt(value), user_id), 6) AS pq_corr, round(covar_pop(sqrt(value), user_id), 4) AS rayleigh_proxy FROM w GROUP BY event_type, win"""
+SELECT event_type, CAST(win AS BIGINT) AS win, round(CASE WHEN stddev_pop(sqrt(value)) <= 1e-12 OR stddev_pop(user_id) <= 1e-12 THEN 0 ELSE corr(sqrt(value), user_id) END, 6) AS pq_corr, round(covar_pop(sqrt(value), user_id), 4) AS rayleigh_proxy FROM w GROUP BY event_type, win"""
 )
 def joint_features(s):
     from tidewright.operators.clusters import joint_features as joint
