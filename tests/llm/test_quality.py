@@ -81,6 +81,21 @@ def test_clean_removes_lines_and_depleted_documents(spark):
     assert all(r.n_chars == len(r.text) for r in out)
 
 
+def test_rows_without_an_id_are_judged_and_kept_as_others(spark):
+    rng = random.Random(9)
+    line = "subscribe to our news letter today"
+    rows = [(i, line + "\n" + cases.sentence(rng, 60), "en", "src0") for i in range(30)]
+    alone, part, full = cases.sentence(rng, 60), line + "\n" + cases.sentence(rng, 60), (line + "\n") * 3 + "\n".join(f"{line}\n{cases.sentence(rng, 2)}" for _ in range(30))
+    rows += [(None, t, "en", "src0") for t in (alone, part, full, part)]
+    docs = cases.documents(spark, rows)
+    got = quality.judged(docs, max_repeat_percent=100).where("doc_id IS NULL").select("n_words", "removed_words", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted([(60, 0, True), (66, 6, True), (66, 6, True), (258, 198, False)])
+    out = quality.clean(docs, max_repeat_percent=100)
+    assert out.count() == 33
+    rest = part.split("\n")[1]
+    assert sorted(r.text for r in out.where("doc_id IS NULL").collect()) == sorted([alone, rest, rest])
+
+
 def test_empty_table(spark):
     empty = cases.documents(spark, [(1, "a")]).where("doc_id < 0")
     assert quality.judged(empty).collect() == [] and quality.clean(empty).collect() == []

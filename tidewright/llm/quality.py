@@ -23,6 +23,9 @@ MAX_LINE_PERCENT = 10
 #: A document is depleted when the removed lines hold more than this part of its words.
 MAX_REMOVED_PERCENT = 70
 
+#: What rows with the same verdict share; only doc_id may be null.
+ROW_KEY = ["doc_id", "host", "text_hash"]
+
 
 def line_hash(line: str) -> str:
     """SQL for the hash of a normalised line: A-Z as a-z, runs of blanks as one space, none at the ends."""
@@ -80,6 +83,15 @@ def frequent_lines(measures: DataFrame, min_docs: int = MIN_LINE_DOCS, percent:
     return counts.join(texts, "host").where(100 * F.col("n") > percent * F.col("texts")).select("host", "line")
 
 
+def _same_row(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined to right on ROW_KEY; a null doc_id equals a null doc_id."""
+    named = right.withColumnsRenamed({c: f"__of_{c}" for c in ROW_KEY})
+    same = F.col("doc_id").eqNullSafe(F.col("__of_doc_id"))
+    for c in ROW_KEY[1:]:
+        same = same & (F.col(c) == F.col(f"__of_{c}"))
+    return left.join(named, same, how).drop(*[f"__of_{c}" for c in ROW_KEY])
+
+
 def judged(
     docs: DataFrame,
     host: str | Column = "source",
@@ -92,28 +104,22 @@ def judged(
     """A verdict for each row of docs: the base counts, base_failed, removed_words, removed, kept.
 
     A null text counts as empty, and so fails for its few words; a null host is
-    a host of its own. Rows that repeat a doc_id are judged each by its text.
+    a host of its own. Rows that repeat a doc_id, or have none, are judged each
+    by its text.
     `removed` holds the hashes of the removed lines. An empty table gives an
     empty one; other columns are ignored.
     """
     rows = scratch.table(text_measures(docs, host), "measures")
     frequent = frequent_lines(rows, min_line_docs, max_line_percent)
-    lines = rows.select("doc_id", "host", "text_hash", F.explode("line_rows").alias("x")).select("doc_id", "host", "text_hash", "x.*")
+    lines = rows.select(*ROW_KEY, F.explode("line_rows").alias("x")).select(*ROW_KEY, "x.*")
     # repeated rows are one here, and get the same verdict
-    once = lines.groupBy("doc_id", "host", "text_hash", "line").agg((F.sum("words") / F.count("*")).alias("each"), F.count("*").alias("times"))
-    copies = rows.groupBy("doc_id", "host", "text_hash").agg(F.count("*").alias("copies"))
-    gone = (
-        once.join(frequent, ["host", "line"])
-        .groupBy("doc_id", "host", "text_hash")
-        .agg(F.sum(F.col("each") * F.col("times")).alias("gone"), F.collect_list("line").alias("removed"))
-        .join(copies, ["doc_id", "host", "text_hash"])
-        .withColumn("removed_words", F.round(F.col("gone") / F.col("copies")).cast("long"))
-        .select("doc_id", "host", "text_hash", "removed_words", "removed")
-    )
+    once = lines.groupBy(*ROW_KEY, "line").agg((F.sum("words") / F.count("*")).alias("each"), F.count("*").alias("times"))
+    copies = rows.groupBy(*ROW_KEY).agg(F.count("*").alias("copies"))
+    held = once.join(frequent, ["host", "line"]).groupBy(*ROW_KEY).agg(F.sum(F.col("each") * F.col("times")).alias("gone"), F.collect_list("line").alias("removed"))
+    gone = _same_row(held, copies).withColumn("removed_words", F.round(F.col("gone") / F.col("copies")).cast("long")).select(*ROW_KEY, "removed_words", "removed")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return (
-        rows.drop("line_rows")
-        .join(gone, ["doc_id", "host", "text_hash"], "left")
+        _same_row(rows.drop("line_rows"), gone, "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (100 * F.col("removed_words") <= max_removed_percent * F.col("n_words")))
@@ -124,13 +130,14 @@ def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """docs without the rejected documents, and without the removed lines in the others.
 
     The columns of docs stay as they are, n_chars (if there) follows the text.
+    A row with a null doc_id gets the verdict of its text and host.
     """
     verdict = judged(docs, host, **limits).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("host").alias("__host"), "kept", "removed"
     )
     verdict = verdict.where("kept").dropDuplicates(["__id", "__hash", "__host"]).select("__id", "__hash", "__host", F.col("removed").alias("__removed"))
     keyed = docs.withColumns({"__hash": F.xxhash64(F.coalesce("text", F.lit(""))), "__host": F.coalesce(F.col(host).cast("string"), F.lit(""))})
-    joined = keyed.join(verdict, (F.col("doc_id") == F.col("__id")) & (keyed["__hash"] == verdict["__hash"]) & (keyed["__host"] == verdict["__host"]))
+    joined = keyed.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")) & (keyed["__hash"] == verdict["__hash"]) & (keyed["__host"] == verdict["__host"]))
     left = F.expr(f"if(__removed IS NULL, text, array_join(filter(split(text, '\\n'), l -> NOT array_contains(__removed, {line_hash('l')})), '\\n'))")
     changed = joined.withColumn("text", left)
     if "n_chars" in docs.columns:
