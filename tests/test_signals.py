@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import kernels as K
 from tidewright.operators import clusters as G
 from tidewright.operators import dynamics as D
+from tidewright.operators import joins as J
 from tidewright.plans import augment, prepare, profile
 from tidewright.sources.synthetic import logistic_map, synthetic
 from tidewright.streaming import causal
@@ -150,6 +151,30 @@ def test_logistic_map_has_the_known_exponent(spark):
     series.unpersist()
 
 
+def test_nearest_neighbours_match_brute_force_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(J, "CELL", 60, raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (400, 2)).astype(float)  # many ties
+    x[7, 1] = np.nan
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "start long, embedding array<double>")
+    got = {r.start: (r.neighbour, r.d2) for r in J.nearest_neighbours(points.where("start % 2 = 1"), points, 5).collect()}
+    want = {}
+    for i in range(1, 400, 2):
+        d2 = ((x - x[i]) ** 2).sum(1)
+        d2[(np.abs(np.arange(400) - i) <= 5) | np.isnan(d2)] = np.inf
+        if np.isfinite(d2).any():
+            want[i] = (int(d2.argmin()), d2.min())
+    assert got == want and 7 not in got
+    assert J.nearest_neighbours(points.where("start < 3"), points.where("start < 6"), 5).count() == 0
+
+
+def test_nearest_neighbours_take_any_number_of_candidates(spark):
+    points = spark.range(150_000).select(F.col("id").alias("start"), F.array(F.floor(F.col("id") / 10) * 1.0, (F.col("id") % 10) * 1.0).alias("embedding"))
+    got = J.nearest_neighbours(points.where("start % 50000 = 25"), points, 0).collect()
+    # the nearest of the grid's four neighbours with equal distances is the one ten rows before
+    assert sorted(map(tuple, got)) == [(k + 25, k + 15, 1.0) for k in (0, 50_000, 100_000)]
+
+
 def test_event_features(spark):
     x = np.zeros(200)
     x[[40, 90, 140]] = [5, 6, 5]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -53,44 +53,57 @@ def subsample(n: Column, i: Column, most: int) -> Column:
     return (n <= most) | hit
 
 
-#: Candidates that nearest_neighbours() takes at most; they are sent to every task.
-MAX_CANDIDATES = 100_000
+#: References and candidates of a cell of nearest_neighbours(), on average; and tasks at most.
+CELL, CELL_TASKS = 8192, 10_000
 
 
 def nearest_neighbours(refs: DataFrame, candidates: DataFrame, band: int, start: str = "start", vector: str = "embedding", block: int = 512) -> DataFrame:
     """(start, neighbour, d2): the candidate nearest to each reference whose start differs by more than `band`.
 
-    Ties go to the smallest start; references without a candidate vanish. The
-    candidates are a bounded sample (subsample() makes one), checked here and
-    broadcast; references stay where they are and are compared in blocks.
+    Ties go to the smallest start; references without a candidate vanish, as do
+    vectors with a missing part. A start stands for one place. Both sides may
+    have any length: they are dealt by a hash of start, each pair of parts is a
+    cell, and a reference's best of each cell are combined. All pairs are
+    compared, so the time grows with references x candidates.
     """
-    spark = refs.sparkSession
-    ship_package(spark)
-    n = candidates.count()
-    if n > MAX_CANDIDATES:
-        raise ValueError(f"{n} candidates; take a sample of {MAX_CANDIDATES} at most")
-    got = sorted((r[0], r[1]) for r in candidates.select(start, vector).collect())
-    held = spark.sparkContext.broadcast((np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.float64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, vectors = held.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, block):
-                part = batch.slice(a, block)
-                if not len(starts):
-                    continue
-                own = part.column(0).to_numpy()
-                x = np.array(part.column(1).to_pylist(), np.float64)
-                d2 = np.zeros((len(own), len(starts)))
-                for k in range(x.shape[1]):
-                    d2 += (x[:, k : k + 1] - vectors[None, :, k]) ** 2
-                d2[np.abs(own[:, None] - starts[None, :]) <= band] = np.inf
+    ship_package(refs.sparkSession)
+    side = lambda df, s: df.where(F.col(vector).isNotNull()).select(F.col(start).cast("long").alias(s), F.col(vector).cast("array<double>").alias("vector"))
+    own, other = side(refs, "start"), side(candidates, "neighbour")
+    rows, columns = (max(1, -(-df.count() // CELL)) for df in (own, other))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = own.withColumn("column", every(columns)).withColumn("cell", part("start", rows) * columns + F.col("column")).drop("column")
+    other = other.withColumn("row", every(rows)).withColumn("cell", F.col("row") * columns + part("neighbour", columns)).drop("row")
+
+    def arrays(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        flat = pa.concat_arrays([c.flatten() for c in table.column("vector").chunks]).to_numpy(zero_copy_only=False)
+        starts, vectors = table.column(name).to_numpy(), flat.reshape(table.num_rows, -1)
+        whole = np.isfinite(vectors).all(1)
+        order = np.argsort(starts[whole], kind="stable")
+        return starts[whole][order], vectors[whole][order]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            (places, x), (starts, vectors) = arrays(left, "start"), arrays(right, "neighbour")
+            for a in range(0, len(places) if len(starts) else 0, block):
+                at, y = places[a : a + block], x[a : a + block]
+                d2 = np.zeros((len(at), len(starts)))
+                for k in range(y.shape[1]):
+                    d2 += (y[:, k : k + 1] - vectors[None, :, k]) ** 2
+                d2[np.abs(at[:, None] - starts[None, :]) <= band] = np.inf
                 best = d2.argmin(1)
-                value = d2[np.arange(len(own)), best]
+                value = d2[np.arange(len(at)), best]
                 ok = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(starts[best[ok]]), pa.array(value[ok])], ["start", "neighbour", "d2"])
-
-    return refs.select(F.col(start).cast("long"), vector).mapInArrow(run, "start long, neighbour long, d2 double")
+                found.append((at[ok], starts[best[ok]], value[ok]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], ["start", "neighbour", "d2"])
+
+    # a given number of partitions, as small cells make much work and mustn't be put together
+    tasks = min(rows * columns, CELL_TASKS)
+    dealt = [df.repartition(tasks, "cell").groupBy("cell") for df in (own, other)]
+    cells = dealt[0].cogroup(dealt[1]).applyInArrow(run, "start long, neighbour long, d2 double")
+    best = cells.groupBy("start").agg(F.min(F.struct("d2", "neighbour")).alias("best"))
+    return best.select("start", "best.neighbour", "best.d2")
 
 
 def nearest_in_order(points: DataFrame, others: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
