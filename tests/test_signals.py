@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright import catalog
 from tidewright.functions import kernels as K
 from tidewright.operators import clusters as G
 from tidewright.operators import dynamics as D
@@ -175,6 +176,16 @@ def test_nearest_neighbours_take_any_number_of_candidates(spark):
     assert sorted(map(tuple, got)) == [(k + 25, k + 15, 1.0) for k in (0, 50_000, 100_000)]
 
 
+def test_neighbour_queries_take_the_reference_sample(spark, tmp_path, monkeypatch):
+    sizes, own = [], D.nearest_neighbours
+    monkeypatch.setattr(D, "nearest_neighbours", lambda refs, candidates, band: sizes.append((refs.count(), candidates.count())) or own(refs, candidates, band))
+    rows = spark.range(4500).select(F.col("id").alias("event_id"), F.expr("timestamp_seconds(id)").cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"), F.rand(3).alias("value"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("lyapunov_divergence", "false_neighbour_dimension"):
+        assert catalog.queries()[name](spark, str(tmp_path)).count() > 0
+    assert set(sizes) == {(1500, 4000)}
+
+
 def test_event_features(spark):
     x = np.zeros(200)
     x[[40, 90, 140]] = [5, 6, 5]

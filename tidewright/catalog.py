@@ -22,6 +22,8 @@ from tidewright.operators.ordered import number, runs, sizes
 
 FLAGSHIP = "profile_segments"
 KEY = ["event_type"]
+#: References and candidates of the divergence and of the false neighbours: the reference's own defaults.
+NEIGHBOUR_SAMPLE = (1500, 4000)
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -934,7 +936,7 @@ def forecast_shape_losses(s):
 
 @query()
 def lyapunov_divergence(s):
-    d = D.divergence(s.where("event_type = 'click'"), "value", 2, 1, 8, 5, 500, 1000)
+    d = D.divergence(s.where("event_type = 'click'"), "value", 2, 1, 8, 5, *NEIGHBOUR_SAMPLE)
     return d
 
 
@@ -970,7 +972,7 @@ def dominant_period(s):
 
 @query()
 def false_neighbour_dimension(s):
-    d, curve = D.false_neighbours(s.where("event_type = 'click'"), "value", 1, 4, 0.05, 5, 200, 500)
+    d, curve = D.false_neighbours(s.where("event_type = 'click'"), "value", 1, 4, 0.05, 5, *NEIGHBOUR_SAMPLE)
     return s.sparkSession.createDataFrame([(k, float(r), k == d) for k, r in curve], "dim int, ratio double, selected boolean")
 
 
