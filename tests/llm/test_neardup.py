@@ -101,3 +101,50 @@ def test_graph_components(spark):
                 seen.add(y)
                 todo.append(y)
         assert got[start] == min(seen)
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_differ_by_structure_only_are_different(spark):
+    rows = [(2 * n + k, thue_morse(n, *pair)) for n in (1024, 2048, 4096) for k, pair in enumerate(("ab", "ba"))]
+    docs = cases.documents(spark, rows + [(1, rows[0][1])])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 3, 85).collect()}
+    assert got == {i: i for i, _ in rows} | {1: 1, 2048: 1}
+
+
+def test_parts_of_a_large_group_that_stay_apart(spark, monkeypatch):
+    """Members of one group (the caller's) whose links chain across blocks, and some that link with none."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    words = [f"w{i}" for i in range(60)]
+    chain = [(i, " ".join([*words[i:], *[f"x{k}" for k in range(i)]])) for i in range(0, 40)]
+    other = [(100 + i, " ".join(f"y{i}-{k}" for k in range(50))) for i in range(5)]
+    docs = cases.documents(spark, chain + other)
+    feats = neardup.features(docs, 1).select("doc_id", "sketch")
+    sketches = feats.withColumnRenamed("doc_id", "id").cache()
+    clusters = sketches.select("id").selectExpr("id", "0L AS component")
+    links = neardup.confirmed_links(docs, clusters, 1, 85, sketches)
+    got = {r.id: r.component for r in graph.components(links).collect()}
+    want = brute(chain + other, 1, 85)
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_members_of_alike_groups_are_sent_a_few_times(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    sent = []
+    own = neardup.compared
+
+    def counted(placed, *rest):
+        placed = placed.cache()
+        sent.append(placed.count())
+        return own(placed, *rest)
+
+    monkeypatch.setattr(neardup, "compared", counted)
+    n = 20_000
+    base = neardup.odd_sketch(neardup.minhash([np.arange(1, 400, dtype=np.uint64) << np.uint64(40)]))[0].tobytes()
+    ids = spark.range(n).select("id")
+    members = ids.selectExpr("7L AS grp", "id")
+    links = neardup.group_links(members, lambda df: df.selectExpr("*", f"X'{base.hex()}' AS sketch"), 0.85)
+    assert graph.components(links).selectExpr("count(*)", "max(component)").first() == (n, 0)
+    assert sum(sent) < 1.1 * n

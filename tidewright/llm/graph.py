@@ -11,9 +11,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star links each node's larger neighbours to its smallest one,
     small-star its smaller ones; a logarithmic number of rounds leaves stars
-    around the smallest ids. Each round is a partial aggregation and a join,
-    so a hub is never gathered in one task, and ends in a checkpoint. Edges
-    may repeat and may be loops; an empty table gives an empty one.
+    around the smallest ids. Each round is partial aggregations and two
+    shuffle joins of rows of two ids, and ends in a checkpoint. All edges of
+    a hub meet in one partition of a join; it holds 16 bytes for each, streams
+    through the task, and is split by Spark's adaptive skew join when large.
+    Edges may repeat and may be loops; an empty table gives an empty one.
     """
     e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct().checkpoint()
     before = None

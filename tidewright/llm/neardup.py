@@ -5,15 +5,19 @@ bitmap (odd sketch) into which the samples are folded. Texts with equal sets
 form one class at once. Classes that share a band of samples are compared by
 the population count of the XOR of their bitmaps, which estimates similarities
 near one precisely; what may reach the threshold is confirmed on the full sets.
+
+A large bucket or cluster is compared in blocks, each member once. What its
+blocks have not joined is then compared by one member of each joined part, and
+only parts that stay apart are compared in full with the rest of their group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -25,7 +29,7 @@ BANDS = SAMPLES // ROWS
 BITS = 1024
 #: Standard errors that an estimate may fall below the threshold before a pair is given up (one in three million).
 SLACK = 5.0
-#: Members of a block; larger groups are split and compared block by block.
+#: Members of a block; larger groups are split, and no task compares more than two blocks at once.
 BLOCK = 512
 
 _RNG = np.random.default_rng(917)
@@ -70,7 +74,7 @@ def most_bits(threshold: float) -> int:
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set (d1, d2), band keys and odd sketch."""
+    """doc_id, text_hash, n_shingles, a 128-bit digest of the set (d1, d2), band keys and odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,17 +96,18 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
+                        part.column("text_hash"),
                         pa.array(n),
                         pa.array(d1),
                         pa.array(d2),
                         pa.array(bands, pa.list_(pa.int64())),
                         pa.array(sketch, pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
+                    ["doc_id", "text_hash", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
 
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
 class Forest:
@@ -138,57 +143,105 @@ def likely_pairs(words: np.ndarray, most: int) -> list[tuple[int, int]]:
     return list(zip(*pairs[1:, np.argsort(pairs[0], kind="stable")].tolist()))
 
 
-def in_blocks(members: DataFrame, group: str, ids: str) -> DataFrame:
-    """Members with the pair of blocks (group, x, y) in which they take part.
+def link_batch(ids: np.ndarray, links: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
 
-    A group of up to BLOCK members is the one pair (0, 0). A larger one is cut
-    into blocks by a hash of the id, and a member goes to each pair that its
-    block is in, so no task holds more than two blocks.
-    """
-    size = members.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64(ids), "blocks").cast("int")
-    return (
-        members.join(size, group)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("x", F.least("own", "other"))
-        .withColumn("y", F.greatest("own", "other"))
-        .drop("blocks", "own", "other")
-    )
 
+def compared(placed: DataFrame, threshold: float, percent: int | None) -> DataFrame:
+    """(a, b): in each cell (grp, x, y) of placed (id, label, sketch) a forest that joins what its likely pairs join.
 
-def likely_links(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): a spanning forest, in each band bucket, of the pairs that may reach the threshold."""
+    Members with one label are joined already. With percent a pair has to hold
+    on the full sets (column shingles) as well.
+    """
     most = most_bits(threshold)
-    keys = reps.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = keys.join(shared, "key")
-    members = in_blocks(scratch.table(members, "bands"), "key", "id").join(reps.select("id", "sketch"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in textprep.sorted_groups(batches, ["key", "x", "y"]):
-            ids = table.column("id").to_numpy()
+        for table, bounds in textprep.sorted_groups(batches, ["grp", "x", "y"]):
+            ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
             maps = textprep.fixed_bytes(table.column("sketch"), BITS // 8).view(np.uint64)
+            sets = table.column("shingles") if percent else None
             links = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                forest = Forest(b - a)
-                links += [(a + i, a + j) for i, j in likely_pairs(maps[a:b], most) if forest.join(i, j)]
+                if b - a < 2:
+                    continue
+                forest, seen = Forest(b - a), {}
+                for k, label in enumerate(labels[a:b].tolist()):
+                    forest.join(seen.setdefault(label, k), k)
+                own = [np.frombuffer(v.as_buffer(), np.uint64) for v in sets.slice(a, b - a)] if percent else []
+                for i, j in likely_pairs(maps[a:b], most) if len(seen) > 1 else []:
+                    if forest.root(i) != forest.root(j) and (not percent or alike(own[i], own[j], percent)):
+                        forest.join(i, j)
+                        links.append((a + i, a + j))
             yield link_batch(ids, links)
 
-    placed = members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    columns = ["grp", "x", "y", "id", "label", "sketch", *["shingles"] * bool(percent)]
+    dealt = placed.select(*columns).repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def link_batch(ids: np.ndarray, links: list[tuple[int, int]]) -> pa.RecordBatch:
-    at = np.array(links, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
+def block_of(blocks: str | Column, seed: int = 0) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed)), blocks).cast("int")
+
+
+def group_links(members: DataFrame, payload: Callable[[DataFrame], DataFrame], threshold: float, percent: int | None = None) -> DataFrame:
+    """(a, b): links that join, in each group of members (grp, id), all that its pairs join.
+
+    payload gives the sketches (and sets) of a table's ids. Groups of up to
+    BLOCK members are one cell. Of a larger one each block is a cell; then, in
+    rounds, one member of each part that is joined so far stands for it. What
+    stays apart after that is compared exactly: each member outside a group's
+    largest part with all members of the group. So a group whose members are
+    alike costs its size, and only what is not alike is sent more than a few
+    times.
+    """
+    sized = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sized, "grp").select("grp", "id", "blocks", block_of("blocks").alias("x"))
+    placed = scratch.table(placed, "members")
+
+    def cells(df: DataFrame) -> DataFrame:
+        return scratch.table(compared(payload(df), threshold, percent), "cells")
+
+    links = cells(placed.select("grp", "x", F.col("x").alias("y"), "id", F.col("id").alias("label")))
+    large = placed.where("blocks > 1").select("grp", "id")
+    if large.isEmpty():
+        return links
+    large, step = scratch.table(large, "large"), 0
+    while True:
+        step += 1
+        part = graph.components(links).withColumnRenamed("component", "label")
+        named = scratch.table(large.join(part, "id", "left").select("grp", "id", F.coalesce("label", "id").alias("label")), "named")
+        reps = named.groupBy("grp", "label").agg(F.min("id").alias("id"))
+        apart = reps.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        meet = scratch.table(reps.join(apart, "grp").select("grp", "id", "label", "blocks", block_of("blocks", step).alias("x"), block_of("blocks", step).alias("y")), "reps")
+        blocks = meet.agg(F.max("blocks")).first()[0]
+        if blocks is None:
+            return links
+        found = cells(meet.drop("blocks"))
+        new = not found.isEmpty()
+        links = links.union(found)
+        if not new:  # as many parts as before
+            break
+    sizes = named.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("parts"))
+    ceil = lambda c: F.ceil(c / BLOCK).cast("int")
+    main = main.where("parts > 1").select("grp", "main", ceil(F.col("n_all") - F.col("n_main")).alias("others"), ceil(F.col("n_main")).alias("mains"))
+    in_main = F.col("label") == F.col("main")
+    own = F.when(in_main, F.col("others") + block_of("mains")).otherwise(block_of("others"))
+    every = F.sequence(F.lit(0), F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    rest = named.join(main, "grp").withColumn("own", own).withColumn("other", F.explode(every))
+    return links.union(cells(rest.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "label")))
+
+
+def likely_links(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join, in each band bucket, what pairs that may reach the threshold join."""
+    sketches = reps.select("id", "sketch")
+    return group_links(reps.select(F.explode("bands").alias("grp"), "id"), lambda df: df.join(sketches, "id"), threshold)
 
 
 def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, sketches: DataFrame) -> DataFrame:
-    """(a, b): in each cluster a spanning forest of the links that hold on the full sets."""
-    most = most_bits(percent / 100)
+    """(a, b): links that join, in each cluster, what pairs that hold on the full sets join."""
     text = docs.select(F.col("doc_id").alias("id"), "text")
-    members = clusters.select("id", F.col("component").alias("cluster"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,28 +249,12 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: i
                 sets = [s.tobytes() for s in textprep.shingle_sets(part.column("text"), width)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    # one row for an id, whatever repeats in docs: members are classes' smallest ids
-    sets = text.join(members.select("id"), "id").mapInArrow(to_sets, "id long, shingles binary")
-    sets = sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
-    placed = in_blocks(members, "cluster", "id").join(sets, "id").join(sketches, "id")
+    def payload(df: DataFrame) -> DataFrame:
+        # one row for an id, whatever repeats in docs: members are classes' smallest ids
+        sets = text.join(df.select("id").distinct(), "id").mapInArrow(to_sets, "id long, shingles binary")
+        return df.join(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "id").join(sketches, "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in textprep.sorted_groups(batches, ["cluster", "x", "y"]):
-            ids = table.column("id").to_numpy()
-            maps = textprep.fixed_bytes(table.column("sketch"), BITS // 8).view(np.uint64)
-            shingles = table.column("shingles")
-            links = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                own = [np.frombuffer(s.as_buffer(), np.uint64) for s in shingles.slice(a, b - a)]
-                forest = Forest(b - a)
-                for i, j in likely_pairs(maps[a:b], most):
-                    if forest.root(i) != forest.root(j) and alike(own[i], own[j], percent):
-                        forest.join(i, j)
-                        links.append((a + i, a + j))
-            yield link_batch(ids, links)
-
-    dealt = placed.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return group_links(clusters.select(F.col("component").alias("grp"), "id"), payload, percent / 100, percent)
 
 
 def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -233,14 +270,19 @@ def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text, ...).
+    """doc_id, n_shingles, component_id, kept and text_hash for each row of docs (doc_id, text, ...).
 
     Documents are linked when 100 * intersection >= percent * union of their
     shingle sets; component_id is the smallest doc_id that links reach, and
     kept is doc_id = component_id. Null and empty texts and texts without
-    words have no shingles and stay alone. Rows that repeat a doc_id share one
+    words have no shingles and stay alone. Texts of any length are read whole;
+    the set of one text is held in a task. Rows that repeat a doc_id share one
     component, found from the text of any of them. Other columns are ignored;
     an empty table gives an empty one.
+
+    Rows find the class of their set by a shuffle join of thin rows; a set
+    that very many rows share makes a large partition of it, which Spark's
+    adaptive skew join splits.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -252,13 +294,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands", "sketch")
     reps = scratch.table(reps, "reps")
     near = likely_links(reps, percent / 100)
-    clusters = scratch.table(graph.components(scratch.table(near, "likely")), "clusters")
-    links = scratch.table(confirmed_links(docs, clusters, width, percent, reps.select("id", "sketch")), "links")
+    clusters = scratch.table(graph.components(near), "clusters")
+    links = confirmed_links(docs, clusters, width, percent, reps.select("id", "sketch"))
     linked = graph.components(links)
     named = classes.join(linked, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component"))
-    out = feats.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
+    thin = ["doc_id", "text_hash", "n_shingles"]
+    # texts without words have no class
+    alone = feats.where("n_shingles = 0").select(*thin, F.lit(None).cast("long").alias("component"))
+    out = full.select(*thin, "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left").select(*thin, "component").union(alone)
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), "text_hash")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -266,9 +311,16 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
     The document with the smallest doc_id of a group stays; of rows that
     repeat its doc_id, that with the smallest hash of its text. Rows without
-    a doc_id stay unless a document with one has the same set of shingles.
+    a doc_id stay, one for each different text, unless a document with one has
+    the same set of shingles. A null or empty text is a group of its own. What
+    stays is decided on thin rows; texts are shuffled once. Columns named
+    __none, __doc, __text and __rank are not kept apart from the function's own.
     """
-    kept = near_duplicates(docs, width, percent).where("component_id <=> doc_id").select(F.col("doc_id").alias("__kept")).distinct()
-    alone = F.row_number().over(W.partitionBy("doc_id").orderBy("__order"))
-    held = docs.withColumn("__order", F.xxhash64("text")).join(kept, F.expr("doc_id <=> __kept"), "left_semi").withColumn("__rank", alone)
-    return held.where("__rank = 1 OR doc_id IS NULL").select([F.col(f"`{c}`") for c in docs.columns])
+    found = near_duplicates(docs, width, percent).where("component_id <=> doc_id")
+    none, doc = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    each = F.when(none, F.col("text_hash"))  # rows without an id don't repeat one
+    kept = found.groupBy(none.alias("__none"), doc.alias("__doc"), each.alias("__each")).agg(F.min("text_hash").alias("__text")).drop("__each")
+    key = ["__none", "__doc", "__text"]
+    held = docs.withColumns({"__none": none, "__doc": doc, "__text": F.xxhash64("text")}).join(kept, key, "left_semi")
+    ranked = held.withColumn("__rank", F.row_number().over(W.partitionBy(*key).orderBy("__text")))
+    return ranked.where("__rank = 1").select([F.col(f"`{c}`") for c in docs.columns])

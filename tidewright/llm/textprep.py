@@ -1,11 +1,14 @@
 """Vectorised hashing of the words of whole texts, straight from Arrow buffers.
 
 A word is a run of bytes other than space and 0x09-0x0D; A-Z count as a-z.
-Hashes have 64 bits: a word's is a polynomial over random byte values, mixed.
+Hashes have 64 bits: a word is read eight bytes at a time, and each part is
+mixed into what came before it, so no arithmetic of the letters cancels out.
+Words of more than LONG bytes are hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,16 +16,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_EXACT = _BYTE.copy()  # of bytes as they are
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _LETTER, _STOP, _PRINTED, _LATIN = (np.isin(np.arange(256), list(c)) for c in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b".,;:!?", range(33, 127), range(0xC3, 0xE0)))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 2**64)
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: Bytes up to which a word is hashed in parts of eight.
+LONG = 64
+_STEP = U(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)  # the first k bytes of eight
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,14 +34,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse, modulo 2**64; kept for the next call."""
-    if len(_POWERS[0]) <= n:
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(n + 1, base, U)
-            steps[0] = 1
-            _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros stand for bytes after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def parts(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of runs of bytes the first eight bytes, the next eight, ...: which runs have that part, and their parts as numbers."""
+    own = np.arange(len(starts))
+    for at in range(0, LONG, 8):
+        own = own[sizes[own] > at]
+        if not len(own):
+            return
+        yield own, view[starts[own] + at] & _MASK[np.minimum(sizes[own] - at, 8)]
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each run [start, end) of data."""
+    sizes = ends - starts
+    out = mix(sizes.astype(U) + _STEP)
+    for own, part in parts(eights(data), starts, sizes):
+        out[own] = mix((out[own] ^ part) + _STEP)
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -80,11 +99,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after[:-1] |= blank[1:]
     inside = ~blank
     starts, ends = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
-    power, inverse = _powers(n)
-    total = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U))
-    return hashes, np.searchsorted(starts, offsets)
+    return run_hashes(_LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
 def sure_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,12 +116,22 @@ def sure_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     cut[feed] = True
     cut[feed + 1] = True
     starts = np.flatnonzero(cut)
-    ends = np.append(starts[1:], n)
-    power, inverse = _powers(n)
-    total = np.zeros(n + 1, U)
-    np.cumsum(_EXACT[data] * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U)) | U(1)
-    return starts, np.searchsorted(starts, offsets), hashes
+    return starts, np.searchsorted(starts, offsets), run_hashes(data, starts, np.append(starts[1:], n)) | U(1)
+
+
+def differing(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each run of bytes differs in any byte from the run whose number is other[i]."""
+    sizes, twin = ends - starts, starts[other]
+    out = sizes != sizes[other]
+    view = eights(data)
+    for at in range(0, LONG, 8):
+        own = np.flatnonzero(~out & (sizes > at))
+        if not len(own):
+            break
+        out[own] = (view[starts[own] + at] ^ view[twin[own] + at]) & _MASK[np.minimum(sizes[own] - at, 8)] != 0
+    for i in np.flatnonzero(~out & (sizes > LONG) & (twin != starts)).tolist():
+        out[i] = data[starts[i] : ends[i]].tobytes() != data[twin[i] : twin[i] + sizes[i]].tobytes()
+    return out
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
