@@ -9,6 +9,7 @@ document table (ids, a null mask, first id of each) and a trailer.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import zlib
@@ -27,8 +28,10 @@ MAGIC = b"TWPACK01"
 HEADER = struct.Struct("<8sII")  # magic, bits of an id, ids of a block
 TRAILER = struct.Struct("<QQQQ8s")  # ids, blocks, documents, where the offsets begin, magic
 BLOCK = 1 << 14
-#: Ids after which a task starts another file.
-FILE_IDS = 1 << 26
+#: Ids after which a task starts another file; ids of a piece that a task reads at once.
+FILE_IDS, PIECE_IDS = 1 << 26, 1 << 22
+#: Bytes of text that a task encodes, about, and tasks at most.
+TASK_BYTES, TASKS = 1 << 25, 100_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -132,14 +135,28 @@ _MAY_BE_BLANK = np.zeros(256, bool)
 _MAY_BE_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+#: The pre-tokenizer whose cuts textprep.sure_pieces and TOKEN know; texts of others are encoded whole.
+KNOWN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def cuts_known(path: str) -> bool:
+    """Whether a tokenizer file cuts texts as KNOWN does, without a normalizer, padding or truncation, and adds no token without a "<|"."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    own = data.get("pre_tokenizer") or {}
+    plain = not any(data.get(k) for k in ("normalizer", "truncation", "padding")) and data["model"].get("type") == "BPE" and not data["model"].get("dropout")
+    return plain and {k: own.get(k) for k in KNOWN} == KNOWN and all("<|" in t["content"] for t in data.get("added_tokens", []))
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE tokenizer, with a cache of the pieces that it encodes alone.
 
     Such a tokenizer cuts a text before a space that stands between two other
     characters of which the second is no blank, and at some other places
-    (textprep.sure_pieces). All pieces of many texts are hashed at once (64
-    bits, over its bytes), and each different one is encoded once. Texts with
-    another space, or with a special token's "<|", are encoded in one call.
+    (textprep.sure_pieces). All pieces of many texts are grouped by a hash,
+    compared byte by byte with the first of their group, and each different
+    one is encoded once. Texts with another space, or with a special token's
+    "<|", and all texts of a tokenizer that cuts otherwise, are encoded whole.
     """
 
     #: Pieces of each of two generations of the cache; what is used again moves to the younger.
@@ -153,8 +170,9 @@ class Encoder:
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.known = cuts_known(path)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -176,28 +194,36 @@ class Encoder:
         at = np.flatnonzero(((data == 32) & _MAY_BE_BLANK[after]) | ((data == 60) & (after == 124)))
         return [i for i in np.unique(np.searchsorted(offsets, at, side="right") - 1).tolist() if self.ODD.search(texts[i])]
 
+    def _cached(self, piece: bytes) -> bytes:
+        ids = self.young.get(piece)
+        if ids is None:
+            ids = self.old.get(piece) or self._piece(piece.decode())
+            if len(ids) <= 256:
+                self.young[piece] = ids
+        return ids
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         strings = texts.fill_null("").to_pylist()
         data, offsets = textprep.raw(texts)
         if not len(data):
             return [np.zeros(0, self.kind) for _ in strings]
+        if not self.known:
+            return [np.frombuffer(self._whole(t), self.kind) for t in strings]
         starts, first, hashes = textprep.sure_pieces(data, offsets)
         odd = self._odd(strings, data, offsets)
         used = np.ones(len(starts), bool)
         for i in odd:
             used[first[i] : first[i + 1]] = False
+        ends = np.append(starts[1:], len(data))
         different, where, inverse = np.unique(np.where(used, hashes, np.uint64(0)), return_index=True, return_inverse=True)
+        # pieces that share a hash with another one, if ever, come after the different ones
+        apart = np.flatnonzero(used & textprep.differing(data, starts, ends, where[inverse]))
+        inverse[apart] = len(where) + np.arange(len(apart))
         if len(self.young) > self.KEEP:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        raw, ends, own = data.tobytes(), np.append(starts[1:], len(data)), []
-        for key, k in zip(different.tolist(), where.tolist()):
-            ids = young.get(key)
-            if ids is None and key:
-                ids = old.get(key) or self._piece(raw[starts[k] : ends[k]].decode())
-                if len(ids) <= 256:
-                    young[key] = ids
-            own.append(ids or b"")
+        raw = data.tobytes()
+        own = [self._cached(raw[a:b]) if key else b"" for key, a, b in zip(different.tolist(), starts[where].tolist(), ends[where].tolist())]
+        own += [self._cached(raw[starts[k] : ends[k]]) for k in apart.tolist()]
         count = np.array([len(b) for b in own], np.int64) // self.kind.itemsize
         each = np.where(used, count[inverse], 0)
         begin = (np.cumsum(count) - count)[inverse]
@@ -216,10 +242,11 @@ def encoder_of(path: str) -> Encoder:
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFrame:
-    """Write the packed files of docs (doc_id, text) and return their index: file, first, ids, docs.
+    """Write the packed files of docs (doc_id, text) and return their index: file, first, tie, ids, docs.
 
-    Documents are dealt by ranges of doc_id, encoded and written where they
-    are; a row of the index stands for each file of a task that ended well.
+    Documents are dealt by ranges of doc_id (of equal ones by a hash of the
+    text), about TASK_BYTES of text each, encoded and written where they are;
+    a row of the index stands for each file of a task that ended well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,52 +254,64 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFram
         bits = bits_for(max(encoder.size, end_id + 1))
         store, path = files.place(folder)
         store.create_dir(path)
-        writer, name, rows = None, "", []
+        writer, name, first, rows = None, "", 0, []
 
         def close():
             writer.close()
-            rows.append((name, writer.docs[0], writer.ids, len(writer.docs)))
+            rows.append((name, writer.docs[0], first, writer.ids, len(writer.docs)))
 
         for batch in batches:
             for part in textprep.slices(batch, "text"):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"))):
+                columns = (part.column(c).to_pylist() for c in ("doc_id", "tie"))
+                for doc_id, tie, ids in zip(*columns, encoder.encode(part.column("text"))):
                     if writer is None or writer.ids >= FILE_IDS:
                         if writer:
                             close()
-                        name = files.attempt_name(".ids")
+                        name, first = files.attempt_name(".ids"), tie
                         writer = Writer(store.open_output_stream(f"{path}/{name}", compression=None), bits)
                     writer.add(doc_id, np.append(ids.astype(np.uint32), np.uint32(end_id)))
         if writer:
             close()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["file", "first", "ids", "docs"])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["file", "first", "tie", "ids", "docs"])
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return dealt.mapInArrow(run, "file string, first long, ids long, docs long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.repartitionByRange(min(TASKS, total // TASK_BYTES + 1), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return dealt.mapInArrow(run, "file string, first long, tie long, ids long, docs long")
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files of an index."""
-    order = W.orderBy(F.col("first").asc_nulls_first(), "file").rowsBetween(W.unboundedPreceding, -1)
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files of an index.
+
+    A file is read in pieces of about PIECE_IDS ids, which are dealt evenly:
+    a piece takes the document table and the blocks of its own documents.
+    """
+    order = W.orderBy(F.col("first").asc_nulls_first(), "tie", "file").rowsBetween(W.unboundedPreceding, -1)
     based = index.withColumn("base", F.coalesce(F.sum("ids").over(order), F.lit(0)).cast("long"))
+    pieces = F.ceil(F.col("ids") / PIECE_IDS)
+    number = index.agg(F.sum(pieces)).first()[0] or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = files.place(folder)
         for batch in batches:
-            for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
+            for name, base, piece in zip(*(batch.column(c).to_pylist() for c in ("file", "base", "piece"))):
                 with store.open_input_file(f"{path}/{name}") as source:
                     reader = Reader(source)
-                    for at in range(0, len(reader.docs), 256):
-                        starts = reader.starts[at : at + 257]
+                    low, high = np.searchsorted(reader.starts[:-1], [piece * PIECE_IDS, (piece + 1) * PIECE_IDS])
+                    for at in range(int(low), int(high), 256):
+                        stop = min(at + 256, int(high))
+                        starts = reader.starts[at : stop + 1]
                         ids = reader.ids(int(starts[0]), int(starts[-1]))
                         crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip((starts[:-1] - starts[0]).tolist(), (starts[1:] - starts[0]).tolist())]
-                        own = slice(at, at + len(crc))
+                        own = slice(at, stop)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(reader.docs[own], mask=reader.null[own]), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())],
                             ["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    spread = based.select("file", "base").repartition("file")
+    spread = based.select("file", "base", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece")).repartition(min(TASKS, number))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -280,8 +319,9 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write packed files of docs in ascending doc_id order and return what read() finds in them.
 
     A null text counts as empty and has the end id alone. A null doc_id comes
-    first; rows that repeat a doc_id are one after the other, in any order. An
-    empty table writes no file and gives an empty one. Other columns are ignored.
+    first; rows that repeat a doc_id are one after the other, by a hash of
+    their texts. Texts of any length are encoded whole. An empty table writes
+    no file and gives an empty one. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
