@@ -24,6 +24,10 @@ from tidewright.session import ship_package
 GAP, READ = 1 << 16, 4 << 20
 #: Bytes after which a task starts another archive.
 FILE_BYTES = 1 << 28
+#: Archive bytes that a task reads, about, and reading tasks at most.
+TASK_BYTES, TASKS = 1 << 22, 100_000
+#: Repeated payloads up to which their table (64 bytes each, about) is broadcast to the pages.
+BROADCAST_ROWS = 500_000
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string"
 DATE = "2000-01-01T00:00:00Z"
 
@@ -35,20 +39,26 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def classified(pages: DataFrame, least: int = 0) -> DataFrame:
+def classified(pages: DataFrame, least: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, html, bytes, digest and first: the page_id that a revisit refers to, else null.
 
     Of pages with equal payloads of `least` bytes or more that with the
-    smallest page_id is the response. Its id comes from a partial aggregation
-    and a join, so a payload that many pages share is not gathered.
+    smallest page_id is the response. Digests are counted by a partial
+    aggregation; only the payloads that repeat make a table. It is counted,
+    and if it has `broadcast_rows` at most, broadcast, so that no html moves;
+    else the pages are joined by a shuffle on the digest, where the rows of one
+    payload are one key (Spark's adaptive skew join splits a large one).
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.octet_length(payload).cast("long").alias("bytes"), sha1_base32(F.encode(payload, "UTF-8")).alias("digest")
     )
-    low = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("low"))
+    counts = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("low"), F.count("*").alias("n"))
+    repeated = scratch.table(counts.where(F.col("n") > 1).select("digest", "bytes", "low"), "repeated")
+    if repeated.count() <= broadcast_rows:
+        repeated = F.broadcast(repeated)
     first = F.when((F.col("bytes") >= least) & F.col("low").isNotNull() & ~F.col("low").eqNullSafe(F.col("page_id")), F.col("low"))
-    return rows.join(low, ["digest", "bytes"]).withColumn("first", first).drop("low")
+    return rows.join(repeated, ["digest", "bytes"], "left").withColumn("first", first).drop("low")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
@@ -123,6 +133,7 @@ def read(index: DataFrame, folder: str, payload: bool = False) -> DataFrame:
 
     A response's payload is read and its digest computed anew; a revisit has
     both from its headers. With payload the text comes too (null for revisits).
+    Records are dealt by place to tasks of about TASK_BYTES of archive each.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["html"] * payload
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()) + (pa.string(),) * payload
@@ -153,7 +164,9 @@ def read(index: DataFrame, folder: str, payload: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", html string" * payload
-    return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    dealt = index.select("file", "offset", "length").repartitionByRange(min(TASKS, total // TASK_BYTES + 1), "file", "offset")
+    return dealt.sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -162,7 +175,8 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     A null html is an empty payload; a null url is named by its page_id. Rows
     that repeat a page_id and payload are all responses or all revisits. A null
     page_id refers to the smallest page_id with its payload, if there is one.
-    An empty table gives an empty one; other columns are ignored.
+    A payload of any length is one record, held in a task as a whole. An empty
+    table gives an empty one; other columns are ignored.
     """
     spark = pages.sparkSession
     ship_package(spark)
