@@ -65,9 +65,9 @@ def test_languages_of_held_out_texts(spark):
 
 def test_language_of_edge_cases(spark):
     net = langid.train(cases.documents(spark, language_rows(60)), F.lit(True))
-    docs = cases.documents(spark, [(1, None), (2, ""), (3, " 123 ..."), (4, "thaing"), (5, "sch" * 40000), (None, "ción")])
+    docs = cases.documents(spark, [(1, None), (2, ""), (3, " 123 ..."), (6, "½ ² Ⅷ ①"), (7, "½ é"), (4, "thaing"), (5, "sch" * 40000), (None, "ción")])
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, net).collect()}
-    assert got[1] == got[2] == got[3] == ("und", 0.0)
+    assert got[1] == got[2] == got[3] == got[6] == ("und", 0.0) and got[7][0] != "und"
     assert all(got[i][0] in ("aa", "bb", "cc") for i in (4, 5, None))
     assert langid.predict(docs.where("doc_id < 0"), net).collect() == []
     none = langid.train(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
@@ -99,3 +99,46 @@ def test_windows_cover_every_byte():
     windows, of = langid.cut(data, offsets)
     back = [windows[of == i].tobytes().rstrip(b"\0") for i in range(5)]
     assert back == [b"", b"x" * 64, b"y" * 65, b"", ("zé" * 100).encode()]
+
+
+def test_machine_equals_the_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    m = toxicity.Machine({3: 0, 8: 1, 11: 2, 40: 3}, -0.3, rng.normal(0, 1, 4).astype(np.float32), rng.normal(0, 1, (4, toxicity.FACTORS)).astype(np.float32))
+    x = rng.integers(0, 2, (30, 4)).astype(np.float32)
+    for row, got in zip(x, m.score(x)):
+        on = [i for i in range(4) if row[i]]
+        total = float(m.w0) + sum(float(m.w[i]) for i in on) + sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(on) for j in on[k + 1 :])
+        assert got == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-4)
+
+
+def test_network_equals_a_plain_loop():
+    net = langid.new_network(["a", "b", "c"], seed=7)
+    texts = pa.array(["zwölf Boxkämpfer", None, "1 2 3", "abc" * 50])
+    data, offsets = textprep.raw(texts)
+    got = langid.pooled(net, data, offsets)
+    k = langid.UNITS
+    for n, text in enumerate(texts.to_pylist()):
+        raw = (text or "").encode()
+        total, letters = np.zeros(3), 0
+        for at in range(0, len(raw), langid.STEPS):
+            window = raw[at : at + langid.STEPS].ljust(langid.STEPS, b"\0")
+            states = []
+            for way in (0, 1):
+                h, own = np.zeros(k), []
+                for c in window if way == 0 else reversed(window):
+                    e, u = net.e[way][:, c], net.u[way]
+                    z, r = np.clip(e[:k] + u[:k] @ h, 0, 1), np.clip(e[k : 2 * k] + u[k : 2 * k] @ h, 0, 1)
+                    h = z * h + (1 - z) * np.tanh(e[2 * k :] + r * (u[2 * k :] @ h))
+                    own.append(h)
+                states.append(own if way == 0 else own[::-1])
+            for c, f, b in zip(window, *states):
+                if chr(c).isascii() and chr(c).isalpha() or c >= 0x80:
+                    p = np.exp(net.o @ np.concatenate([f, b]) + net.b)
+                    total, letters = total + p / p.sum(), letters + 1
+        assert got[n] == pytest.approx(total / max(letters, 1), abs=1e-4)
+
+
+def test_rare_languages_are_sampled_too(spark):
+    rows = language_rows(240) + [(1000 + i, "zzyx qqox " * 20, "rare") for i in range(3)]
+    net = langid.train(cases.documents(spark, rows), F.lit(True), sample=40, most=300)
+    assert net.languages == ["aa", "bb", "cc", "rare"]

@@ -21,13 +21,20 @@ from tidewright.session import ship_package
 
 #: Bytes of a window, units in each direction, windows that are computed together.
 STEPS, UNITS, TOGETHER = 64, 10, 2048
-#: Labelled documents of the training sample, about, and windows of each.
-SAMPLE, WINDOWS = 3000, 4
-LETTER = re.compile(r"[^\W\d_]")
+#: Labelled documents of the training sample, about, all languages getting the same number if they have them.
+SAMPLE = 3000
+#: Windows of the sampled documents to train on, about; more are thinned, each with the same chance.
+WINDOWS = 16_000
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _IS_LETTER = np.zeros(256, np.float32)
 _IS_LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 256)]] = 1
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a text is a letter (numbers such as a half or a Roman numeral are none)."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 @dataclass
 class Network:
     """e: input of each byte to (update, reset, candidate) by direction; u: recurrent weights; o, b: output layer."""
@@ -173,32 +180,42 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total / np.maximum(letters, 1)[:, None]
 
 
-def train(docs: DataFrame, learn: Column, label: str = "lang", sample: int = SAMPLE) -> Network | None:
-    """Train on WINDOWS windows of each of about `sample` documents with a label for which `learn` holds.
+def train(docs: DataFrame, learn: Column, label: str = "lang", sample: int = SAMPLE, most: int = WINDOWS) -> Network | None:
+    """Train on windows of about `sample` documents with a label for which `learn` holds.
 
-    Both bounds are parameters: the sample, by a hash of doc_id, is all that
-    comes to the driver. Without a labelled text there is no network.
+    The sample is drawn by a hash of doc_id from each language alike, so a rare
+    one is learnt as well; there are few languages, and a row for each comes to
+    the driver. All windows of the sampled texts take part with the same
+    chance, wherever they are in a text: all of them, or about `most`. Both
+    bounds are parameters, and the windows are all that comes to the driver.
+    Null texts and ids, and texts without a letter, teach nothing. Without a
+    labelled text there is no network.
     """
     ship_package(docs.sparkSession)
     rows = docs.where(learn & F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    n = rows.select("doc_id", label).count()
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(n, 1)))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("label"), "text")
+    held = {r[0]: r[1] for r in rows.groupBy("label").agg(F.count("*")).collect()}
+    if not held:
+        return None
+    part = {k: min(1.0, sample / len(held) / n) for k, n in held.items()}
+    chance = F.create_map(*[F.lit(x) for kv in sorted(part.items()) for x in kv])[F.col("label")]
+    chosen = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1_000_000)) < chance * 1e6)
+    total = chosen.agg(F.sum(F.ceil(F.octet_length("text") / STEPS))).first()[0] or 0
+    share = min(1.0, most / max(total, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, own = [], [], []
-            for doc_id, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if not LETTER.search(text):
-                    continue
-                data = np.frombuffer(text.encode(), np.uint8)
-                windows, _ = cut(data, np.array([0, len(data)]))
-                for k in np.unique(np.linspace(0, len(windows) - 1, WINDOWS).astype(int)):
-                    ids.append(doc_id)
-                    labels.append(lang)
-                    own.append(windows[k].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(own, pa.binary())], ["doc_id", "label", "window"])
-
-    chosen = rows.where(part).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("label"), "text")
+            for p in textprep.slices(batch, "text"):
+                known = np.array([has_letter(t) for t in p.column("text").to_pylist()], bool)
+                windows, of = cut(*textprep.raw(p.column("text")))
+                doc = p.column("doc_id").to_numpy(zero_copy_only=False)[of]
+                first = np.searchsorted(of, of)
+                lot = textprep.mix(textprep.mix(doc.astype(np.uint64)) + (np.arange(len(of)) - first).astype(np.uint64))
+                own = np.flatnonzero(known[of] & (lot <= np.uint64(share * (2**64 - 2**11))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[own]), p.column("label").take(pa.array(of[own])), pa.array([w.tobytes() for w in windows[own]], pa.binary())], ["doc_id", "label", "window"]
+                )
+
     got = chosen.mapInArrow(run, "doc_id long, label string, window binary").toArrow()
     if not got.num_rows:
         return None
@@ -209,8 +226,9 @@ def train(docs: DataFrame, learn: Column, label: str = "lang", sample: int = SAM
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred and score (the pooled probability) of every whole text of docs (doc_id, text).
 
-    A null text, an empty one and one without a letter get `und` and 0, as does
-    every text without a network. Equal probabilities go to the first language
+    Every byte of a text of any length is labelled. A null text, an empty one
+    and one without a letter get `und` and 0, as does every text without a
+    network. Equal probabilities go to the first language
     by name. Rows that repeat a doc_id are predicted each; other columns are
     ignored; an empty table gives an empty one.
     """
@@ -219,7 +237,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in textprep.slices(batch, "text"):
-                known = np.array([net is not None and bool(LETTER.search(t)) for t in p.column("text").fill_null("").to_pylist()], bool)
+                known = np.array([net is not None and has_letter(t) for t in p.column("text").fill_null("").to_pylist()], bool)
                 lang, value = ["und"] * p.num_rows, np.zeros(p.num_rows)
                 if known.any():
                     shares = pooled(net, *textprep.raw(p.column("text")))
