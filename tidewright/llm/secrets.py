@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and two character Markov models of tokens.
 
 One model is of random strings, the other of ordinary identifiers; a token is
-reported when its log-likelihood ratio per character passes a threshold. Both
-are trained from labelled samples.
+reported when its log-likelihood ratio passes a threshold, in total and per
+character. Both are trained from labelled samples: made ones, and the tokens of
+a corpus, of which those that the fixed patterns find are secrets.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewright.llm import textprep
 from tidewright.session import ship_package
@@ -25,16 +27,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Tokens that the models judge: runs of these characters, of LEAST or more.
-LEAST = 20
-TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-#: The log-likelihood ratio per character from which a token is a secret.
-RATIO = 0.9
+#: Tokens that the models judge: runs of these characters.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: The log-likelihood ratio per character, and in all, from which a token is a secret.
+RATIO, EVIDENCE = 0.75, 18.0
+#: Lengths of the made strings.
+MADE = (20, 64)
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _ALPHABET = _LETTERS + _LETTERS.upper() + "0123456789+/_=-"
-_CODE = np.full(256, len(_ALPHABET), np.int64)
-_CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 
 # Ordinary words from which identifiers of the labelled sample are made.
 WORDS = (
@@ -54,7 +55,7 @@ def samples(n: int = 3000, seed: int = 5) -> list[tuple[str, int]]:
     out = []
     for i in range(n):
         chars = sets[i % len(sets)]
-        out.append(("".join(chars[k] for k in rng.integers(0, len(chars), int(rng.integers(LEAST, 64)))), 1))
+        out.append(("".join(chars[k] for k in rng.integers(0, len(chars), int(rng.integers(*MADE)))), 1))
         words = [WORDS[k].encode("ascii", "ignore").decode() for k in rng.integers(0, len(WORDS), int(rng.integers(3, 8)))]
         style = i % 7
         if style == 0:
@@ -75,62 +76,156 @@ def samples(n: int = 3000, seed: int = 5) -> list[tuple[str, int]]:
     return out
 
 
-def train(labelled: Iterable[tuple[str, int]]) -> np.ndarray:
-    """Log-likelihood ratio of each transition (start and other characters are one symbol), add-one smoothed."""
-    n = len(_ALPHABET) + 1
-    counts = np.ones((2, n, n))
+_CLASS = np.full(256, len(_ALPHABET), np.int64)
+_CLASS[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
+_N = len(_ALPHABET) + 1
+
+
+def sample_counts(labelled: Iterable[tuple[str, int]]) -> np.ndarray:
+    """Transitions (label, from, to) of labelled strings; the start and other characters are one symbol."""
+    counts = np.zeros((2, _N, _N))
     for text, label in labelled:
-        codes = np.concatenate(([n - 1], _CODE[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]))
+        codes = np.concatenate(([_N - 1], _CLASS[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]))
         np.add.at(counts[int(label)], (codes[:-1], codes[1:]), 1)
+    return counts
+
+
+def train(labelled: Iterable[tuple[str, int]], corpus: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
+    """Log-likelihood ratio of each transition, add-one smoothed.
+
+    corpus (see corpus_counts) counts as it is, and as `weight` times the
+    labelled strings at most, however large it is.
+    """
+    counts = sample_counts(labelled)
+    if corpus is not None:
+        for label in (0, 1):
+            if corpus[label].sum():
+                counts[label] += corpus[label] * min(1.0, weight * counts[label].sum() / corpus[label].sum())
+    counts += 1
     logs = np.log(counts / counts.sum(2, keepdims=True))
     return logs[1] - logs[0]
 
 
 def ratio(token: str, model: np.ndarray) -> float:
     """Mean log-likelihood ratio of an ASCII token; above 0 it is likelier random."""
-    codes = np.concatenate(([len(_ALPHABET)], _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]))
+    codes = np.concatenate(([_N - 1], _CLASS[np.frombuffer(token.encode("ascii"), np.uint8)]))
     return float(model[codes[:-1], codes[1:]].mean())
 
 
-def spans(text: str, model: np.ndarray, threshold: float = RATIO) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points by start, then kind; the models add what overlaps no base span."""
-    found = []
-    low = text.lower()
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end (bytes) and text of each token of texts, and the symbol before and at each byte."""
+    code = _CLASS[data]
+    before = np.concatenate(([_N - 1], code[:-1]))
+    before[offsets[:-1][offsets[:-1] < len(data)]] = _N - 1
+    inside = code < _N - 1
+    starts = np.flatnonzero(inside & (before == _N - 1))
+    after = np.append(before[1:], _N - 1)  # a text that begins next ends a token as well
+    ends = np.flatnonzero(inside & ((after == _N - 1) | ~np.append(inside[1:], False))) + 1
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1, before, code
+
+
+def with_long_tokens(starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> set[int]:
+    """Texts that have a token of 32 bytes or more, as a run of hex digits is inside one."""
+    return set(np.unique(of[ends - starts >= 32]).tolist())
+
+
+def base_spans(text: str, long: bool = True) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in code points of what the fixed patterns find; without a long token there is no hex one."""
+    found, low = [], text.lower()
     if any(k in low for k in KEYWORDS):
         found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    tokens = list(TOKEN.finditer(text))
-    for t in tokens:  # a run of hex digits is inside one token
-        if t.end() - t.start() >= 32:
-            found += [("hex", m.start(), m.end()) for m in HEX.finditer(text, t.start(), t.end())]
+    return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)] if long else found
+
+
+def likely(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, threshold: float, evidence: float) -> tuple[list[list[tuple[int, int]]], set[int]]:
+    """For each text (start, end) in code points of the tokens that the models take for secrets; and the texts with long tokens."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(offsets) - 1)]
+    starts, ends, of, before, code = tokens(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 5
+    if not len(starts):
+        return out, set()
+    value = np.where(code < _N - 1, model[before, code], 0.0)
+    total = np.add.reduceat(value, starts)
+    hit = np.flatnonzero((total >= evidence) & (total >= threshold * (ends - starts)))
+    if len(hit):
+        point = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
+        for k in hit.tolist():
+            first = point[offsets[of[k]]]
+            out[of[k]].append((int(point[starts[k]] - first), int(point[ends[k]] - first)))
+    return out, with_long_tokens(starts, ends, of)
+
+
+def spans(text: str, hits: list[tuple[int, int]], long: bool = True) -> list[tuple[str, int, int]]:
+    """(kind, start, end) by start, then kind: the base spans, and the models' hits that overlap none of them."""
+    found = base_spans(text, long)
     base = sorted((a, b) for _, a, b in found)
-    k, reach = 0, 0  # the furthest end of the base spans that start before a token's end
-    for t in tokens:
-        while k < len(base) and base[k][0] < t.end():
+    k, reach = 0, 0  # the furthest end of the base spans that start before a hit's end
+    for a, b in hits:
+        while k < len(base) and base[k][0] < b:
             reach = max(reach, base[k][1])
             k += 1
-        if reach <= t.start() and ratio(t[0], model) >= threshold:
-            found.append(("markov", t.start(), t.end()))
+        if reach <= a:
+            found.append(("markov", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def scan(docs: DataFrame, model: np.ndarray | None = None, threshold: float = RATIO) -> DataFrame:
+def corpus_counts(docs: DataFrame) -> np.ndarray:
+    """Transitions (label, from, to) of all tokens of all texts: label 1 within base spans, 0 elsewhere.
+
+    A task adds up its own; 2 * 65 * 65 sums come to the driver. Null and
+    empty texts, and an empty table, count nothing.
+    """
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * _N * _N, np.int64)
+        for batch in batches:
+            for part in textprep.slices(batch, "text"):
+                data, offsets = textprep.raw(part.column("text"))
+                if not len(data):
+                    continue
+                *places, before, code = tokens(data, offsets)
+                long = with_long_tokens(*places)
+                label = np.zeros(len(data), np.int64)
+                for i, text in enumerate(part.column("text").fill_null("").to_pylist()):
+                    if own := base_spans(text, i in long):
+                        size = np.diff(offsets)[i]
+                        lead = np.flatnonzero((data[offsets[i] : offsets[i + 1]] & 0xC0) != 0x80) if size != len(text) else None
+                        place = lambda p: int(size if p >= len(text) else p if lead is None else lead[p])  # noqa: B023, E731
+                        for kind, a, b in own:
+                            value = ASSIGN.match(text, a).start(2) if kind == "assign" else a  # the name before it is no secret
+                            label[offsets[i] + place(value) : offsets[i] + place(b)] = 1
+                at = (label * _N + before) * _N + code
+                counts += np.bincount(at[code < _N - 1], minlength=len(counts))
+        own = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(counts[own])], ["k", "n"])
+
+    out = np.zeros(2 * _N * _N)
+    for k, n in docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n")).collect():
+        out[k] = n
+    return out.reshape(2, _N, _N)
+
+
+def scan(docs: DataFrame, model: np.ndarray | None = None, threshold: float = RATIO, evidence: float = EVIDENCE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov for each row of docs (doc_id, text).
 
-    Null and empty texts have no spans. Rows that repeat a doc_id are scanned
-    each; other columns are ignored; an empty table gives an empty one.
+    Without a model one is trained from samples() and from docs themselves.
+    Null and empty texts have no spans; a text of any length is scanned whole.
+    Rows that repeat a doc_id are scanned each; other columns are ignored; an
+    empty table gives an empty one.
     """
     ship_package(docs.sparkSession)
     if model is None:
-        model = train(samples())
+        model = train(samples(), corpus_counts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textprep.slices(batch, "text"):
                 rows = []
-                for text in part.column("text").fill_null("").to_pylist():
-                    own = spans(text, model, threshold)
+                hits, long = likely(*textprep.raw(part.column("text")), model, threshold, evidence)
+                for i, text in enumerate(part.column("text").fill_null("").to_pylist()):
+                    own = spans(text, hits[i], i in long)
                     base = ",".join(f"{k}:{a}:{b}" for k, a, b in own if k != "markov")
                     count = [sum(k == kind for k, _, _ in own) for kind in KINDS]
                     rows.append((*count[:3], hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in own), count[3]))
