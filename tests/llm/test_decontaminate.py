@@ -25,6 +25,9 @@ def brute(items, text):
         if e <= seg.edits[k]:
             item = int(seg.item[k])
             out[item] = min(e, out.get(item, e))
+    for item, passage in items:
+        if 0 < len(dc.normal(passage)) < dc.Q and f" {dc.normal(passage)} " in f" {plain} ":
+            out[item] = 0
     return out
 
 
@@ -38,8 +41,8 @@ def mutate(rng, text, k):
 
 def fixture(seed=3):
     rng = random.Random(seed)
-    items = [(1, cases.sentence(rng, 12)), (2, cases.sentence(rng, 40)), (3, cases.sentence(rng, 25)), (4, "short passage"), (5, "tiny")]
-    texts = [None, "", "tiny", "a short passage here", "a short pasage here", items[0][1], items[0][1].upper().replace(" ", "  \n")]
+    items = [(1, cases.sentence(rng, 12)), (2, cases.sentence(rng, 40)), (3, cases.sentence(rng, 25)), (4, "short passage"), (5, "tiny"), (6, "a c"), (7, "a somewhat longer one")]
+    texts = [None, "", "tiny", "a short passage here", "a short pasage here", "Tiny,", "tiny  A\nC.", "so A\tc", "a somewhat langer one", "a smewhat langer one", items[0][1], items[0][1].upper().replace(" ", "  \n")]
     for k in range(0, 10):
         for item, p in items[:3]:
             texts.append(cases.sentence(rng, 15) + " " + mutate(rng, p, k) + " " + cases.sentence(rng, 9))

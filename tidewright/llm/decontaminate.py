@@ -9,6 +9,7 @@ that meet the bound are kept, and a banded alignment verifies them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from tidewright.llm import textprep
 from tidewright.session import ship_package
 
-#: Characters of a q-gram; of a segment; between the starts of segments. Shorter passages than LEAST are searched exactly.
-Q, SEGMENT, STEP, LEAST = 8, 80, 40, 40
-#: Edits allowed in a segment, as a part of its length.
+#: Characters of a q-gram; of a segment; between the starts of segments.
+Q, SEGMENT, STEP = 8, 80, 40
+#: Edits allowed in a segment, as a part of its length, if the lemma can filter for so many: each destroys Q q-grams at most.
 EDITS = 0.08
 #: Characters of benchmark passages that are searched for together; more are searched for in blocks.
 BLOCK_CHARS = 8_000_000
@@ -72,6 +73,7 @@ class Segments:
     owner: np.ndarray
     place: np.ndarray
     table: np.ndarray  # by the top bits of a key: in any segment
+    short: dict[str, list[int]]  # passages of fewer than Q characters, with their items
 
     @property
     def longest(self) -> int:
@@ -79,19 +81,21 @@ class Segments:
 
 
 def segments(items: list[tuple[int, str]]) -> Segments:
-    """Cut normalised passages; those of fewer than Q characters can't be told from chance and are left out."""
-    ids, texts, edits = [], [], []
+    """Cut normalised passages; those of fewer than Q characters have no q-gram and are kept as strings."""
+    ids, texts, edits, short = [], [], [], {}
     for item, text in items:
         points = codes(normal(text))
         n = len(points)
         if n < Q:
+            if n:
+                short.setdefault(normal(text), []).append(item)
             continue
         starts = [0] if n < SEGMENT + STEP // 2 else [*range(0, n - SEGMENT, STEP), n - SEGMENT]
         for s in starts:
             own = points[s:] if len(starts) == 1 else points[s : s + SEGMENT]
             ids.append(item)
             texts.append(own)
-            edits.append(int(EDITS * len(own)) if len(own) >= LEAST else 0)
+            edits.append(min(int(EDITS * len(own)), (len(own) - Q) // Q))
     k = np.array(edits, np.int64)
     sizes = np.array([len(t) for t in texts], np.int64)
     found = [grams(t) for t in texts]
@@ -103,7 +107,7 @@ def segments(items: list[tuple[int, str]]) -> Segments:
     table = np.zeros(1 << FILTER_BITS, bool)
     table[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     least = np.maximum(1, sizes - Q + 1 - k * Q)
-    return Segments(np.array(ids, np.int64), texts, k, least, k + 1, keys, np.append(first, len(flat)), owner[order], place[order], table)
+    return Segments(np.array(ids, np.int64), texts, k, least, k + 1, keys, np.append(first, len(flat)), owner[order], place[order], table, short)
 
 
 def regions(points: np.ndarray, seg: Segments) -> np.ndarray:
@@ -184,6 +188,20 @@ def found_in(texts: list[str], seg: Segments) -> Iterator[tuple[int, list[tuple[
     is aligned with each of them alone.
     """
     plain = [normal(t) for t in texts]
+    held: dict[int, dict[int, tuple[int, int, int]]] = {}
+    for passage, items in seg.short.items():
+        pattern = re.compile(rf"(?<!\S){re.escape(passage)}(?!\S)")
+        for i, t in enumerate(plain):
+            if passage in t and (own := [m.span() for m in pattern.finditer(t)]):
+                held.setdefault(i, {}).update({item: (own[0][0], own[-1][1], 0) for item in items})
+    if len(seg.keys):
+        _held_segments(plain, seg, held)
+    for i in sorted(held):
+        yield i, sorted((item, *v) for item, v in held[i].items())
+
+
+def _held_segments(plain: list[str], seg: Segments, held: dict[int, dict[int, tuple[int, int, int]]]) -> None:
+    """Add the segments that normal texts hold to held: by text and item (start, end, edits)."""
     starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in plain])))
     joined = codes("\0".join(plain) + "\0")
     near = regions(joined, seg)
@@ -196,7 +214,6 @@ def found_in(texts: list[str], seg: Segments) -> Iterator[tuple[int, list[tuple[
     row = np.repeat(np.arange(len(near)), b - a + 1)
     text = a[row] + np.arange(len(row)) - np.repeat(np.cumsum(b - a + 1) - (b - a + 1), b - a + 1)
     who, diagonal = who[row], diagonal[row]
-    held: dict[int, dict[int, tuple[int, int, int]]] = {}
     shape = lengths[who] << 20 | seg.width[who]
     for kind in np.unique(shape).tolist():  # alignments of one size together
         own = np.flatnonzero(shape == kind)
@@ -208,8 +225,6 @@ def found_in(texts: list[str], seg: Segments) -> Iterator[tuple[int, list[tuple[
                 x, y, e = int(start[k] - starts[i]), int(end[k] - starts[i]), int(edits[k])
                 was = held.setdefault(i, {}).get(item, (x, y, e))
                 held[i][item] = (min(x, was[0]), max(y, was[1]), min(e, was[2]))
-    for i in sorted(held):
-        yield i, sorted((item, *v) for item, v in held[i].items())
 
 
 def original_places(text: str, places: list[int]) -> list[int]:
@@ -247,12 +262,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A passage is found where one of its segments (its whole, if short) occurs
     in the lower-cased text, white space runs as one space, with at most EDITS
-    of its length in edits; passages under LEAST characters have to occur
-    exactly, those under Q are not searched for. start and end are code points
-    of the text, from the first to the last segment found. Null and empty
-    texts hold nothing, as does a null passage. Rows that repeat a doc_id are
-    searched each. Other columns are ignored; an empty table on either side
-    gives an empty one.
+    of its length in edits (none under 2 * Q characters); passages under Q
+    characters have to occur exactly, between white space. start and end are
+    code points of the text, from the first to the last segment found. Texts of
+    any length are searched whole. Null and empty texts hold nothing, as does a
+    null or empty passage. Rows that repeat a doc_id are searched each. Other
+    columns are ignored; an empty table on either side gives an empty one.
+
+    A benchmark of up to BLOCK_CHARS characters takes one pass over the texts;
+    a larger one takes a pass for each block of that size.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -277,7 +295,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in whose text no passage of the benchmark is found; all columns stay as they are."""
+    """The rows of docs in whose text no passage of the benchmark is found; all columns stay as they are.
+
+    Null and empty texts stay, as nothing is found in them; repeated rows stay
+    or go together; a null doc_id makes no difference. An empty benchmark
+    leaves all rows, an empty table gives an empty one.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     out = docs
