@@ -25,15 +25,16 @@ def measures(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
-def brute(rows, min_docs, percent):
+def brute(rows, max_docs, percent=0, copies_once=False):
     """(doc_id, text, host) -> measures, failed, kept."""
-    host_texts, line_texts = defaultdict(set), defaultdict(set)
-    for _, text, host in rows:
-        host_texts[host].add(text or "")
+    host_docs, line_docs = defaultdict(set), defaultdict(set)
+    for i, text, host in rows:
+        document = text or "" if copies_once or i is None else i
+        host_docs[host].add(document)
         for line in (text or "").split("\n"):
             if split(line):
-                line_texts[host, normal(line)].add(text or "")
-    frequent = {k for k, v in line_texts.items() if len(v) > min_docs and 100 * len(v) > percent * len(host_texts[k[0]])}
+                line_docs[host, normal(line)].add(document)
+    frequent = {k for k, v in line_docs.items() if len(v) > max_docs and 100 * len(v) > percent * len(host_docs[k[0]])}
     out = []
     for i, text, host in rows:
         own = measures(text)
@@ -56,26 +57,31 @@ def fixture():
             filler += "\n".join(shared[: 20 if i % 5 else 2]) + "\n"
         rows.append((i, filler + body, "en", "src0"))
     rows += [(200, "a b c " * 40, "en", "src0"), (201, "# * $ % & | < >\n" * 3 + cases.sentence(rng, 60), "en", "src0")]
+    copy = "\n".join(cases.sentence(rng, 12) for _ in range(6))
+    rows += [(300 + i, copy, "en", "src1") for i in range(12)]  # copies make their lines frequent
     return rows + [rows[3], rows[40], rows[40], (None, cases.sentence(rng, 60), "en", "src0")]
 
 
 def test_verdicts_match_brute_force(spark):
     rows = fixture()
     docs = cases.documents(spark, rows)
-    got = quality.judged(docs, min_line_docs=10, max_line_percent=10).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept").collect()
-    want = brute([(i, t, s or "") for i, t, _, s in rows], 10, 10)
-    key = lambda r: (r[0] is None, r[0] or 0)
-    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
-    assert any(r[6] for r in want) and any(not r[7] and not r[8] for r in want)
+    for percent, once in ((0, False), (10, True), (0, True)):
+        got = quality.judged(docs, max_line_docs=10, min_line_percent=percent, copies_once=once)
+        got = got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept").collect()
+        want = brute([(i, t, s or "") for i, t, _, s in rows], 10, percent, once)
+        key = lambda r: (r[0] is None, r[0] or 0)
+        assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+        assert any(r[6] for r in want) and any(not r[7] and not r[8] for r in want)
+        assert all(r[8] == once for r in want if r[0] in range(300, 312))
 
 
 def test_clean_removes_lines_and_depleted_documents(spark):
     rows = fixture()
     docs = cases.documents(spark, rows)
-    got = quality.clean(docs, min_line_docs=10, max_line_percent=10)
+    got = quality.clean(docs, max_line_docs=10)
     assert got.schema.names == docs.schema.names
     out = got.collect()
-    want = {i: k for i, *_, k in brute([(i, t, s or "") for i, t, _, s in rows], 10, 10)}
+    want = {i: k for i, *_, k in brute([(i, t, s or "") for i, t, _, s in rows], 10)}
     assert {r.doc_id for r in out if r.doc_id is not None} == {i for i, k in want.items() if k and i is not None}
     assert all("subscribe to our" not in r.text.lower() for r in out if r.source == "src0")
     assert all(r.n_chars == len(r.text) for r in out)

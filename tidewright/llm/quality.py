@@ -17,9 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Defaults of the rules.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is removed where more documents of its host than MIN_LINE_DOCS have it, and more than MAX_LINE_PERCENT of them.
-MIN_LINE_DOCS = 20
-MAX_LINE_PERCENT = 10
+#: A line is removed where more documents of its host than MAX_LINE_DOCS have it, however large the host.
+MAX_LINE_DOCS = 20
 #: A document is depleted when the removed lines hold more than this part of its words.
 MAX_REMOVED_PERCENT = 70
 
@@ -70,17 +69,22 @@ def text_measures(docs: DataFrame, host: str | Column) -> DataFrame:
     )
 
 
-def frequent_lines(measures: DataFrame, min_docs: int = MIN_LINE_DOCS, percent: int = MAX_LINE_PERCENT) -> DataFrame:
-    """(host, line) of the lines that too many different texts of their host have.
+def frequent_lines(measures: DataFrame, max_docs: int = MAX_LINE_DOCS, min_percent: float = 0.0, copies_once: bool = False) -> DataFrame:
+    """(host, line) of the lines that more than max_docs distinct documents of their host have.
 
-    Equal texts count as one document, so copies don't make their own lines
-    frequent. Counts are made in two steps, first by (host, line, text), so a
+    A document is a doc_id, or a text where that is null; with copies_once it
+    is a text, so exact copies don't make their own lines frequent. With
+    min_percent a line also needs more than that part of the host's documents.
+    Counts are made in two steps, first by (host, line, document), so a
     frequent line or a large host is spread over all tasks.
     """
-    texts = measures.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    rows = measures.select("host", "text_hash", F.explode("line_rows.line").alias("line")).distinct()
-    counts = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    return counts.join(texts, "host").where(100 * F.col("n") > percent * F.col("texts")).select("host", "line")
+    document = F.col("text_hash") if copies_once else F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("t"))
+    rows = measures.select("host", document.alias("document"), F.explode("line_rows.line").alias("line")).distinct()
+    counts = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    if min_percent <= 0:
+        return counts.select("host", "line")
+    whole = measures.select("host", document.alias("document")).distinct().groupBy("host").agg(F.count("*").alias("documents"))
+    return counts.join(whole, "host").where(100 * F.col("n") > min_percent * F.col("documents")).select("host", "line")
 
 
 def _same_row(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -97,20 +101,25 @@ def judged(
     host: str | Column = "source",
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
-    min_line_docs: int = MIN_LINE_DOCS,
-    max_line_percent: int = MAX_LINE_PERCENT,
+    max_line_docs: int = MAX_LINE_DOCS,
+    min_line_percent: float = 0.0,
     max_removed_percent: int = MAX_REMOVED_PERCENT,
+    copies_once: bool = False,
 ) -> DataFrame:
     """A verdict for each row of docs: the base counts, base_failed, removed_words, removed, kept.
 
     A null text counts as empty, and so fails for its few words; a null host is
     a host of its own. Rows that repeat a doc_id, or have none, are judged each
-    by its text.
-    `removed` holds the hashes of the removed lines. An empty table gives an
-    empty one; other columns are ignored.
+    by its text; a repeated row is one document. Texts of any length are read
+    whole. `removed` holds the hashes of the removed lines. An empty table
+    gives an empty one; other columns are ignored, whatever their names.
+
+    Lines find their counts by a shuffle join of thin rows; a line that very
+    many documents of one host share makes a large partition of it, which
+    Spark's adaptive skew join splits.
     """
     rows = scratch.table(text_measures(docs, host), "measures")
-    frequent = frequent_lines(rows, min_line_docs, max_line_percent)
+    frequent = frequent_lines(rows, max_line_docs, min_line_percent, copies_once)
     lines = rows.select(*ROW_KEY, F.explode("line_rows").alias("x")).select(*ROW_KEY, "x.*")
     # repeated rows are one here, and get the same verdict
     once = lines.groupBy(*ROW_KEY, "line").agg((F.sum("words") / F.count("*")).alias("each"), F.count("*").alias("times"))
@@ -130,7 +139,10 @@ def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """docs without the rejected documents, and without the removed lines in the others.
 
     The columns of docs stay as they are, n_chars (if there) follows the text.
-    A row with a null doc_id gets the verdict of its text and host.
+    A row with a null doc_id gets the verdict of its text and host; null, empty
+    and very short texts go, as the base rules reject them; of repeated rows
+    all stay or none. An empty table gives an empty one. Columns named __id,
+    __hash, __host and __removed are not kept apart from the function's own.
     """
     verdict = judged(docs, host, **limits).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("host").alias("__host"), "kept", "removed"

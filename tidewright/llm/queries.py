@@ -42,7 +42,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over 3-word shingles at a similarity of 0.85."""
     from tidewright.llm.neardup import near_duplicates
 
-    return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85).drop("text_hash")
 
 
 def op3_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +130,7 @@ l AS (SELECT doc_id, host, text, unnest(lines) AS line FROM d),
 n AS (
   SELECT doc_id, host, text, trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
          len({WORDS.format("line")}) AS words FROM l),
-texts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
-frequent AS (
-  SELECT host, line FROM n JOIN texts USING (host) GROUP BY host, line, texts
-  HAVING count(DISTINCT text) > 20 AND 100 * count(DISTINCT text) > 10 * texts),
+frequent AS (SELECT host, line FROM n GROUP BY host, line HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 't' || text)) > 20),
 gone AS (SELECT doc_id, sum(words) AS n FROM n JOIN frequent USING (host, line) GROUP BY doc_id),
 m AS (
   SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
