@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new one only where that is unset, as in local tests."""
+    """The folder of spark.checkpoint.dir; a new one only where that is unset and the master is local, as in tests.
+
+    Tables in it are read when a result is, so nothing here deletes them; the
+    folder is the job's to clear when it has ended.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
