@@ -25,8 +25,11 @@ def domain() -> F.Column:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines that too many documents of their source share."""
-    return quality.clean(docs)
+    """Documents that pass the quality rules, without the lines that too many different texts of their source share.
+
+    Exact copies count once here: they are the next stage's, which keeps one.
+    """
+    return quality.clean(docs, copies_once=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
