@@ -69,11 +69,16 @@ def test_frames_by_definition(spark, monkeypatch):
     monkeypatch.setattr(O, "CHUNK", 16)
     d = table(spark)
     x, gappy = series(spark, d, 3)
-    pick = lambda df: np.array([r.m for r in df.where("seg = 3").orderBy("seq").collect()])
+    pick = lambda df: np.array([r.m for r in df.where("seg = 3").orderBy("seq").collect()], float)
     for width, kind in ((4, "A"), (4, "B"), (70, "B"), (65, "A"), (64, "causal")):
         left, right = WN.reach(width, kind)
         want = [x[max(0, i - left) : i + right + 1].mean() for i in range(len(x))]
         assert np.allclose(pick(WN.frame_mean(d, KEY, F.col("x"), width, kind, "m")), want)
+        with_gaps = np.where(np.arange(len(gappy)) == 50, np.inf, gappy)
+        d2 = d.withColumn("y", F.when(F.col("seq") == 51, float("inf")).otherwise(F.col("gappy")))
+        parts = [with_gaps[max(0, i - left) : i + right + 1] for i in range(len(x))]
+        assert np.allclose(pick(WN.frame_mean(d2, KEY, F.col("y"), width, kind, "m")), [p[np.isfinite(p)].mean() if np.isfinite(p).any() else np.nan for p in parts], equal_nan=True)
+        assert np.allclose(pick(WN.moving_rms(d2, KEY, F.col("y"), width, kind, "m")), [np.sqrt((p[np.isfinite(p)] ** 2).mean()) if np.isfinite(p).any() else np.nan for p in parts], equal_nan=True)
     ok = np.flatnonzero(np.isfinite(gappy))
     assert np.allclose(pick(WN.interpolate(d, KEY, "gappy", "m")), np.interp(np.arange(len(gappy)), ok, gappy[ok]))
     left = 4
@@ -89,8 +94,9 @@ def test_causal_frames_see_no_later_rows(spark):
         assert a == b
 
 
-def test_quantiles_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(O, "BINS", 8)
+@pytest.mark.parametrize("accuracy", [20_000, 20, 3])
+def test_quantiles_are_exact(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(O, "ACCURACY", accuracy)
     rng = np.random.default_rng(5)
     rows_ = [(k, float(v)) for k in range(3) for v in np.round(rng.exponential(2, 400), k)] + [(3, 1.5), (4, float("nan")), (4, None), (None, 2.0), (None, 4.0)]
     d = spark.createDataFrame(rows_, "k int, v double")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.functions.columns import clip
-from tidewright.operators.ordered import _join, finite, framed, medians, quantiles
+from tidewright.operators.ordered import _join, finite, finite_values, framed, medians, quantiles, quantiles_of
+from tidewright.session import cut
 
 
 def finite_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -36,12 +37,16 @@ def finite_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, median, mad, scale) of the finite values: scale is 1.4826 * mad, or the population std where mad is tiny, or null."""
+    return robust_scale_of(finite_values(df, keys, value), keys)
+
+
+def robust_scale_of(values: DataFrame, keys: Sequence[str], also: dict[str, float] | None = None) -> DataFrame:
+    """robust_scale() of a table of values, with further quantiles `also`; the samples are not read again."""
     keys = list(keys)
-    middle = quantiles(df, keys, value, {"median": 0.5})
-    spread = _join(df.where(finite(F.col(value))), middle, keys).withColumn("__d", F.abs(F.col(value) - F.col("median")))
-    mads = quantiles(spread, keys, "__d", {"mad": 0.5})
-    std = df.where(finite(F.col(value))).groupBy(*keys).agg(F.stddev_pop(value).alias("__std"))
-    out = _join(_join(middle, mads, keys), std, keys)
+    middle = cut(quantiles_of(values, keys, {"median": 0.5, **(also or {})}))
+    away = _join(values, middle, keys).select(*keys, F.abs(F.col("__v") - F.col("median")).alias("__v"))
+    mads = quantiles_of(away, keys, {"mad": 0.5})
+    out = _join(_join(middle, mads, keys), values.groupBy(*keys).agg(F.stddev_pop("__v").alias("__std")), keys)
     scale = F.when(F.col("mad") > 1e-12, 1.4826 * F.col("mad")).when(F.col("__std") > 1e-12, F.col("__std"))
     return out.withColumn("scale", scale).drop("__std")
 
@@ -57,13 +62,14 @@ def robust_zscore(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
 def quantile_clip(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, sigmas: float | None, name: str) -> DataFrame:
     """Add value clipped to its quantiles, and to median +- sigmas robust scales if given, and `clipped`."""
     keys = list(keys)
-    bounds = quantiles(df, keys, value, {"__low": low, "__high": high})
+    values, at = finite_values(df, keys, value), {"__low": low, "__high": high}
     if sigmas:
-        bounds = _join(bounds, robust_scale(df, keys, value).drop("mad"), keys)
         out = F.col("scale") * sigmas
-        bounds = bounds.withColumns(
+        bounds = robust_scale_of(values, keys, at).withColumns(
             {"__low": F.greatest("__low", F.coalesce(F.col("median") - out, "__low")), "__high": F.least("__high", F.coalesce(F.col("median") + out, "__high"))}
-        ).drop("median", "scale")
+        ).drop("median", "scale", "mad")
+    else:
+        bounds = quantiles_of(values, keys, at)
     joined = _join(df, bounds, keys).withColumn(name, clip(value, F.col("__low"), F.col("__high")))
     return joined.withColumn("clipped", F.col(name) != F.col(value)).drop("__low", "__high")
 

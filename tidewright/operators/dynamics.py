@@ -8,28 +8,46 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewright.operators.aggregates import prefix_horizon
 from tidewright.operators.joins import nearest_neighbours, subsample
-from tidewright.operators.ordered import framed
+from tidewright.operators.ordered import chunk_of, known, spread
 from tidewright.operators.windows import delay_embedding
+from tidewright.session import cut, ship_package
 
 
 def acf(series: DataFrame, value: str, max_lag: int, keys: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
-    """(keys, lag, acf) for lags 0 to max_lag: sums of lagged products over the sum of squares, of the values less their mean."""
+    """(keys, lag, acf) for lags 0 to max_lag: sums of lagged products over the sum of squares, of the values less their mean.
+
+    A task gets a chunk and the max_lag rows after it, and returns one sum for
+    each lag; missing values count as the mean.
+    """
+    ship_package(series.sparkSession)
     keys = list(keys)
-    mean = series.groupBy(*keys).agg(F.avg(value).alias("__mean"))
+    mean = series.groupBy(*keys).agg(F.avg(known(F.col(value))).alias("__mean"))
     joined = series.join(mean, keys) if keys else series.crossJoin(F.broadcast(mean))
-    centred = joined.select(*keys, seq, (F.col(value) - F.col("__mean")).alias("__y"))
-    ahead = lambda w: {"__next": F.collect_list("__y").over(w.rowsBetween(0, max_lag))}
-    near = framed(centred, keys, 0, max_lag, ahead, seq)
-    products = near.select(*keys, F.posexplode(F.transform("__next", lambda x: x * F.col("__y"))).alias("lag", "p"))
-    sums = products.groupBy(*keys, "lag").agg(F.sum("p").alias("s"))
-    zero = sums.where("lag = 0").select(*keys, F.col("s").alias("s0"))
-    out = sums.join(F.broadcast(zero), keys) if keys else sums.crossJoin(F.broadcast(zero))
-    return out.select(*keys, "lag", F.when(F.col("s0") == 0, 1.0).otherwise(F.col("s") / F.col("s0")).alias("acf"))
+    centred = joined.select(*keys, F.col(seq).alias("__s"), F.coalesce(known(F.col(value)) - F.col("__mean"), F.lit(0.0)).alias("__y"))
+    own = spread(centred, 0, max_lag, "__s").withColumn("__own", (chunk_of("__s") == F.col("__chunk")))
+
+    def sums(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("__s").to_numpy())
+        y = table.column("__y").to_numpy()[order]
+        n = int(np.count_nonzero(table.column("__own").to_numpy(zero_copy_only=False)))
+        out = [float(y[: min(n, len(y) - k)] @ y[k : k + n]) if k < len(y) else 0.0 for k in range(max_lag + 1)]
+        out = [v for k, v in enumerate(out) if k < len(y)]
+        columns = [pa.array([k.as_py()] * len(out), k.type) for k in key[:-1]]
+        return pa.table([*columns, pa.array(range(len(out)), pa.int32()), pa.array(out)], names=[*keys, "lag", "__p"])
+
+    fields = ", ".join([f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys] + ["lag int", "__p double"])
+    sums_ = own.groupBy(*keys, "__chunk").applyInArrow(sums, fields).groupBy(*keys, "lag").agg(F.sum("__p").alias("s"))
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # max_lag + 1 rows of a segment
+    zero = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(whole)
+    return sums_.select(*keys, "lag", F.when(zero == 0, 1.0).otherwise(F.col("s") / zero).alias("acf"))
 
 
 def choose_delay(acfs: DataFrame, period: float | None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -47,7 +65,7 @@ def theiler_window(period: float | None, tau: int) -> int:
 
 def neighbour_pairs(series: DataFrame, value: str, dim: int, tau: int, future: int, theiler: int, refs: int, candidates: int, seq: str = "seq") -> DataFrame:
     """(start, neighbour, d2, n) of embedded places (0-based) with `future` rows after them; references and candidates are evenly spaced samples."""
-    points = delay_embedding(series, [], value, dim, tau, future, seq).select((F.col(seq) - 1).alias("start"), "embedding")
+    points = cut(delay_embedding(series, [], value, dim, tau, future, seq).select((F.col(seq) - 1).alias("start"), "embedding"))
     n = points.count()
     sample = lambda k: points.where(subsample(F.lit(n), F.col("start"), k))
     return nearest_neighbours(sample(refs), sample(candidates), theiler)
@@ -64,6 +82,7 @@ def _values(pairs: DataFrame, series: DataFrame, value: str, offsets: list[int],
 
 def false_neighbours(series: DataFrame, value: str, tau: int, max_dim: int, threshold: float, theiler: int, refs: int, candidates: int, rtol: float = 10.0, atol: float = 2.0, seq: str = "seq") -> tuple[int, list[tuple[int, float]]]:
     """The first dimension whose share of false neighbours is threshold at most (else max_dim), and the curve up to it."""
+    series = cut(series.select(seq, value))
     sigma = series.agg(F.stddev_pop(value)).first()[0] or 0.0
     sigma = sigma if sigma > 1e-12 else 1.0
     n, curve = series.count(), []
@@ -85,6 +104,7 @@ def false_neighbours(series: DataFrame, value: str, tau: int, max_dim: int, thre
 
 def divergence(series: DataFrame, value: str, dim: int, tau: int, horizon: int, theiler: int, refs: int, candidates: int, seq: str = "seq") -> DataFrame:
     """(k, divergence): mean log distance of neighbours k rows later, for k from 0 to horizon."""
+    series = cut(series.select(seq, value))
     pairs = neighbour_pairs(series, value, dim, tau, horizon, theiler, refs, candidates, seq)
     offsets = sorted({k + j * tau for k in range(horizon + 1) for j in range(dim)})
     at = _values(pairs, series, value, offsets, seq).withColumn("e", F.pow(F.col("a") - F.col("b"), F.lit(2.0)))
@@ -93,6 +113,7 @@ def divergence(series: DataFrame, value: str, dim: int, tau: int, horizon: int,
     return each.groupBy(F.col("step").alias("k")).agg(F.avg(F.log(F.greatest("dist", F.lit(1e-12)))).alias("divergence"))
 
 
+# The range of steps that the line is fitted to.
 def fit_range(horizon: int, tau: int, start: int = 1, end: int = 0) -> tuple[int, int]:
     if end <= 0:
         end = min(horizon, max(start + 2, min(horizon // 4, max(8, 2 * tau))))
@@ -109,7 +130,8 @@ def lyapunov(curve: DataFrame, start: int, end: int, dt: float, period: float |
 
 def analog_curve(series: DataFrame, value: str, dim: int, tau: int, horizon: int, theiler: int, refs: int, candidates: int, seq: str = "seq") -> DataFrame:
     """(horizon, rmse, persistence_rmse, nrmse, skill) of forecasts by the future of the nearest neighbour."""
-    pairs = neighbour_pairs(series, value, dim, tau, horizon, theiler, refs, candidates, seq)
+    series = cut(series.select(seq, value))
+    pairs = cut(neighbour_pairs(series, value, dim, tau, horizon, theiler, refs, candidates, seq))
     last = (dim - 1) * tau
     at = _values(pairs, series, value, [last + h for h in range(horizon + 1)], seq).withColumn("horizon", F.col("k") - last)
     now = at.where("horizon = 0").select("start", F.col("a").alias("now"))

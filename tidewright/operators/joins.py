@@ -112,13 +112,13 @@ def nearest_in_order(points: DataFrame, others: DataFrame, keys: Sequence[str],
     Both sides are put in one order, and the neighbours before and after a
     point are carried to it, so no pairs are made.
     """
-    from tidewright.operators.ordered import carried, number
+    from tidewright.operators.ordered import number, swept
 
     cols = [*keys, at]
     both = points.select(*cols, F.lit(1).alias("__own")).union(others.select(*cols, F.lit(0).alias("__own")))
     both = number(both.withColumn("__tie", F.monotonically_increasing_id()), keys, [at, "__own", "__tie"], F.floor(F.col(at) / (1 << 20)), "__seq")
     here = F.when(F.col("__own") == 0, F.col(at))
-    held = carried(carried(both, keys, here, "__a", False, "__seq"), keys, here, "__b", True, "__seq").where("__own = 1")
+    held = swept(both, keys, lasts={"__a": here}, nexts={"__b": here}, seq="__seq").where("__own = 1")
     near = F.least(F.col(at) - F.col("__a"), F.col("__b") - F.col(at))
     return held.withColumn("nearest", near).select(*cols, "nearest")
 

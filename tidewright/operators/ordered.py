@@ -39,6 +39,10 @@ def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Col
     return joined.withColumn(name, (F.col("__start") + F.row_number().over(own)).cast("long")).drop("__bucket", "__start")
 
 
+def chunk_size() -> int:
+    return CHUNK
+
+
 def chunk_of(seq: str, chunk: int | None = None) -> Column:
     return F.floor((F.col(seq) - 1) / F.lit(chunk or CHUNK)).cast("long")
 
@@ -62,29 +66,44 @@ def spread(df: DataFrame, before: int, after: int, seq: str = "seq", chunk: int
     return df.withColumn("__chunk", F.explode(F.sequence(low.cast("long"), F.floor((at + before) / size).cast("long"))))
 
 
+def swept(
+    df: DataFrame,
+    keys: Sequence[str],
+    sums: dict[str, Column] | None = None,
+    lasts: dict[str, Column] | None = None,
+    nexts: dict[str, Column] | None = None,
+    seq: str = "seq",
+    chunk: int | None = None,
+) -> DataFrame:
+    """Add sums over all rows of the segment up to this one (nulls count as nothing), last non-null values at or before, and first ones at or after.
+
+    All are found in one pass: one aggregate by chunk, whose few numbers are
+    carried over by a table with a row for each chunk, and one join with it.
+    """
+    sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
+    df = df.withColumns({f"__v_{n}": c for n, c in (sums | lasts | nexts).items()} | {"__chunk": chunk_of(seq, chunk)})
+    known = lambda n: F.when(F.col(f"__v_{n}").isNotNull(), F.col(seq))
+    ends = df.groupBy(*keys, "__chunk").agg(
+        *[F.sum(f"__v_{n}").alias(f"__e_{n}") for n in sums], *[F.max_by(f"__v_{n}", known(n)).alias(f"__e_{n}") for n in lasts], *[F.min_by(f"__v_{n}", known(n)).alias(f"__e_{n}") for n in nexts]
+    )
+    before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy(*keys).orderBy(F.desc("__chunk")).rowsBetween(W.unboundedPreceding, -1)
+    far = ends.select(
+        *keys,
+        "__chunk",
+        *[F.coalesce(F.sum(f"__e_{n}").over(before), F.lit(0)).alias(f"__e_{n}") for n in sums],
+        *[F.last(f"__e_{n}", ignorenulls=True).over(w).alias(f"__e_{n}") for w, names in ((before, lasts), (behind, nexts)) for n in names],
+    )
+    own = W.partitionBy(*keys, "__chunk")
+    up, down = (own.orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc(seq), F.desc(seq)))
+    near = {n: F.col(f"__e_{n}") + F.coalesce(F.sum(f"__v_{n}").over(up), F.lit(0)) for n in sums}
+    near |= {n: F.coalesce(F.last(f"__v_{n}", ignorenulls=True).over(w), f"__e_{n}") for w, names in ((up, lasts), (down, nexts)) for n in names}
+    return df.join(far, [*keys, "__chunk"]).withColumns(near).drop("__chunk", *[f"__{k}_{n}" for k in "ve" for n in near])
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], value: Column, name: str, seq: str = "seq", chunk: int | None = None) -> DataFrame:
     """Add the sum of value over all rows of the segment up to this one (nulls count as nothing)."""
-    df = df.withColumn("__value", value).withColumn("__chunk", chunk_of(seq, chunk))
-    totals = df.groupBy(*keys, "__chunk").agg(F.sum("__value").alias("__total"))
-    ahead = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(*keys, "__chunk", F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__carried"))
-    own = W.partitionBy(*keys, "__chunk").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    joined = df.join(carried, [*keys, "__chunk"])
-    return joined.withColumn(name, F.col("__carried") + F.coalesce(F.sum("__value").over(own), F.lit(0))).drop("__value", "__chunk", "__carried")
-
-
-def carried(df: DataFrame, keys: Sequence[str], value: Column, name: str, ahead: bool = False, seq: str = "seq", chunk: int | None = None) -> DataFrame:
-    """Add the last non-null value at or before each row, or the first one at or after it if `ahead`."""
-    df = df.withColumn("__value", value).withColumn("__chunk", chunk_of(seq, chunk))
-    known = F.when(F.col("__value").isNotNull(), F.col(seq))
-    edge = (F.min_by if ahead else F.max_by)("__value", known)
-    ends = df.groupBy(*keys, "__chunk").agg(edge.alias("__edge"))
-    order = F.col("__chunk").desc() if ahead else F.col("__chunk").asc()
-    others = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    far = ends.select(*keys, "__chunk", F.last("__edge", ignorenulls=True).over(others).alias("__far"))
-    near = W.partitionBy(*keys, "__chunk").orderBy(F.col(seq).desc() if ahead else F.col(seq).asc()).rowsBetween(W.unboundedPreceding, 0)
-    joined = df.join(far, [*keys, "__chunk"])
-    return joined.withColumn(name, F.coalesce(F.last("__value", ignorenulls=True).over(near), "__far")).drop("__value", "__chunk", "__far")
+    return swept(df, keys, sums={name: value}, seq=seq, chunk=chunk)
 
 
 def sizes(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
@@ -99,48 +118,63 @@ def bounded(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     return guarded.drop("__size")
 
 
-def runs(df: DataFrame, keys: Sequence[str], label: str, name: str = "run", seq: str = "seq", chunk: int | None = None) -> DataFrame:
-    """Add the number, from 1, of the run of equal labels that each row is in (null equals null)."""
+def runs(df: DataFrame, keys: Sequence[str], label: str, name: str = "run", seq: str = "seq", chunk: int | None = None, place: str | None = None) -> DataFrame:
+    """Add the number, from 1, of the run of equal labels that each row is in (null equals null), and with `place` the 1-based row in the run."""
     change = lambda w: {"__new": F.when((F.col(seq) == 1) | ~F.col(label).eqNullSafe(F.lag(label).over(w)), 1).otherwise(0)}
     marked = framed(df, keys, 1, 0, change, seq, chunk)
-    return running_sum(marked, keys, F.col("__new"), name, seq, chunk).withColumn(name, F.col(name).cast("long")).drop("__new")
+    first = {"__first": F.when(F.col("__new") == 1, F.col(seq))} if place else {}
+    out = swept(marked, keys, sums={name: F.col("__new")}, lasts=first, seq=seq, chunk=chunk).withColumn(name, F.col(name).cast("long")).drop("__new")
+    return out.withColumn(place, F.col(seq) - F.col("__first") + 1).drop("__first") if place else out
 
 
-def renumber(df: DataFrame, keys: Sequence[str], run: str, name: str = "seq_in_run", seq: str = "seq") -> DataFrame:
-    """Add the 1-based number of each row in its run (a run is gapless in seq)."""
-    first = df.groupBy(*keys, run).agg(F.min(seq).alias("__first"))
-    return df.join(first, [*keys, run]).withColumn(name, F.col(seq) - F.col("__first") + 1).drop("__first")
+#: Accuracy of the sketch that bounds a quantile: what is ranked is about four parts in so many of a group.
+ACCURACY = 20_000
 
 
-#: Splitters of a quantile search: a bin holds about one part in so many of a group.
-BINS = 256
+def finite_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, __v): the finite values, computed once for all that reads them."""
+    from tidewright.session import cut
+
+    return cut(df.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("__v")))
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles of the finite values of each group; `at` gives them by output name.
 
-    Approximate splitters (a mergeable sketch) divide each group into bins,
-    bins are counted, and only the bins that hold a wanted rank are ranked.
     Groups without a finite value have no row.
     """
+    return quantiles_of(finite_values(df, keys, value), keys, at)
+
+
+def quantiles_of(rows: DataFrame, keys: Sequence[str], at: dict[str, float]) -> DataFrame:
+    """Exact quantiles of a table of values (see finite_values).
+
+    A mergeable sketch gives a value surely below and one surely above each
+    quantile; the values below are counted, and only those between are ranked.
+    So values are never shuffled but for the few that are between, of which
+    equal ones are one row. Should a bound be off, all values of its group are.
+    """
     keys = list(keys)
-    rows = df.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("__v"))
-    # equal values count once, so a frequent value doesn't fill a bin
-    rows = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__m"))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("__v", [i / BINS for i in range(1, BINS)], 4 * BINS).alias("__cuts"), F.sum("__m").alias("__n"))
-    binned = _join(rows, cuts, keys).withColumn("__bin", F.expr("size(filter(__cuts, c -> c < __v))"))
-    counts = binned.groupBy(*keys, "__bin").agg(F.sum("__m").alias("__m"), F.max("__n").alias("__n"))
-    w = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("__ahead", F.coalesce(F.sum("__m").over(w), F.lit(0)))
-    ranks = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(q)) * (F.col("__n") - 1)).alias("r")) for k, q in at.items()])
-    wanted = counts.select(*keys, "__bin", "__ahead", "__m", F.explode(ranks).alias("__w")).where("floor(__w.r) < __ahead + __m AND ceil(__w.r) >= __ahead")
-    held = binned.join(wanted.select(*keys, "__bin", "__ahead", "__w"), [*keys, "__bin"])
-    own = W.partitionBy(*keys, "__bin", "__w.k").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-    last = F.col("__ahead") + F.sum("__m").over(own) - 1  # rank of the last of the equal values
-    placed = held.withColumn("__last", last).withColumn("__first", F.col("__last") - F.col("__m") + 1)
-    low = F.min(F.when(F.expr("__first <= floor(__w.r) AND floor(__w.r) <= __last"), F.col("__v")))
-    high = F.min(F.when(F.expr("__first <= ceil(__w.r) AND ceil(__w.r) <= __last"), F.col("__v")))
-    each = placed.groupBy(*keys, F.col("__w.k").alias("__k"), F.col("__w.r").alias("__r")).agg(low.alias("__a"), high.alias("__b"))
+    points = [p for q in at.values() for p in (max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY))]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("__v", points, ACCURACY).alias("__c"), F.count("*").alias("__n"))
+    v, inf = F.col("__v"), float("inf")
+    low, high = (lambda i: F.col("__c")[2 * i]), (lambda i: F.col("__c")[2 * i + 1])
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    sums = [c.alias(f"__{s}{i}") for i in range(len(at)) for s, c in (("below", count(v < low(i))), ("upto", count(v <= high(i))))]
+    counted = _join(rows, cuts, keys).groupBy(*keys).agg(F.first("__c").alias("__c"), F.first("__n").alias("__n"), *sums)
+    wanted = []
+    for i, (name, q) in enumerate(at.items()):
+        r, below = F.lit(float(q)) * (F.col("__n") - 1), F.col(f"__below{i}")
+        sure = (below <= F.floor(r)) & (F.ceil(r) < F.col(f"__upto{i}"))
+        parts = {"lo": F.when(sure, low(i)).otherwise(-inf), "hi": F.when(sure, high(i)).otherwise(inf), "below": F.when(sure, below).otherwise(0)}
+        wanted.append(F.struct(F.lit(name).alias("k"), r.alias("r"), *[c.alias(n) for n, c in parts.items()]))
+    bounds = counted.select(*keys, F.array(*wanted).alias("__w"))
+    near = _join(rows, bounds, keys).select(*keys, "__v", F.explode("__w").alias("__w")).where((v >= F.col("__w.lo")) & (v <= F.col("__w.hi")))
+    few = near.groupBy(*keys, F.col("__w.k").alias("__k"), F.col("__w.r").alias("__r"), F.col("__w.below").alias("__below"), "__v").agg(F.count("*").alias("__m"))
+    own = W.partitionBy(*keys, "__k").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    placed = few.withColumn("__last", F.col("__below") + F.sum("__m").over(own) - 1)  # rank of the last of the equal values
+    at_rank = lambda r: F.min(F.when((F.col("__last") - F.col("__m") + 1 <= r) & (r <= F.col("__last")), v))
+    each = placed.groupBy(*keys, "__k", "__r").agg(at_rank(F.floor("__r")).alias("__a"), at_rank(F.ceil("__r")).alias("__b"))
     interpolated = F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__r") - F.floor("__r"))
     return each.groupBy(*keys).agg(*[F.max(F.when(F.col("__k") == k, interpolated)).alias(k) for k in at])
 
@@ -168,3 +202,8 @@ def _join(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 def finite(x: Column) -> Column:
     """False for null, NaN and infinities."""
     return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+
+
+def known(x: Column) -> Column:
+    """x as a double, null where it is not finite."""
+    return F.when(finite(x), x.cast("double"))

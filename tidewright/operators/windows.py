@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewright.operators.ordered import carried, chunk_of, finite, framed, renumber, running_sum, runs, spread
+from tidewright.operators.ordered import chunk_of, chunk_size, finite, framed, known, running_sum, runs, spread, swept
 
 #: From this width on, frames are differences of prefix sums in a chunk.
 PREFIX_WIDTH = 64
@@ -29,13 +29,13 @@ def reach(width: int, kind: str) -> tuple[int, int]:
 
 
 def frame_mean(df: DataFrame, keys: Sequence[str], value: Column, width: int, kind: str, name: str, seq: str = "seq") -> DataFrame:
-    """Add the mean of value over each row's frame; at the ends the frame is what there is of it.
+    """Add the mean of the finite values in each row's frame; at the ends the frame is what there is of it.
 
     Narrow frames are Spark's own. A sliding frame costs its width for every
     row, so wide ones are the difference of two prefix sums of the chunk.
     """
     before, after = reach(width, kind)
-    df = df.withColumn("__x", value)
+    df = df.withColumn("__x", known(value))
     if width < PREFIX_WIDTH:
         return framed(df, keys, before, after, lambda w: {name: F.avg("__x").over(w.rowsBetween(-before, after))}, seq).drop("__x")
 
@@ -62,16 +62,17 @@ def _two_steps(df, keys, before, after, build, seq):
 
 
 def moving_rms(df: DataFrame, keys: Sequence[str], value: Column, width: int, kind: str, name: str, seq: str = "seq") -> DataFrame:
-    """Add the root of the mean square over each row's frame."""
-    out = frame_mean(df, keys, value * value, width, kind, name, seq)
-    return out.withColumn(name, F.sqrt(F.greatest(F.col(name), F.lit(0.0))))
+    """Add the root of the mean square of the finite values in each row's frame; null where there is none."""
+    out = frame_mean(df, keys, known(value) * known(value), width, kind, name, seq)
+    return out.withColumn(name, F.sqrt(F.when(F.col(name).isNotNull(), F.greatest(F.col(name), F.lit(0.0)))))
 
 
 def edge_rms(df: DataFrame, keys: Sequence[str], value: str, width: int, name: str, seq: str = "seq") -> DataFrame:
-    """Add the local root mean square over frames of `width` rows, the first and last value standing for rows beyond the ends."""
+    """Add the local root mean square over frames of `width` rows, the first and last value standing for rows beyond the ends; a missing sample is 0."""
     left, right = (width - 1) // 2, width - 1 - (width - 1) // 2
-    ends = df.groupBy(*keys).agg(F.min_by(value, seq).alias("__head"), F.max_by(value, seq).alias("__tail"), F.count("*").alias("__n"))
-    sums = framed(df, keys, left, right, lambda w: {"__s": F.sum(F.col(value) * F.col(value)).over(w.rowsBetween(-left, right))}, seq)
+    x = F.coalesce(known(F.col(value)), F.lit(0.0))
+    ends = df.groupBy(*keys).agg(F.min_by(x, seq).alias("__head"), F.max_by(x, seq).alias("__tail"), F.count("*").alias("__n"))
+    sums = framed(df, keys, left, right, lambda w: {"__s": F.sum(x * x).over(w.rowsBetween(-left, right))}, seq)
     joined = sums.join(ends, list(keys))
     missing_head = F.greatest(F.lit(left + 1) - F.col(seq), F.lit(0))
     missing_tail = F.greatest(F.col(seq) + right - F.col("__n"), F.lit(0))
@@ -80,21 +81,21 @@ def edge_rms(df: DataFrame, keys: Sequence[str], value: str, width: int, name: s
 
 
 def same_convolution(df: DataFrame, keys: Sequence[str], value: Column, width: int, name: str, seq: str = "seq") -> DataFrame:
-    """Add the mean over frames of `width` rows, zeros standing for rows beyond the ends."""
+    """Add the mean over frames of `width` rows, zeros standing for rows beyond the ends and for missing samples."""
     before, after = reach(width, "A")
-    return framed(df, keys, before, after, lambda w: {name: F.sum(value).over(w.rowsBetween(-before, after)) / width}, seq)
+    return framed(df, keys, before, after, lambda w: {name: F.sum(F.coalesce(known(value), F.lit(0.0))).over(w.rowsBetween(-before, after)) / width}, seq)
 
 
 def smooth_by_run(df: DataFrame, keys: Sequence[str], label: str, value: Column, width: int, kind: str, name: str) -> DataFrame:
     """Add the frame mean within each run of equal labels."""
-    numbered = renumber(runs(df, keys, label), keys, "run")
+    numbered = runs(df, keys, label, place="seq_in_run")
     return frame_mean(numbered, [*keys, "run"], value, width, kind, name, "seq_in_run")
 
 
 def interpolate(df: DataFrame, keys: Sequence[str], value: str, name: str, seq: str = "seq") -> DataFrame:
     """Add value with missing samples interpolated linearly by seq, the ends held; null where a segment has no sample at all."""
     point = F.when(finite(F.col(value)), F.struct(F.col(seq).alias("s"), F.col(value).cast("double").alias("v")))
-    both = carried(carried(df, keys, point, "__a", False, seq), keys, point, "__b", True, seq)
+    both = swept(df, keys, lasts={"__a": point}, nexts={"__b": point}, seq=seq)
     a, b = F.col("__a"), F.col("__b")
     share = (F.col(seq) - a["s"]) / F.nullif(b["s"] - a["s"], F.lit(0))
     between = F.when(b["s"] == a["s"], a["v"]).otherwise(a["v"] + share * (b["v"] - a["v"]))
@@ -135,16 +136,23 @@ def crossing_frequency(df: DataFrame, keys: Sequence[str], value: str, period: i
     A crossing sets rate / (rows since the one before) from its own row on;
     before the second crossing the frequency is rate / period.
     """
-    base = frame_mean(df, keys, F.col(value), 2 * period, "causal", "__mean", seq).withColumn("__d", F.col(value) - F.col("__mean"))
+    x = known(F.col(value))
+    base = frame_mean(df, keys, x, 2 * period, "causal", "__mean", seq).withColumn("__d", x - F.col("__mean"))
     up = lambda w: {"__up": (F.lag("__d").over(w) < 0) & (F.col("__d") >= 0)}
-    marked = framed(base, keys, 1, 0, up, seq)
-    here = F.when(F.col("__up"), F.col(seq))
-    # the crossing before this row, and from it the gap at each crossing
-    before = carried(marked, keys, here, "__last", False, seq)
-    lagged = framed(before, keys, 1, 0, lambda w: {"__prior": F.lag("__last").over(w)}, seq)
+    marked = framed(base, keys, 1, 0, up, seq).withColumn("__chunk", chunk_of(seq)).withColumn("__here", F.when(F.col("__up"), F.col(seq)))
+    # the last two crossings of each chunk, carried over to the chunks after it
+    two = F.slice(F.sort_array(F.collect_list("__here"), asc=False), 1, 2)
+    ends = marked.groupBy(*keys, "__chunk").agg(two.alias("__two")).withColumns({"__z": F.get("__two", F.lit(0)), "__y": F.get("__two", F.lit(1))})
+    earlier = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("__far", F.last("__z", ignorenulls=True).over(earlier))
+    pair = F.when(F.col("__z").isNotNull(), F.struct(F.col("__z").alias("z"), F.coalesce("__y", "__far").alias("y")))
+    far = ends.select(*keys, "__chunk", F.last(pair, ignorenulls=True).over(earlier).alias("__far"))
+    own = W.partitionBy(*keys, "__chunk").orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
+    joined = marked.join(far, [*keys, "__chunk"]).withColumn("__prior", F.coalesce(F.last("__here", ignorenulls=True).over(own), "__far.z"))
     gap = F.when(F.col("__up") & F.col("__prior").isNotNull(), F.lit(float(rate)) / (F.col(seq) - F.col("__prior")))
-    held = carried(lagged, keys, gap, "__f", False, seq)
-    return held.withColumn(name, F.coalesce("__f", F.lit(float(rate) / period))).drop("__mean", "__d", "__up", "__last", "__prior", "__f")
+    before = F.when(F.col("__far.y").isNotNull(), F.lit(float(rate)) / (F.col("__far.z") - F.col("__far.y")))
+    held = joined.withColumn("__gap", gap).withColumn("__f", F.coalesce("__gap", F.last("__gap", ignorenulls=True).over(own), before))
+    return held.withColumn(name, F.coalesce("__f", F.lit(float(rate) / period))).drop("__mean", "__d", "__up", "__here", "__chunk", "__far", "__prior", "__gap", "__f")
 
 
 def cumulative_phase(df: DataFrame, keys: Sequence[str], frequency: Column, rate: float, name: str, seq: str = "seq") -> DataFrame:
@@ -224,18 +232,17 @@ def window_starts(lengths: DataFrame, n: str, seq_len: int, pred_len: int, strid
 
 
 def window_arrays(df: DataFrame, keys: Sequence[str], value: str, seq_len: int, pred_len: int, stride: int, shift: int = 0, seq: str = "seq") -> DataFrame:
-    """(keys, start, x, y): the inputs and targets of each past window, gathered from frames ahead of its first row."""
-    need = seq_len + shift + pred_len
-
-    def build(w):
-        return {
-            "x": F.collect_list(value).over(w.rowsBetween(0, seq_len - 1)),
-            "y": F.collect_list(value).over(w.rowsBetween(seq_len + shift, need - 1)),
-        }
-
-    # only rows that start a window gather one
-    starts = framed(df, keys, 0, need, build, seq).where((F.col(seq) - 1) % stride == 0)
-    return starts.where((F.size("x") == seq_len) & (F.size("y") == pred_len)).select(*keys, (F.col(seq) - 1).alias("start"), "x", "y")
+    """(keys, start, x, y): the inputs and targets of each past window; windows with a null are left out."""
+    need, size = seq_len + shift + pred_len, chunk_size()
+    # a chunk's values in order, once, with those that its last windows reach; windows are slices of that array
+    held = spread(df.select(*keys, seq, value), 0, need, seq).groupBy(*keys, "__chunk").agg(F.sort_array(F.collect_list(F.struct(seq, value))).alias("__rows"))
+    held = held.withColumn("__values", F.col(f"__rows.{value}")).withColumn("__low", F.col("__chunk") * size)
+    first = F.ceil(F.col("__low") / F.lit(stride)).cast("long") * stride
+    last = F.least(F.col("__low") + size - 1, F.col("__low") + F.size("__values") - need)
+    starts = held.where(first <= last).withColumn("start", F.explode(F.sequence(first, last, F.lit(stride).cast("long"))))
+    at = (F.col("start") - F.col("__low")).cast("int")
+    out = starts.select(*keys, "start", F.slice("__values", at + 1, F.lit(seq_len)).alias("x"), F.slice("__values", at + (seq_len + shift + 1), F.lit(pred_len)).alias("y"))
+    return out.where(~F.exists("x", lambda v: v.isNull()) & ~F.exists("y", lambda v: v.isNull()))
 
 
 def windowed_rows(df: DataFrame, width: int, stride: int, seq: str = "seq") -> DataFrame:

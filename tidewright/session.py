@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,16 +26,30 @@ def local_session(cores: str = "8", app: str = "tidewright") -> SparkSession:
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by checkpoint() in the folder of spark.checkpoint.dir.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a new one only where that is unset and the master is local, as in tests.
 
-    A folder is made only where that setting is empty, as in local tests.
+    Tables in it are read when a result is, so nothing here deletes them; the
+    folder is the job's to clear when it has ended.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(own or "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return df.checkpoint()
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = jdir.get() if jdir.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, as a table in the shared folder; this cuts its lineage, and later plans know its size."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
