@@ -156,15 +156,15 @@ def quantiles_of(rows: DataFrame, keys: Sequence[str], at: dict[str, float]) ->
     """
     keys = list(keys)
     points = [p for q in at.values() for p in (max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY))]
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("__v", points, ACCURACY).alias("__c"), F.count("*").alias("__n"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("__v", points, ACCURACY).alias("__points"), F.count("*").alias("__size"))
     v, inf = F.col("__v"), float("inf")
-    low, high = (lambda i: F.col("__c")[2 * i]), (lambda i: F.col("__c")[2 * i + 1])
+    low, high = (lambda i: F.col("__points")[2 * i]), (lambda i: F.col("__points")[2 * i + 1])
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     sums = [c.alias(f"__{s}{i}") for i in range(len(at)) for s, c in (("below", count(v < low(i))), ("upto", count(v <= high(i))))]
-    counted = _join(rows, cuts, keys).groupBy(*keys).agg(F.first("__c").alias("__c"), F.first("__n").alias("__n"), *sums)
+    counted = _join(rows, cuts, keys).groupBy(*keys).agg(F.first("__points").alias("__points"), F.first("__size").alias("__size"), *sums)
     wanted = []
     for i, (name, q) in enumerate(at.items()):
-        r, below = F.lit(float(q)) * (F.col("__n") - 1), F.col(f"__below{i}")
+        r, below = F.lit(float(q)) * (F.col("__size") - 1), F.col(f"__below{i}")
         sure = (below <= F.floor(r)) & (F.ceil(r) < F.col(f"__upto{i}"))
         parts = {"lo": F.when(sure, low(i)).otherwise(-inf), "hi": F.when(sure, high(i)).otherwise(inf), "below": F.when(sure, below).otherwise(0)}
         wanted.append(F.struct(F.lit(name).alias("k"), r.alias("r"), *[c.alias(n) for n, c in parts.items()]))
