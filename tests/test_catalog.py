@@ -2,7 +2,9 @@
 
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -47,6 +49,207 @@ def test_equals_duckdb(spark, sql, name):
                 assert cell(x) == cell(y)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - {"lyapunov_divergence"}))
-def test_others_give_rows(spark, name):
-    assert catalog.queries()[name](spark, SF).count() > 0
+def events(spark, kind="click"):
+    rows = [r for r in catalog.samples(spark, SF).where(F.col("event_type") == kind).orderBy("seq").collect()]
+    return np.array([r.value for r in rows])
+
+
+def by_seq(df, kind="click"):
+    return sorted((r for r in df.where(F.col("event_type") == kind).collect()), key=lambda r: r.seq)
+
+
+def test_analytic_signal_by_definition(spark):
+    """The analytic signal has the doubled positive half of the spectrum."""
+    x = events(spark)
+    y, n = x - x.mean(), len(x)
+    spectrum = np.fft.fft(y)
+    spectrum[1 : (n + 1) // 2] *= 2
+    spectrum[n // 2 + 1 :] = 0
+    z = np.fft.ifft(spectrum)
+    got = by_seq(catalog.queries()["hilbert_envelope"](spark, SF))
+    assert np.allclose([r.envelope for r in got], np.abs(z))
+    assert np.allclose([r.phase_cos for r in got], np.cos(np.angle(z)), atol=1e-6)
+    step = np.diff(np.unwrap(np.angle(z)), prepend=np.angle(z[:1])) * 100 / (2 * np.pi)
+    assert np.allclose([r.local_freq for r in got], np.maximum(step, 0), atol=1e-6)
+
+
+def test_blocks_of_long_segments_change_little(spark):
+    from tidewright.plans.augment import hilbert_features, sequential_features
+
+    n = 3000
+    t = np.arange(n)
+    x = np.sin(2 * np.pi * t / 24) + 0.2 * np.sin(2 * np.pi * t / 7)
+    df = spark.createDataFrame([(1, i + 1, float(v)) for i, v in enumerate(x)], "k int, seq long, x double")
+    for f, columns in ((sequential_features, ["qp_event_mask", "qp_event_prominence", "qp_band0", "qp_band1", "qp_band0_rms"]), (hilbert_features, ["envelope", "phase_sin"])):
+        args = (24.0, 100.0) if f is sequential_features else (100.0,)
+        whole, parts = (sorted(f(df, ["k"], "x", *args, **kw).collect(), key=lambda r: r.seq) for kw in ({}, {"block": 1000, "overlap": 800}))
+        assert [r.seq for r in parts] == list(range(1, n + 1))
+        inner = slice(100, n - 100)
+        for c in columns:
+            assert np.allclose([r[c] for r in whole][inner], [r[c] for r in parts][inner], atol=0.05), c
+
+
+def test_structure_scores_by_definition(spark):
+    """Of the whole horizon: dominant periods by the largest amplitude, spectra as shares, local deviations, peaks by hits."""
+    f = catalog._forecasts(catalog.samples(spark, SF)).where("event_type = 'click'").orderBy("seq").collect()
+    t, p = np.array([r.y for r in f]), np.array([r.p for r in f])
+    got = catalog.queries()["forecast_structure"](spark, SF).where("event_type = 'click'").orderBy("horizon").collect()
+    assert len(got) == -(-f[-1].seq // 2000) == 1
+    amp = [np.abs(np.fft.rfft(x - x.mean())) for x in (t, p)]
+    for a in amp:
+        a[0] = 0
+    k = [int(a.argmax()) for a in amp]
+    assert got[0].dominant_period_true_samples == pytest.approx(len(t) / k[0]) and got[0].dominant_period_pred_samples == pytest.approx(len(t) / k[1])
+    assert got[0].dominant_energy_ratio_true == pytest.approx(amp[0].max() / amp[0].sum())
+    assert got[0].spectral_energy_l1 == pytest.approx(np.abs(amp[0] / amp[0].sum() - amp[1] / amp[1].sum()).sum())
+    width = max(3, round(len(t) / k[0] / 4))
+    left = (width - 1) // 2
+
+    def local(x):
+        x = x - x.mean()
+        return np.array([np.sqrt(np.mean([x[min(max(j, 0), len(x) - 1)] ** 2 for j in range(i - left, i - left + width)])) for i in range(len(x))])
+
+    assert got[0].envelope_mae == pytest.approx(np.abs(local(p) - local(t)).mean())
+    assert got[0].peak_count_error == got[0].peak_count_pred - got[0].peak_count_true and 0 <= got[0].peak_hit_rate <= 1
+
+
+def smooth_l1(d, beta):
+    return np.mean([0.5 * v * v / beta if abs(v) < beta else abs(v) - 0.5 * beta for v in d])
+
+
+def test_shape_and_hybrid_losses_by_definition(spark):
+    from tidewright.operators import forecast as FC
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 1, 12).tolist(), rng.normal(0, 1, 16).tolist(), rng.normal(0, 1, 16).tolist()) for i in range(5)]
+    w = spark.createDataFrame(rows, "i int, x array<double>, y array<double>, pred array<double>")
+    shape = {r.i: r for r in FC.shape_losses(w, ["i"]).collect()}
+    hybrid = {r.i: r for r in FC.hybrid_loss(w, ["i"], phase=0.5).collect()}
+    for i, x, t, p in rows:
+        x, t, p = map(np.array, (x, t, p))
+        assert shape[i].derivative == pytest.approx(smooth_l1(np.diff(p) - np.diff(t), 0.3))
+        assert shape[i].correlation == pytest.approx(1 - np.corrcoef(p, t)[0, 1])
+        assert shape[i].spectrum == pytest.approx(np.mean(np.abs(np.log1p(np.abs(np.fft.rfft(p))) - np.log1p(np.abs(np.fft.rfft(t))))))
+        assert shape[i].multiscale == pytest.approx(np.mean([smooth_l1(p.reshape(-1, s).mean(1) - t.reshape(-1, s).mean(1), 0.3) for s in (2, 4, 8)]))
+        fp, ft = np.fft.rfft(p), np.fft.rfft(t)
+        parts = [np.abs(p - t).mean(), np.mean((np.diff(p) - np.diff(t)) ** 2), np.mean(np.abs(np.abs(fp) - np.abs(ft))) + 0.5 * np.mean(np.abs(np.angle(fp / ft))), (p[0] - 2 * x[-1] + x[-2]) ** 2]
+        assert [hybrid[i].level, hybrid[i].slope, hybrid[i].spectrum, hybrid[i].boundary] == pytest.approx(parts)
+        assert hybrid[i].hybrid == pytest.approx(parts[0] + parts[1] + 0.1 * parts[2] + 5 * parts[3])
+    with pytest.raises(Exception, match="a forecast of 2 steps for 16"):
+        FC.aligned(w.withColumn("pred", F.slice("pred", 1, 2))).collect()
+
+
+def test_strongest_bins_by_definition(spark):
+    rows = catalog.queries()["strongest_bins"](spark, SF).limit(20).collect()
+    for r in rows:
+        x = np.array(r.season) + np.array(r.trend)
+        f = np.fft.rfft(x)
+        amp = np.abs(f)
+        amp[0] = 0
+        for i in range(len(f)):
+            if amp[i] <= sorted(amp, reverse=True)[4]:
+                f[i] = 0
+        assert np.allclose(r.season, np.fft.irfft(f, n=len(x)), atol=1e-8)
+
+
+def test_spectral_window_features_by_definition(spark):
+    x = events(spark)
+    got = {r.win: r for r in catalog.queries()["spectral_window_features"](spark, SF).where("event_type = 'click'").collect()}
+    for win in (0, 1):
+        y = x[64 * win : 64 * win + 128]
+        n = len(y)
+        hann = [0.5 - 0.5 * np.cos(2 * np.pi * i / (n - 1)) for i in range(n)]
+        power = np.array([abs(sum((y[i] - y.mean()) * hann[i] * np.exp(-2j * np.pi * k * i / n) for i in range(n))) ** 2 for k in range(n // 2 + 1)])
+        power[0] = 0
+        freq = np.arange(n // 2 + 1) * 100 / n
+        assert got[win].dom_freq == pytest.approx(freq[power.argmax()]) and got[win].dom_ratio == pytest.approx(power.max() / power.sum())
+        assert got[win].centroid == pytest.approx((freq * power).sum() / power.sum())
+        assert got[win].band0_ratio == pytest.approx(power[(freq >= 1) & (freq <= 10)].sum() / power.sum())
+
+
+def test_divergence_by_definition(spark):
+    """With a sample of everything: mean log distance of each place and its nearest neighbour, k rows later."""
+    from tidewright.operators import dynamics as D
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, 120)
+    df = spark.createDataFrame([("a", i + 1, float(v)) for i, v in enumerate(x)] + [("b", i + 1, float(-2 * v)) for i, v in enumerate(x)], "g string, seq long, x double")
+    got = {(r.g, r.k): r.divergence for r in D.divergence(df, "x", 2, 1, 5, 4, 0, 0, keys=("g",)).collect()}
+    e = np.array([x[i : i + 2] for i in range(len(x) - 1 - 5)])
+    near = [min((float(((e[i] - e[j]) ** 2).sum()), j) for j in range(len(e)) if abs(i - j) > 4)[1] for i in range(len(e))]
+    for k in range(6):
+        dist = [np.linalg.norm(x[i + k : i + k + 2] - x[j + k : j + k + 2]) for i, j in enumerate(near)]
+        assert got["a", k] == pytest.approx(np.mean(np.log(np.maximum(dist, 1e-12)))) and got["b", k] == pytest.approx(got["a", k] + np.log(2))
+
+
+def test_linear_forecasts_and_clusters_of_the_queries(spark):
+    rows = catalog.queries()["dlinear_forecast"](spark, SF).collect()
+    assert rows and all(len(r.pred) == len(r.y) == 8 and np.isfinite(r.pred).all() for r in rows)
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    own = {r.vec_id: r.cluster for r in catalog.queries()["kmeans_windows"](spark, SF).collect()}
+    x = np.stack(e["embedding"].to_list()).astype(float)
+    x = (x - x.mean(0)) / x.std(0)
+    c = np.array([own[i] for i in e["vec_id"]])
+    centres = np.stack([x[c == k].mean(0) for k in sorted(set(c))])
+    near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert len(own) == len(e) and np.mean(np.array(sorted(set(c)))[near] == c) > 0.95
+    sweep = {r.k: r for r in catalog.queries()["cluster_sweep"](spark, SF).collect()}
+    assert sorted(sweep) == [2, 3, 4] and all(-1 <= r.silhouette <= 1 and r.n_windows == len(e) for r in sweep.values())
+
+
+def test_sequential_modules_of_the_queries(spark):
+    """Band-pass by the difference equation of each section, peaks that are local maxima of enough prominence."""
+    from tidewright.functions import kernels as K
+
+    x = events(spark)
+    got = by_seq(catalog.queries()["event_and_band_features"](spark, SF))
+    low, high = K.relative_bands(100 / 24, 100.0)[1]
+    y = x.copy()
+    for b, a in K.band_sections(low / 50, high / 50):
+        out = np.zeros(len(y))
+        for i in range(len(y)):
+            out[i] = sum(b[j] * y[i - j] for j in range(3) if i >= j) - sum(a[j] * out[i - j] for j in (1, 2) if i >= j)
+        y = out
+    assert np.allclose([r.qp_band1 for r in got], y)
+    peaks = [r.seq - 1 for r in got if r.qp_event_mask]
+    assert peaks and all(x[i] >= x[i - 1] and x[i] >= x[i + 1] for i in peaks) and min(np.diff(peaks)) >= round(0.35 * 24)
+    table = by_seq(catalog.queries()["augmented_table"](spark, SF))
+    assert [r.qp_band1 for r in table] == pytest.approx([r.qp_band1 for r in got]) and {r.qp_signal_type_id for r in table} == {-1}
+
+
+def test_peak_spacing_by_the_plain_rule(spark):
+    s = catalog.samples(spark, SF).where("event_type = 'click'").orderBy("seq").collect()
+    v = [r.value for r in s]
+    peaks = [i for i in range(1, len(v) - 1) if v[i] > v[i - 1] and v[i] >= v[i + 1]]
+    kept = []
+    for i in sorted(peaks, key=lambda i: (-v[i], -i)):
+        if all(abs(i - k) >= 12 for k in kept):
+            kept.append(i)
+    got = catalog.queries()["peak_spacing"](spark, SF).where("event_type = 'click'").collect()
+    assert sorted(r.seq - 1 for r in got) == sorted(kept)
+
+
+def test_false_neighbours_by_definition(spark):
+    from tidewright.operators import dynamics as D
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, 80)
+    df = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(x)], "seq long, x double")
+    _, curve = D.false_neighbours(df, "x", 1, 3, 0.0, 3, 0, 0)
+    for dim, ratio in curve:
+        e = np.array([x[i : i + dim] for i in range(len(x) - dim)])
+        false = []
+        for i in range(len(e)):
+            d2, j = min((float(((e[i] - e[j]) ** 2).sum()), j) for j in range(len(e)) if abs(i - j) > 3)
+            base, extra = np.sqrt(max(d2, 1e-12)), abs(x[i + dim] - x[j + dim])
+            false.append(extra / base > 10 or np.hypot(base, extra) / x.std() > 2)
+        assert ratio == pytest.approx(np.mean(false))
+
+
+def test_reports_and_plans_have_their_rows(spark):
+    lines = sorted(tuple(r) for r in catalog.queries()["profile_report"](spark, SF).collect())
+    assert lines[0][1].startswith("| signal_type | segments |") and set(lines[1][1]) == set("|-") and len(lines) >= 3
+    plan = catalog.queries()["recommend_configuration"](spark, SF).collect()
+    assert plan and all(r.seq_len >= 16 and r.pred_len >= 1 and r.stride >= 1 for r in plan)
+    kept = catalog.queries()["prepare_records"](spark, SF).collect()
+    assert {r.split for r in kept} == {"train", "val", "test"} and all(r.time == pytest.approx((r.seq - 1) / 5) for r in kept)

@@ -189,10 +189,10 @@ def test_neighbour_queries_take_the_reference_sample(spark, tmp_path, monkeypatc
 def test_event_features(spark):
     x = np.zeros(200)
     x[[40, 90, 140]] = [5, 6, 5]
-    found = augment.events(x, 50)
+    found = augment.events(x, 50, 0.0, float(x.std()))
     assert np.flatnonzero(found["mask"]).tolist() == [40, 90, 140]
     assert found["proximity"][90] == 1 and 0 <= found["proximity"].min()
-    assert augment.relative_bands(1.0, 100.0) == [(0.5, 1.5), (1.5, 3.0), (3.0, 6.0)]
+    assert K.relative_bands(1.0, 100.0) == [(0.5, 1.5), (1.5, 3.0), (3.0, 6.0)]
 
 
 def test_silhouette_by_definition(spark):

@@ -380,11 +380,11 @@ def huber_and_weighted(s):
 
 
 @query(
-    """, h AS (SELECT event_type, seq, value < 150 AS ok FROM s WHERE seq <= 200)
+    """, h AS (SELECT event_type, seq, value < 150 AS ok FROM s)
 SELECT event_type, coalesce(min(CASE WHEN NOT ok THEN seq END) - 1, max(seq)) AS horizon FROM h GROUP BY event_type"""
 )
 def prefix_horizon(s):
-    return A.prefix_horizon(s.where("seq <= 200"), KEY, "seq", F.col("value") < 150, "horizon")
+    return A.prefix_horizon(s, KEY, "seq", F.col("value") < 150, "horizon")
 
 
 _WIDE = ", w AS (SELECT seq, max(CASE WHEN event_type = 'click' THEN value END) AS c0, max(CASE WHEN event_type = 'view' THEN value END) AS c1, max(CASE WHEN event_type = 'error' THEN value END) AS c2 FROM s GROUP BY seq), v AS (SELECT * FROM w WHERE c0 IS NOT NULL AND c1 IS NOT NULL AND c2 IS NOT NULL)"
@@ -548,13 +548,13 @@ def profile_fallback(s):
 
 
 @query(
-    """, e AS (SELECT seq - 1 AS i, value AS a, lead(value, 2) OVER (ORDER BY seq) AS b FROM s WHERE event_type = 'click'), v AS (SELECT * FROM e WHERE b IS NOT NULL),
-r AS (SELECT * FROM v WHERE i % 9 = 0), d AS (SELECT r.i AS start, c.i AS j, (r.a - c.a) * (r.a - c.a) + (r.b - c.b) * (r.b - c.b) AS d2 FROM r JOIN v c ON abs(r.i - c.i) > 5),
-k AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY d2, j) AS n FROM d) SELECT start, j AS neighbour, round(d2, 6) AS d2 FROM k WHERE n = 1"""
+    """, e AS (SELECT event_type, seq - 1 AS i, value AS a, lead(value, 2) OVER (PARTITION BY event_type ORDER BY seq) AS b FROM s), v AS (SELECT * FROM e WHERE b IS NOT NULL),
+d AS (SELECT r.event_type, r.i AS start, min({'d2': (r.a - c.a) * (r.a - c.a) + (r.b - c.b) * (r.b - c.b), 'j': c.i}) AS n FROM v r JOIN v c ON r.event_type = c.event_type AND abs(r.i - c.i) > 5 GROUP BY r.event_type, r.i)
+SELECT event_type, start, n.j AS neighbour, round(n.d2, 6) AS d2 FROM d"""
 )
 def nn_theiler(s):
-    points = WN.delay_embedding(s.where("event_type = 'click'"), [], "value", 2, 2).select((F.col("seq") - 1).alias("start"), "embedding")
-    return J.nearest_neighbours(points.where("start % 9 = 0"), points, 5).select("start", "neighbour", r6("d2", "d2"))
+    points = WN.delay_embedding(s, KEY, "value", 2, 2).select(*KEY, (F.col("seq") - 1).alias("start"), "embedding")
+    return J.nearest_neighbours(points, points, 5, keys=KEY).select(*KEY, "start", "neighbour", r6("d2", "d2"))
 
 
 @query(
@@ -595,11 +595,11 @@ def nearest_peak(s):
 
 
 @query(
-    """ SELECT 'a_' || event_type AS segment_id, seq, value FROM s WHERE seq <= 50 UNION ALL SELECT 'b_' || event_type, seq, value FROM s WHERE seq > 50 AND seq <= 80"""
+    """ SELECT 'a_' || event_type AS segment_id, seq, value FROM s WHERE value < 60 UNION ALL SELECT 'b_' || event_type, seq, value FROM s WHERE value >= 60"""
 )
 def union_segments(s):
     t = s.select(F.col("event_type").alias("segment_id"), "seq", "value")
-    return J.union_segments({"a": t.where("seq <= 50"), "b": t.where("seq > 50 AND seq <= 80")})
+    return J.union_segments({"a": t.where("value < 60"), "b": t.where("value >= 60")})
 
 
 @query(", k AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY seq) AS n FROM s) SELECT event_type, user_id, seq, value FROM k WHERE n = 1")
@@ -607,22 +607,30 @@ def dedup_first(s):
     return J.first_per_key(s.select(*KEY, "user_id", "seq", "value"), [*KEY, "user_id"], "seq")
 
 
+#: The embeddings in SQL, one row for each vector and dimension.
+VECTORS = "WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS e, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT label, i, avg(e) AS ce FROM x GROUP BY label, i)"
+DIMENSIONS = [f"e{i}" for i in range(64)]
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, label and the 64 dimensions of the embeddings as columns."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(DIMENSIONS)])
+
+
 @query(
-    """ , c AS (SELECT label, avg(embedding[1]) AS a, avg(embedding[2]) AS b FROM embeddings GROUP BY label),
-d AS (SELECT vec_id, label, sqrt((embedding[1] - a) * (embedding[1] - a) + (embedding[2] - b) * (embedding[2] - b)) AS distance FROM embeddings JOIN c USING (label)),
-k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM d) SELECT vec_id, label, round(distance, 5) AS distance, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5""".replace(" , c AS", "WITH c AS", 1),
-    source=None,
+    f"""{VECTORS}, d AS (SELECT vec_id, label, sqrt(sum((e - ce) * (e - ce))) AS distance FROM x JOIN c USING (label, i) GROUP BY vec_id, label),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM d) SELECT vec_id, label, round(distance, 5) AS distance, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5""",
+    source=vectors,
 )
-def topk_nearest(spark, sf_dir):
+def topk_nearest(e):
     from tidewright.operators.clusters import nearest_examples
 
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    flat = e.select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return nearest_examples(flat, ["x", "y"], "label", "vec_id", 5).select("vec_id", "label", F.round("distance", 5).alias("distance"), "rank")
+    return nearest_examples(e, DIMENSIONS, "label", "vec_id", 5).select("vec_id", "label", F.round("distance", 5).alias("distance"), "rank")
 
 
-_METRICS = """WITH m AS (SELECT o_orderkey AS run, o_totalprice / 1000 AS mse, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_orderkey % 100) / 100.0::DOUBLE END AS pearson FROM orders WHERE o_orderkey % 50 = 0),
-a AS (SELECT o_orderkey AS run, o_orderpriority AS model, o_orderkey % 300 AS pred_len FROM orders WHERE o_orderkey % 100 = 0)"""
+_METRICS = """WITH m AS (SELECT o_orderkey AS run, o_totalprice / 1000 AS mse, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_orderkey % 100) / 100.0::DOUBLE END AS pearson FROM orders),
+a AS (SELECT o_orderkey AS run, o_orderpriority AS model, o_orderkey % 300 AS pred_len FROM orders WHERE o_orderstatus <> 'F')"""
 
 
 @query(
@@ -633,8 +641,8 @@ SELECT run, round(mse, 6) AS mse, model, run IN (SELECT run FROM b) AS best FROM
 def best_run(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     n = F.col("o_orderkey")
-    m = o.where(n % 50 == 0).select(n.alias("run"), (F.col("o_totalprice") / 1000).alias("mse"), F.when(n % 9 == 0, None).otherwise(n % 100 / 100).alias("pearson"))
-    a = o.where(n % 100 == 0).select(n.alias("run"), F.col("o_orderpriority").alias("model"), (n % 300).alias("pred_len"))
+    m = o.select(n.alias("run"), (F.col("o_totalprice") / 1000).alias("mse"), F.when(n % 9 == 0, None).otherwise(n % 100 / 100).alias("pearson"))
+    a = o.where("o_orderstatus <> 'F'").select(n.alias("run"), F.col("o_orderpriority").alias("model"), (n % 300).alias("pred_len"))
     return FC.best_run(m, a, "run", 0.2, 400.0).select("run", r6("mse", "mse"), "model", "best")
 
 
@@ -656,15 +664,16 @@ def choose_delay(s):
 
 
 @query(
-    """, x AS (SELECT seq - 1 AS i, value AS v FROM s WHERE event_type = 'click'), n AS (SELECT count(*) AS n FROM x), e AS (SELECT a.i, a.v AS p, b.v AS q FROM x a JOIN x b ON b.i = a.i + 2, n WHERE a.i + 2 + 6 < n.n),
-d AS (SELECT r.i, c.i AS j, (r.p - c.p) * (r.p - c.p) + (r.q - c.q) * (r.q - c.q) AS d2 FROM e r JOIN e c ON abs(r.i - c.i) > 4), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS o FROM d),
-h AS (SELECT i, j, unnest([1, 2, 3, 4, 5, 6]) AS horizon FROM k WHERE o = 1),
-y AS (SELECT horizon, b.v - a.v AS err, z.v - a.v AS naive FROM h JOIN x a ON a.i = h.i + 2 + horizon JOIN x b ON b.i = h.j + 2 + horizon JOIN x z ON z.i = h.i + 2)
-SELECT CAST(horizon AS INT) AS horizon, round(sqrt(avg(err * err)), 6) AS rmse, round(sqrt(avg(naive * naive)), 6) AS persistence_rmse, round(1 - sqrt(avg(err * err)) / sqrt(avg(naive * naive)), 6) AS skill FROM y GROUP BY horizon"""
+    """, x AS (SELECT event_type AS g, seq - 1 AS i, value AS v FROM s), n AS (SELECT g, count(*) AS n FROM x GROUP BY g),
+e AS (SELECT a.g, a.i, a.v AS p, b.v AS q FROM x a JOIN x b ON a.g = b.g AND b.i = a.i + 2 JOIN n ON n.g = a.g WHERE a.i + 2 + 6 < n.n),
+d AS (SELECT r.g, r.i, min({'d2': (r.p - c.p) * (r.p - c.p) + (r.q - c.q) * (r.q - c.q), 'j': c.i}).j AS j FROM e r JOIN e c ON r.g = c.g AND abs(r.i - c.i) > 4 GROUP BY r.g, r.i),
+h AS (SELECT g, i, j, unnest([1, 2, 3, 4, 5, 6]) AS horizon FROM d),
+y AS (SELECT h.g, horizon, b.v - a.v AS err, z.v - a.v AS naive FROM h JOIN x a ON a.g = h.g AND a.i = h.i + 2 + horizon JOIN x b ON b.g = h.g AND b.i = h.j + 2 + horizon JOIN x z ON z.g = h.g AND z.i = h.i + 2)
+SELECT g AS event_type, CAST(horizon AS INT) AS horizon, round(sqrt(avg(err * err)), 6) AS rmse, round(sqrt(avg(naive * naive)), 6) AS persistence_rmse, round(1 - sqrt(avg(err * err)) / sqrt(avg(naive * naive)), 6) AS skill FROM y GROUP BY g, horizon"""
 )
 def analog_curve(s):
-    c = D.analog_curve(s.where("event_type = 'click'"), "value", 2, 2, 6, 4, 0, 0)
-    return c.select("horizon", *[r6(n, n) for n in ("rmse", "persistence_rmse", "skill")])
+    c = D.analog_curve(s, "value", 2, 2, 6, 4, 0, 0, keys=tuple(KEY))
+    return c.select(*KEY, "horizon", *[r6(n, n) for n in ("rmse", "persistence_rmse", "skill")])
 
 
 _WIN = ", w AS (SELECT event_type, seq - 1 AS start, list(value) OVER (PARTITION BY event_type ORDER BY seq ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS x, count(*) OVER (PARTITION BY event_type) AS n FROM s), v AS (SELECT * FROM w WHERE start % 16 = 0 AND start + 40 <= n)"
@@ -831,21 +840,17 @@ def joint_features(s):
 def value_histogram(s):
     from tidewright.sources.sinks import histogram
 
-    parts = [histogram(s.where(F.col("event_type") == k), "value", 0.0, 500.0).withColumn("event_type", F.lit(k)) for k in ("click", "error", "purchase", "signup", "view")]
-    out_ = parts[0]
-    for p in parts[1:]:
-        out_ = out_.unionByName(p)
-    return out_
+    return histogram(s, "value", 0.0, 500.0, keys=KEY)
 
 
 @query(
-    """, x AS (SELECT seq, value, row_number() OVER (ORDER BY seq) - 1 AS i FROM s WHERE event_type = 'click' AND gappy IS NOT NULL)
-SELECT CAST((i - 10) // 3 + 1 AS BIGINT) AS seq, value FROM x WHERE i >= 10 AND (i - 10) % 3 = 0 AND (i - 10) // 3 < 50"""
+    """, x AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM s WHERE gappy IS NOT NULL)
+SELECT CAST((i - 10) // 3 + 1 AS BIGINT) AS seq, value FROM x WHERE i >= 10 AND (i - 10) % 3 = 0"""
 )
 def scalar_series(s):
     from tidewright.sources.readers import scalar_series as series
 
-    return series(s.where("event_type = 'click'").withColumn("v", F.col("gappy").cast("string")), "v", start=10, every=3, most=50, least=20)
+    return series(s.withColumn("v", F.col("gappy").cast("string")), "v", "event_id", start=10, every=3, least=20)
 
 
 @query(" SELECT event_type, user_id % 4 AS signal, count(*) AS n FROM s GROUP BY event_type, user_id % 4")
@@ -894,13 +899,6 @@ def recommend_configuration(s):
     return experiment_plan(configuration(p, ["kind"], 4), "kind")
 
 
-@query()
-def augment_envelope(s):
-    from tidewright.plans.augment import envelope_frequency
-
-    return envelope_frequency(s.select(*KEY, "seq", "value"), KEY, "value", 24.0, 100.0)
-
-
 @query()
 def event_and_band_features(s):
     from tidewright.plans.augment import sequential_features
@@ -918,8 +916,8 @@ def hilbert_envelope(s):
 @query()
 def dlinear_forecast(s):
     w = _windows(s)
-    weights = FC.fit_dlinear(w.where("start < 1000"), 32, 8, 9)
-    return FC.predict_dlinear(w, weights, 9)
+    train = w.join(sizes(s, KEY), KEY).where("start + 40 <= 0.7 * n").drop("n")  # windows within the training rows
+    return FC.predict_dlinear(w, FC.fit_dlinear(train, 32, 8, 9), 9)
 
 
 @query()
@@ -936,16 +934,7 @@ def forecast_shape_losses(s):
 
 @query()
 def lyapunov_divergence(s):
-    d = D.divergence(s.where("event_type = 'click'"), "value", 2, 1, 8, 5, *NEIGHBOUR_SAMPLE)
-    return d
-
-
-@query()
-def window_features(s):
-    from tidewright.operators.clusters import window_features as features
-
-    rows = WN.windowed_rows(s, 100, 50).withColumn("channel", F.col("user_id") % 3)
-    return features(rows, [*KEY, "win"], "channel", "value", "seq")
+    return D.divergence(s, "value", 2, 1, 8, 5, *NEIGHBOUR_SAMPLE, keys=tuple(KEY))
 
 
 @query()
@@ -963,44 +952,35 @@ def prepare_records(s):
     return prepare(s.select(*KEY, "seq", "gappy"), KEY, "gappy", settings)[0]
 
 
-@query()
-def dominant_period(s):
-    from tidewright.plans.profile import periodogram
-
-    return periodogram(s, KEY, "value", 100.0)
-
-
 @query()
 def false_neighbour_dimension(s):
-    d, curve = D.false_neighbours(s.where("event_type = 'click'"), "value", 1, 4, 0.05, 5, *NEIGHBOUR_SAMPLE)
+    # all events in the order of their ids are one series
+    whole = number(s.select("event_id", "value").withColumn("all", F.lit(0)), ["all"], ["event_id"], F.floor(F.col("event_id") / 65536))
+    d, curve = D.false_neighbours(whole, "value", 1, 4, 0.05, 5, *NEIGHBOUR_SAMPLE)
     return s.sparkSession.createDataFrame([(k, float(r), k == d) for k, r in curve], "dim int, ratio double, selected boolean")
 
 
-@query(source=None)
-def kmeans_windows(spark, sf_dir):
+@query(source=vectors)
+def kmeans_windows(e):
     from tidewright.operators.clusters import kmeans, standardised_features
 
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    cols = [f"e{i}" for i in range(8)]
-    flat = e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    return kmeans(standardised_features(flat, cols), cols, 8, [1, 2])[0].select("vec_id", "cluster")
+    return kmeans(standardised_features(e, DIMENSIONS), DIMENSIONS, 8, [1, 2])[0].select("vec_id", "cluster")
 
 
 @query(
-    """WITH x AS (SELECT label AS cluster, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), c AS (SELECT cluster, avg(a) AS ca, avg(b) AS cb, count(*) AS n FROM x GROUP BY cluster),
-g AS (SELECT avg(a) AS ga, avg(b) AS gb, count(*) AS n FROM x), d AS (SELECT cluster, (a - ca) * (a - ca) + (b - cb) * (b - cb) AS d2 FROM x JOIN c USING (cluster)),
-w AS (SELECT cluster, sum(d2) AS w, avg(sqrt(d2)) AS s FROM d GROUP BY cluster), o AS (SELECT c.*, w.w, w.s FROM c JOIN w USING (cluster)),
-r AS (SELECT p.cluster, max((p.s + q.s) / sqrt((p.ca - q.ca) * (p.ca - q.ca) + (p.cb - q.cb) * (p.cb - q.cb))) AS r FROM o p JOIN o q ON p.cluster <> q.cluster GROUP BY p.cluster)
-SELECT round((SELECT sum(o.n * ((ca - ga) * (ca - ga) + (cb - gb) * (cb - gb))) FROM o, g) * (any_value(g.n) - (SELECT count(*) FROM o)) / ((SELECT sum(w) FROM o) * ((SELECT count(*) FROM o) - 1)), 4) AS calinski_harabasz,
-  round((SELECT avg(r) FROM r), 4) AS davies_bouldin FROM g""",
-    source=None,
+    f"""{VECTORS}, g AS (SELECT i, avg(e) AS ge FROM x GROUP BY i), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+d AS (SELECT vec_id, label, sum((e - ce) * (e - ce)) AS d2 FROM x JOIN c USING (label, i) GROUP BY vec_id, label), w AS (SELECT label, sum(d2) AS w, avg(sqrt(d2)) AS s FROM d GROUP BY label),
+b AS (SELECT label, sum((ce - ge) * (ce - ge)) AS b FROM c JOIN g USING (i) GROUP BY label), k AS (SELECT count(*) AS k, sum(n) AS n FROM n),
+p AS (SELECT x.label, y.label AS other, sqrt(sum((x.ce - y.ce) * (x.ce - y.ce))) AS m FROM c x JOIN c y ON x.i = y.i AND x.label <> y.label GROUP BY x.label, y.label),
+r AS (SELECT p.label, max((u.s + v.s) / m) AS r FROM p JOIN w u ON u.label = p.label JOIN w v ON v.label = p.other GROUP BY p.label)
+SELECT round((SELECT sum(n.n * b.b) FROM b JOIN n USING (label)) * (k.n - k.k) / ((SELECT sum(w) FROM w) * (k.k - 1)), 4) AS calinski_harabasz, round((SELECT avg(r) FROM r), 4) AS davies_bouldin FROM k""",
+    source=vectors,
 )
-def cluster_scores(spark, sf_dir):
+def cluster_scores(e):
     from tidewright.operators.clusters import scatter
 
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    flat = e.select(F.col("label").alias("cluster"), F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    return scatter(flat, ["a", "b"]).select(F.round("calinski_harabasz", 4).alias("calinski_harabasz"), F.round("davies_bouldin", 4).alias("davies_bouldin"))
+    found = scatter(e.withColumnRenamed("label", "cluster"), DIMENSIONS)
+    return found.select(F.round("calinski_harabasz", 4).alias("calinski_harabasz"), F.round("davies_bouldin", 4).alias("davies_bouldin"))
 
 
 @query(source=None)
@@ -1028,10 +1008,13 @@ def windowed_stats(s):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tidewright import catalog_more  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from tidewright.functions import kernels
 from tidewright.operators.aggregates import moments, window_shape
 from tidewright.operators.ordered import finite
-from tidewright.session import ship_package
+from tidewright.session import cut, ship_package
 
 
 def window_features(rows: DataFrame, keys: Sequence[str], channel: str, value: str, time_order: str) -> DataFrame:
@@ -59,7 +59,7 @@ def standardised_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[int] = range(5), name: str = "cluster") -> tuple[DataFrame, float]:
     """df with the cluster of the best of several seeded runs, and its cost."""
-    vectors = df.withColumn("__v", array_to_vector(F.array(*columns)))
+    vectors = cut(df).withColumn("__v", array_to_vector(F.array(*columns)))  # each iteration reads it
     best = None
     for seed in seeds:
         model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol=name).fit(vectors)
@@ -146,3 +146,49 @@ def best_k(scores: DataFrame) -> DataFrame:
 def cluster_summary(df: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:
     """Count, and mean and population std of each column, by cluster."""
     return df.groupBy(cluster).agg(F.count("*").alias("n"), *[a for c in columns for a in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))])
+
+
+def k_values(text: str) -> list[int]:
+    """Cluster numbers of a text such as "2-5, 7"; those below 2 are left out."""
+    spans = [p.partition("-") for p in text.replace(" ", "").split(",") if p]
+    found = {k for a, _, b in spans for k in range(int(a), int(b or a) + 1) if k >= 2}
+    if not found:
+        raise ValueError("no number of clusters of 2 or more")
+    return sorted(found)
+
+
+def band_ranges(text: str) -> list[tuple[float, float]]:
+    """Frequency bands of a text such as "50-500, 500-2000"; empty or negative ones are left out."""
+    pairs = [p.partition("-")[::2] for p in text.replace(" ", "").split(",") if p]
+    return [(float(a), float(b)) for a, b in pairs if float(b) > float(a) >= 0]
+
+
+def sweep(df: DataFrame, id: str, columns: Sequence[str], ks: Sequence[int], seeds: Sequence[int] = range(5), sample: int = 5000, examples: int = 2) -> dict[str, DataFrame]:
+    """K-means for each k: scores, labels (id, k, cluster), the best k, and of it summary, features that separate and nearest examples.
+
+    Features are scaled and written once. The silhouette is that of `sample`
+    rows by a hash of the id; the other scores are of all rows.
+    """
+    own = cut(standardised_features(df.select(id, *columns), columns))
+    n = own.count()
+    scores, labels, found = None, None, {}
+    for k in [k for k in ks if k < n]:
+        found[k] = kmeans(own, columns, k, seeds)[0]
+        lot = found[k].withColumn("__lot", F.xxhash64(F.col(id))).orderBy("__lot").limit(min(sample, SILHOUETTE_ROWS))
+        one = scatter(found[k], columns).crossJoin(F.broadcast(silhouette(lot, columns)))
+        one = one.select(F.lit(k).alias("k"), F.lit(n).cast("long").alias("n_windows"), "silhouette", "calinski_harabasz", "davies_bouldin")
+        scores = one if scores is None else scores.union(one)
+        named = found[k].select(id, F.lit(k).alias("k"), "cluster")
+        labels = named if labels is None else labels.union(named)
+    if scores is None:
+        raise ValueError("no number of clusters below the number of rows")
+    scores = cut(scores)
+    best = best_k(scores)
+    k = best.first()["k"]
+    plain = df.select(id, *columns).join(found[k].select(id, "cluster"), id)
+    from tidewright.operators.aggregates import separating_features
+
+    return {
+        "scores": scores, "labels": labels, "best": best, "summary": cluster_summary(plain, columns),
+        "features": separating_features(found[k], "cluster", columns), "examples": nearest_examples(found[k], columns, "cluster", id, examples),
+    }

@@ -63,21 +63,23 @@ def theiler_window(period: float | None, tau: int) -> int:
     return max(round(period), 2 * tau) if period else max(10, 2 * tau)
 
 
-def neighbour_pairs(series: DataFrame, value: str, dim: int, tau: int, future: int, theiler: int, refs: int, candidates: int, seq: str = "seq") -> DataFrame:
-    """(start, neighbour, d2, n) of embedded places (0-based) with `future` rows after them; references and candidates are evenly spaced samples."""
-    points = cut(delay_embedding(series, [], value, dim, tau, future, seq).select((F.col(seq) - 1).alias("start"), "embedding"))
-    n = points.count()
-    sample = lambda k: points.where(subsample(F.lit(n), F.col("start"), k))
-    return nearest_neighbours(sample(refs), sample(candidates), theiler)
+def neighbour_pairs(series: DataFrame, value: str, dim: int, tau: int, future: int, theiler: int, refs: int, candidates: int, seq: str = "seq", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, start, neighbour, d2) of embedded places (0-based) with `future` rows after them; references and candidates are evenly spaced samples of each segment, or all if 0."""
+    keys = list(keys)
+    points = cut(delay_embedding(series, keys, value, dim, tau, future, seq).select(*keys, (F.col(seq) - 1).alias("start"), "embedding"))
+    if refs or candidates:
+        n = points.groupBy(*keys).agg(F.count("*").alias("__n"))
+        points = points.join(n, keys) if keys else points.crossJoin(F.broadcast(n))
+    sample = lambda k: points.where(subsample(F.col("__n"), F.col("start"), k)) if k else points
+    return nearest_neighbours(sample(refs), sample(candidates), theiler, keys=keys)
 
 
-def _values(pairs: DataFrame, series: DataFrame, value: str, offsets: list[int], seq: str) -> DataFrame:
-    """Pairs with the values at start + k and neighbour + k: (start, neighbour, d2, k, a, b); equi-joins on the shifted row."""
-    long = pairs.withColumn("k", F.explode(F.array(*[F.lit(k) for k in offsets])))
-    x = series.select((F.col(seq) - 1).alias("__i"), F.col(value).alias("__v"))
-    own = long.join(x.withColumnRenamed("__v", "a"), long["start"] + long["k"] == x["__i"]).drop("__i")
-    other = series.select((F.col(seq) - 1).alias("__j"), F.col(value).alias("b"))
-    return own.join(other, own["neighbour"] + own["k"] == other["__j"]).drop("__j")
+def _values(pairs: DataFrame, series: DataFrame, value: str, offsets: list[int], seq: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs with the values at start + k and neighbour + k: (keys, start, neighbour, d2, k, a, b); equi-joins on the shifted row."""
+    keys = list(keys)
+    long = pairs.withColumn("k", F.explode(F.array(*[F.lit(k) for k in offsets]))).withColumns({"__i": F.col("start") + F.col("k"), "__j": F.col("neighbour") + F.col("k")})
+    at = lambda i, v: series.select(*keys, (F.col(seq) - 1).cast("long").alias(i), F.col(value).alias(v))
+    return long.join(at("__i", "a"), [*keys, "__i"]).join(at("__j", "b"), [*keys, "__j"]).drop("__i", "__j")
 
 
 def false_neighbours(series: DataFrame, value: str, tau: int, max_dim: int, threshold: float, theiler: int, refs: int, candidates: int, rtol: float = 10.0, atol: float = 2.0, seq: str = "seq") -> tuple[int, list[tuple[int, float]]]:
@@ -102,15 +104,15 @@ def false_neighbours(series: DataFrame, value: str, tau: int, max_dim: int, thre
     return max_dim, curve
 
 
-def divergence(series: DataFrame, value: str, dim: int, tau: int, horizon: int, theiler: int, refs: int, candidates: int, seq: str = "seq") -> DataFrame:
-    """(k, divergence): mean log distance of neighbours k rows later, for k from 0 to horizon."""
-    series = cut(series.select(seq, value))
-    pairs = neighbour_pairs(series, value, dim, tau, horizon, theiler, refs, candidates, seq)
+def divergence(series: DataFrame, value: str, dim: int, tau: int, horizon: int, theiler: int, refs: int, candidates: int, seq: str = "seq", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, k, divergence): mean log distance of neighbours k rows later, for k from 0 to horizon."""
+    series = cut(series.select(*keys, seq, value))
+    pairs = neighbour_pairs(series, value, dim, tau, horizon, theiler, refs, candidates, seq, keys)
     offsets = sorted({k + j * tau for k in range(horizon + 1) for j in range(dim)})
-    at = _values(pairs, series, value, offsets, seq).withColumn("e", F.pow(F.col("a") - F.col("b"), F.lit(2.0)))
+    at = _values(pairs, series, value, offsets, seq, keys).withColumn("e", F.pow(F.col("a") - F.col("b"), F.lit(2.0)))
     steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.col("k") - j * tau), lambda s: (s >= 0) & (s <= horizon))
-    each = at.withColumn("step", F.explode(steps)).groupBy("start", "step").agg(F.sqrt(F.sum("e")).alias("dist"))
-    return each.groupBy(F.col("step").alias("k")).agg(F.avg(F.log(F.greatest("dist", F.lit(1e-12)))).alias("divergence"))
+    each = at.withColumn("step", F.explode(steps)).groupBy(*keys, "start", "step").agg(F.sqrt(F.sum("e")).alias("dist"))
+    return each.groupBy(*keys, F.col("step").alias("k")).agg(F.avg(F.log(F.greatest("dist", F.lit(1e-12)))).alias("divergence"))
 
 
 # The range of steps that the line is fitted to.
@@ -128,19 +130,22 @@ def lyapunov(curve: DataFrame, start: int, end: int, dt: float, period: float |
     return fit.select("slope", "intercept", steps.alias("time_steps"), (steps * dt).alias("time_seconds"), cycles.alias("time_cycles"))
 
 
-def analog_curve(series: DataFrame, value: str, dim: int, tau: int, horizon: int, theiler: int, refs: int, candidates: int, seq: str = "seq") -> DataFrame:
-    """(horizon, rmse, persistence_rmse, nrmse, skill) of forecasts by the future of the nearest neighbour."""
-    series = cut(series.select(seq, value))
-    pairs = cut(neighbour_pairs(series, value, dim, tau, horizon, theiler, refs, candidates, seq))
+def analog_curve(series: DataFrame, value: str, dim: int, tau: int, horizon: int, theiler: int, refs: int, candidates: int, seq: str = "seq", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, horizon, rmse, persistence_rmse, nrmse, skill) of forecasts by the future of the nearest neighbour."""
+    keys = list(keys)
+    series = cut(series.select(*keys, seq, value))
+    pairs = cut(neighbour_pairs(series, value, dim, tau, horizon, theiler, refs, candidates, seq, tuple(keys)))
     last = (dim - 1) * tau
-    at = _values(pairs, series, value, [last + h for h in range(horizon + 1)], seq).withColumn("horizon", F.col("k") - last)
-    now = at.where("horizon = 0").select("start", F.col("a").alias("now"))
-    std = series.agg(F.stddev_pop(value).alias("std"))
+    at = _values(pairs, series, value, [last + h for h in range(horizon + 1)], seq, tuple(keys)).withColumn("horizon", F.col("k") - last)
+    now = at.where("horizon = 0").select(*keys, "start", F.col("a").alias("now"))
+    std = series.groupBy(*keys).agg(F.stddev_pop(value).alias("std"))
     rms = lambda c: F.sqrt(F.avg(c * c))
-    out = at.where("horizon > 0").join(now, "start").groupBy("horizon").agg(rms(F.col("b") - F.col("a")).alias("rmse"), rms(F.col("now") - F.col("a")).alias("persistence_rmse"))
+    ahead = at.where("horizon > 0").join(now, [*keys, "start"])
+    out = ahead.groupBy(*keys, "horizon").agg(rms(F.col("b") - F.col("a")).alias("rmse"), rms(F.col("now") - F.col("a")).alias("persistence_rmse"))
     skill = F.when(F.col("persistence_rmse") <= 1e-12, 0.0).otherwise(1 - F.col("rmse") / F.col("persistence_rmse"))
     scale = F.when(F.col("std") > 1e-12, F.col("std")).otherwise(1.0)
-    return out.crossJoin(F.broadcast(std)).select("horizon", "rmse", "persistence_rmse", (F.col("rmse") / scale).alias("nrmse"), skill.alias("skill"))
+    joined = out.join(std, keys) if keys else out.crossJoin(F.broadcast(std))
+    return joined.select(*keys, "horizon", "rmse", "persistence_rmse", (F.col("rmse") / scale).alias("nrmse"), skill.alias("skill"))
 
 
 def horizon_summary(curve: DataFrame) -> DataFrame:

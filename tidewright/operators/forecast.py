@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.functions import kernels
-from tidewright.operators.ordered import bounded, chunk_of
+from tidewright.operators.aggregates import pearson
+from tidewright.operators.ordered import chunk_of
 from tidewright.session import ship_package
 
 
@@ -123,6 +124,66 @@ def _smooth_l1(d: np.ndarray, beta: float) -> float:
     return float(np.where(a < beta, 0.5 * d * d / beta, a - 0.5 * beta).mean())
 
 
+def aligned(windows: DataFrame, pred: str = "pred", true: str = "y") -> DataFrame:
+    """windows itself; reading it fails where a prediction and its truth differ in length, instead of comparing a part."""
+    same = F.size(pred) == F.size(true)
+    message = F.concat(F.lit("a forecast of "), F.size(pred).cast("string"), F.lit(" steps for "), F.size(true).cast("string"))
+    return windows.where(F.when(F.coalesce(same, F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def hybrid_loss(windows: DataFrame, keys: Sequence[str], pred: str = "pred", true: str = "y", inputs: str = "x", derivative: float = 1.0, spectrum: float = 0.1, phase: float = 0.0, boundary: float = 5.0) -> DataFrame:
+    """(keys, level, slope, spectrum, boundary, hybrid) of each forecast window, and their weighted sum.
+
+    level is the mean absolute error, slope the mean squared error of the
+    steps, spectrum the mean absolute error of the magnitudes (plus `phase`
+    times the mean angle between the spectra), boundary the squared difference
+    of the first predicted step and the last input step.
+    """
+    ship_package(windows.sparkSession)
+    names = ["level", "slope", "spectrum", "boundary", "hybrid"]
+
+    def terms(p: np.ndarray, t: np.ndarray, x: np.ndarray) -> list[float]:
+        fp, ft = np.fft.rfft(p), np.fft.rfft(t)
+        own = [np.abs(p - t).mean(), ((np.diff(p) - np.diff(t)) ** 2).mean() if len(p) > 1 else 0.0, np.abs(np.abs(fp) - np.abs(ft)).mean()]
+        if phase > 0:
+            own[2] += phase * np.abs(np.angle(fp * np.conj(ft))).mean()
+        own.append(((p[0] - x[-1]) - (x[-1] - x[-2])) ** 2 if boundary > 0 else 0.0)
+        return [*map(float, own), float(own[0] + derivative * own[1] + spectrum * own[2] + boundary * own[3])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                rows = [terms(*(np.asarray(v, float) for v in r)) for r in zip(pdf[pred], pdf[true], pdf[inputs])]
+                yield pdf[list(keys)].assign(**dict(zip(names, zip(*rows))))
+
+    fields = ", ".join([f"`{k}` {windows.schema[k].dataType.simpleString()}" for k in keys] + [f"{n} double" for n in names])
+    return aligned(windows, pred, true).select(*keys, pred, true, inputs).mapInPandas(run, fields)
+
+
+def strongest_bins(windows: DataFrame, array: str, k: int) -> DataFrame:
+    """windows with `season`, the array's part in the bins that exceed its k-th largest amplitude, and `trend`, the rest."""
+    ship_package(windows.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            season = [kernels.top_bins(np.asarray(v, float), k) for v in pdf[array]]
+            yield pdf.assign(season=season, trend=[np.asarray(v, float) - s for v, s in zip(pdf[array], season)])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields)
+    return windows.mapInPandas(run, f"{fields}, season array<double>, trend array<double>")
+
+
+def peak_metrics(samples: DataFrame, targets: Sequence[str], pred: str = "pred_", naive: str = "naive_") -> DataFrame:
+    """(part, mse, mae, pearson, and naive_ ones) of predicted peaks over all targets, heights (target_h_*) and intervals (target_dt_*)."""
+    cells = [F.struct(F.lit(t).alias("t"), *[F.col(c).cast("double").alias(n) for c, n in ((t, "y"), (pred + t, "p"), (naive + t, "b"))]) for t in targets]
+    long = samples.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    part = F.when(F.startswith("t", F.lit("target_h_")), "height").when(F.startswith("t", F.lit("target_dt_")), "interval")
+    long = long.withColumn("part", F.explode(F.array_compact(F.array(F.lit("all"), part))))
+    off = lambda c: F.col(c) - F.col("y")
+    own = [f.alias(n + m) for n, c in (("", "p"), ("naive_", "b")) for m, f in (("mse", F.avg(off(c) * off(c))), ("mae", F.avg(F.abs(off(c)))), ("pearson", pearson("y", c)))]
+    return long.groupBy("part").agg(*own)
+
+
 def shape_losses(windows: DataFrame, keys: Sequence[str], pred: str = "pred", true: str = "y", window: int = 9, beta: float = 0.3) -> DataFrame:
     """Of each forecast window: derivative, envelope, spectrum, correlation and multi-scale terms, and the event-weighted point loss."""
     ship_package(windows.sparkSession)
@@ -152,6 +213,7 @@ def shape_losses(windows: DataFrame, keys: Sequence[str], pred: str = "pred", tr
     return windows.select(*keys, pred, true).mapInPandas(run, ", ".join([fields, *[f"{n} double" for n in names]]))
 
 
+# The names of the scores.
 STRUCTURE = [
     "dominant_period_true_samples", "dominant_period_pred_samples", "dominant_period_error_samples", "dominant_period_relative_error",
     "dominant_energy_ratio_true", "dominant_energy_ratio_pred", "spectral_energy_l1", "envelope_mae", "envelope_relative_mae",
@@ -190,9 +252,19 @@ def structure(true: np.ndarray, pred: np.ndarray, pred_len: int) -> list[float]:
     ]
 
 
-def structure_scores(df: DataFrame, keys: Sequence[str], true: str, pred: str, pred_len: int, seq: str = "seq", most: int = 200_000) -> DataFrame:
-    """Structure scores of each forecast series (keys), which is `most` rows long at most: a rolling forecast's horizon."""
+#: Rows of a rolling forecast that are scored together.
+HORIZON = 2000
+
+
+def structure_scores(df: DataFrame, keys: Sequence[str], true: str, pred: str, pred_len: int, seq: str = "seq", horizon: int = HORIZON) -> DataFrame:
+    """(keys, horizon, scores): structure scores of each rolling horizon of a forecast series, numbered from 0.
+
+    A series of any length is scored in horizons of that many rows by seq;
+    one of fewer than 4 rows has NaN scores.
+    """
     ship_package(df.sparkSession)
+    df = df.withColumn("horizon", F.floor((F.col(seq) - 1) / F.lit(horizon)).cast("long"))
+    keys = [*keys, "horizon"]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(seq)
@@ -200,7 +272,7 @@ def structure_scores(df: DataFrame, keys: Sequence[str], true: str, pred: str, p
         return pd.DataFrame([[*key, *map(float, own)]], columns=[*keys, *STRUCTURE])
 
     fields = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"{n} double" for n in STRUCTURE])
-    return bounded(df.select(*keys, seq, true, pred), keys, most).groupBy(*keys).applyInPandas(run, fields)
+    return df.select(*keys, seq, true, pred).groupBy(*keys).applyInPandas(run, fields)
 
 
 def rolling_evaluation(windows: DataFrame, keys: Sequence[str], pred_len: int, horizon: int, pred: str = "pred") -> DataFrame:

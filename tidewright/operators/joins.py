@@ -57,8 +57,8 @@ def subsample(n: Column, i: Column, most: int) -> Column:
 CELL, CELL_TASKS = 8192, 10_000
 
 
-def nearest_neighbours(refs: DataFrame, candidates: DataFrame, band: int, start: str = "start", vector: str = "embedding", block: int = 512) -> DataFrame:
-    """(start, neighbour, d2): the candidate nearest to each reference whose start differs by more than `band`.
+def nearest_neighbours(refs: DataFrame, candidates: DataFrame, band: int, start: str = "start", vector: str = "embedding", block: int = 512, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, start, neighbour, d2): the candidate of its segment nearest to each reference whose start differs by more than `band`.
 
     Ties go to the smallest start; references without a candidate vanish, as do
     vectors with a missing part. A start stands for one place. Both sides may
@@ -67,7 +67,7 @@ def nearest_neighbours(refs: DataFrame, candidates: DataFrame, band: int, start:
     compared, so the time grows with references x candidates.
     """
     ship_package(refs.sparkSession)
-    side = lambda df, s: df.where(F.col(vector).isNotNull()).select(F.col(start).cast("long").alias(s), F.col(vector).cast("array<double>").alias("vector"))
+    side = lambda df, s: df.where(F.col(vector).isNotNull()).select(*[F.col(k).alias(k) for k in keys], F.col(start).cast("long").alias(s), F.col(vector).cast("array<double>").alias("vector"))
     own, other = side(refs, "start"), side(candidates, "neighbour")
     rows, columns = (max(1, -(-df.count() // CELL)) for df in (own, other))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
@@ -82,7 +82,7 @@ def nearest_neighbours(refs: DataFrame, candidates: DataFrame, band: int, start:
         order = np.argsort(starts[whole], kind="stable")
         return starts[whole][order], vectors[whole][order]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
             (places, x), (starts, vectors) = arrays(left, "start"), arrays(right, "neighbour")
@@ -96,14 +96,16 @@ def nearest_neighbours(refs: DataFrame, candidates: DataFrame, band: int, start:
                 value = d2[np.arange(len(at)), best]
                 ok = np.isfinite(value)
                 found.append((at[ok], starts[best[ok]], value[ok]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], ["start", "neighbour", "d2"])
+        columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
+        return pa.table([*[pa.array([k.as_py()] * len(columns[0]), k.type) for k in key[:-1]], *columns], [*keys, "start", "neighbour", "d2"])
 
     # a given number of partitions, as small cells make much work and mustn't be put together
-    tasks = min(rows * columns, CELL_TASKS)
-    dealt = [df.repartition(tasks, "cell").groupBy("cell") for df in (own, other)]
-    cells = dealt[0].cogroup(dealt[1]).applyInArrow(run, "start long, neighbour long, d2 double")
-    best = cells.groupBy("start").agg(F.min(F.struct("d2", "neighbour")).alias("best"))
-    return best.select("start", "best.neighbour", "best.d2")
+    tasks = min(max(rows * columns, refs.sparkSession.sparkContext.defaultParallelism if keys else 1), CELL_TASKS)
+    dealt = [df.repartition(tasks, *keys, "cell").groupBy(*keys, "cell") for df in (own, other)]
+    fields = ", ".join([*[f"`{k}` {refs.schema[k].dataType.simpleString()}" for k in keys], "start long, neighbour long, d2 double"])
+    cells = dealt[0].cogroup(dealt[1]).applyInArrow(run, fields)
+    best = cells.groupBy(*keys, "start").agg(F.min(F.struct("d2", "neighbour")).alias("best"))
+    return best.select(*keys, "start", "best.neighbour", "best.d2")
 
 
 def nearest_in_order(points: DataFrame, others: DataFrame, keys: Sequence[str], at: str) -> DataFrame:

@@ -111,13 +111,6 @@ def sizes(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(name))
 
 
-def bounded(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
-    """df itself; reading it fails if a group has more than `most` rows, so a function that needs a whole group never gets a larger one."""
-    long = F.col("__size") > most
-    guarded = df.join(sizes(df, keys, "__size"), list(keys)).where(F.when(long, F.raise_error(F.lit(f"a group has more than {most} rows")).cast("boolean")).otherwise(True))
-    return guarded.drop("__size")
-
-
 def runs(df: DataFrame, keys: Sequence[str], label: str, name: str = "run", seq: str = "seq", chunk: int | None = None, place: str | None = None) -> DataFrame:
     """Add the number, from 1, of the run of equal labels that each row is in (null equals null), and with `place` the 1-based row in the run."""
     change = lambda w: {"__new": F.when((F.col(seq) == 1) | ~F.col(label).eqNullSafe(F.lag(label).over(w)), 1).otherwise(0)}

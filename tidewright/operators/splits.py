@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewright.operators.ordered import sizes
+from tidewright.operators.ordered import quantiles, sizes
 
 
 def _cut(n: Column, ratio: float) -> Column:
@@ -96,3 +96,21 @@ def standardised_target(df: DataFrame, columns: Sequence[str], split: str = "spl
 def eval_stride(option: int, pred_len: int, stride: int, has_split: bool = True) -> int:
     """-1 is pred_len, 0 the training stride, else the option; without a split column always pred_len."""
     return pred_len if not has_split or option == -1 else stride if option == 0 else option
+
+
+def amplitude_weights(df: DataFrame, value: str, split: str = "split", high: float = 0.95, gamma: float = 1.0, active: float = 0.9) -> DataFrame:
+    """df with `amp_weight` and `active`, by limits of the training rows.
+
+    The weight is the distance from the training median as a part of its
+    `high` quantile, 0 to 1, to the power gamma; active rows are as far from 0
+    as the `active` quantile of the training rows that are not 0.
+    """
+    train = df.where(in_split(F.col(split), "train"))
+    middle = quantiles(train, [], value, {"__middle": 0.5})
+    far = train.crossJoin(F.broadcast(middle)).select(F.abs(F.col(value) - F.col("__middle")).alias("__d"))
+    large = train.select(F.nullif(F.abs(F.col(value)), F.lit(0.0)).alias("__a"))
+    limits = middle.crossJoin(F.broadcast(quantiles(far, [], "__d", {"__far": high}))).crossJoin(F.broadcast(quantiles(large, [], "__a", {"__large": active})))
+    scale = F.when(F.col("__far") > 1e-12, F.col("__far")).otherwise(1.0)
+    part = F.greatest(F.least(F.abs(F.col(value) - F.col("__middle")) / scale, F.lit(1.0)), F.lit(0.0))
+    held = df.crossJoin(F.broadcast(limits))
+    return held.withColumns({"amp_weight": F.pow(part, F.lit(float(max(gamma, 1e-12)))), "active": F.abs(F.col(value)) >= F.col("__large")}).drop("__middle", "__far", "__large")

@@ -231,6 +231,17 @@ def window_starts(lengths: DataFrame, n: str, seq_len: int, pred_len: int, strid
     return fit.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: k * stride)))
 
 
+def spaced_starts(starts: DataFrame, keys: Sequence[str], most: int, stride: int, start: str = "start") -> DataFrame:
+    """Of each segment's window starts (0, stride, ...) `most` evenly spaced ones, first and last included: places round(k * (n - 1) / (most - 1)), halves to even."""
+    if most < 1:
+        raise ValueError("one window at least")
+    n = F.col("__n")
+    places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * ((n - 1) / F.lit(float(max(most - 1, 1)))), 0).cast("long"))
+    chosen = starts.groupBy(*keys).agg(F.count("*").alias("__n")).select(*keys, F.when(n > most, F.array_distinct(places)).alias("__places"))
+    held = starts.join(chosen, list(keys))
+    return held.where(F.col("__places").isNull() | F.array_contains("__places", (F.col(start) / F.lit(stride)).cast("long"))).drop("__places")
+
+
 def window_arrays(df: DataFrame, keys: Sequence[str], value: str, seq_len: int, pred_len: int, stride: int, shift: int = 0, seq: str = "seq") -> DataFrame:
     """(keys, start, x, y): the inputs and targets of each past window; windows with a null are left out."""
     need, size = seq_len + shift + pred_len, chunk_size()

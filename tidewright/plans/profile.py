@@ -6,12 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewright.functions import kernels
 from tidewright.functions.columns import predictability_score, round_to
-from tidewright.operators.ordered import _join, finite, medians, quantiles, sizes
+from tidewright.operators.aggregates import robust_scale
+from tidewright.operators.ordered import _join, finite, known, medians, quantiles, sizes
 from tidewright.session import cut, ship_package
 
 #: Samples of a segment that are analysed; longer ones are thinned before they are grouped.
@@ -86,7 +89,10 @@ def spectral_profile(x: np.ndarray, rate: float, low: float = 0.0, high: float =
 
 
 def classified() -> Column:
-    """The type of a signal by ordered rules; fewer than two peaks count as a wide spread of intervals."""
+    """The type of a signal by ordered rules; fewer than two peaks count as a wide spread of intervals.
+
+    Fixed values: the thresholds.
+    """
     spread = F.when(F.col("peak_interval_cv").isNull() | F.isnan("peak_interval_cv"), 999.0).otherwise(F.col("peak_interval_cv"))
     return (
         F.when((F.col("dominant_energy_ratio") < 0.08) & (F.col("acf_peak") < 0.20), "weak_periodic")
@@ -149,21 +155,38 @@ def profile(df: DataFrame, keys: Sequence[str], value: str, rate: float | Column
     return recommended(out.withColumn("signal_type", classified()).withColumn("predictability_score", score)).drop("period_analyzed")
 
 
-def periodogram(df: DataFrame, keys: Sequence[str], value: str, rate: float, most: int = MAX_SAMPLES, seq: str = "seq") -> DataFrame:
-    """(keys, dominant_frequency_hz, dominant_period_steps, dominant_period_seconds, amplitude_share) of the raw spectrum of each thinned segment."""
-    ship_package(df.sparkSession)
-    keys = list(keys)
-    names = ["dominant_frequency_hz", "dominant_period_steps", "dominant_period_seconds", "amplitude_share"]
-    thin = thinned(df, keys, value, most, seq)
+#: Rows of a block of a periodogram, at most.
+SPECTRUM_BLOCK = 1 << 20
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        step = int(key[-1])
-        k, period, share = kernels.dominant_bin(pdf.sort_values(seq)[value].to_numpy(float))
-        steps = period * step if k and len(pdf) >= 8 else float("nan")
-        return pd.DataFrame([[*key[:-1], rate / steps, steps, steps / rate, share]], columns=[*keys, *names])
 
-    fields = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"{n} double" for n in names])
-    return thin.select(*keys, "analysis_sample_step", seq, value).groupBy(*keys, "analysis_sample_step").applyInPandas(run, fields)
+def periodogram(df: DataFrame, keys: Sequence[str], value: str, rate: float, seq: str = "seq", block: int = SPECTRUM_BLOCK) -> DataFrame:
+    """(keys, dominant_frequency_hz, dominant_period_steps, dominant_period_seconds, amplitude_share) of the raw spectrum of each segment.
+
+    All samples take part at their own rate, missing ones as the median. A
+    segment of up to `block` rows is one spectrum; of a longer one the powers
+    of equal blocks are added up (fewer rows at its end than it has blocks are
+    left over). Segments of fewer than 8 rows or without variance have nulls.
+    """
+    ship_package(df.sparkSession)
+    keys = list(keys)
+    n = _join(sizes(df, keys, "__n"), robust_scale(df, keys, value).select(*keys, "median", "scale"), keys)
+    n = n.withColumn("__blocks", F.ceil(F.col("__n") / block)).withColumn("__length", F.floor(F.col("__n") / F.col("__blocks")))
+    rows = _join(df.select(*keys, seq, value), n, keys).withColumn("__block", F.floor((F.col(seq) - 1) / F.col("__length")))
+    rows = rows.where(F.col("__block") < F.col("__blocks")).select(*keys, "__block", F.col(seq).alias("__seq"), F.coalesce(known(F.col(value)), "median").alias("__x"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x = table.column("__x").to_numpy()[np.argsort(table.column("__seq").to_numpy())]
+        columns = [pa.array([k.as_py()], k.type) for k in key[:-1]]
+        return pa.table([*columns, pa.array([kernels.block_power(x)], pa.list_(pa.float64()))], names=[*keys, "__power"])
+
+    fields = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["__power array<double>"])
+    power = rows.groupBy(*keys, "__block").applyInArrow(run, fields).select(*keys, F.posexplode("__power").alias("__k", "__p")).where("__k > 0")
+    amp = power.groupBy(*keys, "__k").agg(F.sqrt(F.sum("__p")).alias("__a"))
+    best = amp.groupBy(*keys).agg(F.max_by("__k", F.struct("__a", -F.col("__k"))).alias("__k"), (F.max("__a") / F.nullif(F.sum("__a"), F.lit(0.0))).alias("amplitude_share"))
+    whole = _join(n, best, keys).withColumn("__ok", (F.col("__n") >= 8) & F.col("scale").isNotNull())
+    steps = F.when(F.col("__ok"), F.col("__length") / F.col("__k"))
+    share = F.when(F.col("__ok"), F.col("amplitude_share"))
+    return whole.select(*keys, (rate / steps).alias("dominant_frequency_hz"), steps.alias("dominant_period_steps"), (steps / rate).alias("dominant_period_seconds"), share.alias("amplitude_share"))
 
 
 def global_profile(profiles: DataFrame, numbers: Sequence[str], texts: Sequence[str], order: str) -> DataFrame:
@@ -231,3 +254,14 @@ def experiment_plan(configs: DataFrame, label: str) -> DataFrame:
         F.when(F.col("prior"), F.when(mean, 3).otherwise(1)).alias("cycle_base_cycles"),
         F.greatest(F.lit(3).cast("long"), F.col("smooth_window_samples")).alias("moving_avg"),
     )
+
+
+def profile_report(profiles: DataFrame, kind: str = "signal_type") -> DataFrame:
+    """(line, text): a Markdown table with a row for each type: segments, medians of period, energy ratio, entropy and score."""
+    columns = ["dominant_period_samples", "dominant_energy_ratio", "spectral_entropy", "predictability_score"]
+    own = profiles.groupBy(kind).agg(F.count("*").alias("segments"), *[F.median(c).alias(c) for c in columns])
+    cells = [F.col(kind), F.col("segments").cast("string"), *[F.format_string("%.4g", c) for c in columns]]
+    row = lambda cs: F.concat(F.lit("| "), F.array_join(F.array(*cs), " | ", "-"), F.lit(" |"))
+    ranked = own.select((F.rank().over(W.orderBy(kind)) + 1).cast("int").alias("line"), row(cells).alias("text"))  # a row for each type: a few
+    head = [(0, f"| {' | '.join([kind, 'segments', *columns])} |"), (1, "|" + "---|" * (len(columns) + 2))]
+    return profiles.sparkSession.createDataFrame(head, "line int, text string").union(ranked)

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions.columns import in_time
 from tidewright.operators.ordered import finite, number
 
 
@@ -44,28 +45,101 @@ def ordered_columns(inputs: Sequence[str], outputs: Sequence[str], mode: str = "
     return names, [names.index(c) for c in inputs], [names.index(c) for c in outputs]
 
 
-def read_wide_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, strict: bool = True) -> DataFrame:
-    """Float columns of CSV files with a header; a bad cell fails (strict) or is null. Unused columns are not parsed."""
+def read_wide_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, strict: bool = True, max_rows: int = 0) -> DataFrame:
+    """Float columns of CSV files with a header; a bad cell fails (strict) or is null. Unused columns are not parsed.
+
+    max_rows keeps the first rows, by file name and place in the file; 0 keeps all.
+    """
     heads = spark.read.csv(path, header=True).columns
     schema = ", ".join(f"`{c}` double" for c in heads)
     out = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST" if strict else "PERMISSIVE")
+    if max_rows > 0:
+        place = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()}
+        return out.withColumns(place).orderBy(*place).limit(max_rows).select(*(columns or heads))
     return out.select(*(columns or heads))
 
 
+def read_two_columns(spark: SparkSession, path: str, time: str, value: str, start: float | None = None, end: float | None = None) -> DataFrame:
+    """(time, value) of CSV files in a time range, both ends included; only these two columns are parsed."""
+    rows = read_wide_csv(spark, path, [time, value])
+    return rows.where(in_time(time, start, end)).select(F.col(time).alias("time"), F.col(value).alias("value"))
+
+
+def crop_time(df: DataFrame, time: str, start: float | None = None, end: float | None = None) -> DataFrame:
+    """Rows in [start, end], both ends included; an error if there is none."""
+    out = df.where(in_time(time, start, end))
+    if out.isEmpty():
+        raise ValueError(f"no rows from {start} to {end}")
+    return out
+
+
+def keep_types(df: DataFrame, kind: str, include: Sequence[str] = (), unknown: str | None = None) -> DataFrame:
+    """Rows of the named types (all if none is named), without those of type `unknown` if given; an error if none is left."""
+    out = df.where(F.col(kind).isin(*include)) if include else df
+    if unknown is not None:
+        out = out.where(~F.col(kind).eqNullSafe(F.lit(unknown)))
+    if out.isEmpty():
+        raise ValueError("no rows of these types")
+    return out
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a JSON manifest, whose objects may span lines."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+# Signal, target rate, smoothing (s), least duration (s) and frequency range (Hz) of the public data sets, and parts of their folders' names.
+PRESETS = {
+    "bidmc": {"keywords": ["bidmc"], "signal": "RESP", "rate": 25.0, "smooth": 2.0, "min_duration": 120.0, "low": 0.04, "high": 1.0},
+    "fantasia": {"keywords": ["fantasia"], "signal": "RESP", "rate": 25.0, "smooth": 2.0, "min_duration": 300.0, "low": 0.04, "high": 1.0},
+    "mitdb": {"keywords": ["mitdb", "mit-bih", "mit_bih", "arrhythmia"], "signal": "MLII", "rate": 125.0, "smooth": 0.08, "min_duration": 300.0, "low": 0.4, "high": 8.0},
+}
+
+
+def presets(spark: SparkSession) -> DataFrame:
+    """(dataset, keywords, signal, rate, smooth, min_duration, low, high): what is known of the public data sets."""
+    rows = [(k, *v.values()) for k, v in sorted(PRESETS.items())]
+    return spark.createDataFrame(rows, "dataset string, keywords array<string>, signal string, rate double, smooth double, min_duration double, low double, high double")
+
+
+def preset_of(path: Column | str) -> Column:
+    """The data set that a path names, by its keywords in any case; null if none."""
+    low = F.lower(F.col(path) if isinstance(path, str) else path)
+    return F.coalesce(*[F.when(F.exists(F.array(*map(F.lit, v["keywords"])), lambda w: F.contains(low, w)), F.lit(k)) for k, v in sorted(PRESETS.items())])
+
+
+def read_dataset(spark: SparkSession, name: str, path: str, rate: float | None = None, record_limit: int = 0) -> DataFrame:
+    """The CSV records of a data set: one of PRESETS by its signal, or "csv" for any folder of CSV files, whose rate must be known.
+
+    record_limit keeps the first records by name; 0 keeps all.
+    """
+    if name in PRESETS:
+        rows = read_records(spark, path, PRESETS[name]["signal"], "*.csv", rate)
+    elif name == "csv":
+        rows = read_records(spark, path, None, "*.csv", rate, default_rate=None)
+    else:
+        raise ValueError(f"no such data set: {name}")
+    if record_limit > 0:
+        first = rows.select("record_id").distinct().orderBy("record_id").limit(record_limit)
+        rows = rows.join(F.broadcast(first), "record_id", "left_semi")
+    return rows
+
+
 def numbered(df: DataFrame, keys: Sequence[str], time: str, width: float = 3600.0) -> DataFrame:
     """Rows with seq by time within a segment; buckets are `width` units of time."""
     return number(df, keys, [time], F.floor(F.col(time) / F.lit(width)))
 
 
-def read_records(spark: SparkSession, path: str, signal: str | None = None, pattern: str = "*_Signals.csv", rate: float | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, signal: str | None = None, pattern: str = "*_Signals.csv", rate: float | None = None, default_rate: float | None = 125.0) -> DataFrame:
     """(record_id, seq, time, value, fs) of the CSV records under a folder; bad cells are NaN.
 
     Files may differ in their columns: each file's first line says which is
     the time (the first name with "time" in it) and which the signal (the name
     as it is, in any case, or as a part; RESP if none is given, else the first
     other column). Without a time the order of lines counts. The rate is the
-    argument, else one over the median time step, else 125. All files are one
-    table of lines, however many there are.
+    argument, else one over the median time step, else default_rate; if that is
+    None, reading a record without a rate fails. All files are one table of
+    lines, however many there are.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
@@ -88,7 +162,8 @@ def read_records(spark: SparkSession, path: str, signal: str | None = None, patt
         return rows.withColumn("fs", F.lit(float(rate)))
     from tidewright.operators.aggregates import sample_rate
 
-    return rows.join(sample_rate(rows, ["record_id"], "time"), "record_id", "left").withColumn("fs", F.coalesce("fs", F.lit(125.0)))
+    missing = F.raise_error(F.concat(F.lit("the sample rate is unknown: "), F.col("record_id"))).cast("double") if default_rate is None else F.lit(default_rate)
+    return rows.join(sample_rate(rows, ["record_id"], "time"), "record_id", "left").withColumn("fs", F.coalesce("fs", missing))
 
 
 def scalar_series(df: DataFrame, value: str, seq: str = "seq", start: int = 0, end: int | None = None, every: int = 1, most: int = 0, least: int = 100) -> DataFrame:

@@ -42,7 +42,24 @@ def write_sidecar(df: DataFrame, path: str, settings: dict) -> None:
     df.sparkSession.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.text(path)
 
 
-def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 200) -> DataFrame:
-    """(bin, n): counts of equal bins of [low, high]; the last includes its end."""
+def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 200, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, bin, n): counts of equal bins of [low, high], for each group; the last includes its end."""
     at: Column = F.least(F.floor((F.col(value) - low) / ((high - low) / bins)).cast("int"), F.lit(bins - 1))
-    return df.where(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    return df.where(F.col(value).between(low, high)).groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def wide_table(df: DataFrame, header: Sequence[str], derived: dict[str, Column], split: str = "split") -> DataFrame:
+    """The original columns in their order, the split, then the derived columns."""
+    if clash := set(derived) & {*header, split}:
+        raise ValueError(f"columns that are there already: {', '.join(sorted(clash))}")
+    return df.select(*[F.col(c) for c in header], F.col(split), *[c.alias(n) for n, c in derived.items()])
+
+
+def write_scaler(scaler: DataFrame, path: str) -> None:
+    """The one row of a fitted scaler (see operators.splits) as Parquet."""
+    scaler.coalesce(1).write.parquet(path)
+
+
+def read_scaler(df: DataFrame, path: str) -> DataFrame:
+    """A written scaler, for splits.scale()."""
+    return df.sparkSession.read.parquet(path)
