@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tests.llm import cases
 from tidewright.llm import graph, neardup
@@ -49,6 +50,7 @@ def test_components_match_brute_force(spark):
 
 def test_large_group_of_near_copies_is_split_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "PAIRED", 2)
     words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join([*words[:i], f"new{i}", *words[i + 1 :]])) for i in range(60)]
     got = neardup.near_duplicates(cases.documents(spark, rows), 3, 85).collect()
@@ -114,9 +116,11 @@ def test_words_that_differ_by_structure_only_are_different(spark):
     assert got == {i: i for i, _ in rows} | {1: 1, 2048: 1}
 
 
-def test_parts_of_a_large_group_that_stay_apart(spark, monkeypatch):
+@pytest.mark.parametrize("paired", [1, 20])
+def test_parts_of_a_large_group_that_stay_apart(spark, monkeypatch, paired):
     """Members of one group (the caller's) whose links chain across blocks, and some that link with none."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "PAIRED", paired)
     words = [f"w{i}" for i in range(60)]
     chain = [(i, " ".join([*words[i:], *[f"x{k}" for k in range(i)]])) for i in range(0, 40)]
     other = [(100 + i, " ".join(f"y{i}-{k}" for k in range(50))) for i in range(5)]

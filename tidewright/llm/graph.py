@@ -5,38 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm import scratch
+
+#: Edges of a partition, about: a few edges make few partitions, whatever the session's number.
+PART_EDGES = 400_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) for every id in edges; component is the smallest id that it reaches.
+    """(id, component) for every id that an edge joins to another; component is the smallest id that it reaches.
 
     Large-star links each node's larger neighbours to its smallest one,
     small-star its smaller ones; a logarithmic number of rounds leaves stars
-    around the smallest ids. Each round is partial aggregations and two
-    shuffle joins of rows of two ids, and ends in a checkpoint. All edges of
-    a hub meet in one partition of a join; it holds 16 bytes for each, streams
-    through the task, and is split by Spark's adaptive skew join when large.
-    Edges may repeat and may be loops; an empty table gives an empty one.
+    around the smallest ids. A round is three exchanges of rows of two ids, by
+    u, by v and by u again, in partitions of about PART_EDGES edges, and ends
+    in a table. All edges of a hub meet in one partition, which streams them
+    (16 bytes for each) through the task. Edges may repeat; loops are left out;
+    an empty table gives an empty one.
     """
-    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct().checkpoint()
-    before = None
-    while True:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    e = scratch.table(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v"), "edges")
+    rows, before = e.count(), None
+    while rows:
+        n = rows // PART_EDGES + 1
+        both = e.union(e.select("v", "u")).repartition(n, "u")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").repartition(n, "v").distinct()
         # small-star: every edge (u < v) seen from v
         small = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(small, "v")
-        e = (
-            joined.select(F.col("m").alias("u"), "v")
-            .union(joined.select(F.col("m").alias("u"), F.col("u").alias("v")))
-            .where("u < v")
-            .distinct()
-            .checkpoint()
-        )
+        edges_ = joined.select(F.col("m").alias("u"), "v").union(joined.select(F.col("m").alias("u"), F.col("u").alias("v")))
+        e = scratch.table(edges_.where("u < v").repartition(n, "u").distinct(), "edges")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break
-        before = state
-    own = edges.select(F.col(a).alias("id")).union(edges.select(F.col(b).alias("id"))).distinct()
-    label = e.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
-    return own.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        rows, before = state[0], state
+    # stars: each v has one u, and each u is its own
+    leaves = e.select(F.col("v").alias("id"), F.col("u").alias("component"))
+    return leaves.union(e.select("u").repartition(rows // PART_EDGES + 1, "u").distinct().select(F.col("u").alias("id"), F.col("u").alias("component")))

@@ -31,6 +31,10 @@ BITS = 1024
 SLACK = 5.0
 #: Members of a block; larger groups are split, and no task compares more than two blocks at once.
 BLOCK = 512
+#: Blocks of a group up to which all pairs of blocks are compared at once.
+PAIRED = 8
+#: Members that a task compares by sketches, and with their sets, about.
+SKETCH_ROWS, SET_ROWS = 40_000, 4_000
 
 _RNG = np.random.default_rng(917)
 _MULT = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -148,8 +152,8 @@ def link_batch(ids: np.ndarray, links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
 
 
-def compared(placed: DataFrame, threshold: float, percent: int | None) -> DataFrame:
-    """(a, b): in each cell (grp, x, y) of placed (id, label, sketch) a forest that joins what its likely pairs join.
+def compared(placed: DataFrame, threshold: float, percent: int | None, tasks: int) -> DataFrame:
+    """(a, b): in each cell (grp, x, y) of placed (id, label, sketch) stars that join what its likely pairs join.
 
     Members with one label are joined already. With percent a pair has to hold
     on the full sets (column shingles) as well.
@@ -172,12 +176,13 @@ def compared(placed: DataFrame, threshold: float, percent: int | None) -> DataFr
                 for i, j in likely_pairs(maps[a:b], most) if len(seen) > 1 else []:
                     if forest.root(i) != forest.root(j) and (not percent or alike(own[i], own[j], percent)):
                         forest.join(i, j)
-                        links.append((a + i, a + j))
+                # a star around the smallest id of what is joined, one edge for each label
+                links += [(a + forest.root(k), a + k) for k in seen.values() if forest.root(k) != k]
             yield link_batch(ids, links)
 
     columns = ["grp", "x", "y", "id", "label", "sketch", *["shingles"] * bool(percent)]
-    dealt = placed.select(*columns).repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = placed.select(*columns).repartition(tasks, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def block_of(blocks: str | Column, seed: int = 0) -> Column:
@@ -188,29 +193,36 @@ def group_links(members: DataFrame, payload: Callable[[DataFrame], DataFrame], t
     """(a, b): links that join, in each group of members (grp, id), all that its pairs join.
 
     payload gives the sketches (and sets) of a table's ids. Groups of up to
-    BLOCK members are one cell. Of a larger one each block is a cell; then, in
-    rounds, one member of each part that is joined so far stands for it. What
-    stays apart after that is compared exactly: each member outside a group's
-    largest part with all members of the group. So a group whose members are
-    alike costs its size, and only what is not alike is sent more than a few
-    times.
+    BLOCK members are one cell; of up to PAIRED blocks each pair of blocks is a
+    cell, so a member is sent PAIRED times at most. Of a larger group each
+    block is a cell; then, in rounds, one member of each part that is joined so
+    far stands for it. What stays apart after that is compared exactly: each
+    member outside a group's largest part with all members of the group. So a
+    large group whose members are alike costs its size, and only what is not
+    alike is sent more than a few times.
     """
     sized = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sized, "grp").select("grp", "id", "blocks", block_of("blocks").alias("x"))
+    other = F.explode(F.when((F.col("blocks") > 1) & (F.col("blocks") <= PAIRED), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("other")
+    placed = members.join(sized, "grp").select("grp", "id", "blocks", block_of("blocks").alias("own")).select("*", other)
+    placed = placed.select("grp", "id", "blocks", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     placed = scratch.table(placed, "members")
 
     def cells(df: DataFrame) -> DataFrame:
-        return scratch.table(compared(payload(df), threshold, percent), "cells")
+        """Links of the cells of a table; the number of tasks follows its rows."""
+        tasks = df.count() // (SET_ROWS if percent else SKETCH_ROWS) + 1
+        return scratch.table(compared(payload(df), threshold, percent, tasks), "cells")
 
-    links = cells(placed.select("grp", "x", F.col("x").alias("y"), "id", F.col("id").alias("label")))
-    large = placed.where("blocks > 1").select("grp", "id")
+    links = cells(placed.select("grp", "x", "y", "id", F.col("id").alias("label")))
+    large = placed.where(F.col("blocks") > PAIRED).select("grp", "id")
     if large.isEmpty():
         return links
-    large, step = scratch.table(large, "large"), 0
+    large, step, whole = scratch.table(large, "large"), 0, False
     while True:
         step += 1
         part = graph.components(links).withColumnRenamed("component", "label")
         named = scratch.table(large.join(part, "id", "left").select("grp", "id", F.coalesce("label", "id").alias("label")), "named")
+        if whole:
+            break
         reps = named.groupBy("grp", "label").agg(F.min("id").alias("id"))
         apart = reps.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         meet = scratch.table(reps.join(apart, "grp").select("grp", "id", "label", "blocks", block_of("blocks", step).alias("x"), block_of("blocks", step).alias("y")), "reps")
@@ -218,10 +230,9 @@ def group_links(members: DataFrame, payload: Callable[[DataFrame], DataFrame], t
         if blocks is None:
             return links
         found = cells(meet.drop("blocks"))
-        new = not found.isEmpty()
-        links = links.union(found)
-        if not new:  # as many parts as before
+        if found.isEmpty():  # as many parts as before
             break
+        links, whole = links.union(found), blocks == 1  # all parts of a group have met in one block
     sizes = named.groupBy("grp", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("parts"))
     ceil = lambda c: F.ceil(c / BLOCK).cast("int")
@@ -230,7 +241,8 @@ def group_links(members: DataFrame, payload: Callable[[DataFrame], DataFrame], t
     own = F.when(in_main, F.col("others") + block_of("mains")).otherwise(block_of("others"))
     every = F.sequence(F.lit(0), F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
     rest = named.join(main, "grp").withColumn("own", own).withColumn("other", F.explode(every))
-    return links.union(cells(rest.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "label")))
+    rest = scratch.table(rest.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "label"), "rest")
+    return links if rest.isEmpty() else links.union(cells(rest))
 
 
 def likely_links(reps: DataFrame, threshold: float) -> DataFrame:
@@ -294,8 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands", "sketch")
     reps = scratch.table(reps, "reps")
     near = likely_links(reps, percent / 100)
-    clusters = scratch.table(graph.components(near), "clusters")
-    links = confirmed_links(docs, clusters, width, percent, reps.select("id", "sketch"))
+    links = confirmed_links(docs, graph.components(near), width, percent, reps.select("id", "sketch"))
     linked = graph.components(links)
     named = classes.join(linked, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component"))
     thin = ["doc_id", "text_hash", "n_shingles"]
