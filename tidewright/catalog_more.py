@@ -269,13 +269,15 @@ p AS (SELECT *, max(up) OVER (PARTITION BY event_type ORDER BY seq ROWS BETWEEN
 g AS (SELECT event_type, seq AS at, 100.0::DOUBLE / (seq - prior) AS f FROM p WHERE up IS NOT NULL AND prior IS NOT NULL),
 l AS (SELECT p.event_type, p.seq, value, coalesce(g.f, 100.0 / 24) AS f FROM p LEFT JOIN g ON g.event_type = p.event_type AND g.at = p.cur)
 SELECT event_type, seq, round(sqrt({_frame("value * value", 5, 0)}), 6) AS qp_envelope, round({_frame("f", 5, 0)}, 6) AS qp_local_freq, round({_frame("f", 5, 0)} / (100.0 / 24), 6) AS qp_local_freq_ratio,
-  round(sin(2 * pi() * (seq - 1) / 24), 6) AS qp_phase_sin, round(cos(2 * pi() * (seq - 1) / 24), 6) AS qp_phase_cos FROM l"""
+  round(1 + sin(2 * pi() * (seq - 1) / 24), 6) AS phase_sin_1, round(1 + cos(2 * pi() * (seq - 1) / 24), 6) AS phase_cos_1 FROM l"""
 )
 def augment_envelope(s):
     from tidewright.plans.augment import augmented
 
     a = augmented(s.select(*KEY, "seq", "value"), KEY, "value", 24.0, 100.0, ["envelope_freq"])
-    return a.select(*KEY, "seq", *[r6(c, c) for c in ("qp_envelope", "qp_local_freq", "qp_local_freq_ratio", "qp_phase_sin", "qp_phase_cos")])
+    # 1 is added to the phase's parts, as a rounded zero may have either sign
+    shifted = [r6(1 + F.col(f"qp_phase_{p}"), f"phase_{p}_1") for p in ("sin", "cos")]
+    return a.select(*KEY, "seq", *[r6(c, c) for c in ("qp_envelope", "qp_local_freq", "qp_local_freq_ratio")], *shifted)
 
 
 @query(
