@@ -178,7 +178,7 @@ def test_nearest_neighbours_take_any_number_of_candidates(spark):
 
 def test_neighbour_queries_take_the_reference_sample(spark, tmp_path, monkeypatch):
     sizes, own = [], D.nearest_neighbours
-    monkeypatch.setattr(D, "nearest_neighbours", lambda refs, candidates, band: sizes.append((refs.count(), candidates.count())) or own(refs, candidates, band))
+    monkeypatch.setattr(D, "nearest_neighbours", lambda refs, candidates, band, **kw: sizes.append((refs.count(), candidates.count())) or own(refs, candidates, band, **kw))
     rows = spark.range(4500).select(F.col("id").alias("event_id"), F.expr("timestamp_seconds(id)").cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"), F.rand(3).alias("value"))
     rows.write.parquet(str(tmp_path / "events.parquet"))
     for name in ("lyapunov_divergence", "false_neighbour_dimension"):
