@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import scratch
 
-BLANK = r"[\\x20\\x09-\\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Defaults of the rules.
@@ -26,23 +27,32 @@ MAX_REMOVED_PERCENT = 70
 ROW_KEY = ["doc_id", "host", "text_hash"]
 
 
-def line_hash(line: str) -> str:
-    """SQL for the hash of a normalised line: A-Z as a-z, runs of blanks as one space, none at the ends."""
-    return f"xxhash64(trim(regexp_replace(translate({line}, '{UPPER}', '{LOWER}'), '{BLANK}', ' ')))"
+def words_by_line(text: Column) -> Column:
+    """The words of each line; blanks are made one character first, as splits by a character need no regular expression."""
+    for blank in BLANKS.replace(" ", "").replace("\n", ""):
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.transform(F.split(text, "\n"), lambda line: F.array_remove(F.split(line, " "), ""))
+
+
+def line_hash(words: Column) -> Column:
+    """Hash of a line in its normal form: A-Z as a-z, one space between words."""
+    line = F.array_join(words, " ")
+    # lower() reads bytes, but changes other letters than A-Z as well
+    return F.xxhash64(F.when(F.octet_length(line) == F.length(line), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER)))
 
 
 def text_measures(docs: DataFrame, host: str | Column) -> DataFrame:
     """A thin row for each document: the base counts, and line_rows of (line, words)."""
     host = F.col(host) if isinstance(host, str) else host
-    words = (
-        docs.select("doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("words", F.expr(f"filter(split(text, '{BLANK}'), w -> w <> '')"))
-        .withColumn("lines", F.expr("filter(split(text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
-    )
-    windows = words.withColumn(
-        "windows",
-        F.expr("if(size(words) < 3, array(), transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])))"),
+    texts = docs.select("doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = texts.withColumns(
+        {
+            "tokens": words_by_line(F.col("text")),
+            "lines": F.filter(F.split("text", "\n"), lambda line: F.ltrim(line, F.lit(BLANKS)) != ""),
+        }
     )
+    words = lines.withColumn("words", F.flatten("tokens"))
+    windows = words.withColumn("windows", F.expr("slice(transform(words, (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2))), 1, greatest(size(words) - 2, 0))"))
     # only a text with a repeated window is sorted
     ranked = windows.withColumn(
         "ranked",
@@ -59,13 +69,15 @@ def text_measures(docs: DataFrame, host: str | Column) -> DataFrame:
         "host",
         F.xxhash64("text").alias("text_hash"),
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.expr("CAST(size(lines) - size(array_distinct(lines)) AS LONG)").alias("n_dup_lines"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(
             "aggregate(zip_with(starts, slice(starts, 2, size(starts)), (a, b) -> least(3, coalesce(b - a, 3))), 0L, (s, x) -> s + x)"
         ).alias("n_repeat_words"),
-        F.expr(f"transform(lines, l -> struct({line_hash('l')} AS line, size(filter(split(l, '{BLANK}'), w -> w <> '')) AS words))").alias("line_rows"),
+        F.transform(
+            F.filter("tokens", lambda own: F.size(own) > 0), lambda own: F.struct(line_hash(own).alias("line"), F.size(own).alias("words"))
+        ).alias("line_rows"),
     )
 
 
@@ -150,7 +162,9 @@ def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     verdict = verdict.where("kept").dropDuplicates(["__id", "__hash", "__host"]).select("__id", "__hash", "__host", F.col("removed").alias("__removed"))
     keyed = docs.withColumns({"__hash": F.xxhash64(F.coalesce("text", F.lit(""))), "__host": F.coalesce(F.col(host).cast("string"), F.lit(""))})
     joined = keyed.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")) & (keyed["__hash"] == verdict["__hash"]) & (keyed["__host"] == verdict["__host"]))
-    left = F.expr(f"if(__removed IS NULL, text, array_join(filter(split(text, '\\n'), l -> NOT array_contains(__removed, {line_hash('l')})), '\\n'))")
+    held = F.arrays_zip(F.split("text", "\n").alias("line"), words_by_line(F.col("text")).alias("words"))
+    stays = F.transform(F.filter(held, lambda x: ~F.array_contains("__removed", line_hash(x["words"]))), lambda x: x["line"])
+    left = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     changed = joined.withColumn("text", left)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
