@@ -152,3 +152,15 @@ def test_members_of_alike_groups_are_sent_a_few_times(spark, monkeypatch):
     links = neardup.group_links(members, lambda df: df.selectExpr("*", f"X'{base.hex()}' AS sketch"), 0.85)
     assert graph.components(links).selectExpr("count(*)", "max(component)").first() == (n, 0)
     assert sum(sent) < 1.1 * n
+
+
+def test_hubs_are_not_dealt_to_one_partition(spark):
+    """Stars, a hub that is the largest id of its edges, and a chain: with hubs split the components are the same."""
+    edges = [(0, i) for i in range(1, 60)] + [(i, 500) for i in range(100, 160)] + [(i, 1000 - i) for i in range(200, 240)] + [(i, i + 1) for i in range(600, 640)]
+    edges += [(7, 130), (500, 500), (0, 1), (0, 1)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    whole = sorted(map(tuple, graph.components(df).collect()))
+    assert sorted(map(tuple, graph.components(df, hub=10).collect())) == whole
+    assert {i: c for i, c in whole}[159] == 0 and {i: c for i, c in whole}[640] == 600
+    pairs = graph.with_smallest(spark.createDataFrame(edges[:59], "u long, v long"), 59, 10)
+    assert sorted(map(tuple, pairs.collect())) == sorted((a, b, 0) for a, b in edges[:59])
