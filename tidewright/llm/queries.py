@@ -106,6 +106,35 @@ def op10_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_distinct_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all documents by a table of distinct marked words, and the texts decoded from them."""
+    import public_tokenizers
+
+    from tidewright.llm import pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(_read(spark, sf_dir, "documents"), model), model)
+    return both.select("doc_id", pieces.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings, one row for each row and component, by block Lanczos."""
+    from tidewright.llm import whitening
+
+    vectors = _read(spark, sf_dir, "embeddings")
+    fitted = whitening.fit(vectors, "vec_id", "embedding", components=16)
+    return whitening.long_form(whitening.apply(vectors, fitted, "vec_id", "embedding"), fitted)
+
+
+def op13_bitmask_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle forms of all documents, and the texts restored from them."""
+    from tidewright.llm import infill
+
+    made = infill.transform(_read(spark, sf_dir, "documents"), seed=42, percent=50, spm_percent=80)
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -183,5 +212,26 @@ SELECT doc_id, domain, language, source, tokens, CAST(epoch AS INT) AS epoch, po
 """
 
 
+_UNITS = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+"
+
+OP13_SQL = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_UNITS}') AS units,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digits FROM documents),
+h AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, {", ".join(f"CAST('0x' || substr(digits, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))} FROM t),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT doc_id, n, form, text, array_to_string(units[:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_hierarchical_mixing": OP5_SQL, "op9_cross_document_quality": OP9_SQL}
+    return {"op5_hierarchical_mixing": OP5_SQL, "op9_cross_document_quality": OP9_SQL, "op13_bitmask_infilling": OP13_SQL}

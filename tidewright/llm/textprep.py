@@ -134,6 +134,15 @@ def differing(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.
     return out
 
 
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One run of each different content, and for each run the place of its content among those; equal hashes are compared byte by byte."""
+    _, where, inverse = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    # runs that share a hash with another content, if ever, come after the different ones
+    apart = np.flatnonzero(differing(data, starts, ends, where[inverse]))
+    inverse[apart] = len(where) + np.arange(len(apart))
+    return np.concatenate((where, apart)), inverse
+
+
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its word shingles.
 
