@@ -11,6 +11,7 @@ from tidewright.functions import kernels as K
 from tidewright.operators import clusters as G
 from tidewright.operators import dynamics as D
 from tidewright.operators import joins as J
+from tidewright.operators import neighbours as N
 from tidewright.plans import augment, prepare, profile
 from tidewright.sources.synthetic import logistic_map, synthetic
 from tidewright.streaming import causal
@@ -153,7 +154,8 @@ def test_logistic_map_has_the_known_exponent(spark):
 
 
 def test_nearest_neighbours_match_brute_force_in_cells(spark, monkeypatch):
-    monkeypatch.setattr(J, "CELL", 60, raising=False)
+    for name, n in (("CELL", 60), ("GROUP", 25), ("HELD", 90), ("SAMPLE", 4)):
+        monkeypatch.setattr(N, name, n)
     rng = np.random.default_rng(4)
     x = rng.integers(0, 6, (400, 2)).astype(float)  # many ties
     x[7, 1] = np.nan
@@ -169,6 +171,44 @@ def test_nearest_neighbours_match_brute_force_in_cells(spark, monkeypatch):
     assert J.nearest_neighbours(points.where("start < 3"), points.where("start < 6"), 5).count() == 0
 
 
+@pytest.mark.parametrize("dim, band, kind", [(2, 5, "noise"), (3, 60, "noise"), (5, 2, "noise"), (3, 20, "ties"), (1, 1, "walk"), (2, 400, "noise")])
+def test_neighbour_kernel_equals_all_pairs(dim, band, kind):
+    rng = np.random.default_rng(dim)
+    p = rng.normal(size=(1500, dim))
+    p = {"noise": p, "ties": np.round(p), "walk": np.cumsum(p, 0)}[kind]
+    starts = rng.permutation(4000)[:1500]
+    d2 = np.zeros((1500, 1500))
+    for k in range(dim):
+        d2 += (p[:, k][:, None] - p[None, :, k]) ** 2
+    d2[np.abs(starts[:, None] - starts[None]) <= band] = np.inf
+    least = d2.min(1)
+    who = np.array([starts[row == m].min() if np.isfinite(m) else -1 for row, m in zip(d2, least)])
+    few = N.needed(p, starts, band)
+    assert len(few) < 1500 or kind != "ties"
+    best, found = N.nearest(p, starts, p[few], starts[few], band, np.full(1500, np.inf), np.full(1500, -1))
+    assert (best == least).all() and (found == who).all()
+
+
+def test_neighbours_of_many_segments_with_a_hot_vector(spark, monkeypatch):
+    for name, n in (("CELL", 50), ("GROUP", 40), ("HELD", 100), ("SAMPLE", 8)):
+        monkeypatch.setattr(N, name, n)
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for key, n in (("a", 700), ("b", 20), ("c", 130), (None, 3)):
+        x = rng.normal(size=(n, 2))
+        x[rng.random(n) < 0.4] = [0.5, 0.5]
+        rows += [(key, i, v.tolist()) for i, v in enumerate(x)]
+        for i in range(n if key else 0):
+            d2 = (x[:, 0] - x[i, 0]) ** 2 + (x[:, 1] - x[i, 1]) ** 2
+            d2[np.abs(np.arange(n) - i) <= 3] = np.inf
+            want[key, i] = (int(d2.argmin()), d2.min())
+    points = spark.createDataFrame(rows, "k string, start int, embedding array<float>").repartition(6)
+    exact = points.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    got = {(r.k, r.start): (r.neighbour, r.d2) for r in J.nearest_neighbours(exact, exact, 3, keys=["k"]).collect() if r.k}
+    assert got.keys() == want.keys()
+    assert all(got[k][1] == pytest.approx(want[k][1], rel=1e-5, abs=1e-12) for k in want)
+
+
 def test_nearest_neighbours_take_any_number_of_candidates(spark):
     points = spark.range(150_000).select(F.col("id").alias("start"), F.array(F.floor(F.col("id") / 10) * 1.0, (F.col("id") % 10) * 1.0).alias("embedding"))
     got = J.nearest_neighbours(points.where("start % 50000 = 25"), points, 0).collect()
@@ -186,6 +226,28 @@ def test_neighbour_queries_take_the_reference_sample(spark, tmp_path, monkeypatc
     assert set(sizes) == {(1500, 4000)}
 
 
+@pytest.mark.parametrize("chunk, distance", [(16, 3), (20, 9), (64, 5), (10, 30), (1 << 16, 7)])
+def test_spaced_peaks_by_the_greedy_rule(spark, monkeypatch, chunk, distance):
+    from tidewright.operators import ordered, windows
+
+    monkeypatch.setattr(ordered, "CHUNK", chunk)
+    rng = np.random.default_rng(distance)
+    places = np.sort(rng.choice(900, 330, replace=False)) + 1
+    kinds = {"noise": rng.normal(size=330), "ties": rng.integers(0, 3, 330) * 1.0, "up": np.arange(330.0), "down": -np.arange(330.0), "wave": np.sin(np.arange(330) / 40), "gaps": np.where(rng.random(330) < 0.1, np.nan, rng.normal(size=330))}
+    rows, want = [], set()
+    for kind, heights in kinds.items():
+        rows += [(kind, int(s), None if kind == "gaps" and i % 7 == 0 else float(h), i) for i, (s, h) in enumerate(zip(places, heights))]
+        known = [(-np.inf if r[2] is None or np.isnan(r[2]) else r[2], r[1]) for r in rows if r[0] == kind]
+        kept: list[int] = []
+        for _, s in sorted(known, reverse=True):
+            if all(abs(s - k) >= distance for k in kept):
+                kept.append(s)
+        want |= {(kind, s) for s in kept}
+    peaks = spark.createDataFrame(rows, "kind string, seq long, x double, extra int").repartition(5)
+    got = windows.spaced_peaks(peaks, ["kind"], "x", distance)
+    assert got.columns == peaks.columns and {(r.kind, r.seq) for r in got.collect()} == want
+
+
 def test_event_features(spark):
     x = np.zeros(200)
     x[[40, 90, 140]] = [5, 6, 5]

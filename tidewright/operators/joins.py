@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.neighbours import nearest_neighbours  # noqa: F401
 from tidewright.operators.ordered import framed
-from tidewright.session import ship_package
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -53,61 +51,6 @@ def subsample(n: Column, i: Column, most: int) -> Column:
     return (n <= most) | hit
 
 
-#: References and candidates of a cell of nearest_neighbours(), on average; and tasks at most.
-CELL, CELL_TASKS = 8192, 10_000
-
-
-def nearest_neighbours(refs: DataFrame, candidates: DataFrame, band: int, start: str = "start", vector: str = "embedding", block: int = 512, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, start, neighbour, d2): the candidate of its segment nearest to each reference whose start differs by more than `band`.
-
-    Ties go to the smallest start; references without a candidate vanish, as do
-    vectors with a missing part. A start stands for one place. Both sides may
-    have any length: they are dealt by a hash of start, each pair of parts is a
-    cell, and a reference's best of each cell are combined. All pairs are
-    compared, so the time grows with references x candidates.
-    """
-    ship_package(refs.sparkSession)
-    side = lambda df, s: df.where(F.col(vector).isNotNull()).select(*[F.col(k).alias(k) for k in keys], F.col(start).cast("long").alias(s), F.col(vector).cast("array<double>").alias("vector"))
-    own, other = side(refs, "start"), side(candidates, "neighbour")
-    rows, columns = (max(1, -(-df.count() // CELL)) for df in (own, other))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = own.withColumn("column", every(columns)).withColumn("cell", part("start", rows) * columns + F.col("column")).drop("column")
-    other = other.withColumn("row", every(rows)).withColumn("cell", F.col("row") * columns + part("neighbour", columns)).drop("row")
-
-    def arrays(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-        flat = pa.concat_arrays([c.flatten() for c in table.column("vector").chunks]).to_numpy(zero_copy_only=False)
-        starts, vectors = table.column(name).to_numpy(), flat.reshape(table.num_rows, -1)
-        whole = np.isfinite(vectors).all(1)
-        order = np.argsort(starts[whole], kind="stable")
-        return starts[whole][order], vectors[whole][order]
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if left.num_rows and right.num_rows:
-            (places, x), (starts, vectors) = arrays(left, "start"), arrays(right, "neighbour")
-            for a in range(0, len(places) if len(starts) else 0, block):
-                at, y = places[a : a + block], x[a : a + block]
-                d2 = np.zeros((len(at), len(starts)))
-                for k in range(y.shape[1]):
-                    d2 += (y[:, k : k + 1] - vectors[None, :, k]) ** 2
-                d2[np.abs(at[:, None] - starts[None, :]) <= band] = np.inf
-                best = d2.argmin(1)
-                value = d2[np.arange(len(at)), best]
-                ok = np.isfinite(value)
-                found.append((at[ok], starts[best[ok]], value[ok]))
-        columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
-        return pa.table([*[pa.array([k.as_py()] * len(columns[0]), k.type) for k in key[:-1]], *columns], [*keys, "start", "neighbour", "d2"])
-
-    # a given number of partitions, as small cells make much work and mustn't be put together
-    tasks = min(max(rows * columns, refs.sparkSession.sparkContext.defaultParallelism if keys else 1), CELL_TASKS)
-    dealt = [df.repartition(tasks, *keys, "cell").groupBy(*keys, "cell") for df in (own, other)]
-    fields = ", ".join([*[f"`{k}` {refs.schema[k].dataType.simpleString()}" for k in keys], "start long, neighbour long, d2 double"])
-    cells = dealt[0].cogroup(dealt[1]).applyInArrow(run, fields)
-    best = cells.groupBy(*keys, "start").agg(F.min(F.struct("d2", "neighbour")).alias("best"))
-    return best.select(*keys, "start", "best.neighbour", "best.d2")
-
-
 def nearest_in_order(points: DataFrame, others: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     """Points with `nearest`, the least distance to a row of others in the same group; null where there is none.
 

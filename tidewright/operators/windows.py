@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -182,28 +184,77 @@ def prominent_peaks(df: DataFrame, keys: Sequence[str], value: str, distance: in
 
 
 def spaced_peaks(peaks: DataFrame, keys: Sequence[str], value: str, distance: int, seq: str = "seq") -> DataFrame:
-    """Of peaks closer than `distance` rows keep the strongest, greedily; equal ones by the later row.
-
-    Peaks that are `distance` or more from their neighbours don't touch each
-    other's choice, so each island of close peaks is a group of its own.
+    """Of peaks closer than `distance` rows keep the strongest, greedily; equal ones by the later row, missing heights last.
+
+    A peak stays if no higher one that stays is nearer than the distance, so a
+    chunk settles its own peaks but for those whose fate comes from beyond what
+    it sees. These go into the next round, between other borders, with the kept
+    peaks near them; a few thousand are settled at once. So the rounds are one
+    or two, and more only for a trend of heights that is longer than a chunk:
+    each round settles half a chunk of it at least. No group is above a chunk
+    and its edges.
     """
-    from tidewright.operators.ordered import number
-    from tidewright.session import ship_package
+    from tidewright.session import cut, ship_package
 
+    if distance <= 1:
+        return peaks
     ship_package(peaks.sparkSession)
-    ranked = number(peaks, keys, [seq], F.floor(F.col(seq) / (1 << 20)), "__rank")
-    gap = framed(ranked, keys, 1, 0, lambda w: {"__new": F.when(F.coalesce(F.col(seq) - F.lag(seq).over(w), F.lit(distance)) >= distance, 1).otherwise(0)}, "__rank")
-    islands = running_sum(gap, keys, F.col("__new"), "__island", "__rank").drop("__new", "__rank")
-
-    def choose(pdf):
-        order = pdf.sort_values([value, seq], ascending=[False, False], kind="stable")
-        kept: list[int] = []
-        for i, s in zip(order.index, order[seq]):
-            if all(abs(s - pdf[seq][k]) >= distance for k in kept):
-                kept.append(i)
-        return pdf.loc[sorted(kept)]
-
-    return islands.groupBy(*keys, "__island").applyInPandas(choose, islands.schema).drop("__island")
+    keys, peaks = list(keys), cut(peaks)
+    chunk = max(chunk_size(), 2 * distance)
+    halo = max(distance, min(8 * distance, chunk // 4))
+    todo = peaks.select(*keys, F.col(seq).cast("long").alias("__seq"), F.col(value).cast("double").alias("__height"), F.lit(False).alias("__kept"))
+    kept, turn, at_once = None, 0, False
+    while True:
+        # borders move by half a chunk from round to round
+        shift = 0 if at_once else turn % 2 * (chunk // 2)
+        placed = todo.withColumn("__at", F.col("__seq") + shift)
+        dealt = placed.withColumn("__chunk", F.lit(0).cast("long")) if at_once else spread(placed, halo, halo, "__at", chunk)
+        settled = cut(dealt.groupBy(*keys, "__chunk").applyInArrow(_settling(len(keys), distance, chunk, 0 if at_once else halo, shift, at_once), todo.schema))
+        own = settled.where("__kept").drop("__kept")
+        kept = own if kept is None else kept.union(own)
+        open_ = settled.where("NOT __kept")
+        left = open_.count()
+        if not left:
+            break
+        near = lambda c: F.floor(F.col(c) / F.lit(distance))
+        around = open_.select(*keys, F.explode(F.sequence(near("__seq") - 1, near("__seq") + 1)).alias("__near")).distinct()
+        beside = kept.withColumn("__near", near("__seq")).join(around, [*keys, "__near"], "left_semi").select(*keys, "__seq", "__height", F.lit(True).alias("__kept"))
+        todo, turn, at_once = open_.union(beside), turn + 1, left <= chunk_size()
+    chosen = kept.select(*keys, F.col("__seq").alias(seq))
+    return peaks.join(chosen, [*keys, seq], "left_semi")
+
+
+def _settling(n_keys: int, distance: int, chunk: int, halo: int, shift: int, whole: bool):
+    """A function of one chunk's peaks that returns its own newly kept ones (`__kept`) and those that stay open."""
+
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("__seq").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        place = table.column("__seq").to_numpy()
+        height = np.nan_to_num(table.column("__height").fill_null(float("nan")).to_numpy(), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        before = table.column("__kept").to_numpy()
+        # what is seen reaches from low to high; before the first row there is nothing to see
+        low, high = key[n_keys].as_py() * chunk - halo + 1 - shift, (key[n_keys].as_py() + 1) * chunk + halo - shift
+        a, b = np.searchsorted(place, place - distance + 1), np.searchsorted(place, place + distance)
+        hidden = np.zeros(len(place), bool) if whole else ((place - distance < low - 1) & (low > 1)) | (place + distance > high + 1)
+        gone, unsure, stays = np.zeros(len(place), bool), hidden & ~before, before.copy()
+        for i in np.lexsort((place, height))[::-1].tolist():
+            if gone[i]:
+                continue
+            own = slice(a[i], b[i])
+            if stays[i] or not unsure[i]:
+                stays[i] = True
+                gone[own] = True
+                gone[i] = False
+            else:
+                unsure[own] = True  # it is higher than all in its reach that come later
+        inner = np.ones(len(place), bool) if whole else (place + shift - 1) // chunk == key[n_keys].as_py()
+        out = inner & ~gone & ~before
+        flags = pa.array(stays[out])
+        picked = table.select([*table.column_names[:n_keys], "__seq", "__height"]).filter(pa.array(out))
+        return picked.append_column("__kept", flags)
+
+    return settle
 
 
 def lagged_samples(peaks: DataFrame, keys: Sequence[str], height: str, time: str, inputs: int, targets: int, rank: str = "rank") -> DataFrame:
