@@ -106,7 +106,7 @@ class Segmenter:
     """Ids of whole texts by a SentencePiece model, with a table of the words that it has segmented."""
 
     #: Words of each of two generations of the table, and the bytes of a word and of its ids that are kept; what is used again moves to the younger.
-    KEEP, SHORT = 300_000, 256
+    KEEP, SHORT = 150_000, 256
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
