@@ -73,20 +73,89 @@ def test_analytic_signal_by_definition(spark):
     assert np.allclose([r.local_freq for r in got], np.maximum(step, 0), atol=1e-6)
 
 
-def test_blocks_of_long_segments_change_little(spark):
+def test_no_result_depends_on_the_size_of_a_chunk(spark, monkeypatch):
+    """Filters, events and the analytic signal over small chunks equal kernels on the whole series."""
+    from tidewright.functions import kernels as K
+    from tidewright.operators import ordered, spectra
     from tidewright.plans.augment import hilbert_features, sequential_features
 
-    n = 3000
-    t = np.arange(n)
-    x = np.sin(2 * np.pi * t / 24) + 0.2 * np.sin(2 * np.pi * t / 7)
-    df = spark.createDataFrame([(1, i + 1, float(v)) for i, v in enumerate(x)], "k int, seq long, x double")
-    for f, columns in ((sequential_features, ["qp_event_mask", "qp_event_prominence", "qp_band0", "qp_band1", "qp_band0_rms"]), (hilbert_features, ["envelope", "phase_sin"])):
-        args = (24.0, 100.0) if f is sequential_features else (100.0,)
-        whole, parts = (sorted(f(df, ["k"], "x", *args, **kw).collect(), key=lambda r: r.seq) for kw in ({}, {"block": 1000, "overlap": 800}))
-        assert [r.seq for r in parts] == list(range(1, n + 1))
-        inner = slice(100, n - 100)
-        for c in columns:
-            assert np.allclose([r[c] for r in whole][inner], [r[c] for r in parts][inner], atol=0.05), c
+    rng = np.random.default_rng(3)
+    t = np.arange(700)
+    segments = {
+        "sine": (24.0, np.sin(2 * np.pi * t / 24) + 0.2 * np.sin(2 * np.pi * t / 7)),
+        "noise": (9.0, rng.normal(size=601)),
+        "trend": (16.0, 0.01 * t[:500] + 3 * np.sin(2 * np.pi * t[:500] / 16)),
+        "flat": (12.0, np.repeat(rng.normal(size=12), rng.integers(1, 80, 12))),
+        "short": (8.0, rng.normal(size=12)),
+    }
+    rows = [(k, i + 1, float(v), p) for k, (p, x) in segments.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, seq long, x double, p double").repartition(5)
+    monkeypatch.setattr(ordered, "CHUNK", 64)
+    monkeypatch.setattr(spectra, "LIMIT", 32)
+    for offline in (False, True):
+        got = sequential_features(df, ["k"], "x", F.col("p"), 100.0, offline=offline).toPandas().sort_values(["k", "seq"])
+        for k, (p, x) in segments.items():
+            own, z = got[got.k == k], (x - np.median(x)) / (1.4826 * np.median(np.abs(x - np.median(x))))
+            assert own.seq.tolist() == list(range(1, len(x) + 1))
+            peaks, prominence = K.find_peaks(z, distance=max(1, round(0.35 * p)), prominence=0.75)
+            width, near = K.half_widths(z, peaks), np.zeros(len(x))
+            for i, w in zip(peaks, width):
+                near = np.maximum(near, 1 - np.abs(np.arange(len(x)) - i) / max(1, round(w)))
+            assert np.flatnonzero(own.qp_event_mask).tolist() == peaks.tolist() and (len(peaks) or k in ("short", "flat"))
+            assert np.allclose(own.qp_event_prominence.to_numpy()[peaks], prominence, rtol=0, atol=1e-9) and np.allclose(own.qp_event_width.to_numpy()[peaks], width, rtol=0, atol=1e-9)
+            assert np.allclose(own.qp_event_proximity, near, rtol=0, atol=1e-9) and np.allclose(own.qp_event_weight, 1 + 2 * near)
+            for j, (a, b) in enumerate(((0.5, 1.5), (1.5, 3.0), (3.0, 6.0))):
+                band = K.band_pass(x, 100.0, a * 100 / p, min(b * 100 / p, 49.0), zero_phase=offline)
+                assert np.allclose(own[f"qp_band{j}"], band, rtol=0, atol=1e-9)
+                rms = np.sqrt(np.maximum(K.moving_mean(band * band, max(3, round(p / 8)), "B" if offline else "causal"), 0))
+                assert np.allclose(own[f"qp_band{j}_rms"], rms, rtol=0, atol=1e-9)
+    got = hilbert_features(df, ["k"], "x", 100.0).toPandas().sort_values(["k", "seq"])
+    for k, (_, x) in segments.items():
+        z, own = K.analytic(x - x.mean()), got[got.k == k]
+        phase = np.unwrap(np.angle(z))
+        assert np.allclose(own.envelope, np.abs(z), rtol=0, atol=1e-9) and np.allclose(own.phase_sin, np.sin(phase), rtol=0, atol=1e-9)
+        assert np.allclose(own.local_freq, np.maximum(np.diff(phase, prepend=phase[:1]) * 100 / (2 * np.pi), 0), rtol=0, atol=1e-7)
+
+
+def test_periodogram_of_any_length(spark, monkeypatch):
+    from tidewright.operators import spectra
+    from tidewright.plans.profile import periodogram
+
+    rng = np.random.default_rng(9)
+    segments = {n: np.sin(2 * np.pi * np.arange(n) / 37.3) + rng.normal(size=n) for n in (7, 8, 50, 1009, 1024, 1500)}
+    df = spark.createDataFrame([(n, i + 1, float(v)) for n, x in segments.items() for i, v in enumerate(x)], "k int, seq long, x double")
+    monkeypatch.setattr(spectra, "LIMIT", 64)
+    got = {r.k: r for r in periodogram(df, ["k"], "x", 100.0).collect()}
+    assert got[7].dominant_period_steps is None
+    for n, x in segments.items():
+        amp = np.abs(np.fft.rfft(x - x.mean()))
+        amp[0] = 0
+        if n > 7:
+            assert got[n].dominant_period_steps == n / amp.argmax() and got[n].amplitude_share == pytest.approx(amp.max() / amp.sum(), rel=1e-9)
+
+
+def test_periods_of_segments_without_a_profile(spark, monkeypatch):
+    """Welch's estimate over blocks equals the kernel's on the whole; constant and tiny segments take the rate."""
+    from tidewright.functions import kernels as K
+    from tidewright.operators import spectra
+    from tidewright.plans.augment import augmented, settings
+
+    rng = np.random.default_rng(11)
+    segments = {"a": np.sin(2 * np.pi * np.arange(900) / 20) + 0.3 * rng.normal(size=900), "b": np.sin(2 * np.pi * np.arange(300) / 33), "c": np.ones(40), "d": np.ones(3)}
+    df = spark.createDataFrame([(k, i + 1, float(v)) for k, x in segments.items() for i, v in enumerate(x)], "k string, seq long, x double")
+    got = {r.k: r.estimated_period for r in spectra.welch_period(df, ["k"], "x", F.lit(50.0), length=256).collect()}
+    for k in "ab":
+        freq, power = K.welch(segments[k] - segments[k].mean(), 50.0, 256)
+        assert got[k] == pytest.approx(50.0 / freq[1:][power[1:].argmax()])
+    assert got["c"] == got["d"] == 0
+    own = {r.k: (r["__period"], r["__width"]) for r in settings(df, ["k"], "x", 50.0).collect()}
+    assert own["c"] == own["d"] == (50.0, 5) and own["a"] == (900 / 45, 3) or own["a"][0] == pytest.approx(20, abs=1)
+    assert own["b"][1] == max(3, round(own["b"][0] / 10))
+    full = augmented(df, ["k"], "x", None, 50.0)
+    assert full.count() == df.count() and not [c for c in full.columns if c.startswith("__")]
+    late = augmented(df, ["k"], "x", None, 50.0, offline=True).where("k = 'b'").orderBy("seq").toPandas()
+    z = K.analytic(K.moving_mean(segments["b"], own["b"][1], "causal") - K.moving_mean(segments["b"], own["b"][1], "causal").mean())
+    assert np.allclose(late.qp_envelope, K.moving_mean(np.abs(z), max(3, round(own["b"][0] / 4)), "B"))
 
 
 def test_structure_scores_by_definition(spark):
@@ -203,7 +272,7 @@ def test_sequential_modules_of_the_queries(spark):
 
     x = events(spark)
     got = by_seq(catalog.queries()["event_and_band_features"](spark, SF))
-    low, high = K.relative_bands(100 / 24, 100.0)[1]
+    low, high = 1.5 * 100 / 24, 3.0 * 100 / 24
     y = x.copy()
     for b, a in K.band_sections(low / 50, high / 50):
         out = np.zeros(len(y))

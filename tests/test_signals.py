@@ -248,13 +248,16 @@ def test_spaced_peaks_by_the_greedy_rule(spark, monkeypatch, chunk, distance):
     assert got.columns == peaks.columns and {(r.kind, r.seq) for r in got.collect()} == want
 
 
-def test_event_features(spark):
-    x = np.zeros(200)
-    x[[40, 90, 140]] = [5, 6, 5]
-    found = augment.events(x, 50, 0.0, float(x.std()))
-    assert np.flatnonzero(found["mask"]).tolist() == [40, 90, 140]
-    assert found["proximity"][90] == 1 and 0 <= found["proximity"].min()
-    assert K.relative_bands(1.0, 100.0) == [(0.5, 1.5), (1.5, 3.0), (3.0, 6.0)]
+def test_sections_run_in_lanes(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=5000)
+    for low, high in ((0.1, 0.4), (0.01, 0.03)):
+        sections = K.band_sections(low, high)
+        monkeypatch.setattr(K, "LANES_FROM", 10**9)
+        want, states = K.filtered(sections, x)
+        monkeypatch.setattr(K, "LANES_FROM", 256)
+        got, own = K.filtered(sections, x)
+        assert np.allclose(got, want, rtol=0, atol=1e-11) and np.allclose(own, states, rtol=0, atol=1e-11)
 
 
 def test_silhouette_by_definition(spark):

@@ -312,6 +312,25 @@ def augmented_table(s):
     return augmented(s.select(*KEY, "seq", "value"), KEY, "value", 24.0, 100.0)
 
 
+_BY_TYPE = lambda f: f"CASE event_type WHEN 'click' THEN {f(0)} WHEN 'view' THEN {f(1)} ELSE {f(2)} END"
+
+
+@query(
+    f""", b AS (SELECT event_type, seq, value, {_BY_TYPE(lambda k: _frame("value", (8, 12, 10)[k], 0))} AS m, {_BY_TYPE(lambda k: _frame("value", (4, 6, 5)[k], (4, 6, 5)[k]))} AS c FROM s)
+SELECT event_type, seq, round(m, 6) AS qp_main_input, round(c, 6) AS qp_main_target, round(value - m, 6) AS qp_residual, round(sqrt({_BY_TYPE(lambda k: _frame("m * m", (5, 9, 7)[k], 0))}), 6) AS qp_envelope,
+  round({_BY_TYPE(lambda k: f"1 + sin(2 * pi() * (seq - 1) / {(24, 40, 32)[k]})")}, 6) AS phase_sin_1, {_BY_TYPE(lambda k: ("0.75", "0.25", "0.5")[k])} AS qp_predictability_score, {_BY_TYPE(lambda k: (0, 5, 0)[k])} AS qp_signal_type_id FROM b"""
+)
+def augment_by_profile(s):
+    """Each segment by its own profile; segments without one by the medians of all."""
+    from tidewright.plans.augment import augmented
+
+    found = [("click", 24.0, 9.0, 0.75, "stable_single_freq"), ("view", 40.0, 13.0, 0.25, "weak_periodic")]
+    profiles = s.sparkSession.createDataFrame(found, "event_type string, dominant_period_samples double, recommended_smooth_window double, predictability_score double, signal_type string")
+    a = augmented(s.select(*KEY, "seq", "value"), KEY, "value", None, 100.0, ["main_residual", "envelope_freq", "predictability"], profiles=profiles)
+    names = ("qp_main_input", "qp_main_target", "qp_residual", "qp_envelope")
+    return a.select(*KEY, "seq", *[r6(c, c) for c in names], r6(1 + F.col("qp_phase_sin"), "phase_sin_1"), "qp_predictability_score", "qp_signal_type_id")
+
+
 @query(source=vectors)
 def cluster_sweep(e):
     return G.sweep(e, "vec_id", DIMENSIONS, G.k_values("2-4"), [1], sample=500)["scores"]

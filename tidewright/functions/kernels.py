@@ -144,24 +144,54 @@ def band_sections(low: float, high: float, order: int = 4) -> list[tuple[np.ndar
     return out
 
 
+#: Steps of a lane, and samples from which a section runs in lanes.
+STEPS, LANES_FROM = 128, 2048
+
+
+def _lanes(b: tuple, a1: float, a2: float, x: np.ndarray, state: tuple[float, float]) -> tuple[np.ndarray, tuple[float, float]]:
+    """One section over lanes of STEPS samples at once: each from zero, then what its entering state adds."""
+    b0, b1, b2 = b
+    lanes = x.reshape(-1, STEPS).T
+    out, s1, s2 = np.empty(lanes.shape), np.zeros(lanes.shape[1]), np.zeros(lanes.shape[1])
+    step, row = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([1.0, 0.0])
+    answer = np.empty((STEPS, 2))
+    for t, v in enumerate(lanes):
+        own = out[t] = b0 * v + s1
+        s1 = b1 * v - a1 * own + s2
+        s2 = b2 * v - a2 * own
+        answer[t] = row
+        row = row @ step
+    (p, q), (r, s) = np.linalg.matrix_power(step, STEPS).tolist()
+    entering = []
+    for f1, f2 in zip(s1.tolist(), s2.tolist()):
+        entering.append(state)
+        state = (p * state[0] + q * state[1] + f1, r * state[0] + s * state[1] + f2)
+    return (out + answer @ np.array(entering).T).T.ravel(), state
+
+
 def filtered(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, states: list | None = None) -> tuple[np.ndarray, list]:
     """x through all sections one after the other, and their states after it, for the next part of the series."""
-    states = [tuple(s) for s in states] if states else [(0.0, 0.0)] * len(sections)
-    y = x.tolist()
+    states = [tuple(map(float, s)) for s in states] if states is not None and len(states) else [(0.0, 0.0)] * len(sections)
+    y = np.array(x, float)
+    whole = len(y) // STEPS * STEPS if len(y) >= LANES_FROM else 0
     for k, (b, a) in enumerate(sections):
         b0, b1, b2 = b.tolist()
         a1, a2 = float(a[1]), float(a[2])
-        s1, s2 = states[k]
-        for i, v in enumerate(y):
-            out = b0 * v + s1
+        state = states[k]
+        if whole:
+            y[:whole], state = _lanes((b0, b1, b2), a1, a2, y[:whole], state)
+        s1, s2 = state
+        rest = y[whole:].tolist()
+        for i, v in enumerate(rest):
+            rest[i] = out = b0 * v + s1
             s1 = b1 * v - a1 * out + s2
             s2 = b2 * v - a2 * out
-            y[i] = out
+        y[whole:] = rest
         states[k] = (s1, s2)
-    return np.array(y), states
+    return y, states
 
 
-def _steady(sections) -> list[np.ndarray]:
+def steady(sections) -> list[np.ndarray]:
     """States of each section when its input has been 1 times what the sections before let through for ever."""
     out, level = [], 1.0
     for b, a in sections:
@@ -185,7 +215,7 @@ def band_pass(x: np.ndarray, rate: float, low: float, high: float, order: int =
     pad = min(len(x) - 1, 3 * (2 * len(sections) + 1))
     ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     for _ in range(2):
-        ext = filtered(sections, ext, [s * ext[0] for s in _steady(sections)])[0][::-1]
+        ext = filtered(sections, ext, [s * ext[0] for s in steady(sections)])[0][::-1]
     return ext[pad : len(ext) - pad]
 
 
@@ -236,21 +266,6 @@ def moving_mean(x: np.ndarray, width: int, kind: str = "B") -> np.ndarray:
     return (total[b] - total[a]) / (b - a)
 
 
-def relative_bands(dominant: float, rate: float, count: int = 3) -> list[tuple[float, float]]:
-    """The bands of functions.columns.relative_bands() for one dominant frequency."""
-    from tidewright.functions.columns import BAND_EDGES
-
-    top = max(rate / 2, 1e-12)
-    if dominant <= 0:
-        step = 0.88 * top / count
-        return [(0.02 * top + step * i, 0.02 * top + step * (i + 1)) for i in range(count)]
-    lows = np.maximum(np.array(BAND_EDGES[:-1]) * dominant, 1e-6)[:count]
-    highs = np.minimum(np.array(BAND_EDGES[1:]) * dominant, 0.98 * top)[:count]
-    highs = np.where(highs > lows, highs, np.minimum(0.98 * top, 1.5 * lows))
-    fit = (highs > lows) & (lows < top)
-    return (list(zip(lows[fit].tolist(), highs[fit].tolist())) + [(0.0, 0.0)] * count)[:count]
-
-
 def top_bins(x: np.ndarray, k: int) -> np.ndarray:
     """The part of x in the bins whose amplitude exceeds the k-th largest one (so k - 1 bins, without ties), the mean left out."""
     f = np.fft.rfft(x)
@@ -261,8 +276,3 @@ def top_bins(x: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(len(x))
     f[amp <= np.sort(amp)[-k]] = 0
     return np.fft.irfft(f, n=len(x))
-
-
-def block_power(x: np.ndarray) -> np.ndarray:
-    """Squared amplitudes of x less its mean."""
-    return np.abs(np.fft.rfft(x - x.mean())) ** 2

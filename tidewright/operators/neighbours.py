@@ -173,12 +173,14 @@ def nearest_neighbours(refs: DataFrame, candidates: DataFrame, band: int, start:
     ship_package(spark)
     keys = list(keys)
     side = lambda df: df.where(F.col(vector).isNotNull() & F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))).select(*keys, F.col(start).cast("long").alias("start"), F.col(vector).cast("array<double>").alias("vector"))
-    own, other = side(refs), side(candidates)
+    other = cut(side(candidates))
+    # columns of their own, as both sides meet again
+    own = other.select(*[F.col(c).alias(c) for c in other.columns]) if refs is candidates else side(refs)
     held = [f"`{k}` {refs.schema[k].dataType.simpleString()}" for k in keys]
-    counts = cut(other.groupBy(*keys).agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    size = max(CELL, 4 * (2 * band + 1), total // CELLS)
-    large = counts.where(F.col("n") > size).collect()  # as many as there are cells, at most
+    counts = other.groupBy(*keys).agg(F.count("*").alias("n"))
+    most = counts.agg(F.sum("n").alias("total"), F.max("n").alias("n")).first()
+    size = max(CELL, 4 * (2 * band + 1), (most.total or 0) // CELLS)
+    large = counts.where(F.col("n") > size).collect() if (most.n or 0) > size else []  # as many as there are cells, at most
     known = _trees(other, keys, large, size)
     if large:
         numbers = spark.createDataFrame([(*[r[k] for k in keys], i) for i, r in enumerate(large)], ", ".join([*held, "tree int"]))
@@ -210,7 +212,7 @@ def nearest_neighbours(refs: DataFrame, candidates: DataFrame, band: int, start:
 
         return run
 
-    place = lambda df, thin: cut(numbered(df).mapInArrow(placing(thin), ", ".join([*held, "start long, vector array<double>, tree int, cell long"])))
+    place = lambda df, thin: numbered(df).withColumn("cell", F.lit(0).cast("long")) if not large else cut(numbered(df).mapInArrow(placing(thin), ", ".join([*held, "start long, vector array<double>, tree int, cell long"])))
     own, other = place(own, False), place(other, True)
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -230,13 +232,15 @@ def nearest_neighbours(refs: DataFrame, candidates: DataFrame, band: int, start:
         """Visits (a reference and a cell) with the best that the cell has for them."""
         parts = F.ceil(F.col("n") / GROUP).cast("int")
         crowded = visits.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
-        groups = crowded.agg(F.sum(parts)).first()[0] or 1
-        heavy = cut(crowded.where(F.col("n") > GROUP).select(*keys, "cell", parts.alias("parts")))
-        n = F.coalesce("parts", F.lit(1))
-        left = visits.join(heavy, [*keys, "cell"], "left").withColumn("part", F.pmod(F.xxhash64("start"), n).cast("int")).drop("parts")
-        right = other.join(heavy, [*keys, "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
+        found = crowded.agg(F.sum(parts).alias("groups"), F.max("n").alias("n")).first()
+        left, right = visits.withColumn("part", F.lit(0)), other.withColumn("part", F.lit(0))
+        if (found.n or 0) > GROUP:
+            heavy = cut(crowded.where(F.col("n") > GROUP).select(*keys, "cell", parts.alias("parts")))
+            n = F.coalesce("parts", F.lit(1))
+            left = visits.join(heavy, [*keys, "cell"], "left").withColumn("part", F.pmod(F.xxhash64("start"), n).cast("int"))
+            right = other.join(heavy, [*keys, "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1)))
         # a given number of partitions, as small groups make much work and mustn't be put together
-        tasks = min(max(groups, spark.sparkContext.defaultParallelism), TASKS)
+        tasks = min(max(found.groups or 1, spark.sparkContext.defaultParallelism), TASKS)
         left, right = (df.repartition(tasks, *keys, "cell", "part").groupBy(*keys, "cell", "part") for df in (left.select(*columns, "part"), right.select(*keys, "cell", "part", "start", "vector")))
         return left.cogroup(right).applyInArrow(search, ", ".join([*held, "cell long, start long, vector array<double>, tree int, part int, d2 double, neighbour long"]))
 

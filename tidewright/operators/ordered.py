@@ -59,8 +59,8 @@ def framed(
     return spread(df, before, after, seq, chunk).withColumns(build(w)).where(chunk_of(seq, chunk) == F.col("__chunk")).drop("__chunk")
 
 
-def spread(df: DataFrame, before: int, after: int, seq: str = "seq", chunk: int | None = None) -> DataFrame:
-    """Rows with every chunk (`__chunk`) whose own rows have them within `before` rows back or `after` rows ahead."""
+def spread(df: DataFrame, before: int | Column, after: int | Column, seq: str = "seq", chunk: int | None = None) -> DataFrame:
+    """Rows with every chunk (`__chunk`) whose own rows have them within `before` rows back or `after` rows ahead; either may be a column that is one in a segment."""
     at, size = F.col(seq) - 1, F.lit(chunk or CHUNK)
     low = F.greatest(F.floor((at - after) / size), F.lit(0))
     return df.withColumn("__chunk", F.explode(F.sequence(low.cast("long"), F.floor((at + before) / size).cast("long"))))

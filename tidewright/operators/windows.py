@@ -69,6 +69,52 @@ def moving_rms(df: DataFrame, keys: Sequence[str], value: Column, width: int, ki
     return out.withColumn(name, F.sqrt(F.when(F.col(name).isNotNull(), F.greatest(F.col(name), F.lit(0.0)))))
 
 
+def frames(df: DataFrame, keys: Sequence[str], made: dict[str, tuple[Column, int | Column, str, str]], seq: str = "seq") -> DataFrame:
+    """Add for each name the (value, width, kind, "mean" or "rms") of its frame; a width may be a column that is one in a segment.
+
+    Frames of a given width are frame_mean() and moving_rms(). Others are made
+    together: a chunk gets the rows that its segment's widest frame reaches,
+    and takes differences of prefix sums at two places.
+    """
+    from tidewright.session import ship_package
+
+    if all(isinstance(width, int) for _, width, _, _ in made.values()):
+        for name, (value, width, kind, how) in made.items():
+            df = (frame_mean if how == "mean" else moving_rms)(df, keys, value, width, kind, name, seq)
+        return df
+    ship_package(df.sparkSession)
+    names, keys = list(made), list(keys)
+    kinds_ = [(kind, how) for _, _, kind, how in made.values()]
+    wide = [width if isinstance(width, Column) else F.lit(width) for _, width, _, _ in made.values()]
+    left = [{"causal": w - 1, "A": F.floor(w / 2), "B": F.floor((w - 1) / 2)}[kind].cast("long") for w, (kind, _) in zip(wide, kinds_)]
+    most = lambda cs: F.greatest(*cs, F.lit(0)) if len(cs) else F.lit(0)
+    held = df.withColumns({f"__f{k}": F.coalesce(known(v), F.lit(float("nan"))) for k, (v, _, _, _) in enumerate(made.values())} | {f"__w{k}": w.cast("long") for k, w in enumerate(wide)} | {f"__l{k}": c for k, c in enumerate(left)})
+    dealt = spread(held, most([F.col(f"__l{k}") for k in range(len(names))]), most([F.col(f"__w{k}") - 1 - F.col(f"__l{k}") for k in range(len(names))]), seq)
+    size, held_names = chunk_size(), df.columns
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column(seq).to_numpy())))
+        at, n = np.arange(table.num_rows), table.num_rows
+        columns = []
+        for k, (_, how) in enumerate(kinds_):
+            x, width, before = table.column(f"__f{k}").to_numpy(), table.column(f"__w{k}")[0].as_py(), table.column(f"__l{k}")[0].as_py()
+            fine = np.isfinite(x)
+            x = np.where(fine, x * x if how == "rms" else x, 0.0)
+            total, count = (np.concatenate(([0], np.cumsum(v))) for v in (x, fine))
+            a, b = np.maximum(at - before, 0), np.minimum(at + width - before, n)
+            some = count[b] - count[a]
+            mean = (total[b] - total[a]) / np.maximum(some, 1)
+            columns.append(pa.array(np.sqrt(np.maximum(mean, 0)) if how == "rms" else mean, mask=some == 0))
+        own = pa.array((table.column(seq).to_numpy() - 1) // size == key[len(keys)].as_py())
+        out = table.select(held_names)
+        for name, c in zip(names, columns):
+            out = out.append_column(name, c)
+        return out.filter(own)
+
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{n}` double" for n in names])
+    return dealt.groupBy(*keys, "__chunk").applyInArrow(run, fields)
+
+
 def edge_rms(df: DataFrame, keys: Sequence[str], value: str, width: int, name: str, seq: str = "seq") -> DataFrame:
     """Add the local root mean square over frames of `width` rows, the first and last value standing for rows beyond the ends; a missing sample is 0."""
     left, right = (width - 1) // 2, width - 1 - (width - 1) // 2
@@ -132,14 +178,16 @@ def difference(df: DataFrame, keys: Sequence[str], value: str, name: str, seq: s
     return framed(df, keys, 1, 0, lambda w: {name: F.col(value) - F.lag(value).over(w)}, seq)
 
 
-def crossing_frequency(df: DataFrame, keys: Sequence[str], value: str, period: int, rate: float, name: str, seq: str = "seq") -> DataFrame:
-    """Add the local frequency from upward zero crossings of value less its causal mean over two periods.
+def crossing_frequency(df: DataFrame, keys: Sequence[str], value: str, period: float | Column, rate: float | Column, name: str, seq: str = "seq") -> DataFrame:
+    """Add the local frequency from upward zero crossings of value less its causal mean over two periods (three rows at least).
 
-    A crossing sets rate / (rows since the one before) from its own row on;
+    period and rate may be columns that are one in a segment. A crossing sets rate / (rows since the one before) from its own row on;
     before the second crossing the frequency is rate / period.
     """
     x = known(F.col(value))
-    base = frame_mean(df, keys, x, 2 * period, "causal", "__mean", seq).withColumn("__d", x - F.col("__mean"))
+    width = max(3, round(2 * period)) if not isinstance(period, Column) else F.greatest(F.bround(2 * F.greatest(period, F.lit(1.0)), 0), F.lit(3.0)).cast("long")
+    period, rate = (c if isinstance(c, Column) else F.lit(float(c)) for c in (period, rate))
+    base = frames(df, keys, {"__mean": (x, width, "causal", "mean")}, seq).withColumn("__d", x - F.col("__mean"))
     up = lambda w: {"__up": (F.lag("__d").over(w) < 0) & (F.col("__d") >= 0)}
     marked = framed(base, keys, 1, 0, up, seq).withColumn("__chunk", chunk_of(seq)).withColumn("__here", F.when(F.col("__up"), F.col(seq)))
     # the last two crossings of each chunk, carried over to the chunks after it
@@ -151,10 +199,10 @@ def crossing_frequency(df: DataFrame, keys: Sequence[str], value: str, period: i
     far = ends.select(*keys, "__chunk", F.last(pair, ignorenulls=True).over(earlier).alias("__far"))
     own = W.partitionBy(*keys, "__chunk").orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
     joined = marked.join(far, [*keys, "__chunk"]).withColumn("__prior", F.coalesce(F.last("__here", ignorenulls=True).over(own), "__far.z"))
-    gap = F.when(F.col("__up") & F.col("__prior").isNotNull(), F.lit(float(rate)) / (F.col(seq) - F.col("__prior")))
-    before = F.when(F.col("__far.y").isNotNull(), F.lit(float(rate)) / (F.col("__far.z") - F.col("__far.y")))
+    gap = F.when(F.col("__up") & F.col("__prior").isNotNull(), rate / (F.col(seq) - F.col("__prior")))
+    before = F.when(F.col("__far.y").isNotNull(), rate / (F.col("__far.z") - F.col("__far.y")))
     held = joined.withColumn("__gap", gap).withColumn("__f", F.coalesce("__gap", F.last("__gap", ignorenulls=True).over(own), before))
-    return held.withColumn(name, F.coalesce("__f", F.lit(float(rate) / period))).drop("__mean", "__d", "__up", "__here", "__chunk", "__far", "__prior", "__gap", "__f")
+    return held.withColumn(name, F.coalesce("__f", rate / period)).drop("__mean", "__d", "__up", "__here", "__chunk", "__far", "__prior", "__gap", "__f")
 
 
 def cumulative_phase(df: DataFrame, keys: Sequence[str], frequency: Column, rate: float, name: str, seq: str = "seq") -> DataFrame:
@@ -183,8 +231,8 @@ def prominent_peaks(df: DataFrame, keys: Sequence[str], value: str, distance: in
     return framed(df, keys, half, half, build, seq).where(F.col("__peak") & (F.col("prominence") >= least)).drop("__peak")
 
 
-def spaced_peaks(peaks: DataFrame, keys: Sequence[str], value: str, distance: int, seq: str = "seq") -> DataFrame:
-    """Of peaks closer than `distance` rows keep the strongest, greedily; equal ones by the later row, missing heights last.
+def spaced_peaks(peaks: DataFrame, keys: Sequence[str], value: str, distance: int | Column, seq: str = "seq") -> DataFrame:
+    """Of peaks closer than `distance` rows (a number, or a column that is one in a segment) keep the strongest, greedily; equal ones by the later row, missing heights last.
 
     A peak stays if no higher one that stays is nearer than the distance, so a
     chunk settles its own peaks but for those whose fate comes from beyond what
@@ -192,67 +240,62 @@ def spaced_peaks(peaks: DataFrame, keys: Sequence[str], value: str, distance: in
     peaks near them; a few thousand are settled at once. So the rounds are one
     or two, and more only for a trend of heights that is longer than a chunk:
     each round settles half a chunk of it at least. No group is above a chunk
-    and its edges.
+    and its edges (some distances on either side).
     """
     from tidewright.session import cut, ship_package
 
-    if distance <= 1:
-        return peaks
     ship_package(peaks.sparkSession)
-    keys, peaks = list(keys), cut(peaks)
-    chunk = max(chunk_size(), 2 * distance)
-    halo = max(distance, min(8 * distance, chunk // 4))
-    todo = peaks.select(*keys, F.col(seq).cast("long").alias("__seq"), F.col(value).cast("double").alias("__height"), F.lit(False).alias("__kept"))
+    keys, peaks, chunk = list(keys), cut(peaks), chunk_size()
+    away = distance if isinstance(distance, Column) else F.lit(distance)
+    todo = peaks.select(*keys, F.col(seq).cast("long").alias("__seq"), F.col(value).cast("double").alias("__height"), F.greatest(away, F.lit(1)).cast("long").alias("__away"), F.lit(False).alias("__kept"))
+    halo = F.greatest(F.col("__away"), F.least(8 * F.col("__away"), F.lit(chunk // 4)))
     kept, turn, at_once = None, 0, False
     while True:
         # borders move by half a chunk from round to round
         shift = 0 if at_once else turn % 2 * (chunk // 2)
         placed = todo.withColumn("__at", F.col("__seq") + shift)
         dealt = placed.withColumn("__chunk", F.lit(0).cast("long")) if at_once else spread(placed, halo, halo, "__at", chunk)
-        settled = cut(dealt.groupBy(*keys, "__chunk").applyInArrow(_settling(len(keys), distance, chunk, 0 if at_once else halo, shift, at_once), todo.schema))
+        settled = cut(dealt.groupBy(*keys, "__chunk").applyInArrow(_settling(len(keys), chunk, shift, at_once), todo.schema))
         own = settled.where("__kept").drop("__kept")
         kept = own if kept is None else kept.union(own)
         open_ = settled.where("NOT __kept")
         left = open_.count()
         if not left:
             break
-        near = lambda c: F.floor(F.col(c) / F.lit(distance))
-        around = open_.select(*keys, F.explode(F.sequence(near("__seq") - 1, near("__seq") + 1)).alias("__near")).distinct()
-        beside = kept.withColumn("__near", near("__seq")).join(around, [*keys, "__near"], "left_semi").select(*keys, "__seq", "__height", F.lit(True).alias("__kept"))
-        todo, turn, at_once = open_.union(beside), turn + 1, left <= chunk_size()
-    chosen = kept.select(*keys, F.col("__seq").alias(seq))
-    return peaks.join(chosen, [*keys, seq], "left_semi")
+        near = F.floor(F.col("__seq") / F.col("__away"))
+        around = open_.select(*keys, F.explode(F.sequence(near - 1, near + 1)).alias("__near")).distinct()
+        beside = kept.withColumn("__near", near).join(around, [*keys, "__near"], "left_semi").select(*keys, "__seq", "__height", "__away", F.lit(True).alias("__kept"))
+        todo, turn, at_once = open_.union(beside), turn + 1, left <= chunk
+    return peaks.join(kept.select(*keys, F.col("__seq").alias(seq)), [*keys, seq], "left_semi")
 
 
-def _settling(n_keys: int, distance: int, chunk: int, halo: int, shift: int, whole: bool):
+def _settling(n_keys: int, chunk: int, shift: int, whole: bool):
     """A function of one chunk's peaks that returns its own newly kept ones (`__kept`) and those that stay open."""
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("__seq").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        place = table.column("__seq").to_numpy()
+        table = table.take(pa.array(np.argsort(table.column("__seq").to_numpy(), kind="stable")))
+        place, distance = table.column("__seq").to_numpy(), table.column("__away")[0].as_py()
         height = np.nan_to_num(table.column("__height").fill_null(float("nan")).to_numpy(), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
         before = table.column("__kept").to_numpy()
         # what is seen reaches from low to high; before the first row there is nothing to see
-        low, high = key[n_keys].as_py() * chunk - halo + 1 - shift, (key[n_keys].as_py() + 1) * chunk + halo - shift
+        own, halo = key[n_keys].as_py(), max(distance, min(8 * distance, chunk // 4))
+        low, high = own * chunk - halo + 1 - shift, (own + 1) * chunk + halo - shift
         a, b = np.searchsorted(place, place - distance + 1), np.searchsorted(place, place + distance)
         hidden = np.zeros(len(place), bool) if whole else ((place - distance < low - 1) & (low > 1)) | (place + distance > high + 1)
         gone, unsure, stays = np.zeros(len(place), bool), hidden & ~before, before.copy()
         for i in np.lexsort((place, height))[::-1].tolist():
             if gone[i]:
                 continue
-            own = slice(a[i], b[i])
+            reach_ = slice(a[i], b[i])
             if stays[i] or not unsure[i]:
                 stays[i] = True
-                gone[own] = True
+                gone[reach_] = True
                 gone[i] = False
             else:
-                unsure[own] = True  # it is higher than all in its reach that come later
-        inner = np.ones(len(place), bool) if whole else (place + shift - 1) // chunk == key[n_keys].as_py()
-        out = inner & ~gone & ~before
-        flags = pa.array(stays[out])
-        picked = table.select([*table.column_names[:n_keys], "__seq", "__height"]).filter(pa.array(out))
-        return picked.append_column("__kept", flags)
+                unsure[reach_] = True  # it is higher than all in its reach that come later
+        out = ~gone & ~before if whole else ~gone & ~before & ((place + shift - 1) // chunk == own)
+        picked = table.select([*table.column_names[:n_keys], "__seq", "__height", "__away"]).filter(pa.array(out))
+        return picked.append_column("__kept", pa.array(stays[out]))
 
     return settle
 

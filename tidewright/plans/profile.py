@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.functions import kernels
 from tidewright.functions.columns import predictability_score, round_to
+from tidewright.operators import spectra
 from tidewright.operators.aggregates import robust_scale
 from tidewright.operators.ordered import _join, finite, known, medians, quantiles, sizes
 from tidewright.session import cut, ship_package
@@ -155,36 +155,21 @@ def profile(df: DataFrame, keys: Sequence[str], value: str, rate: float | Column
     return recommended(out.withColumn("signal_type", classified()).withColumn("predictability_score", score)).drop("period_analyzed")
 
 
-#: Rows of a block of a periodogram, at most.
-SPECTRUM_BLOCK = 1 << 20
-
-
-def periodogram(df: DataFrame, keys: Sequence[str], value: str, rate: float, seq: str = "seq", block: int = SPECTRUM_BLOCK) -> DataFrame:
+def periodogram(df: DataFrame, keys: Sequence[str], value: str, rate: float, seq: str = "seq") -> DataFrame:
     """(keys, dominant_frequency_hz, dominant_period_steps, dominant_period_seconds, amplitude_share) of the raw spectrum of each segment.
 
-    All samples take part at their own rate, missing ones as the median. A
-    segment of up to `block` rows is one spectrum; of a longer one the powers
-    of equal blocks are added up (fewer rows at its end than it has blocks are
-    left over). Segments of fewer than 8 rows or without variance have nulls.
+    All samples take part at their own rate, missing ones as the median, in one
+    transform of the segment whatever its length. Segments of fewer than 8 rows
+    or without variance have nulls.
     """
-    ship_package(df.sparkSession)
     keys = list(keys)
-    n = _join(sizes(df, keys, "__n"), robust_scale(df, keys, value).select(*keys, "median", "scale"), keys)
-    n = n.withColumn("__blocks", F.ceil(F.col("__n") / block)).withColumn("__length", F.floor(F.col("__n") / F.col("__blocks")))
-    rows = _join(df.select(*keys, seq, value), n, keys).withColumn("__block", F.floor((F.col(seq) - 1) / F.col("__length")))
-    rows = rows.where(F.col("__block") < F.col("__blocks")).select(*keys, "__block", F.col(seq).alias("__seq"), F.coalesce(known(F.col(value)), "median").alias("__x"))
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        x = table.column("__x").to_numpy()[np.argsort(table.column("__seq").to_numpy())]
-        columns = [pa.array([k.as_py()], k.type) for k in key[:-1]]
-        return pa.table([*columns, pa.array([kernels.block_power(x)], pa.list_(pa.float64()))], names=[*keys, "__power"])
-
-    fields = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["__power array<double>"])
-    power = rows.groupBy(*keys, "__block").applyInArrow(run, fields).select(*keys, F.posexplode("__power").alias("__k", "__p")).where("__k > 0")
-    amp = power.groupBy(*keys, "__k").agg(F.sqrt(F.sum("__p")).alias("__a"))
-    best = amp.groupBy(*keys).agg(F.max_by("__k", F.struct("__a", -F.col("__k"))).alias("__k"), (F.max("__a") / F.nullif(F.sum("__a"), F.lit(0.0))).alias("amplitude_share"))
-    whole = _join(n, best, keys).withColumn("__ok", (F.col("__n") >= 8) & F.col("scale").isNotNull())
-    steps = F.when(F.col("__ok"), F.col("__length") / F.col("__k"))
+    n = cut(_join(sizes(df, keys, "__n"), robust_scale(df, keys, value).select(*keys, "median", "scale"), keys))
+    rows = _join(df.select(*keys, seq, value), n, keys).select(*keys, seq, F.coalesce(known(F.col(value)), "median").alias("__x"))
+    mean = rows.groupBy(*keys).agg(F.avg("__x").alias("__mean"))
+    amp = spectra.amplitudes(_join(rows, mean, keys).withColumn("__x", F.col("__x") - F.col("__mean")), keys, "__x", seq)
+    best = amp.groupBy(*keys).agg(F.max_by("bin", F.struct("amplitude", -F.col("bin"))).alias("__k"), (F.max("amplitude") / F.nullif(F.sum("amplitude"), F.lit(0.0))).alias("amplitude_share"))
+    whole = _left(n, best, keys).withColumn("__ok", (F.col("__n") >= 8) & F.col("scale").isNotNull())
+    steps = F.when(F.col("__ok"), F.col("__n") / F.col("__k"))
     share = F.when(F.col("__ok"), F.col("amplitude_share"))
     return whole.select(*keys, (rate / steps).alias("dominant_frequency_hz"), steps.alias("dominant_period_steps"), (steps / rate).alias("dominant_period_seconds"), share.alias("amplitude_share"))
 
