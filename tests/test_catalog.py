@@ -302,17 +302,28 @@ def test_false_neighbours_by_definition(spark):
     from tidewright.operators import dynamics as D
 
     rng = np.random.default_rng(6)
-    x = rng.normal(0, 1, 80)
-    df = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(x)], "seq long, x double")
-    _, curve = D.false_neighbours(df, "x", 1, 3, 0.0, 3, 0, 0)
-    for dim, ratio in curve:
-        e = np.array([x[i : i + dim] for i in range(len(x) - dim)])
-        false = []
-        for i in range(len(e)):
-            d2, j = min((float(((e[i] - e[j]) ** 2).sum()), j) for j in range(len(e)) if abs(i - j) > 3)
-            base, extra = np.sqrt(max(d2, 1e-12)), abs(x[i + dim] - x[j + dim])
-            false.append(extra / base > 10 or np.hypot(base, extra) / x.std() > 2)
-        assert ratio == pytest.approx(np.mean(false))
+    segments = {"a": rng.normal(0, 1, 80), "b": np.sin(np.arange(90) * 1.1), "c": rng.normal(0, 1, 9)}
+    df = spark.createDataFrame([(k, i + 1, float(v)) for k, x in segments.items() for i, v in enumerate(x)], "g string, seq long, x double")
+    for threshold in (0.0, 0.3):
+        got = D.false_neighbours(df, "x", 1, 4, threshold, 3, 0, 0, keys=("g",))
+        rows = sorted(tuple(r) for r in got.collect())
+        want = []
+        for k, x in segments.items():
+            for dim in range(1, 4):
+                if len(x) - dim <= 8:
+                    continue
+                e = np.array([x[i : i + dim] for i in range(len(x) - dim)])
+                false = []
+                for i in range(len(e)):
+                    d2, j = min((float(((e[i] - e[j]) ** 2).sum()), j) for j in range(len(e)) if abs(i - j) > 3)
+                    base, extra = np.sqrt(max(d2, 1e-12)), abs(x[i + dim] - x[j + dim])
+                    false.append(extra / base > 10 or np.hypot(base, extra) / x.std() > 2)
+                want.append((k, dim, float(np.mean(false)), np.mean(false) <= threshold))
+                if np.mean(false) <= threshold:
+                    break
+        assert [r[:2] + r[3:] for r in rows] == [w[:2] + w[3:] for w in want] and [r[2] for r in rows] == pytest.approx([w[2] for w in want])
+        dims = {r.g: r.dim for r in D.embedding_dimension(got, 4, ("g",)).collect()}
+        assert dims["a"] == next((w[1] for w in want if w[0] == "a" and w[3]), 4)
 
 
 def test_reports_and_plans_have_their_rows(spark):

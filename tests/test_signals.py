@@ -117,11 +117,17 @@ def test_configuration_and_plan(spark):
     c = configs["stable_single_freq"]
     assert c.segments == 2 and c.seq_len % 4 == 0 and c.pred_len == c.eval_stride and 4 <= c.num_layers <= 12 and c.patch_stride == c.patch_len // 2
     plan = profile.experiment_plan(profile.configuration(p, ["kind"], 4), "kind").collect()
-    every, cycles = {"tcn", "dlinear", "patchtst"}, {"cycle_residual"}
-    left_out = {"spike_event", "multi_freq", "weak_periodic"}
+    every = {"tcn", "dlinear", "patchtst", "gru", "cnnlstm", "crnn", "inceptiontime", "fasttcn", "spectralcnn", "timemixer", "enhanced_tcn"}
     for kind, c in configs.items():
-        want = every | (cycles if c.signal_type != "weak_periodic" else set()) | ({"smooth_pec"} if c.signal_type not in left_out else set())
-        assert {r.model for r in plan if r.kind == kind} == want
+        want = every | ({"cycle_residual"} if c.signal_type != "weak_periodic" else set()) | ({"smooth_pec"} if c.signal_type in {"noisy_single_freq", "am_fm_modulated", "spike_event"} else set())
+        own = {r.model: r for r in plan if r.kind == kind}
+        assert own.keys() == want
+        best = own["enhanced_tcn"]
+        assert best.loss == "qp_hybrid" and best.peak_pool == max(3, round(c.dominant_period_samples / 8)) and best.run_id == f"{kind}_{c.signal_type}_qpenhanced_sl{c.seq_len}_pl{c.pred_len}"
+        assert best.peak_weight == (1.0 if c.signal_type == "spike_event" else 0.0) and own["gru"].kernel_size is None and own["tcn"].kernel_size == c.kernel_size
+        assert own["patchtst"].patch_len == c.patch_len and own["dlinear"].moving_avg == max(3, c.smooth_window_samples) and own["tcn"].moving_avg is None
+    few = profile.experiment_plan(profile.configuration(p, ["kind"], 4), "kind", baselines=False, smooth_pec=True, enhanced=False)
+    assert {r.model for r in few.collect()} - {"cycle_residual"} == {"tcn", "dlinear", "patchtst", "smooth_pec"}
     whole = profile.global_profile(p, ["dominant_period_samples", "spectral_entropy"], ["signal_type"], "segment_id").collect()
     assert len(whole) == 1
 
@@ -145,8 +151,8 @@ def test_logistic_map_has_the_known_exponent(spark):
     curve = D.divergence(series, "value", 2, 1, 6, 10, 400, 1500)
     got = D.lyapunov(curve, 1, 4, 1.0).first()
     assert got.slope == pytest.approx(math.log(2), abs=0.15)
-    dim, ratios = D.false_neighbours(series, "value", 1, 5, 0.05, 10, 300, 1500)
-    assert dim <= 2 and ratios
+    ratios = D.false_neighbours(series, "value", 1, 5, 0.05, 10, 300, 1500)
+    assert D.embedding_dimension(ratios, 5).first().dim <= 2 and ratios.count() >= 1
     analog = D.analog_curve(series, "value", 2, 1, 4, 10, 300, 1500).orderBy("horizon").collect()
     assert analog[0].skill > 0.8
     assert D.horizon_summary(spark.createDataFrame(analog)).first()["horizon_skill_ge_0_20"] >= 1

@@ -891,12 +891,12 @@ def profile_synthetic(s):
     return profile(s, ["segment_id"], "value", 100.0)
 
 
-@query(source=_synthetic)
+@query()
 def recommend_configuration(s):
     from tidewright.plans.profile import configuration, experiment_plan, profile
 
-    p = profile(s, ["segment_id"], "value", 100.0).withColumn("kind", F.col("signal_type"))
-    return experiment_plan(configuration(p, ["kind"], 4), "kind")
+    p = profile(s, KEY, "value", 100.0).withColumn("segment_id", F.col("event_type"))
+    return experiment_plan(configuration(p, ["event_type"], 4), "event_type")
 
 
 @query()
@@ -954,10 +954,7 @@ def prepare_records(s):
 
 @query()
 def false_neighbour_dimension(s):
-    # all events in the order of their ids are one series
-    whole = number(s.select("event_id", "value").withColumn("all", F.lit(0)), ["all"], ["event_id"], F.floor(F.col("event_id") / 65536))
-    d, curve = D.false_neighbours(whole, "value", 1, 4, 0.05, 5, *NEIGHBOUR_SAMPLE)
-    return s.sparkSession.createDataFrame([(k, float(r), k == d) for k, r in curve], "dim int, ratio double, selected boolean")
+    return D.false_neighbours(s, "value", 1, 4, 0.05, 5, *NEIGHBOUR_SAMPLE, keys=tuple(KEY))
 
 
 @query(source=vectors)

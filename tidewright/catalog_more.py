@@ -286,10 +286,7 @@ SELECT event_type, round(regr_slope(divergence, k), 8) AS slope, round(CASE WHEN
 )
 def lyapunov_time(s):
     c = s.groupBy(*KEY, (F.col("seq") % 20).alias("k")).agg((F.avg("value") / 100).alias("divergence"))
-    found = [D.lyapunov(c.where(F.col("event_type") == k), 2, 11, 1.0).withColumn("event_type", F.lit(k)) for k in sorted(r[0] for r in s.select("event_type").distinct().collect())]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
+    out = D.lyapunov(c, 2, 11, 1.0, keys=tuple(KEY))
     return out.select("event_type", F.round("slope", 8).alias("slope"), F.when(F.col("time_steps") < float("inf"), F.round("time_steps", 3)).alias("time_steps"))
 
 
@@ -333,7 +330,7 @@ def augment_by_profile(s):
 
 @query(source=vectors)
 def cluster_sweep(e):
-    return G.sweep(e, "vec_id", DIMENSIONS, G.k_values("2-4"), [1], sample=500)["scores"]
+    return G.sweep(e, "vec_id", DIMENSIONS, G.k_values("2-4"), [1, 2, 3, 4, 5])["scores"]
 
 
 @query()

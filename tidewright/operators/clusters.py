@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -49,6 +50,37 @@ def spectral_window_features(rows: DataFrame, keys: Sequence[str], value: str, o
     return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(run, fields)
 
 
+def feature_matrix(
+    rows: DataFrame, keys: Sequence[str], group: str, channel: str, value: str, order: str, rate: float, bands: Sequence[tuple[float, float]] = (), groups: Sequence[str] = ("p", "q")
+) -> DataFrame:
+    """keys, then all features of each window in the order of their names: those of each group of channels, and of two groups together.
+
+    rows are long: window keys, the group (its name is the prefix of its
+    features), channel, sample place and value. Of a group there are shape and
+    moments over its channels and the spectral features of their mean wave (of
+    the first also its bands and the spread of channel means); of both the
+    correlation and the mean product of the two mean waves. A window without
+    rows of a group has nulls for it.
+    """
+    keys, out, waves = list(keys), None, []
+    for g in groups:
+        own = rows.where(F.col(group) == g)
+        wave = own.groupBy(*keys, order).agg(F.avg(value).alias(g))
+        waves.append(wave)
+        shape = window_features(own, keys, channel, value, order).withColumnsRenamed({"ptp_mean": "peak_to_peak_mean", "ptp_max": "peak_to_peak_max", "max_abs": "max_abs_fluct", "crest": "crest_factor"})
+        main = g == groups[0]  # bands and the spread of channel means are features of the first group alone
+        bins = spectral_window_features(wave, keys, g, order, rate, bands if main else ())
+        shape = shape if main else shape.drop("channel_mean_std")
+        named = {"dom_freq": "dom_freq_hz", "dom_ratio": "dom_power_ratio", "centroid": "spectral_centroid_hz", "entropy": "spectral_entropy"} | {f"band{i}_ratio": f"band_{int(a)}_{int(b)}_ratio" for i, (a, b) in enumerate(bands)}
+        both = shape.join(bins.withColumnsRenamed(named), keys)
+        both = both.select(*keys, *[F.col(c).alias(f"{g}_{c}") for c in both.columns if c not in keys])
+        out = both if out is None else out.join(both, keys, "full")
+    if len(groups) == 2:
+        joint = joint_features(waves[0].join(waves[1], [*keys, order]), keys, *groups)
+        out = out.join(joint, keys, "left")
+    return out.select(*keys, *sorted(c for c in out.columns if c not in keys))
+
+
 def standardised_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns with non-finite values as 0, less their mean, divided by the population std (0 counts as 1)."""
     clean = df.withColumns({c: F.when(finite(F.col(c)), F.col(c).cast("double")).otherwise(0.0) for c in columns})
@@ -89,37 +121,51 @@ def scatter(df: DataFrame, columns: Sequence[str], cluster: str = "cluster") ->
     return sums.select(ch.alias("calinski_harabasz")).crossJoin(F.broadcast(worst.agg(F.avg("__r").alias("davies_bouldin"))))
 
 
-#: Rows that a silhouette compares at most.
-SILHOUETTE_ROWS = 20_000
+#: Rows of a block whose distances to another block's a task adds up.
+BLOCK = 4096
+
 
+def silhouette(df: DataFrame, columns: Sequence[str], cluster: str = "cluster", block: int | None = None) -> DataFrame:
+    """One row: the mean Euclidean silhouette of all rows of df.
 
-def silhouette(sample: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:
-    """One row: the mean Euclidean silhouette of a bounded sample (checked), its rows compared in blocks against all of them."""
-    spark = sample.sparkSession
+    Rows are dealt to blocks by a hash; a task has a pair of blocks and
+    returns for each row of one the sum of its distances to each cluster's rows
+    of the other, so no pair of rows is ever a row. The time grows with the
+    square of the rows: give a sample of a large table. A row alone in its
+    cluster has 0; so have all if there is one cluster.
+    """
+    spark, block = df.sparkSession, block or BLOCK
     ship_package(spark)
-    got = sample.select(F.col(cluster).cast("long").alias("c"), F.array(*columns).alias("v")).limit(SILHOUETTE_ROWS + 1).toPandas()
-    if len(got) > SILHOUETTE_ROWS:
-        raise ValueError(f"take a sample of {SILHOUETTE_ROWS} rows at most")
-    labels, x = got["c"].to_numpy(), np.stack(got["v"].to_list()).astype(float) if len(got) else np.zeros((0, len(columns)))
-    held = spark.sparkContext.broadcast((labels, x))
-
-    def run(batches):
-        own_labels, own = held.value
-        kinds, at = np.unique(own_labels, return_inverse=True)
-        count = np.bincount(at)
-        for pdf in batches:
-            for i in pdf["id"]:
-                d = np.sqrt(((own - own[i]) ** 2).sum(1))
-                mean = np.bincount(at, weights=d, minlength=len(kinds))
-                k = at[i]
-                if count[k] < 2 or len(kinds) < 2:
-                    yield pd.DataFrame({"s": [0.0]})
-                    continue
-                a = mean[k] / (count[k] - 1)
-                b = np.delete(mean / count, k).min()
-                yield pd.DataFrame({"s": [float((b - a) / max(a, b)) if max(a, b) > 0 else 0.0]})
-
-    return spark.range(len(labels)).mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
+    rows = cut(df.select(F.monotonically_increasing_id().alias("id"), F.col(cluster).cast("long").alias("c"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v")))
+    sizes = rows.groupBy("c").agg(F.count("*").alias("n"))
+    blocks = max(1, -(-rows.count() // block))
+    part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left, right = rows.withColumn("a", part).withColumn("b", every), rows.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("v").alias("v2")).withColumn("b", F.pmod(F.xxhash64("id2"), F.lit(blocks)).cast("int")).withColumn("a", every)
+
+    def run(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], ["id", "c", "other", "s"])
+        x, y = (np.stack(t.column(n).to_numpy()) for t, n in ((one, "v"), (two, "v2")))
+        kinds, at = np.unique(two.column("c2").to_numpy(), return_inverse=True)
+        sums = np.zeros((len(x), len(kinds)))
+        for i in range(0, len(x), 256):
+            d = np.zeros((len(x[i : i + 256]), len(y)))
+            for k in range(x.shape[1]):
+                d += (x[i : i + 256, k][:, None] - y[None, :, k]) ** 2
+            sums[i : i + 256] = np.sqrt(d) @ np.eye(len(kinds))[at]
+        n = len(kinds)
+        return pa.table([pa.array(np.repeat(one.column(c).to_numpy(), n)) for c in ("id", "c")] + [pa.array(np.tile(kinds, len(x))), pa.array(sums.ravel())], ["id", "c", "other", "s"])
+
+    tasks = min(max(blocks * blocks, spark.sparkContext.defaultParallelism), 10_000)
+    dealt = [t.repartition(tasks, "a", "b").groupBy("a", "b") for t in (left, right)]
+    sums = dealt[0].cogroup(dealt[1]).applyInArrow(run, "id long, c long, other long, s double").groupBy("id", "c", "other").agg(F.sum("s").alias("s"))
+    held = sums.join(F.broadcast(sizes.select(F.col("c").alias("other"), "n")), "other")  # a row for each cluster
+    same = F.col("c") == F.col("other")
+    own = F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1)))
+    each = held.groupBy("id").agg(own.alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
+    value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return each.agg(F.avg(value).alias("silhouette"))
 
 
 def principal_axes(df: DataFrame, columns: Sequence[str], k: int = 2) -> DataFrame:
@@ -174,7 +220,7 @@ def sweep(df: DataFrame, id: str, columns: Sequence[str], ks: Sequence[int], see
     scores, labels, found = None, None, {}
     for k in [k for k in ks if k < n]:
         found[k] = kmeans(own, columns, k, seeds)[0]
-        lot = found[k].withColumn("__lot", F.xxhash64(F.col(id))).orderBy("__lot").limit(min(sample, SILHOUETTE_ROWS))
+        lot = found[k].withColumn("__lot", F.xxhash64(F.col(id))).orderBy("__lot").limit(sample)
         one = scatter(found[k], columns).crossJoin(F.broadcast(silhouette(lot, columns)))
         one = one.select(F.lit(k).alias("k"), F.lit(n).cast("long").alias("n_windows"), "silhouette", "calinski_harabasz", "davies_bouldin")
         scores = one if scores is None else scores.union(one)

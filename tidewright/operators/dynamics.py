@@ -82,26 +82,40 @@ def _values(pairs: DataFrame, series: DataFrame, value: str, offsets: list[int],
     return long.join(at("__i", "a"), [*keys, "__i"]).join(at("__j", "b"), [*keys, "__j"]).drop("__i", "__j")
 
 
-def false_neighbours(series: DataFrame, value: str, tau: int, max_dim: int, threshold: float, theiler: int, refs: int, candidates: int, rtol: float = 10.0, atol: float = 2.0, seq: str = "seq") -> tuple[int, list[tuple[int, float]]]:
-    """The first dimension whose share of false neighbours is threshold at most (else max_dim), and the curve up to it."""
-    series = cut(series.select(seq, value))
-    sigma = series.agg(F.stddev_pop(value)).first()[0] or 0.0
-    sigma = sigma if sigma > 1e-12 else 1.0
-    n, curve = series.count(), []
+def false_neighbours(
+    series: DataFrame, value: str, tau: int, max_dim: int, threshold: float, theiler: int, refs: int, candidates: int, rtol: float = 10.0, atol: float = 2.0, seq: str = "seq", keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """(keys, dim, ratio, selected): the share of false neighbours of each dimension from 1, up to the first whose share is threshold at most.
+
+    selected marks that one; a segment without such a dimension has all its
+    rows unmarked, and max_dim is its choice (see embedding_dimension()).
+    Dimensions that leave a segment eight rows or fewer are left out. All
+    segments go through a dimension together, and all dimensions are one plan.
+    """
+    keys = list(keys)
+    series = cut(series.select(*keys, seq, value))
+    stats = cut(series.groupBy(*keys).agg(F.stddev_pop(value).alias("__std"), F.count("*").alias("__n")))
+    sigma = F.when(F.col("__std") > 1e-12, F.col("__std")).otherwise(1.0)
+    held = lambda df: df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))
+    curve = None
     for dim in range(1, max_dim):
-        if n - dim * tau <= 8:
-            break
-        pairs = neighbour_pairs(series, value, dim, tau, tau, theiler, refs, candidates, seq)
-        at = _values(pairs, series, value, [dim * tau], seq)
+        rows = held(series).where(F.col("__n") - dim * tau > 8).drop("__n", "__std")
+        pairs = neighbour_pairs(rows, value, dim, tau, tau, theiler, refs, candidates, seq, tuple(keys))
+        at = held(_values(pairs, series, value, [dim * tau], seq, tuple(keys)))
         base, extra = F.sqrt(F.greatest("d2", F.lit(1e-12))), F.abs(F.col("a") - F.col("b"))
         false = (extra / base > rtol) | (F.sqrt(base * base + extra * extra) / sigma > atol)
-        ratio = at.agg(F.avg(false.cast("double"))).first()[0]
-        if ratio is None:
-            continue
-        curve.append((dim, ratio))
-        if ratio <= threshold:
-            return dim, curve
-    return max_dim, curve
+        one = at.groupBy(*keys).agg(F.avg(false.cast("double")).alias("ratio")).where("ratio IS NOT NULL").select(*keys, F.lit(dim).alias("dim"), "ratio")
+        curve = one if curve is None else curve.union(one)
+    if curve is None:
+        return stats.where("false").select(*keys, F.lit(1).alias("dim"), F.lit(0.0).alias("ratio"), F.lit(False).alias("selected"))
+    # a segment has a row for each dimension: a few
+    best = F.min(F.when(F.col("ratio") <= threshold, F.col("dim"))).over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
+    return curve.withColumn("__best", best).where("__best IS NULL OR dim <= __best").select(*keys, "dim", "ratio", F.coalesce(F.col("dim") == F.col("__best"), F.lit(False)).alias("selected"))
+
+
+def embedding_dimension(curve: DataFrame, max_dim: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, dim): the selected dimension of false_neighbours(), max_dim where there is none."""
+    return curve.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("selected"), F.col("dim"))), F.lit(max_dim)).alias("dim"))
 
 
 def divergence(series: DataFrame, value: str, dim: int, tau: int, horizon: int, theiler: int, refs: int, candidates: int, seq: str = "seq", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -122,12 +136,13 @@ def fit_range(horizon: int, tau: int, start: int = 1, end: int = 0) -> tuple[int
     return start, max(start + 1, min(horizon, end))
 
 
-def lyapunov(curve: DataFrame, start: int, end: int, dt: float, period: float | None = None) -> DataFrame:
-    """One row: slope of the divergence over [start, end], and the Lyapunov time in steps, seconds and cycles (infinite if it is not positive)."""
-    fit = curve.where((F.col("k") >= start) & (F.col("k") <= end)).agg(F.regr_slope("divergence", "k").alias("slope"), F.regr_intercept("divergence", "k").alias("intercept"))
+def lyapunov(curve: DataFrame, start: int, end: int, dt: float, period: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, slope, intercept, ...): slope of the divergence over [start, end], and the Lyapunov time in steps, seconds and cycles (infinite if it is not positive)."""
+    own = curve.where((F.col("k") >= start) & (F.col("k") <= end))
+    fit = own.groupBy(*keys).agg(F.regr_slope("divergence", "k").alias("slope"), F.regr_intercept("divergence", "k").alias("intercept"))
     steps = F.when(F.col("slope") > 0, 1 / F.col("slope")).otherwise(float("inf"))
     cycles = steps / F.lit(float(period)) if period else F.lit(None).cast("double")
-    return fit.select("slope", "intercept", steps.alias("time_steps"), (steps * dt).alias("time_seconds"), cycles.alias("time_cycles"))
+    return fit.select(*keys, "slope", "intercept", steps.alias("time_steps"), (steps * dt).alias("time_seconds"), cycles.alias("time_cycles"))
 
 
 def analog_curve(series: DataFrame, value: str, dim: int, tau: int, horizon: int, theiler: int, refs: int, candidates: int, seq: str = "seq", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -184,10 +184,16 @@ def peak_metrics(samples: DataFrame, targets: Sequence[str], pred: str = "pred_"
     return long.groupBy("part").agg(*own)
 
 
-def shape_losses(windows: DataFrame, keys: Sequence[str], pred: str = "pred", true: str = "y", window: int = 9, beta: float = 0.3) -> DataFrame:
-    """Of each forecast window: derivative, envelope, spectrum, correlation and multi-scale terms, and the event-weighted point loss."""
+def shape_losses(windows: DataFrame, keys: Sequence[str], pred: str = "pred", true: str = "y", window: int = 9, beta: float = 0.3, pool: int = 9) -> DataFrame:
+    """Of each forecast window: derivative, envelope, spectrum, correlation, multi-scale and peak terms, and the event-weighted point loss.
+
+    The peak term compares the largest and the smallest values within `pool`
+    steps (made odd) around each step; 0 for a pool of 1.
+    """
     ship_package(windows.sparkSession)
-    names = ["point", "derivative", "envelope", "spectrum", "correlation", "multiscale"]
+    names = ["point", "derivative", "envelope", "spectrum", "correlation", "multiscale", "peak"]
+    reach_ = max(1, pool) // 2
+    extremes = lambda x: [f(np.lib.stride_tricks.sliding_window_view(np.pad(x, reach_, constant_values=edge), 2 * reach_ + 1), 1) for f, edge in ((np.max, -np.inf), (np.min, np.inf))]
 
     def terms(p: np.ndarray, t: np.ndarray) -> list[float]:
         amp = np.abs(t - t.mean())
@@ -201,7 +207,8 @@ def shape_losses(windows: DataFrame, keys: Sequence[str], pred: str = "pred", tr
         pc, tc = p - p.mean(), t - t.mean()
         corr = (pc * tc).sum() / np.sqrt(max((pc * pc).sum(), 1e-12) * max((tc * tc).sum(), 1e-12))
         pools = [_smooth_l1(p[: len(p) // s * s].reshape(-1, s).mean(1) - t[: len(t) // s * s].reshape(-1, s).mean(1), 0.3) for s in (2, 4, 8) if len(p) >= 2 * s]
-        return [float(point), _smooth_l1(np.diff(p) - np.diff(t), beta), float(np.abs(rms(p) - rms(t)).mean()), float(np.abs(log(p) - log(t)).mean()), float(1 - corr), float(np.mean(pools)) if pools else 0.0]
+        return [float(point), _smooth_l1(np.diff(p) - np.diff(t), beta), float(np.abs(rms(p) - rms(t)).mean()), float(np.abs(log(p) - log(t)).mean()), float(1 - corr), float(np.mean(pools)) if pools else 0.0,
+                float(np.mean([_smooth_l1(a - b, beta) for a, b in zip(extremes(p), extremes(t))])) if reach_ and len(p) > 1 else 0.0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

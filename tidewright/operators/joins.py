@@ -61,7 +61,8 @@ def nearest_in_order(points: DataFrame, others: DataFrame, keys: Sequence[str],
 
     cols = [*keys, at]
     both = points.select(*cols, F.lit(1).alias("__own")).union(others.select(*cols, F.lit(0).alias("__own")))
-    both = number(both.withColumn("__tie", F.monotonically_increasing_id()), keys, [at, "__own", "__tie"], F.floor(F.col(at) / (1 << 20)), "__seq")
+    # rows that tie are alike, so their order makes no difference
+    both = number(both, keys, [at, "__own"], F.floor(F.col(at) / (1 << 20)), "__seq")
     here = F.when(F.col("__own") == 0, F.col(at))
     held = swept(both, keys, lasts={"__a": here}, nexts={"__b": here}, seq="__seq").where("__own = 1")
     near = F.least(F.col(at) - F.col("__a"), F.col("__b") - F.col(at))

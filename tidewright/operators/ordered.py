@@ -23,20 +23,50 @@ from pyspark.sql import Window as W
 CHUNK = 1 << 16
 
 
-def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "seq") -> DataFrame:
+#: Rows of a bucket that are numbered in one task, about, and of so many the rows that boundaries are taken from.
+BUCKET, SAMPLED = 1 << 20, 64
+
+
+def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None, name: str = "seq") -> DataFrame:
     """Add the 1-based row number in each segment, ordered by `order` (unique in a segment).
 
     `bucket` never falls as the order rises (a day of a timestamp, say). Rows
     are counted by bucket, the counts are added up in a small table, and the
-    rows of a bucket are numbered on their own.
+    rows of a bucket are numbered on their own. Where a bucket has more than
+    BUCKET rows (a day may hold them all), such buckets are first divided at
+    boundaries from a sample of their rows.
     """
-    df = df.withColumn("__bucket", bucket)
-    sizes = df.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
-    ahead = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(*keys, F.col("__bucket"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
-    own = W.partitionBy(*keys, "__bucket").orderBy(*order)
-    joined = df.join(starts, [*keys, "__bucket"])
-    return joined.withColumn(name, (F.col("__start") + F.row_number().over(own)).cast("long")).drop("__bucket", "__start")
+    from pyspark.sql import Observation
+
+    from tidewright.session import cut
+
+    keys, seen = list(keys), Observation()
+    df = df.withColumn("__bucket", F.lit(0) if bucket is None else bucket)
+    by = [*keys, "__bucket"]
+    sizes = cut(df.groupBy(*by).agg(F.count("*").alias("__n")).observe(seen, F.max("__n").alias("most")))
+    if (seen.get["most"] or 0) > BUCKET:
+        heavy = sizes.where(F.col("__n") > BUCKET).drop("__n")
+        df, by = _divided(df, heavy, by, order), [*by, "__part"]
+        sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    ahead = W.partitionBy(*keys).orderBy(*by[len(keys) :]).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*by, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
+    own = W.partitionBy(*by).orderBy(*order)
+    return df.join(starts, by).withColumn(name, (F.col("__start") + F.row_number().over(own)).cast("long")).drop(*by[len(keys) :], "__start")
+
+
+def _divided(df: DataFrame, heavy: DataFrame, by: list[str], order: Sequence[str]) -> DataFrame:
+    """df with the division (`__part`) of each row's bucket: boundaries are sampled rows, about two for each BUCKET rows, so they are broadcast."""
+    row = F.struct(*order)
+    some = df.join(F.broadcast(heavy), by, "left_semi").where(F.pmod(F.xxhash64(*by, *order), F.lit(max(1, BUCKET // SAMPLED))) == 0)
+    found = some.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("__s")).where(F.size("__s") > SAMPLED)
+    # of the boundaries every 32nd is looked at first
+    cuts = F.transform(F.sequence(F.lit(SAMPLED // 2), F.size("__s") - 1, F.lit(SAMPLED // 2)), lambda i: F.get("__s", i))
+    found = found.select(*by, cuts.alias("__cuts"))
+    found = found.withColumn("__coarse", F.transform(F.sequence(F.lit(0), F.size("__cuts") - 1, F.lit(32)), lambda i: F.get("__cuts", i)))
+    upto = lambda bounds: F.size(F.filter(bounds, lambda b: b <= row))
+    block = F.greatest(upto(F.col("__coarse")) - 1, F.lit(0)) * 32
+    part = F.when(F.col("__cuts").isNull(), 0).otherwise(block + upto(F.slice("__cuts", block + 1, F.lit(32))))
+    return df.join(F.broadcast(found), by, "left").withColumn("__part", part).drop("__cuts", "__coarse")
 
 
 def chunk_size() -> int:

@@ -162,7 +162,7 @@ def periodogram(df: DataFrame, keys: Sequence[str], value: str, rate: float, seq
     transform of the segment whatever its length. Segments of fewer than 8 rows
     or without variance have nulls.
     """
-    keys = list(keys)
+    keys, df = list(keys), cut(df.select(*keys, seq, value))
     n = cut(_join(sizes(df, keys, "__n"), robust_scale(df, keys, value).select(*keys, "median", "scale"), keys))
     rows = _join(df.select(*keys, seq, value), n, keys).select(*keys, seq, F.coalesce(known(F.col(value)), "median").alias("__x"))
     mean = rows.groupBy(*keys).agg(F.avg("__x").alias("__mean"))
@@ -217,30 +217,94 @@ def _left(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "left") if keys else a.join(F.broadcast(b), how="left")
 
 
-# Models of the plan, whether they take the cycle prior, and the types that they are left out of.
+# Models of the plan, their tags in run ids, whether they are older baselines, and the types that they are for (none: all).
 MODELS = [
-    (0, "tcn", False, []),
-    (1, "cycle_residual", True, ["weak_periodic"]),
-    (2, "dlinear", False, []),
-    (3, "patchtst", False, []),
-    (4, "smooth_pec", False, ["spike_event", "multi_freq", "weak_periodic"]),
+    (0, "tcn", "tcn", False, None),
+    (1, "cycle_residual", "cycleres", False, ["stable_single_freq", "noisy_single_freq", "am_fm_modulated", "spike_event", "multi_freq"]),
+    (2, "dlinear", "dlinear", False, None),
+    (3, "patchtst", "patchtst", False, None),
+    (4, "gru", "gru", True, None),
+    (5, "cnnlstm", "cnnlstm", True, None),
+    (6, "crnn", "crnn", True, None),
+    (7, "inceptiontime", "inceptiontime", True, None),
+    (8, "fasttcn", "fasttcn", True, None),
+    (9, "spectralcnn", "spectralcnn", True, None),
+    (10, "timemixer", "timemixer", True, None),
+    (11, "smooth_pec", "smoothpec", False, ["noisy_single_freq", "am_fm_modulated", "spike_event"]),
+    (12, "enhanced_tcn", "qpenhanced", False, None),
+]
+# Inputs of the enhanced model and the weights of its loss terms (derivative, envelope, band, event, correlation, multi-scale, peak) by type.
+ENHANCED = [
+    ("stable_single_freq", "qp_main_input", 0.5, 0.1, 0.02, 0.0, 0.2, 0.1, 0.0),
+    ("noisy_single_freq", "qp_main_input,qp_residual,qp_abs_residual", 0.5, 0.3, 0.05, 0.2, 0.2, 0.3, 0.0),
+    ("am_fm_modulated", "qp_main_input,qp_envelope,qp_local_freq_ratio,qp_phase_sin,qp_phase_cos", 0.4, 1.0, 0.05, 0.0, 0.2, 0.3, 0.0),
+    ("spike_event", "qp_main_input,qp_residual,qp_abs_residual", 1.0, 0.2, 0.05, 2.0, 0.2, 0.1, 1.0),
+    ("multi_freq", "qp_main_input,qp_band0_rms,qp_band1_rms,qp_band2_rms", 0.4, 0.3, 0.2, 0.0, 0.1, 0.2, 0.0),
+    ("weak_periodic", "qp_main_input,qp_predictability_score,qp_weak_periodic_flag", 0.2, 0.2, 0.05, 0.0, 0.1, 0.2, 0.0),
 ]
+_TERMS = ("derivative", "envelope", "band", "event", "correlation", "multiscale", "peak")
 
 
-def experiment_plan(configs: DataFrame, label: str) -> DataFrame:
-    """A row for each run of a model on a configuration: run id, period and cycle settings."""
-    models = configs.sparkSession.createDataFrame(MODELS, "step int, model string, prior boolean, without array<string>")
-    runs = configs.join(F.broadcast(models), ~F.array_contains("without", F.col("signal_type")))
-    run = F.concat_ws("_", F.col(label), "signal_type", "model", F.concat(F.lit("sl"), F.col("seq_len")), F.concat(F.lit("pl"), F.col("pred_len")))
+def experiment_plan(configs: DataFrame, label: str, baselines: bool = True, smooth_pec: bool = False, enhanced: bool = True, raw: str = "raw", source: str = "input_smooth", target: str = "target_smooth") -> DataFrame:
+    """A row for each run of a model on a configuration: run id, columns, loss and the settings of its kind of model (null where it has none).
+
+    The older baselines and the enhanced model are rows if asked; smooth_pec
+    gives that model to all types instead of its own. An unknown type takes the
+    enhanced settings of noisy signals and the main wave alone.
+    """
+    spark = configs.sparkSession
+    models = spark.createDataFrame(MODELS, "step int, model string, tag string, older boolean, own array<string>")
+    models = models.where(F.lit(baselines) | ~F.col("older")).where(F.lit(enhanced) | (F.col("model") != "enhanced_tcn"))
+    fit = F.col("own").isNull() | F.array_contains("own", F.col("signal_type")) | (F.lit(smooth_pec) & (F.col("model") == "smooth_pec"))
+    weights = spark.createDataFrame(ENHANCED, ", ".join(["signal_type string, enhanced_inputs string", *[f"{t}_weight double" for t in _TERMS]]))
+    runs = configs.join(F.broadcast(models), fit).join(F.broadcast(weights), "signal_type", "left")
+    run = F.concat_ws("_", F.col(label), "signal_type", "tag", F.concat(F.lit("sl"), F.col("seq_len")), F.concat(F.lit("pl"), F.col("pred_len")))
     mean = F.col("signal_type").isin("stable_single_freq", "noisy_single_freq", "multi_freq")
+    of = lambda *names: F.col("model").isin(*names)
+    best, deep = of("enhanced_tcn"), of("tcn", "cycle_residual", "smooth_pec", "enhanced_tcn")
+    noisy = dict(zip(_TERMS, ENHANCED[1][2:]))
+    smooth = F.col("smooth_window_samples")
     return runs.select(
-        "step", label, "signal_type", "model", run.alias("run_id"), "seq_len", "pred_len", "stride",
+        "step", label, "signal_type", "model", run.alias("run_id"),
+        F.when(best, F.coalesce("enhanced_inputs", F.lit("qp_main_input"))).when(of("smooth_pec"), raw).otherwise(source).alias("input_columns"),
+        F.when(best, "qp_main_target").otherwise(target).alias("output_columns"),
+        F.when(best, "qp_hybrid").otherwise("huber").alias("loss"),
+        "seq_len", "pred_len", "stride", "eval_stride", F.greatest(F.col("pred_len") * 6, F.col("pred_len")).alias("horizon"),
+        F.when(deep, F.col("kernel_size")).alias("kernel_size"), F.when(deep, F.col("num_layers")).alias("num_layers"),
+        F.when(of("patchtst"), F.col("patch_len")).alias("patch_len"), F.when(of("patchtst"), F.col("patch_stride")).alias("patch_stride"),
         F.greatest(F.lit(1), F.bround("dominant_period_samples", 0).cast("long")).alias("period_len"),
-        F.when(F.col("prior"), F.when(mean, 3).otherwise(1)).alias("cycle_base_cycles"),
-        F.greatest(F.lit(3).cast("long"), F.col("smooth_window_samples")).alias("moving_avg"),
+        F.when(of("cycle_residual"), F.when(mean, 3).otherwise(1)).alias("cycle_base_cycles"),
+        F.when(of("cycle_residual"), F.when(mean, "mean").otherwise("last")).alias("cycle_base_mode"),
+        F.when(of("dlinear", "timemixer"), F.greatest(F.lit(3).cast("long"), smooth)).alias("moving_avg"),
+        F.when(of("smooth_pec"), F.greatest(F.lit(1).cast("long"), smooth)).alias("smooth_window"),
+        *[F.when(best, F.coalesce(f"{t}_weight", F.lit(noisy[t]))).alias(f"{t}_weight") for t in _TERMS],
+        F.when(best, F.greatest(F.lit(3).cast("long"), F.bround(F.col("dominant_period_samples") / 8, 0).cast("long"))).alias("peak_pool"),
     )
 
 
+def plan_steps(manifest: DataFrame, folder: str, include: Sequence[str] = (), reprofile: bool = False, kind: str = "signal_type") -> DataFrame:
+    """(signal_type, step, action, source, profile, result): what is done for each type of a manifest (signal_type, table, profile), in order.
+
+    A profile is a step only where the manifest has none, or with reprofile;
+    then come augmentation, recommendation and training. A row without a table
+    is left out, and so are types that are not included, if any are; an error
+    if nothing is left.
+    """
+    from tidewright.functions.columns import safe_name
+
+    own = manifest.where("table IS NOT NULL AND table <> ''").withColumn(kind, F.coalesce(kind, F.lit("unknown")))
+    own = own.where(F.col(kind).isin(*include)) if include else own
+    if own.isEmpty():
+        raise ValueError("nothing to plan")
+    at = F.concat(F.lit(f"{folder.rstrip('/')}/"), safe_name(F.col(kind)))
+    made = F.lit(reprofile) | F.coalesce(F.col("profile") == "", F.lit(True))
+    profile_ = F.when(made, F.concat(at, F.lit("/profile"))).otherwise(F.col("profile"))
+    augmented_, advice = F.concat(at, F.lit("/augmented")), F.concat(at, F.lit("/recommend"))
+    step = lambda n, action, source, result: F.struct(F.lit(n).alias("step"), F.lit(action).alias("action"), source.alias("source"), profile_.alias("profile"), result.alias("result"))
+    steps = F.array(step(0, "profile", F.col("table"), profile_), step(1, "augment", F.col("table"), augmented_), step(2, "recommend", augmented_, advice), step(3, "train", augmented_, advice))
+    return own.select(kind, F.explode(F.filter(steps, lambda s: made | (s["step"] > 0))).alias("s")).select(kind, "s.*")
+
+
 def profile_report(profiles: DataFrame, kind: str = "signal_type") -> DataFrame:
     """(line, text): a Markdown table with a row for each type: segments, medians of period, energy ratio, entropy and score."""
     columns = ["dominant_period_samples", "dominant_energy_ratio", "spectral_entropy", "predictability_score"]

@@ -8,9 +8,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewright.functions.columns import in_time
 from tidewright.operators.ordered import finite, number
+from tidewright.session import cut
+
+
+#: Commas that no pair of quotation marks holds.
+OUTSIDE = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: Prefixes of the columns of a table of peak samples: inputs, then targets.
+PEAK_INPUTS, PEAK_TARGETS = ("in_h_", "in_dt_"), ("target_h_", "target_dt_")
 
 
 def column_by_prefix(columns: Sequence[str], prefix: str) -> list[str]:
@@ -50,13 +58,45 @@ def read_wide_csv(spark: SparkSession, path: str, columns: Sequence[str] | None
 
     max_rows keeps the first rows, by file name and place in the file; 0 keeps all.
     """
-    heads = spark.read.csv(path, header=True).columns
+    heads = header(spark, path)
     schema = ", ".join(f"`{c}` double" for c in heads)
     out = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST" if strict else "PERMISSIVE")
-    if max_rows > 0:
-        place = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()}
-        return out.withColumns(place).orderBy(*place).limit(max_rows).select(*(columns or heads))
-    return out.select(*(columns or heads))
+    return (first_rows(out, max_rows) if max_rows > 0 else out).select(*(columns or heads))
+
+
+def header(spark: SparkSession, path: str) -> list[str]:
+    """The column names of CSV files, from their first line alone."""
+    return spark.read.csv(path, header=True, enforceSchema=False).columns
+
+
+def first_rows(df: DataFrame, most: int) -> DataFrame:
+    """The first rows of a table of files, by file name and place in the file, as the rows of one reader.
+
+    Rows are counted by block of a file and the counts are added up in a table
+    with a row for each block; whole blocks are kept or left, and only the one
+    in which the count is reached is numbered row by row.
+    """
+    # a task reads a block in order, so its ids rise with the place in the file; they only rank the rows of one block
+    placed = df.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__id": F.monotonically_increasing_id()})
+    order = W.orderBy("__file", "__block").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy("__file", "__block").agg(F.count("*").alias("__rows"))
+    blocks = cut(counts.withColumn("__before", F.coalesce(F.sum("__rows").over(order), F.lit(0))).where(F.col("__before") < most))
+    left = F.lit(most) - F.col("__before")
+    whole = placed.join(blocks.where(F.col("__rows") <= left).select("__file", "__block"), ["__file", "__block"], "left_semi")
+    part = placed.join(blocks.where(F.col("__rows") > left).withColumn("__left", left).select("__file", "__block", "__left"), ["__file", "__block"])
+    ranked = part.withColumn("__rank", F.row_number().over(W.partitionBy("__file", "__block").orderBy("__id"))).where("__rank <= __left")
+    return whole.select(df.columns).union(ranked.select(df.columns))
+
+
+def read_peak_samples(spark: SparkSession, path: str, split: str = "split") -> DataFrame:
+    """(split, x, y) of CSV files of peak samples: arrays of the inputs and the targets, heights before intervals, each in the order of its number."""
+    heads = header(spark, path)
+    parts = [[c for p in prefixes for c in column_by_prefix(heads, p)] for prefixes in (PEAK_INPUTS, PEAK_TARGETS)]
+    if lacking := [p for p in (*PEAK_INPUTS, *PEAK_TARGETS) if not column_by_prefix(heads, p)]:
+        raise ValueError(f"no columns {', '.join(f'{p}*' for p in lacking)}")
+    schema = ", ".join(f"`{c}` {'string' if c not in parts[0] + parts[1] else 'double'}" for c in heads)
+    rows = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
+    return rows.select(split, F.array(*parts[0]).alias("x"), F.array(*parts[1]).alias("y"))
 
 
 def read_two_columns(spark: SparkSession, path: str, time: str, value: str, start: float | None = None, end: float | None = None) -> DataFrame:
@@ -145,7 +185,8 @@ def read_records(spark: SparkSession, path: str, signal: str | None = None, patt
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("at"))
     heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.min("at").alias("first"))
-    names = F.transform(F.split("head", ","), lambda n: F.trim(F.regexp_replace(n, '"', "")))
+    cells = lambda line: F.split(line, OUTSIDE)
+    names = F.transform(cells("head"), lambda n: F.trim(F.regexp_replace(n, '"', "")))
     want = F.lit(signal or "RESP")
     at = lambda test: F.nullif(F.array_position(F.transform("names", test), True), F.lit(0))
     timed = lambda n: F.contains(F.lower(n), F.lit("time"))
@@ -153,7 +194,7 @@ def read_records(spark: SparkSession, path: str, signal: str | None = None, patt
         at(lambda n: (n == want) & ~timed(n)), at(lambda n: (F.lower(n) == F.lower(want)) & ~timed(n)), at(lambda n: F.contains(F.lower(n), F.lower(want)) & ~timed(n)), at(lambda n: ~timed(n))
     )
     heads = heads.withColumn("names", names).select("file", "first", at(timed).alias("time_at"), own.alias("own_at"))
-    cell = lambda k: F.coalesce(F.get(F.split("value", ","), (F.col(k) - 1).cast("int")).try_cast("double"), F.lit(float("nan")))
+    cell = lambda k: F.coalesce(F.regexp_replace(F.get(cells("value"), (F.col(k) - 1).cast("int")), '"', "").try_cast("double"), F.lit(float("nan")))
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.csv$", "")
     rows = lines.join(heads, "file").where("at <> first AND trim(value) <> ''")
     rows = rows.select(stem.alias("record_id"), F.when(F.col("time_at").isNotNull(), cell("time_at")).alias("time"), cell("own_at").alias("value"), "at")
