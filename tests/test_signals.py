@@ -330,3 +330,58 @@ def test_closed_windows_and_sessions_equal_batch(spark, tmp_path):
     assert live and set(live) <= batch and len(live) >= len(batch) - 2
     sessions = causal.sessions(timed(df), ["seg"], "at", "x", "5 minutes").collect()
     assert sum(r.n_rows for r in sessions) == 200 and len(sessions) == 1 + int((np.diff(at) > 300).sum())
+
+
+def test_shuffled_stream_equals_batch(spark, tmp_path):
+    """Rows that come in any order within the watermark are processed in their own; the last wait for a timer, late ones are dropped."""
+    from tidewright.operators import windows as WN
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(2):
+        x = np.sin(np.arange(240) / (3 + k)) + 0.3 * rng.normal(size=240)
+        rows += [(k, i + 1, 1_700_000_000 + 10 * (i // 2), None if i % 37 == 5 else float(v)) for i, v in enumerate(x)]
+    # each row comes up to 8 places of time later than it should; 8 * 10 s is within the watermark
+    late = sorted(rows, key=lambda r: r[2] + rng.integers(0, 80))
+    marker = [(9, 0, 1_700_100_000, 0.0)]  # a later row of another segment moves the watermark
+    too_late = [(0, 999, 1_700_000_500, 1e9)]
+    files = [late[i : i + 70] for i in range(0, len(late), 70)] + [marker, too_late]
+    src = tmp_path / "in"
+    src.mkdir()
+    import json
+    import os
+
+    for i, own in enumerate(files):
+        (src / f"{i:03d}.json").write_text("\n".join(json.dumps(dict(zip(("seg", "n", "at", "x"), r))) for r in own))
+        os.utime(src / f"{i:03d}.json", (1_000_000 + i, 1_000_000 + i))
+    raw = spark.readStream.schema("seg int, n long, at long, x double").option("maxFilesPerTrigger", 1).json(str(src))
+    timed = causal.event_time(raw.withColumn("at", F.timestamp_seconds("at")), "at", "100 seconds")
+    sections = K.band_sections(0.1, 0.4)
+    got = run(spark, causal.ordered_features(timed, ["seg"], "at", "x", 7, 12.0, 50.0, sections, tie="n"), "shuffled_stream")
+    assert len(got) == len(rows) and {r.seg for r in got} == {0, 1}
+    df = spark.createDataFrame([(k, n, x) for k, n, _, x in rows], "seg int, seq long, x double")
+    want = WN.crossing_frequency(WN.moving_rms(WN.frame_mean(df, ["seg"], F.col("x"), 7, "causal", "m"), ["seg"], F.col("x"), 7, "causal", "r"), ["seg"], "x", 12, 50.0, "f")
+    want = {(r.seg, r.seq): r for r in want.collect()}
+    for k in range(2):
+        own = sorted((r for r in got if r.seg == k), key=lambda r: r.seq)
+        assert [r.seq for r in own] == list(range(1, 241)) and all(a.at <= b.at for a, b in zip(own, own[1:]))
+        for r in own:
+            w = want[k, r.seq]
+            assert (r.x if r.x == r.x else None) == w.x and r.causal_mean == pytest.approx(w.m) and r.causal_rms == pytest.approx(w.r) and r.crossing_frequency == pytest.approx(w.f)
+        x = np.array([0.0 if r[3] is None else r[3] for r in rows if r[0] == k])
+        assert np.allclose([r.band for r in own], K.filtered(sections, x)[0])
+
+
+def test_parts_of_a_streamed_series_carry_on():
+    """The functions behind the stream: parts of a series carry on as the whole does."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=200)
+    x[50] = np.nan
+    start = {"tail": np.zeros(0), "memory": [], "last": float("nan"), "frequency": 50 / 12, "cross": -1.0, "rows": 0.0}
+    whole, _ = causal._advance(x, dict(start), 7, 12.0, 50.0, None)
+    carry, parts = dict(start), []
+    for a, b in ((0, 1), (1, 60), (60, 61), (61, 200)):
+        own, carry = causal._advance(x[a:b], carry, 7, 12.0, 50.0, None)
+        parts.append(own)
+    for name in whole:
+        assert np.allclose(np.concatenate([p[name] for p in parts]), whole[name], equal_nan=True)

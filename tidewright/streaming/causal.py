@@ -76,3 +76,92 @@ def causal_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
 
     picked = df.select(*keys, *order, F.col(value).cast("double").alias(value))
     return picked.groupBy(*keys).applyInPandasWithState(step, fields, "tail array<double>, memory array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _mean_of_finite(both: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Causal means and mean squares over `width` values of both, for those from place `first` on; NaN where there is no finite one."""
+    fine = np.isfinite(both)
+    flat = np.where(fine, both, 0.0)
+    end = np.arange(first + 1, len(both) + 1)
+    start = np.maximum(end - width, 0)
+    total, square, count = ((c := np.concatenate(([0.0], np.cumsum(v))))[end] - c[start] for v in (flat, flat * flat, fine.astype(float)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return total / count, np.maximum(square / count, 0)
+
+
+def _advance(x: np.ndarray, carry: dict, width: int, period: float, rate: float, sections: list | None) -> tuple[dict[str, np.ndarray], dict]:
+    """The features of a segment's next values in order, and what is carried on."""
+    from tidewright.functions.kernels import filtered
+
+    trend = max(3, round(2 * period))
+    keep = max(width, trend) - 1
+    both = np.concatenate([carry["tail"], x])
+    mean, square = _mean_of_finite(both, len(carry["tail"]), width)
+    centred = x - _mean_of_finite(both, len(carry["tail"]), trend)[0]
+    before = np.concatenate(([carry["last"]], centred[:-1]))
+    frequency, now, cross = np.empty(len(x)), carry["frequency"], carry["cross"]
+    at = 0
+    for i in np.flatnonzero((before < 0) & (centred >= 0)).tolist():  # NaN is neither
+        frequency[at:i], at = now, i
+        place = carry["rows"] + i
+        now, cross = (rate / (place - cross) if cross >= 0 else now), place
+    frequency[at:] = now
+    out = {"causal_mean": mean, "causal_rms": np.sqrt(square), "crossing_frequency": frequency}
+    memory = carry["memory"]
+    if sections:
+        out["band"], states = filtered(sections, np.where(np.isfinite(x), x, 0.0), list(zip(memory[::2], memory[1::2])) or None)
+        memory = [float(v) for s in states for v in s]
+    return out, {"tail": both[max(0, len(both) - keep) :], "last": float(centred[-1]), "frequency": now, "cross": cross, "rows": carry["rows"] + len(x), "memory": memory}
+
+
+def ordered_features(
+    df: DataFrame, keys: Sequence[str], time: str, value: str, width: int, period: float, rate: float, sections: list | None = None, tie: str | None = None, idle: str = "1 day"
+) -> DataFrame:
+    """(keys, time, seq, value, causal_mean, causal_rms, crossing_frequency, and band with sections) of streamed rows, whatever order they come in.
+
+    df has a watermark on `time` (see event_time()). A segment's rows wait in
+    its state until the watermark has passed them, and then go on in order of
+    time (and of `tie`, a whole number, where times are equal); a timer sees to
+    rows that no later row of their segment follows. So the results are those
+    of the batch operators, and rows that are later than the watermark are
+    dropped, as everywhere. After `idle` event time without a row a segment's
+    state is removed; should it come back, it begins anew. Rows without a time
+    are left out. The state holds the rows of the watermark's delay and one
+    frame of values.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    keys = list(keys)
+    names = ["causal_mean", "causal_rms", "crossing_frequency"] + ["band"] * bool(sections)
+    fields = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{time}` timestamp, seq long, `{value}` double"] + [f"{n} double" for n in names])
+    state_fields = "times array<long>, ties array<long>, waiting array<double>, tail array<double>, numbers array<double>, memory array<double>, newest long"
+    wait = int(spark.sql(f"SELECT unix_micros(timestamp'1970-01-01 00:00:00 UTC' + INTERVAL {idle})").first()[0])
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, ties, waiting, tail, numbers, memory, newest = state.get if state.exists else ([], [], [], [], [float("nan"), rate / period, -1.0, 0.0], [], 0)
+        held = [np.asarray(times, np.int64)], [np.asarray(ties, np.int64)], [np.asarray(waiting, float)]
+        for pdf in batches:
+            for part, c in zip(held, ("__t", "__tie", value)):
+                part.append(pdf[c].to_numpy(float if c == value else np.int64))
+        t, tied, x = (np.concatenate(part) for part in held)
+        order = np.lexsort((tied, t))
+        t, tied, x = t[order], tied[order], x[order]
+        newest = max(newest, int(t[-1])) if len(t) else newest
+        passed = state.getCurrentWatermarkMs() * 1000
+        n = int(np.searchsorted(t, passed, side="right"))
+        carry = {"tail": np.asarray(tail, float), "memory": list(memory)} | dict(zip(("last", "frequency", "cross", "rows"), numbers))
+        if n:
+            out, carry = _advance(x[:n], carry, width, period, rate, sections)
+            rows = pd.DataFrame({time: pd.to_datetime(t[:n], unit="us"), "seq": np.arange(n) + int(carry["rows"]) - n + 1, value: x[:n]})
+            for k, v in zip(keys, key):
+                rows[k] = v
+            yield rows.assign(**out)[[*keys, time, "seq", value, *names]]
+        if n == len(t) and passed >= newest + wait:
+            state.remove()
+            return
+        state.update((t[n:].tolist(), tied[n:].tolist(), x[n:].tolist(), carry["tail"].tolist(), [float(carry[c]) for c in ("last", "frequency", "cross", "rows")], carry["memory"], newest))
+        due = int(t[n]) if n < len(t) else newest + wait
+        state.setTimeoutTimestamp(max(-(-due // 1000), state.getCurrentWatermarkMs() + 1))
+
+    rows = df.where(F.col(time).isNotNull()).select(*keys, time, F.unix_micros(time).alias("__t"), (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("__tie"), F.col(value).cast("double").alias(value))
+    return rows.groupBy(*keys).applyInPandasWithState(step, fields, state_fields, "append", GroupStateTimeout.EventTimeTimeout)
