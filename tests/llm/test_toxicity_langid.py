@@ -31,6 +31,25 @@ def test_pairs_are_learnt(spark):
     assert np.mean([(got[i] >= 0.7) == bool(t) for i, _, t in held]) > 0.95
 
 
+@pytest.mark.parametrize("rule", ["both or neither", "one of two"])
+def test_pairs_without_single_effects_are_learnt(rule):
+    """Each word is as frequent among toxic texts as among clean ones; only both together tell them apart."""
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(1200):
+        a, b = i % 4 in (0, 1), i % 4 in (0, 2)
+        words = cases.sentence(rng, 30).split() + ["moron"] * a + ["martians"] * b
+        rows.append(np.array(sorted(toxicity.terms_of(" ".join(words)))))
+        labels.append(int((a == b) == (rule == "both or neither")))
+    y = np.array(labels)
+    machine = toxicity.fit(rows[:800], y[:800])
+    found = machine.score(toxicity.matrix(rows[800:], machine.kept)) >= 0.5
+    assert np.mean(found == y[800:]) > 0.95
+    # nothing to find: no pair stands out
+    noise = np.array([rng.random() < 0.5 for _ in rows], int)
+    assert len(toxicity.fit(rows, noise).kept) <= 4
+
+
 def test_scores_of_edge_cases(spark):
     docs = cases.edge_documents(spark, n=5)
     machine = toxicity.fit([np.array(sorted(toxicity.terms_of(t))) for t in ("good day", "bad day")] * 20, np.array([0, 1] * 20))

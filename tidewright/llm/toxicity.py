@@ -27,6 +27,8 @@ BUCKETS = 1 << 20
 SAMPLE, TERMS, FACTORS = 12_000, 1500, 8
 #: Standard errors by which a kept term's rate must differ between the labels.
 SIGNAL = 4.0
+#: Frequent terms whose pairs are looked at, standard errors by which a pair's effect must stand out, and terms that such pairs add at most.
+PAIRED, PAIR_SIGNAL, ADDED = 2048, 6.0, 256
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -72,10 +74,43 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.w0 + x @ self.w + pairs, -30, 30)))
 
 
+def paired(rows: list[np.ndarray], labels: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Buckets of pairs of terms that tell the labels apart together, whatever each does alone; the strongest pairs first.
+
+    Of the PAIRED terms that divide the texts best, all pairs are tested by
+    the sum of the label's and both terms' deviations from their means, over
+    its standard error; pairs too rare to be expected five times among the
+    rarer label are left out.
+    """
+    n, mean = len(labels), float(labels.mean())
+    part = count / n
+    pool = np.argsort(-part * (1 - part), kind="stable")[:PAIRED]
+    pool = np.sort(pool[(part[pool] > 0) & (part[pool] < 1)])
+    if len(pool) < 2:
+        return pool[:0]
+    known = {int(b): i for i, b in enumerate(pool)}
+    off = (labels - mean).astype(np.float32)
+    both, own = np.zeros((len(pool), len(pool))), np.zeros(len(pool))
+    for at in range(0, n, 1024):
+        x = matrix(rows[at : at + 1024], known)
+        both += (x * off[at : at + 1024, None]).T @ x
+        own += off[at : at + 1024] @ x
+    p = part[pool]
+    both -= p[:, None] * own[None] + own[:, None] * p[None]  # the deviations of the labels sum to zero
+    spread = np.sqrt(p * (1 - p))
+    z = np.abs(both) / (np.sqrt(n * mean * (1 - mean)) * spread[:, None] * spread[None])
+    z[n * min(mean, 1 - mean) * np.minimum(p, 1 - p)[:, None] * np.minimum(p, 1 - p)[None] < 5] = 0
+    a, b = np.nonzero(np.triu(z >= PAIR_SIGNAL, 1))
+    order = np.argsort(-z[a, b], kind="stable")
+    flat = np.stack((pool[a[order]], pool[b[order]]), 1).ravel()
+    return flat[np.sort(np.unique(flat, return_index=True)[1])]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 250, seed: int = 3) -> Machine:
     """Fit a machine on the buckets of labelled texts, by Adam on the logistic loss.
 
-    Without both labels there is nothing to learn, and every text scores 0.
+    The terms are those whose own rate differs between the labels, and those
+    of pairs that differ together (paired()). Without both labels there is nothing to learn, and every text scores 0.
     """
     positive = float(labels.sum())
     negative = len(labels) - positive
@@ -88,7 +123,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 250, seed: int
     error = np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / positive + 1 / negative))
     signal = np.where(hit + miss >= 3, np.abs(hit / positive - miss / negative) / error, 0)
     best = np.argsort(-signal, kind="stable")[:TERMS]
-    best = np.sort(best[signal[best] >= SIGNAL])
+    best = best[signal[best] >= SIGNAL]
+    more = paired(rows, labels, hit + miss)
+    best = np.sort(np.concatenate((best, more[~np.isin(more, best)][:ADDED])))
     kept = {int(b): i for i, b in enumerate(best)}
     x = matrix(rows, kept)
     rng = np.random.default_rng(seed)
