@@ -165,3 +165,33 @@ def test_numbers_of_a_bucket_with_all_rows(spark, monkeypatch):
     heavy = O._divided(df.withColumn("b", F.lit(0)), spark.createDataFrame([("a", 0)], "k string, b int"), ["k", "b"], ["t", "id"])
     sizes = [r.n for r in heavy.where("k = 'a'").groupBy("__part").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) > 10 and max(sizes) < 4000 / 5
+
+
+def test_fitted_models_are_the_same_when_read_again(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from tidewright.plans.fitted import LinearForecaster, LinearForecasterModel, Scaler, ScalerModel
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(float(a), float(b), "Train" if i < 60 else "test") for i, (a, b) in enumerate(rng.normal(3, 2, (90, 2)))], "a double, b double, split string")
+    for scope, fit in (("channel", X.fit_channel_scaler), ("global", X.fit_global_scaler)):
+        model = Scaler(["a", "b"], scope, "split").fit(df)
+        model.write().overwrite().save(str(tmp_path / scope))
+        again = ScalerModel.load(str(tmp_path / scope))
+        want = X.scale(df, fit(df.where("split = 'Train'"), ["a", "b"]), ["a", "b"])
+        rows = lambda d: sorted(map(tuple, d.collect()))
+        assert rows(again.transform(df)) == rows(model.transform(df)) == rows(want)
+        back = again.inverse(again.transform(df)).select("a").collect()
+        assert np.allclose(sorted(r.a for r in back), sorted(r.a for r in df.collect()))
+    x = rng.normal(size=(200, 6))
+    windows = spark.createDataFrame([(i, v.tolist(), [float(v[5] * 2 - v[0]), float(v.mean())]) for i, v in enumerate(x)], "i int, x array<double>, y array<double>")
+    forecaster = LinearForecaster(6, 2, 3, ridge=1e-8)
+    forecaster.save(str(tmp_path / "estimator"))
+    pipeline = Pipeline(stages=[LinearForecaster.load(str(tmp_path / "estimator"))]).fit(windows)
+    pipeline.save(str(tmp_path / "pipeline"))
+    again = PipelineModel.load(str(tmp_path / "pipeline"))
+    assert isinstance(again.stages[0], LinearForecasterModel)
+    first, second = ({r.i: r.pred for r in m.transform(windows).collect()} for m in (pipeline, again))
+    assert first == second and all(np.allclose(first[i], [v[5] * 2 - v[0], v.mean()], atol=1e-4) for i, v in enumerate(x))
+    with pytest.raises(ValueError):
+        Scaler(["a"]).fit(df.where("false"))

@@ -315,7 +315,7 @@ _BY_TYPE = lambda f: f"CASE event_type WHEN 'click' THEN {f(0)} WHEN 'view' THEN
 @query(
     f""", b AS (SELECT event_type, seq, value, {_BY_TYPE(lambda k: _frame("value", (8, 12, 10)[k], 0))} AS m, {_BY_TYPE(lambda k: _frame("value", (4, 6, 5)[k], (4, 6, 5)[k]))} AS c FROM s)
 SELECT event_type, seq, round(m, 6) AS qp_main_input, round(c, 6) AS qp_main_target, round(value - m, 6) AS qp_residual, round(sqrt({_BY_TYPE(lambda k: _frame("m * m", (5, 9, 7)[k], 0))}), 6) AS qp_envelope,
-  round({_BY_TYPE(lambda k: f"1 + sin(2 * pi() * (seq - 1) / {(24, 40, 32)[k]})")}, 6) AS phase_sin_1, {_BY_TYPE(lambda k: ("0.75", "0.25", "0.5")[k])} AS qp_predictability_score, {_BY_TYPE(lambda k: (0, 5, 0)[k])} AS qp_signal_type_id FROM b"""
+  round({_BY_TYPE(lambda k: f"1 + sin(2 * pi() * (seq - 1) / {(24, 40, 32)[k]})")}, 6) AS phase_sin_1, {_BY_TYPE(lambda k: ("0.75::DOUBLE", "0.25::DOUBLE", "0.5::DOUBLE")[k])} AS qp_predictability_score, {_BY_TYPE(lambda k: (0, 5, 0)[k])} AS qp_signal_type_id FROM b"""
 )
 def augment_by_profile(s):
     """Each segment by its own profile; segments without one by the medians of all."""

@@ -43,7 +43,7 @@ def robust_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def robust_scale_of(values: DataFrame, keys: Sequence[str], also: dict[str, float] | None = None) -> DataFrame:
     """robust_scale() of a table of values, with further quantiles `also`; the samples are not read again."""
     keys = list(keys)
-    middle = cut(quantiles_of(values, keys, {"median": 0.5, **(also or {})}))
+    middle = quantiles_of(values, keys, {"median": 0.5, **(also or {})})  # read from a small table
     away = _join(values, middle, keys).select(*keys, F.abs(F.col("__v") - F.col("median")).alias("__v"))
     mads = quantiles_of(away, keys, {"mad": 0.5})
     out = _join(_join(middle, mads, keys), values.groupBy(*keys).agg(F.stddev_pop("__v").alias("__std")), keys)

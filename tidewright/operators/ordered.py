@@ -170,36 +170,45 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, floa
 
 
 def quantiles_of(rows: DataFrame, keys: Sequence[str], at: dict[str, float]) -> DataFrame:
-    """Exact quantiles of a table of values (see finite_values).
+    """Exact quantiles of a table of values (see finite_values), as a small table.
 
     A mergeable sketch gives a value surely below and one surely above each
-    quantile; the values below are counted, and only those between are ranked.
-    So values are never shuffled but for the few that are between, of which
-    equal ones are one row. Should a bound be off, all values of its group are.
+    quantile. One more pass counts the values below as one, and each value
+    between on its own, where equal ones are one row; so values are never
+    shuffled but for the few between. Should a bound be off, which shows in the
+    counts, all values of such groups are ranked.
     """
-    keys = list(keys)
+    from pyspark.sql import Observation
+
+    from tidewright.session import cut
+
+    keys, off = list(keys), Observation()
     points = [p for q in at.values() for p in (max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY))]
     cuts = rows.groupBy(*keys).agg(F.percentile_approx("__v", points, ACCURACY).alias("__points"), F.count("*").alias("__size"))
-    v, inf = F.col("__v"), float("inf")
-    low, high = (lambda i: F.col("__points")[2 * i]), (lambda i: F.col("__points")[2 * i + 1])
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    sums = [c.alias(f"__{s}{i}") for i in range(len(at)) for s, c in (("below", count(v < low(i))), ("upto", count(v <= high(i))))]
-    counted = _join(rows, cuts, keys).groupBy(*keys).agg(F.first("__points").alias("__points"), F.first("__size").alias("__size"), *sums)
-    wanted = []
-    for i, (name, q) in enumerate(at.items()):
-        r, below = F.lit(float(q)) * (F.col("__size") - 1), F.col(f"__below{i}")
-        sure = (below <= F.floor(r)) & (F.ceil(r) < F.col(f"__upto{i}"))
-        parts = {"lo": F.when(sure, low(i)).otherwise(-inf), "hi": F.when(sure, high(i)).otherwise(inf), "below": F.when(sure, below).otherwise(0)}
-        wanted.append(F.struct(F.lit(name).alias("k"), r.alias("r"), *[c.alias(n) for n, c in parts.items()]))
-    bounds = counted.select(*keys, F.array(*wanted).alias("__w"))
-    near = _join(rows, bounds, keys).select(*keys, "__v", F.explode("__w").alias("__w")).where((v >= F.col("__w.lo")) & (v <= F.col("__w.hi")))
-    few = near.groupBy(*keys, F.col("__w.k").alias("__k"), F.col("__w.r").alias("__r"), F.col("__w.below").alias("__below"), "__v").agg(F.count("*").alias("__m"))
-    own = W.partitionBy(*keys, "__k").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-    placed = few.withColumn("__last", F.col("__below") + F.sum("__m").over(own) - 1)  # rank of the last of the equal values
-    at_rank = lambda r: F.min(F.when((F.col("__last") - F.col("__m") + 1 <= r) & (r <= F.col("__last")), v))
-    each = placed.groupBy(*keys, "__k", "__r").agg(at_rank(F.floor("__r")).alias("__a"), at_rank(F.ceil("__r")).alias("__b"))
-    interpolated = F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__r") - F.floor("__r"))
-    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("__k") == k, interpolated)).alias(k) for k in at])
+    v, size = F.col("__v"), F.col("__size")
+    # a value below a quantile's bounds stands there as null
+    cell = lambda i, name: F.struct(F.lit(name).alias("k"), F.when(v >= F.col("__points")[2 * i], v).alias("v"))
+    cells = F.array_compact(F.array(*[F.when(v <= F.col("__points")[2 * i + 1], cell(i, name)) for i, name in enumerate(at)]))
+    near = _join(rows, cuts, keys).select(*keys, size, F.explode(cells).alias("__cell")).select(*keys, "__size", F.col("__cell.k").alias("__k"), F.col("__cell.v").alias("__v"))
+    found = cut(_at_ranks(near, keys, at).observe(off, F.sum(F.when(F.col("__a").isNull() | F.col("__b").isNull(), 1).otherwise(0)).alias("n")))
+    if off.get["n"]:
+        again = found.where("__a IS NULL OR __b IS NULL").select(*[F.col(c).alias(f"__again_{c}") for c in keys], F.col("__k"), F.col("__size"))
+        same = [F.col(c).eqNullSafe(F.col(f"__again_{c}")) for c in keys]
+        every = rows.join(F.broadcast(again), same or F.lit(True)).select(*keys, "__size", "__k", "__v")  # a row for each group and quantile
+        found = cut(found.where("__a IS NOT NULL AND __b IS NOT NULL").union(_at_ranks(every, keys, at)))
+    part = F.element_at(F.create_map(*[x for name, q in at.items() for x in (F.lit(name), F.lit(float(q)))]), F.col("__k")) * (size - 1)
+    interpolated = F.col("__a") + (F.col("__b") - F.col("__a")) * (part - F.floor(part))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__k") == k, interpolated)).alias(k) for k in at])
+
+
+def _at_ranks(cells: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
+    """(keys, __k, __size, __a, __b): the values of cells (keys, __size, __k, __v) at the ranks next to each quantile; null values rank first and are no answer."""
+    few = cells.groupBy(*keys, "__k", "__size", "__v").agg(F.count("*").alias("__m"))
+    own = W.partitionBy(*keys, "__k").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    placed = few.withColumn("__last", F.sum("__m").over(own) - 1)  # rank of the last of the equal values
+    rank = F.element_at(F.create_map(*[x for name, q in at.items() for x in (F.lit(name), F.lit(float(q)))]), F.col("__k")) * (F.col("__size") - 1)
+    at_rank = lambda r: F.min(F.when((F.col("__last") - F.col("__m") + 1 <= r) & (r <= F.col("__last")), F.col("__v")))
+    return placed.groupBy(*keys, "__k", "__size").agg(at_rank(F.floor(rank)).alias("__a"), at_rank(F.ceil(rank)).alias("__b"))
 
 
 def medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], positive: bool = False) -> DataFrame:
