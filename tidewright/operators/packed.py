@@ -17,8 +17,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tidewright.functions import kernels
 from tidewright.operators.ordered import chunk_of, chunk_size, known
@@ -63,28 +65,20 @@ def each(chunks: DataFrame, kept: Sequence[str], fields: str, make: Callable[[di
                     columns = [*own.columns, *[pa.array([o[c] for o in out], kind) for c, kind in zip(made, types)]]
                     yield pa.RecordBatch.from_arrays(columns, [*kept, *made])
 
-    schema = ", ".join([*kinds(chunks, kept), fields])
-    empty = chunks.sparkSession.createDataFrame([], fields)
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    types = [to_arrow_type(f.dataType) for f in empty.schema.fields]
-    return chunks.mapInArrow(run, schema)
+    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(fields).fields]
+    return chunks.mapInArrow(run, ", ".join([*kinds(chunks, kept), fields]))
 
 
 def carried(table: DataFrame, keys: Sequence[str], fields: str, make: Callable[[list[dict]], list[dict]]) -> DataFrame:
     """make(rows) of each segment's rows of a small table, a row for each chunk, in the order of chunks."""
-    keys = list(keys)
-    schema = table.sparkSession.createDataFrame([], fields).schema
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    types = [to_arrow_type(f.dataType) for f in schema.fields]
+    keys, schema = list(keys), StructType.fromDDL(fields)
+    types, names = [to_arrow_type(f.dataType) for f in schema.fields], schema.names
 
     def run(key: tuple, own: pa.Table) -> pa.Table:
         rows = make(sorted(own.to_pylist(), key=lambda r: r["__chunk"]))
         columns = [pa.array([r[f] for r in rows], t) for f, t in zip(names, types)]
         return pa.table([*[pa.array([k.as_py()] * len(rows), k.type) for k in key], *columns], [*keys, *names])
 
-    names = schema.names
     return table.groupBy(*keys).applyInArrow(run, ", ".join([*kinds(table, keys), fields]))
 
 
@@ -296,7 +290,10 @@ def _meet(pieces: DataFrame, asks: DataFrame, keys: list[str], at: Column, size:
 def _asked(pieces: DataFrame, peaks: DataFrame, keys: list[str], size: int, fields: str, own: Callable, other: Callable) -> DataFrame:
     """Answers for both sides of each peak: from its chunk and the outline (own), or else from the chunk that these name (other, in __target)."""
     names = [f.split()[0] for f in fields.split(", ")]
-    found = cut(_meet(pieces, peaks, keys, F.floor((F.col("seq") - 1) / size), size, f"{fields}, __target long", own))
+    far = Observation()
+    found = cut(_meet(pieces, peaks, keys, F.floor((F.col("seq") - 1) / size), size, f"{fields}, __target long", own).observe(far, F.count("__target").alias("n")))
+    if not far.get["n"]:
+        return found.drop("__target")
     there = _meet(pieces, found.where("__target IS NOT NULL"), keys, F.col("__target"), size, fields, other)
     return found.where("__target IS NULL").drop("__target").union(there.select(*keys, *names))
 

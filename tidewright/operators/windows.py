@@ -242,6 +242,8 @@ def spaced_peaks(peaks: DataFrame, keys: Sequence[str], value: str, distance: in
     each round settles half a chunk of it at least. No group is above a chunk
     and its edges (some distances on either side).
     """
+    from pyspark.sql import Observation
+
     from tidewright.session import cut, ship_package
 
     ship_package(peaks.sparkSession)
@@ -255,13 +257,15 @@ def spaced_peaks(peaks: DataFrame, keys: Sequence[str], value: str, distance: in
         shift = 0 if at_once else turn % 2 * (chunk // 2)
         placed = todo.withColumn("__at", F.col("__seq") + shift)
         dealt = placed.withColumn("__chunk", F.lit(0).cast("long")) if at_once else spread(placed, halo, halo, "__at", chunk)
-        settled = cut(dealt.groupBy(*keys, "__chunk").applyInArrow(_settling(len(keys), chunk, shift, at_once), todo.schema))
+        seen = Observation()
+        settled = dealt.groupBy(*keys, "__chunk").applyInArrow(_settling(len(keys), chunk, shift, at_once), todo.schema)
+        settled = cut(settled.observe(seen, F.sum(F.when(F.col("__kept"), 0).otherwise(1)).alias("open")))
         own = settled.where("__kept").drop("__kept")
         kept = own if kept is None else kept.union(own)
-        open_ = settled.where("NOT __kept")
-        left = open_.count()
+        left = seen.get["open"] or 0
         if not left:
             break
+        open_ = settled.where("NOT __kept")
         near = F.floor(F.col("__seq") / F.col("__away"))
         around = open_.select(*keys, F.explode(F.sequence(near - 1, near + 1)).alias("__near")).distinct()
         beside = kept.withColumn("__near", near).join(around, [*keys, "__near"], "left_semi").select(*keys, "__seq", "__height", "__away", F.lit(True).alias("__kept"))
