@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tidewright.llm import files, scratch, secrets, tokenfile, warc
@@ -240,3 +241,45 @@ def test_repeated_payloads_joined_by_a_shuffle_are_the_same(spark):
     pages = spark.createDataFrame([(i, None, f"page {i % 7}" if i % 3 else None) for i in range(50)], "page_id long, url string, html string")
     rows = lambda n: sorted(map(tuple, warc.classified(pages, 0, n).select("page_id", "digest", "first").collect()), key=str)
     assert rows(0) == rows(1000)
+
+
+def foreign_secrets(rng):
+    """Secrets of other makers than the module's, none of which a fixed pattern finds."""
+    def b64(n):
+        return base64.b64encode(rng.randbytes(n)).decode()
+
+    out = [b64(n) for n in rng.choices(range(24, 49), k=60)]
+    out += [base64.urlsafe_b64encode(rng.randbytes(33)).decode() for _ in range(40)]
+    out += [base64.b32encode(rng.randbytes(25)).decode() for _ in range(40)]
+    out += ["ghp_" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=36)) for _ in range(40)]
+    return out
+
+
+def test_secrets_of_other_makers_are_found(spark):
+    rng = random.Random(17)
+    found = foreign_secrets(rng)
+    docs = [(i, f"{cases.sentence(rng, 40)} see {t} and {cases.sentence(rng, 30)}") for i, t in enumerate(found)]
+    clean = [(1000 + i, cases.sentence(rng, 200)) for i in range(100)]
+    got = {r.doc_id: r for r in secrets.scan(cases.documents(spark, docs + clean)).collect()}
+    hits = 0
+    for i, text in docs:
+        at = text.index(found[i])
+        own = [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s]
+        assert not got[i].n_assign + got[i].n_access + got[i].n_hex
+        hits += any(a < at + len(found[i]) and b > at for a, b in own)
+    assert hits >= 0.9 * len(found) and not any(got[1000 + i].spans for i in range(100))
+
+
+def test_models_of_a_labelled_table(spark):
+    rng = random.Random(18)
+    ordinary = ["_".join(rng.choices(cases.VOCABULARY, k=4)) for _ in range(400)]
+    rows = [(t, 1) for _ in range(3) for t in foreign_secrets(rng)] + [(t, 0) for t in ordinary] + [(None, 1), ("x", None), ("ünï", 0)]
+    table = spark.createDataFrame(rows, "token string, label int").repartition(4)
+    counts = secrets.labelled_counts(table)
+    assert (counts == secrets.sample_counts([r for r in rows if r[0] is not None and r[1] is not None])).all()
+    held = foreign_secrets(rng)
+    docs = cases.documents(spark, [(i, f"look at {t} here") for i, t in enumerate(held)] + [(1000 + i, f"{t} there") for i, t in enumerate(ordinary[:100])])
+    got = {r.doc_id: r.n_markov for r in secrets.scan(docs, labelled=table).collect()}
+    assert sum(got[i] > 0 for i in range(len(held))) >= 0.9 * len(held) and not any(got[1000 + i] for i in range(100))
+    none = secrets.scan(docs, labelled=table.where("label = 1"))
+    assert none.agg(F.sum("n_markov")).first()[0] == 0

@@ -121,3 +121,24 @@ def test_query_of_the_shards(spark, tmp_path):
     texts = [r.text or "" for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
     assert sorted((r.size, r.text_crc32) for r in got) == sorted((len(t.encode()) + 16, zlib.crc32(t.encode())) for t in texts)
     assert all(r.grown_shard is None for r in got)
+
+
+def test_mix_of_weights_and_fractions_of_zero_or_less(spark):
+    docs = cases.documents(spark, [(i, "one two three", "en", f"src{i % 3}") for i in range(60)] + [(100, ""), (101, None)])
+    domain = F.lit("d")
+    got = mixing.mix(docs, domain, {"d/en/src0": 0.0, "d/en/src1": -1.0}, fraction=0.3, max_epochs=1, seed=1)
+    tokens = {r.source: r.n for r in got.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    assert not tokens.get("src0") and not tokens.get("src1") and tokens["src2"] == 54  # 0.3 * 180
+    for fraction in (0.0, -1.0):
+        assert not mixing.mix(docs, domain, {}, fraction=fraction).agg(F.sum("tokens")).first()[0]
+
+
+def test_shards_of_null_ids_and_clashing_columns(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (None, None), (3, None), (3, "")] + [(i, f"text {i}") for i in range(10, 40)]
+    docs = cases.documents(spark, rows).withColumn("__high", F.lit(1)).withColumn("__key", F.lit("x"))
+    got = sharding.shard(docs, 4)
+    assert got.count() == len(rows) and set(got.columns) == {*docs.columns, "shard", "slot", "law"} and got.where("__key = 'x' AND __high = 1").count() == len(rows)
+    by = {}
+    for r in got.select("shard", "slot").collect():
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())

@@ -39,7 +39,7 @@ def share(children: DataFrame, parent: list[str], budget: str, weight: str, capa
     return (
         children.withColumn("__ratio", F.when(F.col(weight) > 0, ratio).otherwise(F.lit(float("inf"))))
         .withColumn("__full", F.coalesce(F.sum(F.col(capacity).cast("double")).over(before), F.lit(0.0)))
-        .withColumn("__weight", F.sum(weight).over(w.rowsBetween(0, W.unboundedFollowing)))
+        .withColumn("__weight", F.sum(F.greatest(F.col(weight), F.lit(0.0))).over(w.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("__level", F.when(F.col("__weight") > 0, (F.col(budget) - F.col("__full")) / F.col("__weight")))
         # full children come first; the level of the first that isn't holds for all after it
         .withColumn("__open", (F.col(weight) > 0) & (F.col("__ratio") > F.col("__level")))
@@ -95,7 +95,10 @@ def mix(
     earlier epochs included, fit into the budget of the leaf; position is the
     sum of the tokens before it. Null fields of the tree are the branch ''. A
     document without tokens is selected where the sum before it fits. Rows
-    that repeat a doc_id count each. An empty table gives an empty one.
+    that repeat a doc_id count each. A node of weight 0 or less gets nothing,
+    its siblings what it would have; with a fraction of 0 or less no document
+    with tokens fits. Other columns are ignored. An empty table
+    gives an empty one.
     """
     text = F.coalesce("text", F.lit(""))
     named = {"domain": domain.cast("string"), "language": F.col(language).cast("string"), "source": F.col(source).cast("string")}
@@ -123,6 +126,10 @@ def mix(
 
 
 def selected(docs: DataFrame, domain: Column, weights: dict[str, float] | None = None, fraction: float = 0.5, seed: int = 0, **names: str) -> DataFrame:
-    """The rows of docs that one epoch of mix() selects, with all columns as they are; rows that share a doc_id stay together."""
+    """The rows of docs that one epoch of mix() selects, with all columns as they are; rows that share a doc_id stay together.
+
+    Null and empty texts have no tokens (see mix). A column named __chosen is
+    not kept apart from the function's own.
+    """
     chosen = mix(docs, domain, weights, fraction, 1, seed, **names).select(F.col("doc_id").alias("__chosen")).distinct()
     return docs.join(chosen, F.expr("doc_id <=> __chosen"), "left_semi").select([F.col(f"`{c}`") for c in docs.columns])

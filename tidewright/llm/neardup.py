@@ -78,7 +78,11 @@ def most_bits(threshold: float) -> int:
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, a 128-bit digest of the set (d1, d2), band keys and odd sketch."""
+    """doc_id, text_hash, n_shingles, a 128-bit digest of the set (d1, d2), band keys and odd sketch.
+
+    A text of any length is read whole, its set held in the task; a text
+    without words, or null, has no bands and no sketch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

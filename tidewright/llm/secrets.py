@@ -2,8 +2,9 @@
 
 One model is of random strings, the other of ordinary identifiers; a token is
 reported when its log-likelihood ratio passes a threshold, in total and per
-character. Both are trained from labelled samples: made ones, and the tokens of
-a corpus, of which those that the fixed patterns find are secrets.
+character. Both are trained from labelled samples: a table's or made ones, and
+the tokens of a corpus, of which those that the fixed patterns find are
+secrets. The corpus teaches what is ordinary in it, such as its own language.
 """
 
 from __future__ import annotations
@@ -90,18 +91,46 @@ def sample_counts(labelled: Iterable[tuple[str, int]]) -> np.ndarray:
     return counts
 
 
-def train(labelled: Iterable[tuple[str, int]], corpus: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
-    """Log-likelihood ratio of each transition, add-one smoothed.
+def labelled_counts(table: DataFrame, token: str = "token", label: str = "label") -> np.ndarray:
+    """Transitions (label, from, to) of a table of labelled strings: 1 for secrets, 0 for ordinary ones; rows with a null are left out.
 
-    corpus (see corpus_counts) counts as it is, and as `weight` times the
-    labelled strings at most, however large it is.
+    A task adds up its own; 2 * 65 * 65 sums come to the driver, however large
+    the table is.
     """
-    counts = sample_counts(labelled)
+    ship_package(table.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, _N, _N), np.int64)
+        for batch in batches:
+            counts += sample_counts(zip(batch.column("t").to_pylist(), batch.column("l").to_pylist())).astype(np.int64)
+        flat = counts.ravel()
+        own = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(flat[own])], ["k", "n"])
+
+    rows = table.select(F.col(token).alias("t"), F.col(label).cast("int").alias("l")).where("t IS NOT NULL AND l IN (0, 1)")
+    out = np.zeros(2 * _N * _N)
+    for k, n in rows.mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n")).collect():
+        out[k] = n
+    return out.reshape(2, _N, _N)
+
+
+def train(labelled: Iterable[tuple[str, int]] | np.ndarray, corpus: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
+    """Log-likelihood ratio of each transition, smoothed by the frequencies of symbols; all zeros, so that nothing is reported, where a label has no string.
+
+    labelled may be transitions (see labelled_counts). corpus (see
+    corpus_counts) counts as it is, and as `weight` times the labelled strings
+    at most, however large it is.
+    """
+    counts = labelled.copy() if isinstance(labelled, np.ndarray) else sample_counts(labelled)
+    if not counts[0].any() or not counts[1].any():
+        return np.zeros((_N, _N))
     if corpus is not None:
         for label in (0, 1):
             if corpus[label].sum():
                 counts[label] += corpus[label] * min(1.0, weight * counts[label].sum() / corpus[label].sum())
-    counts += 1
+    # what a symbol was rarely followed by is taken from how frequent symbols are at all
+    alone = counts.sum(1, keepdims=True) + 1
+    counts += _N * alone / alone.sum(2, keepdims=True)
     logs = np.log(counts / counts.sum(2, keepdims=True))
     return logs[1] - logs[0]
 
@@ -139,15 +168,19 @@ def base_spans(text: str, long: bool = True) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)] if long else found
 
 
+def hits(starts: np.ndarray, ends: np.ndarray, before: np.ndarray, code: np.ndarray, model: np.ndarray, threshold: float, evidence: float) -> np.ndarray:
+    """Which tokens (see tokens()) the models take for secrets."""
+    total = np.add.reduceat(np.where(code < _N - 1, model[before, code], 0.0), starts)
+    return np.flatnonzero((total >= evidence) & (total >= threshold * (ends - starts)))
+
+
 def likely(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, threshold: float, evidence: float) -> tuple[list[list[tuple[int, int]]], set[int]]:
     """For each text (start, end) in code points of the tokens that the models take for secrets; and the texts with long tokens."""
     out: list[list[tuple[int, int]]] = [[] for _ in range(len(offsets) - 1)]
     starts, ends, of, before, code = tokens(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 5
     if not len(starts):
         return out, set()
-    value = np.where(code < _N - 1, model[before, code], 0.0)
-    total = np.add.reduceat(value, starts)
-    hit = np.flatnonzero((total >= evidence) & (total >= threshold * (ends - starts)))
+    hit = hits(starts, ends, before, code, model, threshold, evidence)
     if len(hit):
         point = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
         for k in hit.tolist():
@@ -170,10 +203,11 @@ def spans(text: str, hits: list[tuple[int, int]], long: bool = True) -> list[tup
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
+def corpus_counts(docs: DataFrame, model: np.ndarray | None = None) -> np.ndarray:
     """Transitions (label, from, to) of all tokens of all texts: label 1 within base spans, 0 elsewhere.
 
-    A task adds up its own; 2 * 65 * 65 sums come to the driver. Null and
+    Tokens of the length of made secrets that `model` takes for secrets, but no
+    pattern finds, count for neither, lest secrets pass for ordinary. A task adds up its own; 2 * 65 * 65 sums come to the driver. Null and
     empty texts, and an empty table, count nothing.
     """
     ship_package(docs.sparkSession)
@@ -196,8 +230,13 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
                         for kind, a, b in own:
                             value = ASSIGN.match(text, a).start(2) if kind == "assign" else a  # the name before it is no secret
                             label[offsets[i] + place(value) : offsets[i] + place(b)] = 1
-                at = (label * _N + before) * _N + code
-                counts += np.bincount(at[code < _N - 1], minlength=len(counts))
+                if model is not None and len(places[0]):
+                    found = hits(places[0], places[1], before, code, model, RATIO, EVIDENCE)
+                    for k in found[places[1][found] - places[0][found] >= MADE[0]].tolist():
+                        own = label[places[0][k] : places[1][k]]
+                        own[own == 0] = 2
+                at = ((label * _N + before) * _N + code)[(code < _N - 1) & (label < 2)]
+                counts += np.bincount(at, minlength=len(counts))
         own = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(counts[own])], ["k", "n"])
 
@@ -207,17 +246,19 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(2, _N, _N)
 
 
-def scan(docs: DataFrame, model: np.ndarray | None = None, threshold: float = RATIO, evidence: float = EVIDENCE) -> DataFrame:
+def scan(docs: DataFrame, model: np.ndarray | None = None, threshold: float = RATIO, evidence: float = EVIDENCE, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov for each row of docs (doc_id, text).
 
-    Without a model one is trained from samples() and from docs themselves.
+    Without a model one is trained from the labelled strings (token, label), or
+    from samples() if there are none, and from docs themselves.
     Null and empty texts have no spans; a text of any length is scanned whole.
     Rows that repeat a doc_id are scanned each; other columns are ignored; an
     empty table gives an empty one.
     """
     ship_package(docs.sparkSession)
     if model is None:
-        model = train(samples(), corpus_counts(docs))
+        own = sample_counts(samples()) if labelled is None else labelled_counts(labelled)
+        model = train(own, corpus_counts(docs, train(own)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

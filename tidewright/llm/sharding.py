@@ -143,11 +143,15 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = TOLERANCE, parts
     group to meet the tolerance. slot numbers the rows of a shard without
     gaps. Rows with equal text and doc_id have equal keys; they stay in one
     shard, in any order. Columns named law, shard or slot are replaced, all
-    others stay. An empty table gives an empty one.
+    others stay. A null text is empty, a null doc_id is a key of its own. An
+    empty table gives an empty one.
     """
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.drop("law", "shard", "slot")
+    if clash := [c for c in docs.columns if c in ("__high", "__low", "__piece", "__base", "__key")]:
+        out = shard(docs.withColumnsRenamed({c: f"__own{c}" for c in clash}), shards, tolerance, parts)
+        return out.withColumnsRenamed({f"__own{c}": c for c in clash})
     rows = scratch.table(docs.select(size_of().alias("size"), *[c.alias(k) for k, c in key_columns().items()]), "keys")
     parts = parts or parts_for(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], shards)
     chosen, bounds = splitters(rows, shards, tolerance, parts)

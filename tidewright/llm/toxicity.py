@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     """Fit on about `sample` labelled documents for which `learn` (over labels' doc_id) holds.
 
     The sample is by a hash of doc_id; its size bounds what is broadcast and
-    what comes to the driver (the sampled texts' buckets).
+    what comes to the driver (the sampled texts' buckets). Without rows, or
+    with one label alone, the machine scores every text 0, but for rounding.
     """
     ship_package(docs.sparkSession)
     rows = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -186,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score (0 to 1) of every whole text of docs (doc_id, text).
 
-    A null or empty text has no terms and the score of the bias alone. Rows
+    A null or empty text has no terms and the score of the bias alone; of a
+    text of any length all words are read, and a set of its terms is held. Rows
     that repeat a doc_id are scored each; other columns are ignored; an empty
     table gives an empty one.
     """
