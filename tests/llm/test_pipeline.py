@@ -55,5 +55,5 @@ def test_stages_take_effect_one_after_the_other(spark, tmp_path):
 
 def test_every_operator_has_one_query():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)

@@ -29,6 +29,8 @@ SAMPLE, TERMS, FACTORS = 12_000, 1500, 8
 SIGNAL = 4.0
 #: Frequent terms whose pairs are looked at, standard errors by which a pair's effect must stand out, and terms that such pairs add at most.
 PAIRED, PAIR_SIGNAL, ADDED = 2048, 6.0, 256
+#: Terms that each step of the fit hides, so that one that tells enough by itself needn't share its weight with those beside it.
+HIDDEN = 0.25
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -131,19 +133,26 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 250, seed: int
     rng = np.random.default_rng(seed)
     m = Machine(kept, float(np.log(positive / negative)), np.zeros(len(best), np.float32), rng.normal(0, 0.01, (len(best), FACTORS)).astype(np.float32))
     state = [np.zeros_like(m.w), np.zeros_like(m.w), np.zeros_like(m.v), np.zeros_like(m.v)]
+    mean = [np.zeros_like(m.w), np.zeros_like(m.v), np.zeros(())]
     y = labels.astype(np.float32)
     b1 = b2 = 0.0
     for t in range(1, steps + 1):
-        g = ((m.score(x) - y) / len(y)).astype(np.float32)
-        gw = x.T @ g + 2e-5 * m.w
-        gv = x.T @ (g[:, None] * (x @ m.v)) - (x.T @ g)[:, None] * m.v + 2e-4 * m.v
+        seen = (rng.random(len(best)) >= HIDDEN).astype(np.float32)
+        w, v = m.w * seen, m.v * seen[:, None]
+        g = ((Machine(kept, m.w0, w, v).score(x) - y) / len(y)).astype(np.float32)
+        xg = x.T @ g
+        gw = seen * xg + 2e-5 * m.w
+        gv = seen[:, None] * (x.T @ (g[:, None] * (x @ v)) - xg[:, None] * v) + 2e-4 * m.v
         for p, grad, i in ((m.w, gw, 0), (m.v, gv, 2)):
             state[i] += 0.1 * (grad - state[i])
             state[i + 1] += 0.01 * (grad**2 - state[i + 1])
             p -= 0.05 * (state[i] / (1 - 0.9**t)) / (np.sqrt(state[i + 1] / (1 - 0.99**t)) + 1e-8)
         b1, b2 = 0.9 * b1 + 0.1 * g.sum(), 0.99 * b2 + 0.01 * float(g.sum()) ** 2
         m.w0 -= 0.05 * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-8)
-    return m
+        if 2 * t > steps:  # what is hidden varies, so the last half of the steps is averaged
+            for held, own in zip(mean, (m.w, m.v, m.w0)):
+                held += own / (steps - steps // 2)
+    return Machine(kept, float(mean[2]), mean[0], mean[1])
 
 
 def matrix(rows: list[np.ndarray], kept: dict[int, int]) -> np.ndarray:
