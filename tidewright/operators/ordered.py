@@ -194,7 +194,8 @@ def quantiles_of(rows: DataFrame, keys: Sequence[str], at: dict[str, float]) ->
     if off.get["n"]:
         again = found.where("__a IS NULL OR __b IS NULL").select(*[F.col(c).alias(f"__again_{c}") for c in keys], F.col("__k"), F.col("__size"))
         same = [F.col(c).eqNullSafe(F.col(f"__again_{c}")) for c in keys]
-        every = rows.join(F.broadcast(again), same or F.lit(True)).select(*keys, "__size", "__k", "__v")  # a row for each group and quantile
+        # without keys it is a row for each quantile
+        every = (rows.join(again, same) if keys else rows.crossJoin(F.broadcast(again))).select(*keys, "__size", "__k", "__v")
         found = cut(found.where("__a IS NOT NULL AND __b IS NOT NULL").union(_at_ranks(every, keys, at)))
     part = F.element_at(F.create_map(*[x for name, q in at.items() for x in (F.lit(name), F.lit(float(q)))]), F.col("__k")) * (size - 1)
     interpolated = F.col("__a") + (F.col("__b") - F.col("__a")) * (part - F.floor(part))
