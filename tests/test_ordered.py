@@ -132,3 +132,37 @@ def test_empty_tables(spark):
     d = table(spark).where("seg > 99")
     for name, f in OPERATORS.items():
         assert f(d).collect() == [], name
+
+
+@pytest.mark.parametrize("chunk,portion", [(1 << 16, 1 << 18), (11, 20)])
+def test_windows_by_definition(spark, monkeypatch, chunk, portion):
+    """Windows of every chunk and portion; a null in between inputs and targets leaves no window out."""
+    d = table(spark)
+    series = {}
+    for r in sorted(d.collect()):
+        series.setdefault(r.seg, []).append(r.gappy)
+    monkeypatch.setattr(O, "CHUNK", chunk)
+    monkeypatch.setattr(WN, "PORTION", portion)
+    got = {(r.seg, r.start): (r.x, r.y) for r in WN.window_arrays(d.repartition(5), KEY, "gappy", 3, 2, 2, 1).collect()}
+    cut = {(k, s): (v[s : s + 3], v[s + 4 : s + 6]) for k, v in series.items() for s in range(0, len(v) - 5, 2)}
+    want = {at: w for at, w in cut.items() if None not in w[0] + w[1]}
+    assert len(want) > 20 and {at: str(w) for at, w in got.items()} == {at: str(w) for at, w in want.items()}
+
+
+def test_windows_of_whole_chunks_fit_into_a_small_heap():
+    """A heap of 1 GB, four tasks and chunks of 65,536 rows: a window's row must not hold its chunk (8,192 times half a MB a task)."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession, functions as F
+from tidewright.operators import windows as WN
+spark = SparkSession.builder.master("local[4]").config("spark.driver.memory", "1g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+d = spark.range(4 << 16).select((F.col("id") % 2).alias("seg"), (F.floor(F.col("id") / 2) + 1).alias("seq"), F.col("id").cast("double").alias("x"))
+w = WN.window_arrays(d, ["seg"], "x", 32, 8, 8)
+print("windows", w.where(F.element_at("x", -1) + 2 == F.col("y")[0]).count())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert f"windows {2 * ((2 * 65536 - 40) // 8 + 1)}" in done.stdout, done.stderr[-2000:]
