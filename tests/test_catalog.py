@@ -333,3 +333,23 @@ def test_reports_and_plans_have_their_rows(spark):
     assert plan and all(r.seq_len >= 16 and r.pred_len >= 1 and r.stride >= 1 for r in plan)
     kept = catalog.queries()["prepare_records"](spark, SF).collect()
     assert {r.split for r in kept} == {"train", "val", "test"} and all(r.time == pytest.approx((r.seq - 1) / 5) for r in kept)
+
+
+def test_transforms_leave_in_portions(spark, monkeypatch):
+    """A transform's rows leave its task a portion at a time, whole, in steps or by a chirp, with the same numbers."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidewright.operators import spectra
+
+    sizes = {"whole": 20, "steps": 48, "chirp": 37}
+    monkeypatch.setattr(spectra, "LIMIT", 24)
+    monkeypatch.setattr(spectra, "PORTION", 5)
+    rng = np.random.default_rng(2)
+    x = {k: rng.normal(size=n) for k, n in sizes.items()}
+    rows = spark.createDataFrame([(k, i, float(v), 0.0, len(own)) for k, own in x.items() for i, v in enumerate(own)], "k string, __i long, __re double, __im double, __n long")
+    got = {k: {} for k in sizes}
+    for r in spectra.transform(rows, ["k"]).orderBy(F.col("k"), "__i").collect():
+        got[r.k][r["__i"]] = complex(r["__re"], r["__im"])
+    for k, own in x.items():
+        assert np.allclose([got[k][i] for i in range(len(own))], np.fft.fft(own), atol=1e-9) and len(got[k]) == len(own)

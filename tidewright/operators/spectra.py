@@ -10,7 +10,7 @@ rounding, so no result depends on LIMIT.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from tidewright.session import cut, ship_package
 
 #: Samples of a transform that one task makes.
 LIMIT = 1 << 20
+#: Rows that leave a transform's task at once.
+PORTION = 1 << 16
 #: Samples of a block of Welch's estimate.
 WELCH = 8192
 
@@ -41,21 +43,39 @@ def _kinds(df: DataFrame, keys: Sequence[str]) -> list[str]:
 
 
 def _heads(key: tuple, count: int, n: int) -> list[pa.Array]:
-    return [pa.array([k.as_py()] * n, k.type) for k in key[:count]]
+    return [pa.repeat(k, n) for k in key[:count]]
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches with their places and complex values."""
+    for batch in batches:
+        i, re, im = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__i", "__re", "__im"))
+        yield batch, i, re + 1j * im
+
+
+def _portions(key: tuple, keys: list[str], z: np.ndarray, place, fixed: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, i, re, im, fixed) of an array, PORTION at a time; place gives i for places in the flat array."""
+    flat = z.reshape(-1)
+    for low in range(0, len(flat), PORTION):
+        own = flat[low : low + PORTION]
+        n = len(own)
+        columns = [pa.array(place(np.arange(low, low + n))), pa.array(own.real.copy()), pa.array(own.imag.copy()), *[pa.repeat(pa.scalar(v, pa.int64()), n) for v in fixed.values()]]
+        yield pa.RecordBatch.from_arrays([*_heads(key, len(keys), n), *columns], [*keys, "__i", "__re", "__im", *fixed])
+
+
 def _whole(rows: DataFrame, keys: list[str], work) -> DataFrame:
     """(keys, i, re, im) of work(complex values in order), a segment at once."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        z = np.zeros(int(_column(table, "__n")[0]), complex)
-        z[_column(table, "__i")] = _column(table, "__re") + 1j * _column(table, "__im")
-        out = work(z)
-        return pa.table([*_heads(key, len(keys), len(out)), pa.array(np.arange(len(out))), pa.array(out.real.copy()), pa.array(out.imag.copy())], [*keys, "__i", "__re", "__im"])
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = None
+        for batch, i, x in _samples(batches):
+            z = np.zeros(batch.column("__n")[0].as_py(), complex) if z is None else z
+            z[i] = x
+        yield from _portions(key, keys, work(z), lambda at: at, {})
 
     return rows.groupBy(*keys).applyInArrow(run, ", ".join([*_kinds(rows, keys), "__i long, __re double, __im double"]))
 
@@ -65,30 +85,32 @@ def _steps(rows: DataFrame, keys: list[str], sign: int) -> DataFrame:
     limit = LIMIT
     ints = F.col("__i").cast("long")
 
-    def columns(key: tuple, table: pa.Table) -> pa.Table:
-        a, b, g = int(_column(table, "__a")[0]), int(_column(table, "__b")[0]), key[len(keys)].as_py()
-        each = max(1, limit // a)
-        first, width = g * each, min(each, b - g * each)
-        i = _column(table, "__i")
-        z = np.zeros((a, width), complex)
-        z[i // b, i % b - first] = _column(table, "__re") + 1j * _column(table, "__im")
+    def columns(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = None
+        for batch, i, x in _samples(batches):
+            if z is None:
+                a, b, g = batch.column("__a")[0].as_py(), batch.column("__b")[0].as_py(), key[len(keys)].as_py()
+                each = max(1, limit // a)
+                first, width = g * each, min(each, b - g * each)
+                z = np.zeros((a, width), complex)
+            z[i // b, i % b - first] = x
         z = np.fft.fft(z, axis=0) if sign < 0 else np.fft.ifft(z, axis=0) * a
-        k, j = np.arange(a)[:, None], np.arange(first, first + width)[None]
-        z *= np.exp(sign * 2j * np.pi * (k * j) / (a * b))
-        n = a * width
-        place = np.broadcast_to(k * b + j, z.shape).ravel()
-        return pa.table([*_heads(key, len(keys), n), *map(pa.array, (place, z.real.ravel(), z.imag.ravel(), np.full(n, a), np.full(n, b)))], [*keys, "__i", "__re", "__im", "__a", "__b"])
-
-    def lines(key: tuple, table: pa.Table) -> pa.Table:
-        a, b, g = int(_column(table, "__a")[0]), int(_column(table, "__b")[0]), key[len(keys)].as_py()
-        each = max(1, limit // b)
-        first, height = g * each, min(each, a - g * each)
-        i = _column(table, "__i")
-        z = np.zeros((height, b), complex)
-        z[i // b - first, i % b] = _column(table, "__re") + 1j * _column(table, "__im")
+        j = np.arange(first, first + width)
+        for k in range(a):
+            z[k] *= np.exp(sign * 2j * np.pi * (k * j) / (a * b))
+        yield from _portions(key, keys, z, lambda at: at // width * b + at % width + first, {"__a": a, "__b": b})
+
+    def lines(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = None
+        for batch, i, x in _samples(batches):
+            if z is None:
+                a, b, g = batch.column("__a")[0].as_py(), batch.column("__b")[0].as_py(), key[len(keys)].as_py()
+                each = max(1, limit // b)
+                first, height = g * each, min(each, a - g * each)
+                z = np.zeros((height, b), complex)
+            z[i // b - first, i % b] = x
         z = np.fft.fft(z, axis=1) if sign < 0 else np.fft.ifft(z, axis=1) * b
-        place = np.arange(first, first + height)[:, None] + a * np.arange(b)[None]
-        return pa.table([*_heads(key, len(keys), z.size), *map(pa.array, (place.ravel(), z.real.ravel(), z.imag.ravel()))], [*keys, "__i", "__re", "__im"])
+        yield from _portions(key, keys, z, lambda at: first + at // b + a * (at % b), {})
 
     heads = _kinds(rows, keys)
     part = lambda at, other: F.floor(at / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col(other)))).alias("__g")
