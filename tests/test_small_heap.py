@@ -8,6 +8,7 @@ import pytest
 
 QUERIES = [
     "dlinear_forecast",
+    "hybrid_loss_terms",
 ]
 
 CODE = """
