@@ -9,6 +9,7 @@ import pytest
 QUERIES = [
     "dlinear_forecast",
     "hybrid_loss_terms",
+    "multiscale_pools",
 ]
 
 CODE = """
