@@ -10,6 +10,7 @@ QUERIES = [
     "dlinear_forecast",
     "hybrid_loss_terms",
     "multiscale_pools",
+    "overlap_average",
 ]
 
 CODE = """
