@@ -11,6 +11,7 @@ QUERIES = [
     "hybrid_loss_terms",
     "multiscale_pools",
     "overlap_average",
+    "patch_unfold",
 ]
 
 CODE = """
