@@ -12,6 +12,7 @@ QUERIES = [
     "multiscale_pools",
     "overlap_average",
     "patch_unfold",
+    "revin_window",
 ]
 
 CODE = """
