@@ -13,6 +13,7 @@ QUERIES = [
     "overlap_average",
     "patch_unfold",
     "revin_window",
+    "rolling_values",
 ]
 
 CODE = """
