@@ -14,6 +14,7 @@ QUERIES = [
     "patch_unfold",
     "revin_window",
     "rolling_values",
+    "strongest_bins",
 ]
 
 CODE = """
