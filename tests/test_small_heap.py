@@ -15,6 +15,7 @@ QUERIES = [
     "revin_window",
     "rolling_values",
     "strongest_bins",
+    "window_mse",
 ]
 
 CODE = """
