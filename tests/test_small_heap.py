@@ -16,6 +16,7 @@ QUERIES = [
     "rolling_values",
     "strongest_bins",
     "window_mse",
+    "window_sums",
 ]
 
 CODE = """
