@@ -17,6 +17,7 @@ QUERIES = [
     "strongest_bins",
     "window_mse",
     "window_sums",
+    "forecast_shape_losses",
 ]
 
 CODE = """
